@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe
 from .langid import op1_language_id
+from .packing import op3_packing
 from .secrets import OP8_SQL, op8_secret_scan
 from .url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_packing": op3_packing,
+    "op7_bpe": op7_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
 }
