@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .chat import OP5_SQL, op5_chat
 from .langid import op1_language_id
+from .neighbours import OP2_SQL, op2_neighbours
 from .packing import op3_packing
 from .secrets import OP8_SQL, op8_secret_scan
 from .url_filter import OP9_SQL, op9_url_filter
+from .vector_dedup import OP6_SQL, op6_vector_dedup
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_neighbours": op2_neighbours,
     "op3_packing": op3_packing,
+    "op5_chat": op5_chat,
+    "op6_vector_dedup": op6_vector_dedup,
     "op7_bpe": op7_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
 }
-ORACLE_SQL = {"op8_secret_scan": OP8_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL = {"op2_neighbours": OP2_SQL, "op5_chat": OP5_SQL, "op6_vector_dedup": OP6_SQL, "op8_secret_scan": OP8_SQL, "op9_url_filter": OP9_SQL}
