@@ -1,6 +1,75 @@
-"""A corpus pipeline."""
-STAGES = []
+"""A corpus pipeline of four stages over the documents table.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. Stages that filter or
+rewrite return the columns of docs; the last returns packed pieces. Empty tables give empty results, and
+rows are never dropped but by the decisions that the stages state.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fundlattice.llm.common import stash
+from fundlattice.llm.langid import LEAST_SCORE, held_out, identify, learn
+from fundlattice.llm.packing import pack
+from fundlattice.llm.secrets import redact_secrets
+from fundlattice.llm.shingle_join import BROADCAST_IDS, join_groups
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach; a missing lang is filled in.
+
+    Rejected are texts that are null or without a letter, and texts less like every language than LEAST_SCORE.
+    Without labelled documents only the first rule applies.
+    """
+    prototypes = learn(docs.where(~held_out()))
+    found = identify(docs, prototypes, keep=tuple(docs.columns), out=("__lang", "__score"))
+    if not prototypes:
+        return found.where(F.col("text").rlike(r"\p{L}")).select(*docs.columns)
+    kept = found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that share 80 % of their five-word shingles, the one with the smallest doc_id.
+
+    Rows with a null doc_id, and texts without words, stay. Of repeated rows one stays.
+    """
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    rows, key = docs, "doc_id"
+    if repeated:  # then rows get numbers, as ids do not tell them apart
+        key = "__row"
+        rows = stash(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    groups = join_groups(rows if not repeated else rows.where("doc_id is not null"), k=5, percent=80, id_col=key)
+    dropped = stash(groups.where(F.col(key) != F.col("component_id")).select(key).distinct(), "dropped")
+    if dropped.count() <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    return rows.join(dropped, key, "left_anti").select(*docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts replaced."""
+    return redact_secrets(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as tokens, packed into sequences: one row for each piece."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("secret scans", redact),
+    ("packing", pack_sequences),
+]
+#: The language model and the packing aren't expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -102,8 +102,8 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     return {k: found[k] for k in sorted(found) if found[k].any()}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), dim: int = DIM) -> DataFrame:
-    """The language of every text: id_col, the columns named in keep, lang_pred, score.
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), dim: int = DIM, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The language of every text: id_col, the columns named in keep, lang_pred, score (or as `out` says).
 
     lang_pred is the prototype with the largest cosine (ties: the first in alphabetical order), score
     that cosine, from 0 to 1. A null text, one without a letter, or no prototype at all gives ``und`` with
@@ -122,11 +122,11 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
                 best = cosines.argmax(axis=1)
                 lang = [names[b] if n else "und" for b, n in zip(best, letters)]
                 score = np.where(letters > 0, np.clip(cosines.max(axis=1), 0, 1), 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=pa.schema([*list(batch.schema)[:-1], ("lang_pred", pa.string()), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=pa.schema([*list(batch.schema)[:-1], (out[0], pa.string()), (out[1], pa.float64())]))
 
-    rows = docs.select(id_col, *keep, F.col(text_col).alias("__text"))
+    rows = docs.select(id_col, *[c for c in keep if c != id_col], F.col(text_col).alias("__text"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(predict, f"{head}, lang_pred string, score double")
+    return rows.mapInArrow(predict, f"{head}, `{out[0]}` string, `{out[1]}` double")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -8,6 +8,7 @@ from .langid import op1_language_id
 from .neighbours import OP2_SQL, op2_neighbours
 from .packing import op3_packing
 from .secrets import OP8_SQL, op8_secret_scan
+from .shingle_join import OP10_SQL, op10_shingle_join
 from .url_filter import OP9_SQL, op9_url_filter
 from .vector_dedup import OP6_SQL, op6_vector_dedup
 
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
+    "op10_shingle_join": op10_shingle_join,
 }
-ORACLE_SQL = {"op2_neighbours": OP2_SQL, "op5_chat": OP5_SQL, "op6_vector_dedup": OP6_SQL, "op8_secret_scan": OP8_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL = {"op2_neighbours": OP2_SQL, "op5_chat": OP5_SQL, "op6_vector_dedup": OP6_SQL, "op8_secret_scan": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_shingle_join": OP10_SQL}

@@ -105,6 +105,21 @@ def redact(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
+def redact_secrets(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
+    """docs with every secret in text_col replaced, and n_chars_col (if there) the new length of those texts.
+
+    All rows and columns stay; a text without findings, null included, is as it was.
+    """
+    hits = scan_unseen(docs, text_col=text_col).where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    rows = docs.withColumn("__blob", blob_id(F.col(text_col))).join(hits, "__blob", "left")
+    found = F.size(F.coalesce("__spans", F.array().cast(SPAN))) > 0
+    rows = rows.withColumn(text_col, F.when(found, redact(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col)))
+    if n_chars_col in docs.columns:
+        kind = docs.schema[n_chars_col].dataType
+        rows = rows.withColumn(n_chars_col, F.when(found, F.length(text_col).cast(kind)).otherwise(F.col(n_chars_col)))
+    return rows.select(*docs.columns)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
