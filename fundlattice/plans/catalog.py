@@ -8,7 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fundlattice.operators import backtest as bt
 from fundlattice.operators import indicators as ind
+from fundlattice.operators import prediction as pred
+from fundlattice.operators import walkforward as wf
+from fundlattice.plans import backtest_sql as bsql
 from fundlattice.plans import indicator_sql as isql
 from fundlattice.sources.panel import nav_panel
 
@@ -68,4 +72,30 @@ INDICATORS = [
     Query("skews", on_panel(ind.skews), isql.SKEWS, "skew_a skew_b"),
     Query("short_features", on_panel(ind.short_features), isql.SHORT, _names("ret_{}", (1, 3, 5, 10)) + " " + _names("ma_{}", (3, 5, 10, 20)) + " support resistance vol_10 llm_ret_7d llm_ret_30d llm_vol"),
 ]
-QUERIES = [*INDICATORS]
+
+
+def on_samples(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(wf.samples(nav_panel(spark, sf_dir)))
+
+
+BACKTEST = [
+    Query("walkforward_features", on_panel(lambda p: wf.features(p).select("code", "i", *bsql.FEATURE_DOUBLES.split(), *bsql.FEATURE_LABELS.split())), bsql.WALKFORWARD_FEATURES, bsql.FEATURE_DOUBLES),
+    Query("walkforward_labels", on_samples(lambda s: s.select(*bsql.LABEL_COLUMNS.split(), "threshold", "ret", "raw_score", "score")), bsql.LABELS_SQL, "threshold ret raw_score score"),
+    Query("confusion_matrix", on_samples(bt.confusion_matrix), bsql.CONFUSION),
+    Query("actual_distribution", on_samples(bt.actual_distribution), bsql.DISTRIBUTION, "up_pct sideways_pct down_pct threshold_mean threshold_median"),
+    Query("brier_multiclass", on_samples(bt.brier_multiclass), bsql.BRIER, "brier"),
+    Query("calibration_bins", on_samples(bt.calibration_bins), bsql.CALIBRATION, "expected observed gap"),
+    Query("hit_by_confidence", on_samples(bt.hit_by_move), bsql.HIT_BY_MOVE, "hit_high hit_medium hit_low"),
+    Query("return_stats", on_samples(bt.return_stats), bsql.RETURN_STATS, "mean median p10 p90"),
+    Query("score_buckets", on_samples(bt.score_buckets), bsql.SCORE_BUCKETS, "accuracy pct"),
+    Query("score_stats", on_samples(bt.score_stats), bsql.SCORE_STATS, "mean std p10 p50 p90"),
+    Query("baseline_edge", on_samples(bt.baseline_edge), bsql.BASELINE, "rule_acc sideways_acc momentum_acc edge"),
+    Query("down_precision_recall", on_samples(bt.down_metrics), bsql.DOWN, "precision recall f1"),
+    Query("probability_quality", on_samples(bt.quality), bsql.QUALITY),
+    Query("up_probability", on_samples(lambda s: s.select("code", "horizon", "i", "adjusted", "probability", "prev_return", "up", "momentum_up")), bsql.UP_PROBABILITY, "adjusted probability prev_return"),
+    Query("binary_metrics", on_samples(pred.binary_metrics), bsql.BINARY, "hit up_rate momentum_hit brier majority_hit edge"),
+    Query("kernel_calibration", on_samples(pred.kernel_calibration), bsql.KERNEL, "now base calibrated"),
+    Query("threshold_sweep", on_samples(pred.threshold_sweep), bsql.SWEEP, "threshold hit edge"),
+    Query("ts_cv_folds", on_samples(pred.ts_cv_folds), bsql.FOLDS_SQL, "hit"),
+]
+QUERIES = [*INDICATORS, *BACKTEST]
