@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 LABELS = ("up", "sideways", "down")
 KEYS = ("code", "horizon")
-HIT = F.col("prediction") == F.col("actual")
 BUCKETS = (-200, -60, -40, -20, 0, 20, 40, 60, 200)
 
 
+def is_hit() -> Column:
+    return F.col("prediction") == F.col("actual")
+
+
 def share(condition: Column) -> Column:
     return F.avg(condition.cast("double")) * 100
 
@@ -45,13 +48,13 @@ def brier_multiclass(s: DataFrame) -> DataFrame:
     rest = (1 - c) / 2
     hit = F.pow(c - 1, F.lit(2.0)) + 2 * F.pow(rest, F.lit(2.0))
     miss = F.pow(c, F.lit(2.0)) + F.pow(rest - 1, F.lit(2.0)) + F.pow(rest, F.lit(2.0))
-    return s.groupBy(*KEYS).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg(F.when(HIT, hit).otherwise(miss)) / 2)).alias("brier"), F.count("*").alias("n"))
+    return s.groupBy(*KEYS).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg(F.when(is_hit(), hit).otherwise(miss)) / 2)).alias("brier"), F.count("*").alias("n"))
 
 
 def calibration_bins(s: DataFrame) -> DataFrame:
     """AGG-6."""
     out = s.withColumn("bin", bucket(F.abs("raw_score"), (0, 20, 40, 60, 80, 200))).where("bin is not null")
-    return out.groupBy(*KEYS, "bin").agg(F.avg(confidence()).alias("expected"), F.avg(HIT.cast("double")).alias("observed"), F.count("*").alias("n")).withColumn("gap", F.abs(F.col("expected") - F.col("observed")))
+    return out.groupBy(*KEYS, "bin").agg(F.avg(confidence()).alias("expected"), F.avg(is_hit().cast("double")).alias("observed"), F.count("*").alias("n")).withColumn("gap", F.abs(F.col("expected") - F.col("observed")))
 
 
 def hit_by_move(s: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def hit_by_move(s: DataFrame) -> DataFrame:
     marks = s.groupBy(*KEYS).agg(F.percentile(move, F.lit(0.75)).alias("high"), F.percentile(move, F.lit(0.25)).alias("low"), F.count("*").alias("n"))
     out = s.join(marks, list(KEYS))
     size = F.when(move >= F.col("high"), "high").when(move <= F.col("low"), "low").otherwise("medium")
-    return out.where("n >= 10").groupBy(*KEYS).agg(*[(F.avg(F.when(size == k, HIT.cast("double"))) * 100).alias(f"hit_{k}") for k in ("high", "medium", "low")])
+    return out.where("n >= 10").groupBy(*KEYS).agg(*[(F.avg(F.when(size == k, is_hit().cast("double"))) * 100).alias(f"hit_{k}") for k in ("high", "medium", "low")])
 
 
 def return_stats(s: DataFrame) -> DataFrame:
@@ -70,7 +73,7 @@ def return_stats(s: DataFrame) -> DataFrame:
 
 def score_buckets(s: DataFrame) -> DataFrame:
     """AGG-9: counts, shares and accuracy of the scores' buckets."""
-    out = s.withColumn("bucket", bucket(F.col("raw_score"), BUCKETS)).groupBy(*KEYS, "bucket").agg(F.count("*").alias("n"), share(HIT).alias("accuracy"))
+    out = s.withColumn("bucket", bucket(F.col("raw_score"), BUCKETS)).groupBy(*KEYS, "bucket").agg(F.count("*").alias("n"), share(is_hit()).alias("accuracy"))
     return out.withColumn("pct", F.col("n") / F.sum("n").over(Window.partitionBy(*KEYS)) * 100)
 
 
@@ -80,7 +83,7 @@ def score_stats(s: DataFrame) -> DataFrame:
 
 def baseline_edge(s: DataFrame) -> DataFrame:
     """AGG-1, AGG-10: the rules against always "sideways" and against momentum."""
-    out = s.groupBy(*KEYS).agg(F.count("*").alias("n"), share(HIT).alias("rule_acc"), share(F.col("actual") == "sideways").alias("sideways_acc"), share(F.col("momentum") == F.col("actual")).alias("momentum_acc"))
+    out = s.groupBy(*KEYS).agg(F.count("*").alias("n"), share(is_hit()).alias("rule_acc"), share(F.col("actual") == "sideways").alias("sideways_acc"), share(F.col("momentum") == F.col("actual")).alias("momentum_acc"))
     return out.withColumn("edge", F.col("rule_acc") - F.greatest("sideways_acc", "momentum_acc"))
 
 

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from fundlattice.functions.numeric import macd_states, max_drawdown, wilder
 
 YEAR = 250.0
-CODE = Window.partitionBy("code").orderBy("d")
+
+
+def in_order() -> Window:
+    return Window.partitionBy("code").orderBy("d")
 
 
 def rows(n: int, end: int = 0) -> Window:
     """The last n rows, up to the row `end` before this."""
-    return CODE.rowsBetween(-(n - 1) - end, -end)
+    return in_order().rowsBetween(-(n - 1) - end, -end)
 
 
 def days(n: int) -> Window:
@@ -31,7 +34,7 @@ def _or_tail(n: int, least: int, build) -> Column:
 
 
 def lagged(k: int) -> Column:
-    return F.lag("nav", k).over(CODE)
+    return F.lag("nav", k).over(in_order())
 
 
 def returns_trading(p: DataFrame) -> DataFrame:
@@ -221,7 +224,7 @@ def vol_percentile(p: DataFrame) -> DataFrame:
     are gathered once for each code and compared with the history as an array.
     """
     v = p.withColumn("v", F.when(F.col("i") >= 30, F.stddev_samp("r").over(rows(30))))
-    hist = F.collect_list("v").over(CODE.rowsBetween(Window.unboundedPreceding, 0))
+    hist = F.collect_list("v").over(in_order().rowsBetween(Window.unboundedPreceding, 0))
     pct = F.when(F.col("i") >= 40, F.size(F.filter(hist, lambda x: x <= F.col("v"))) / F.size(hist) * 100)
     out = v.select("code", "d", "i", pct.alias("pct"))
     return out.withColumn("regime", F.when(F.col("pct").isNull(), "未知").when(F.col("pct") >= 75, "高波动").when(F.col("pct") <= 25, "低波动").otherwise("常态波动"))
@@ -243,7 +246,7 @@ def vol_percentile_b(p: DataFrame, lookback: int = 90) -> DataFrame:
 def _streak(p: DataFrame, sign: Column) -> DataFrame:
     """Length of the run of equal signs that ends in each row (gaps and islands)."""
     s = p.withColumn("sign", sign)
-    s = s.withColumn("island", F.sum((~F.col("sign").eqNullSafe(F.lag("sign").over(CODE))).cast("int")).over(CODE.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.withColumn("island", F.sum((~F.col("sign").eqNullSafe(F.lag("sign").over(in_order()))).cast("int")).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
     return s.withColumn("run", F.row_number().over(Window.partitionBy("code", "island").orderBy("d")))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fundlattice.functions.numeric import macd_states, max_drawdown, round_half_up
 from fundlattice.operators import scoring
-from fundlattice.operators.indicators import CODE, YEAR, _percentile_b, _position, _streak, lagged, ma, macd_b_columns, rows, trend_b_label
+from fundlattice.operators.indicators import YEAR, _percentile_b, _position, _streak, in_order, lagged, ma, macd_b_columns, rows, trend_b_label
 
 LOOKBACK = 90
 FLOORS = {1: 0.5, 3: 1.0, 7: 2.0, 30: 3.0}
@@ -58,7 +58,7 @@ def features(p: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
         *[F.avg("nav").over(rows(k)).alias(f"raw_{k}") for k in (5, 10, 20)],
         ((nav - lagged(4)) / lagged(4) * 100).alias("slope"), ((lagged(9) - lagged(19)) / lagged(19) * 100).alias("long_slope"),
         gain(14, 1).alias("gain_14"), gain(14, -1).alias("loss_14"),
-        *[F.lead("nav", h + 1).over(CODE).alias(f"after_{h}") for h in scoring.HORIZONS],
+        *[F.lead("nav", h + 1).over(in_order()).alias(f"after_{h}") for h in scoring.HORIZONS],
         *[((nav / lagged(h) - 1) * 100).alias(f"prev_{h}") for h in scoring.HORIZONS],
         F.when(F.col("sign") == 0, 0).otherwise(F.col("run")).cast("long").alias("streak_days"),
         F.when(F.col("sign") > 0, "上涨").when(F.col("sign") < 0, "下跌").otherwise("平").alias("streak_dir"),

@@ -12,9 +12,13 @@ from fundlattice.operators import backtest as bt
 from fundlattice.operators import indicators as ind
 from fundlattice.operators import prediction as pred
 from fundlattice.operators import walkforward as wf
+from fundlattice.operators import decisions as dec
+from fundlattice.operators import joins, portfolio
 from fundlattice.plans import backtest_sql as bsql
+from fundlattice.plans import decision_queries as dq
 from fundlattice.plans import indicator_sql as isql
-from fundlattice.sources.panel import nav_panel
+from fundlattice.sources.panel import HOLDINGS_SQL, holdings, nav_panel, table
+from fundlattice.streaming import daily
 
 #: Doubles are compared at so many places.
 PLACES = 6
@@ -98,4 +102,59 @@ BACKTEST = [
     Query("threshold_sweep", on_samples(pred.threshold_sweep), bsql.SWEEP, "threshold hit edge"),
     Query("ts_cv_folds", on_samples(pred.ts_cv_folds), bsql.FOLDS_SQL, "hit"),
 ]
-QUERIES = [*INDICATORS, *BACKTEST]
+SCORES = "trend_risk drawdown_risk volatility_risk position_risk macro_risk personal_risk risk_score"
+JOINS = [
+    Query("latest_holdings_topk", lambda s, d: joins.latest_holdings(holdings(s, d)), f"WITH {HOLDINGS_SQL.strip()}, {dq._TOP} SELECT * FROM top", "weight_pct"),
+    Query("basket_factors", dq.basket, f"WITH {', '.join(dq.BASKET_CTES)} SELECT * FROM bf", " ".join(joins.FACTORS)),
+    Query("asof_factors", dq.asof_factors, dq.ASOF_SQL, " ".join(joins.FACTORS)),
+    Query("source_fallback", dq.fallback, dq.FALLBACK_SQL),
+    Query("dedup_last_wins", lambda s, d: portfolio.dedup_last_wins(dq.dedup_source(s, d)), "SELECT CAST(o_custkey AS VARCHAR) AS code, min(o_orderkey) AS place, arg_max(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1"),
+    Query("valid_codes", lambda s, d: portfolio.valid_codes(table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("code")).distinct()), "SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS code FROM orders WHERE regexp_full_match(CAST(o_orderkey AS VARCHAR), '[0-9]{5,6}')"),
+    Query(
+        "json_props", lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k int").alias("p")).select("event_id", F.col("p.k").cast("long").alias("k")).where("k is not null"),
+        "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL",
+    ),
+    Query(
+        "estimate_override", dq.override,
+        """SELECT e.code, e.t AS estimate_time, n.data_end, CAST(left(e.t, 10) AS DATE) > n.data_end AS fresh, CASE WHEN CAST(left(e.t, 10) AS DATE) > n.data_end THEN e.value ELSE n.v END AS nav
+        FROM (SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') AS code, strftime(ts, '%Y-%m-%d %H:%M') AS t, value FROM events) e
+        JOIN (SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') AS code, CAST(min(ts) AS DATE) + 10 AS data_end, min(value) AS v FROM events GROUP BY 1) n ON e.code = n.code""", "nav",
+    ),
+    Query("daily_events", lambda s, d: daily.daily_series(table(s, d, "events")), "SELECT event_type, CAST(ts AS DATE) AS d, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events GROUP BY 1, 2"),
+]
+DECISIONS = [
+    Query(*dq._query("risk_score", f"{SCORES} risk_level risk_colour", [], SCORES)),
+    Query("keyword_types", lambda s, d: dec.with_kinds(s.sql(dq.CONTEXT)).select("code", "high_vol", "qdii", "defensive", "china"), f"SELECT code, {', '.join(f'{v} AS {k}' for k, v in dec.KINDS.items())} FROM ({dq.CONTEXT})"),
+    Query("forecast_probs", dq.forecasts, dq.FORECAST_SQL, "raw squashed up1 side2 down1 range_low range_high"),
+    Query("calibration_lookup", dq.calibrated, dq.CALIBRATED_SQL, "raw observed"),
+    Query("ensemble", on_samples(lambda s: dec.apply_stages(s, [dq._LLM, *dec.ENSEMBLE_STAGES]).select(*dq.ENSEMBLE)), dq.with_samples(f"SELECT {', '.join(dq.ENSEMBLE)} FROM {dec.stages_sql('smp', [dq._LLM, *dec.ENSEMBLE_STAGES])}"), "oversold blend"),
+    Query(*dq._query("decision_advice", "risk_score advice advice_confidence buy_pct buy_amount near_max_loss", [*dq.STUBS, *dec.ADVICE_STAGES], "risk_score buy_amount")),
+    Query(*dq._query("final_decision", "final_direction final_action final_confidence headline", [*dq.STUBS, *dec.FINAL_STAGES], "")),
+    Query(*dq._query("high_confidence_gate", "passed swing gate_action gate_score max_pct", [*dq.STUBS, *dec.GATE_STAGES], "gate_score")),
+    Query("narrative", lambda s, d: dec.narrative(dec.apply_stages(dq.judged(s, d), [*dq.STUBS, *dec.FINAL_STAGES]))),
+    Query("rule_search", lambda s, d: pred.rule_search(wf.samples(nav_panel(s, d)), pred.rule_table(s)), dq._rule_sql(), "threshold hit coverage avg_return profit_factor bound"),
+]
+PORTFOLIO = [
+    Query("portfolio_summary", lambda s, d: portfolio.summary(dq.positions(s, d)), f"WITH {dq._P} {dq._SUMMARY}", "total_holding pnl cost mean_risk pnl_pct"),
+    Query(
+        "portfolio_warnings", lambda s, d: portfolio.warnings(portfolio.summary(dq.positions(s, d))),
+        f"WITH {dq._P}, t AS ({dq._SUMMARY}) SELECT portfolio, coalesce(nullif(concat_ws(',', {', '.join(f'CASE WHEN {c} THEN {chr(39)}{w}{chr(39)} END' for c, w in dq._WARN)}), ''), 'none') AS warnings FROM t",
+    ),
+    Query(
+        "portfolio_priority_sort", lambda s, d: portfolio.priority_order(dq.positions(s, d)).select("portfolio", "code", "priority", "rank"),
+        f"WITH {dq._P}, q AS (SELECT *, CASE coalesce(action, 'observe') {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {n}' for n, a in enumerate(portfolio.PRIORITY))} END AS priority FROM p) SELECT portfolio, code, priority, row_number() OVER (PARTITION BY portfolio ORDER BY priority, coalesce(risk_score, 0) DESC, code)::INT AS rank FROM q",
+    ),
+    Query(
+        "portfolio_upsert", lambda s, d: portfolio.upsert(dq.positions(s, d).where("risk_score < 60").select("code", "nav"), dq.positions(s, d).where("risk_score > 50").select("code", (F.col("nav") + 1).alias("nav"))),
+        f"WITH {dq._P} SELECT code, nav FROM p WHERE risk_score <= 50 UNION ALL SELECT code, nav + 1 FROM p WHERE risk_score > 50", "nav",
+    ),
+    Query("portfolio_delete", lambda s, d: portfolio.delete(dq.positions(s, d).select("code", "nav"), dq.positions(s, d).where("risk_score > 50").select("code")), f"WITH {dq._P} SELECT code, nav FROM p WHERE NOT coalesce(risk_score > 50, FALSE)", "nav"),
+    Query(
+        "market_sentiment", lambda s, d: portfolio.market_sentiment(dq.moves(s, d), ["event_type", "d"]),
+        f"""WITH {dq._MOVES} SELECT event_type, d, mean, up, n, CASE WHEN mean > 1.5 AND up >= n * 0.75 THEN 'very_bullish' WHEN mean > 0.5 AND up >= n * 0.6 THEN 'bullish' WHEN mean < -1.5 AND up <= n * 0.25 THEN 'very_bearish' WHEN mean < -0.5 AND up <= n * 0.4 THEN 'bearish' ELSE 'neutral' END AS sentiment,
+        CASE WHEN mean > 0.8 THEN 'strong_inflow' WHEN mean > 0.3 THEN 'inflow' WHEN mean < -0.8 THEN 'strong_outflow' WHEN mean < -0.3 THEN 'outflow' ELSE 'neutral' END AS flow
+        FROM (SELECT event_type, d, avg(change_pct) AS mean, count(*) FILTER (change_pct > 0) AS up, count(change_pct) AS n FROM m GROUP BY 1, 2)""", "mean",
+    ),
+    Query("macro_summary", lambda s, d: portfolio.macro_summary(dq.macro_rows(s, d), ["event_type", "d"]), f"WITH {dq._MOVES} {dq._MACRO}", "us_change usdcny on_rate m1_rate spread"),
+]
+QUERIES = [*INDICATORS, *BACKTEST, *JOINS, *DECISIONS, *PORTFOLIO]
