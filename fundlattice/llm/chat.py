@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import re
@@ -31,35 +32,59 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
+@functools.lru_cache(maxsize=1024)
+def _turn(turn: Turn) -> str:
+    """Prefixes repeat their turns, so what a turn becomes is remembered."""
+    role, text = turn
+    return f"### {escape(role)}: {escape(text)}{FOOTER}"
+
+
 def turn_template(turns: list[Turn]) -> str:
     """``### role: text </turn>`` and a line end for each turn, roles and texts escaped."""
-    return "".join(f"### {escape(role)}: {escape(text)}{FOOTER}" for role, text in turns)
+    return "".join(map(_turn, turns))
 
 
 def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int, int, int]], int]:
     """(output, spans, first turn that rewrites history or -1).
 
     The prefix of one more turn is rendered each time. The last output must begin with the one before: then
-    what it adds is the turn's span, otherwise the template rewrites history at this turn. Two renderings
-    with one-letter texts in the turn's place differ first where its text begins, and show what follows
+    what it adds is the turn's span, otherwise the template rewrites history at this turn. Another rendering,
+    with a probe in the place of the turn's text, differs first where that text begins, and shows what follows
     it. A span is (begin, text begin, text end, end) in the output; there are none from the rewriting
     turn on, nor for turns before it, as their places don't hold.
     """
     before, spans = template([]), []
-    for k, (role, _) in enumerate(turns):
+    for k, (role, text) in enumerate(turns):
         after = template(turns[: k + 1])
         if not after.startswith(before):
             return template(turns), [], k
-        one, two = template([*turns[:k], (role, "x")]), template([*turns[:k], (role, "y")])
-        at = next((i for i, (a, b) in enumerate(zip(one, two)) if a != b), len(before))
-        tail = len(one) - at - 1
-        if one[:at] != after[:at] or (tail and not after.endswith(one[-tail:])) or len(after) - tail < at:
+        old = len(before)
+        seen = after[old:]
+        probe = _unlike(seen, turns[:k], role, text, template, old)
+        if probe is None:
             return template(turns), [], k
-        spans.append((len(before), at, len(after) - tail, len(after)))
+        at, tail = probe
+        spans.append((old, old + at, len(after) - tail, len(after)))
         before = after
     return before, spans, -1
 
 
+def _unlike(seen: str, known: list[Turn], role: str, text: str, template: Template, old: int) -> tuple[int, int] | None:
+    """(where the text begins, how much follows it) in what a turn adds; None if the turn's text isn't the only difference."""
+    letters = [c for c in "xyz" if c != text[:1]][:2] if not text else [next(c for c in "xy" if c != text[0])]
+    made = [template([*known, (role, c)])[old:] for c in letters]
+    one, two = made[0], made[1] if len(made) > 1 else seen
+    at = _common(one, two)
+    tail = len(one) - at - 1
+    if tail < 0 or one[:at] != seen[:at] or (tail and not seen.endswith(one[-tail:])) or len(seen) - tail < at:
+        return None
+    return at, tail
+
+
+def _common(a: str, b: str) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 FORMATTED = pa.schema(
     [("id", pa.int64()), ("output", pa.string()), ("spans", pa.list_(pa.struct([(n, pa.int64()) for n in ("begin", "text_begin", "text_end", "end")] + [("role", pa.string()), ("loss", pa.bool_())]))), ("rewrites_at", pa.int64())]
 )
