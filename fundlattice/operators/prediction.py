@@ -147,8 +147,8 @@ def rule_metrics(s: DataFrame, rules: DataFrame, count: int = 70, low: float = 0
     """AGG-13 for every template and every probability threshold, by part of the samples.
 
     Samples meet the broadcast templates once (a few hundred rows of fixed number); each pair falls into a bin of its
-    probability, bins are summed by part (fold and training or validation), and cumulative sums over falling
-    thresholds give all 71 thresholds from one window pass. Columns: c, h, s, g, l by part, as arrays over parts.
+    probability, and bins are summed by part: all samples (no suffix), training (_t), validation (_v) and the folds
+    (_1 to _4). c, h, s, g, l are signals, hits and the sums of returns, gains and losses.
     """
     parts = s.join(s.groupBy(*KEYS).agg(F.count("*").alias("n")), list(KEYS))
     order = Window.partitionBy(*KEYS).orderBy("i")
@@ -159,8 +159,9 @@ def rule_metrics(s: DataFrame, rules: DataFrame, count: int = 70, low: float = 0
         met = met & (F.col(f"{key}_min").isNull() | (x >= F.col(f"{key}_min"))) & (F.col(f"{key}_max").isNull() | (x <= F.col(f"{key}_max")))
     slim = parts.select(*KEYS, "n", "fold", "train", "up", "ret", F.least(F.lit(count), F.floor((F.col("probability") - low) / step + 1e-9)).alias("k"), *[c for c in dict.fromkeys(FEATURES.values())]).where("k >= 0")
     pairs = slim.join(F.broadcast(rules), "horizon").where(met)
-    sums = [F.count("*").alias("c"), F.count_if("up").alias("h"), F.sum("ret").alias("s"), F.sum(F.greatest("ret", F.lit(0.0))).alias("g"), F.sum(F.least("ret", F.lit(0.0))).alias("l")]
-    return pairs.groupBy(*KEYS, "ord", "k", "fold", "train", "n").agg(*sums)
+    values = {"c": F.lit(1), "h": F.col("up").cast("int"), "s": F.col("ret"), "g": F.greatest("ret", F.lit(0.0)), "l": F.least("ret", F.lit(0.0))}
+    masks = {"": F.lit(True), "_t": F.col("train"), "_v": ~F.col("train")} | {f"_{f}": F.col("fold") == f for f in range(1, FOLDS + 1)}
+    return pairs.groupBy(*KEYS, "ord", "k", "n").agg(*[F.sum(F.when(m, v).otherwise(v * 0)).alias(x + tag) for tag, m in masks.items() for x, v in values.items()])
 
 
 def rule_search(s: DataFrame, rules: DataFrame) -> DataFrame:
@@ -169,16 +170,13 @@ def rule_search(s: DataFrame, rules: DataFrame) -> DataFrame:
     Valid rules (training, validation and folds pass as well) come before others; then the higher hit rate, more
     signals, the lower threshold and the earlier template.
     """
-    count = 70
-    cells = rule_metrics(s, rules, count)
+    cells = rule_metrics(s, rules)
     base = binary_metrics(s).select(*KEYS, F.greatest("up_rate", "momentum_hit").alias("baseline"))
-    reach = cells.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k"))))  # a bin counts for every threshold up to it
-    names = ("c", "h", "s", "g", "l")
-    total = [F.sum(x).alias(x) for x in names]
-    train = [F.sum(F.when(F.col("train"), F.col(x)).otherwise(0)).alias(f"{x}_t") for x in names]
-    test = [F.sum(F.when(~F.col("train"), F.col(x)).otherwise(0)).alias(f"{x}_v") for x in names]
-    folds = [F.sum(F.when(F.col("fold") == f, F.col(x)).otherwise(0)).alias(f"{x}_{f}") for f in range(1, FOLDS + 1) for x in names]
-    out = reach.groupBy(*KEYS, "ord", "t", "n").agg(*total, *train, *test, *folds).join(base, list(KEYS))
+    # sums over falling thresholds; a row stands for the thresholds above the next lower bin, of which the lowest is named
+    down = Window.partitionBy(*KEYS, "ord").orderBy(F.desc("k"))
+    tags = ["", "_t", "_v", *[f"_{f}" for f in range(1, FOLDS + 1)]]
+    total = [F.sum(x + tag).over(down).alias(x + tag) for tag in tags for x in "chsgl"]
+    out = cells.select(*KEYS, "ord", "n", F.coalesce(F.lead("k").over(down) + 1, F.lit(0)).alias("t"), *total).join(base, list(KEYS))
     hit = lambda p: F.try_divide(F.col(f"h{p}") * 100.0, F.col(f"c{p}"))
     mean = lambda p: F.try_divide(F.col(f"s{p}"), F.col(f"c{p}"))
     factor = lambda p: F.when(F.col(f"l{p}") < -1e-9, F.col(f"g{p}") / -F.col(f"l{p}")).when(F.col(f"g{p}") > 0, 99.0).otherwise(0.0)
