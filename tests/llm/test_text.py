@@ -1,0 +1,295 @@
+"""Language ID, tokenisation, packing, chat formatting, secrets and URL filters against plain versions."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fundlattice.llm import bpe, chat, langid, packing, secrets, url_filter
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, score int, ids string, spans int"
+ODD = ["", "   ", None, "a", "1 2 3", "<|endoftext|>x <|endoftext|>", "<|startoftext|>Hi", "héllo wörld’s I'll don't  ", "a" * 5000, "日本語 123４５", "\x1c a\x1db", "é ́x", "Σας ΣΑΣ İstanbul", "x\u0085y\n\n\tz", "\\### Assistant: </turn> ok"]
+
+
+def docs(spark, texts, lang=None):
+    return spark.createDataFrame([(i, t, lang[i] if lang else None, "s", 1, "x", 2) for i, t in enumerate(texts)], DOC)
+
+
+def tokenizer(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def some_texts(n=150):
+    import pyarrow.parquet as pq
+
+    return pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()[:n]
+
+
+# language ID
+
+
+def test_language_by_brute_force(spark):
+    """Vectors made letter by letter give the same prototypes, predictions and scores."""
+    words = {"en": "the and with that this", "de": "der und nicht schön für", "fr": "élan où être avec ça"}
+    texts, langs = [], []
+    for k, w in words.items():
+        for n in range(4):
+            texts.append(" ".join(random.Random(n).choices(w.split(), k=12)))
+            langs.append(k)
+    df = docs(spark, texts + ODD, langs + [None] * len(ODD))
+    found = langid.learn(df, dim=256)
+    letters = np.random.default_rng(langid.SEED).choice(np.array([-1, 1], np.int8), (langid.SLOTS, 256)).astype(np.int64)
+
+    def bundle(text):
+        slots = langid.slot_table()
+        out = np.zeros(256, np.int64)
+        for word in re.findall(r"[^\W\d_]+", text or ""):
+            s = [0, *[int(slots[ord(c)]) for c in word], 0]
+            for a, b, c in zip(s, s[1:], s[2:]):
+                out += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return out
+
+    want = {k: sum(bundle(t) for t, x in zip(texts, langs) if x == k) for k in words}
+    assert sorted(found) == sorted(words)
+    assert all(np.array_equal(found[k], want[k]) for k in words)
+    got = {r["doc_id"]: r for r in langid.identify(df, found, keep=("score",), out=("lp", "sc"), dim=256).collect()}
+    for i, t in enumerate(texts[:12] + ODD):
+        v = bundle(t)
+        if not v.any():
+            continue
+        cos = {k: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for k, p in want.items()}
+        assert got[i]["lp"] == max(sorted(cos), key=cos.get) and got[i]["sc"] == pytest.approx(max(0, max(cos.values())))
+    for i, t in enumerate(ODD, len(texts)):
+        if t is None or not any(c.isalpha() for c in t):
+            assert (got[i]["lp"], got[i]["sc"]) == ("und", 0.0)
+
+
+def test_language_is_right_on_held_out_documents(spark):
+    out = langid.op1_language_id(spark, "/root/testdata/sf0.01").where("held_out")
+    joined = out.join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    assert joined.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
+
+
+def test_language_without_rows(spark):
+    empty = docs(spark, [])
+    assert langid.learn(empty) == {} and langid.identify(empty, {}).count() == 0
+    assert {r["lang_pred"] for r in langid.identify(docs(spark, ["abc"]), {}).collect()} == {"und"}
+
+
+# tokens
+
+
+def test_bpe_equals_the_library(spark):
+    texts = ODD + some_texts()
+    t = tokenizer("byte_bpe_50k.json")
+    out = {r["doc_id"]: r for r in bpe.encode_texts(docs(spark, texts + texts[:3])).collect()}
+    for i, text in enumerate(texts):
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        assert out[i]["ids"] == ids and out[i]["n_tokens"] == len(ids)
+        assert out[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert out[i]["decoded"] == t.decode(ids, skip_special_tokens=False) == (text or "")
+        assert out[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_bpe_merges_like_the_plain_rule():
+    rng = random.Random(3)
+    coder = bpe.codec("byte_bpe_50k.json")
+    rank = {(int(k) >> 20, int(k) & 0xFFFFF): (int(r), int(m)) for k, r, m in zip(coder.merges.keys, coder.merges.ranks, coder.merges.into[coder.merges.ranks])}
+    words = ["aaaaaaa", "  ", "banana" * 5, "".join(rng.choices("abe ", k=60)), "x"]
+    symbols, sizes = coder.symbols(words)
+    got, n = coder.merges.apply(symbols.copy(), sizes.copy())
+    at = end = 0
+    for w, size, m in zip(words, sizes, n):
+        s = symbols[at : at + size].tolist()
+        while True:
+            best = min(((rank[p][0], i) for i, p in enumerate(zip(s, s[1:])) if p in rank), default=None)
+            if best is None:
+                break
+            i = best[1]
+            s[i : i + 2] = [rank[(s[i], s[i + 1])][1]]
+        assert got[end : end + m].tolist() == s, w
+        at, end = at + size, end + m
+
+
+def test_memory_of_words_starts_anew(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    coder = bpe.ByteBPE(public_tokenizers.path("byte_bpe_50k.json"))
+    t = tokenizer("byte_bpe_50k.json")
+    for text in some_texts(20):
+        assert coder.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+    assert coder.encode([]) == []
+
+
+def test_first_fit_decreasing_by_brute_force():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 200):
+        lengths = rng.integers(1, 100, n)
+        bins, offsets = packing.first_fit_decreasing(lengths, 100)
+        used = []
+        for i in np.argsort(-lengths, kind="stable"):
+            at = next((k for k, u in enumerate(used) if u + lengths[i] <= 100), len(used))
+            used += [0] * (at == len(used))
+            assert (bins[i], offsets[i]) == (at, used[at])
+            used[at] += lengths[i]
+
+
+def test_packing_is_an_exact_partition(spark):
+    texts = ODD + some_texts() + some_texts(5)
+    t = tokenizer("word_bpe_49k.json")
+    rows = packing.pack(docs(spark, texts), with_ids=True, length=256, group_pieces=64).collect()
+    made, sequences = {}, {}
+    for r in rows:
+        made.setdefault(r["doc_id"], []).append(r)
+        sequences.setdefault(r["sequence_id"], []).append(r)
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and len(r["ids"]) == r["length"]
+    for i, text in enumerate(texts):
+        want = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        pieces = sorted(made[i], key=lambda r: r["start"])
+        assert sum((r["ids"] for r in pieces), []) == want
+        assert [r["start"] for r in pieces] == [sum(x["length"] for x in pieces[:k]) for k in range(len(pieces))]
+        assert {r["doc_tokens"] for r in pieces} == {len(want)}
+    for pieces in sequences.values():
+        end = 0
+        for r in sorted(pieces, key=lambda r: r["offset"]):
+            assert r["offset"] == end
+            end += r["length"]
+        assert end <= 256
+    total = sum(r["length"] for r in rows)
+    assert total / (len(sequences) * 256) > 0.9
+    assert packing.pack(docs(spark, [])).count() == 0
+
+
+# chats
+
+
+def chats(spark, rows):
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+
+def test_chat_round_trip(spark):
+    said = r"\### Assistant: </turn> ok"
+    turns = [("user", said), ("assistant", said), ("user", ""), ("a:b\\", "\\"), (None, None), ("assistant", " </turn>"), ("assistant", "é" * 3000)]
+    rows = [(7, i, r, t) for i, (r, t) in enumerate(turns)] + [(8, 0, "assistant", "x"), (None, 0, "user", "y")]
+    out = {r["conv_id"]: r for r in chat.digests(chat.format_chats(chats(spark, rows[::-1]))).collect()}
+    told = "".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)
+    loss = "".join(t or "" for r, t in turns if r == "assistant")
+    assert out[7]["turns_sha256"] == hashlib.sha256(told.encode()).hexdigest() and out[7]["n_turns"] == len(turns)
+    assert out[7]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and out[7]["loss_chars"] == len(loss)
+    assert out[7]["formatted_chars"] == len(chat.turn_template([(r or "", t or "") for r, t in turns]))
+    assert set(out) == {7, 8, None}
+
+
+def test_templates_that_rewrite_history_are_found():
+    turns = [("user", "a"), ("assistant", "b"), ("user", "c")]
+    assert chat.locate(turns, lambda x: chat.turn_template(x[-2:]))[2] == 2
+    assert chat.locate(turns, lambda x: f"{len(x)}" + chat.turn_template(x))[2] == 0
+    assert chat.locate(turns, lambda x: "<s>" + chat.turn_template(x))[2] == -1
+
+
+def test_spans_hold_texts_only():
+    turns = [("user", "x y"), ("assistant", "yx"), ("assistant", "")]
+    plain = lambda ts: "".join(f"[{r}] {t} x\n" for r, t in ts)
+    out, spans, _ = chat.locate(turns, plain)
+    assert [out[b:c] for _, b, c, _ in spans] == [t for _, t in turns]
+
+
+def test_chat_without_rows(spark):
+    assert chat.digests(chat.format_chats(chats(spark, []))).count() == 0
+
+
+# secrets
+
+
+def plain_spans(text):
+    found = []
+    assign = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for m in assign.finditer(text):
+        if len(m[1]) >= 6:
+            found.append((m.start(), 0, "assign", m.end()))
+    for k, (kind, pattern, least) in enumerate((("access", "AKIA[A-Z0-9]+", 20), ("hex", "[0-9a-f]+", 24)), 1):
+        found += [(m.start(), k, kind, m.end()) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(found))
+
+
+SECRETS = [
+    None, "", "password=hunter2x", "Token: 'abc' secret = \"abcdef\"", "secret=token: abcdefgh", "API_KEY=ABCDEF token=apikey:zzzzzz", "AKIA" + "A1" * 8, "AKIA" + "A" * 15, "é" * 7 + " passwd:" + "0123456789abcdef" * 2 + " x",
+    "0123456789abcdef01234567" * 2 + "g" + "a" * 23, "x" * 100_000 + " token=" + "f" * 30, "apikey : : abcdef", "api_key'=\"a.b=c-d/e+f", "AKIAAKIA" + "Z" * 20, "token=aaaaaa;token=bbbbbb",
+]
+
+
+def test_secrets_by_brute_force(spark):
+    out = {r["doc_id"]: r for r in secrets.find_secrets(docs(spark, SECRETS + SECRETS[:5])).select("doc_id", secrets.joined(F.filter("spans", lambda s: s["rank"] < 3)).alias("s")).collect()}
+    for i, text in enumerate(SECRETS + SECRETS[:5]):
+        assert out[i]["s"] == plain_spans(text or ""), text and text[:80]
+
+
+def test_ledger_scans_only_what_it_lacks(spark):
+    first = docs(spark, SECRETS[:6])
+    ledger = secrets.scan_unseen(first).persist()
+    both = docs(spark, SECRETS[:8])
+    fresh = secrets.scan_unseen(both, ledger)
+    assert fresh.count() == 2
+    assert secrets.scan_unseen(both, ledger, rules_version="2").count() == 7  # null and empty are one blob
+    a = {r["doc_id"]: r["s"] for r in secrets.find_secrets(both, ledger).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()}
+    b = {r["doc_id"]: r["s"] for r in secrets.find_secrets(both).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()}
+    assert a == b
+    assert secrets.find_secrets(docs(spark, [])).count() == 0
+
+
+def test_redaction(spark):
+    df = docs(spark, [None, "é password=hunter2x end", "token=" + "a" * 30 + " clean", "clean"]).withColumn("n_chars", F.lit(1).cast("long"))
+    out = secrets.redact_secrets(df).orderBy("doc_id").collect()
+    assert [r["text"] for r in out] == [None, "é [REDACTED] end", "[REDACTED] clean", "clean"]
+    assert [r["n_chars"] for r in out] == [1, 16, 16, 1]
+    assert out[0].asDict().keys() == df.first().asDict().keys()
+
+
+# URLs
+
+
+def plain_verdict(url, rules):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0] if not rest[len(host) :].startswith(("?", "#")) else ""
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h + p), len(h), h + p, a) for a, h, p in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fits)[2:] if fits else (None, "allow")))
+
+
+URLS = [
+    None, "", "no scheme", "http://example.net", "HTTP://WWW.Example.NET/en/x?q#f", "https://a.b.org/fr/1", "x://org/fr/", "http://notnet/", "http://example.com/de", "http://example.com/de/#x", "://net/", "http://net?x=/a", "a://b://net/",
+    "http://a..net/x", "http://éxample.net/é", "http://net/" + "a" * 5000, "http://" + "a." * 300 + "net/",
+]
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_urls_by_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", most)
+    rules = [*url_filter.RULES, ("block", "b.org", ""), ("allow", "b.org", "/f"), ("block", "b.org", "/f"), ("block", "", "/"), ("block", None, "/")]
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(URLS + URLS[:4])], "page_id long, url string, host string, verdict string")
+    rows = url_filter.judge_urls(pages, url_filter.rule_table(spark, rules)).collect()
+    assert len(rows) == len(URLS) + 4
+    for r in rows:
+        host, path, rule, verdict = plain_verdict((URLS + URLS[:4])[r["page_id"]], [x for x in rules if x[1]])
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict)
+
+
+def test_urls_without_rules_or_pages(spark):
+    pages = spark.createDataFrame([(1, "http://net/")], "page_id long, url string")
+    assert url_filter.judge_urls(pages, url_filter.rule_table(spark).limit(0)).first()["verdict"] == "allow"
+    assert url_filter.judge_urls(pages.limit(0), url_filter.rule_table(spark)).count() == 0
