@@ -67,6 +67,11 @@ def tile_best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray
     return a[rank < k], b[rank < k], s[rank < k]
 
 
+def part_lists(ids, part: int, lists: list) -> pd.DataFrame:
+    """Rows of lists; of objects also where there are none."""
+    return pd.DataFrame({"query_id": np.array(ids, np.int64), "part": np.full(len(lists), part, np.int32), "found": pd.Series(lists, dtype=object)})
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """The k rows with the largest inner product for every row where `queries` holds, itself excepted.
 
@@ -87,22 +92,22 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
 
     def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "part": [], "found": []})
+            return part_lists([], 0, [])
         q, c = np.stack(left["v"].to_list()).astype(np.float64), np.stack(right["v"].to_list()).astype(np.float64)
         q_ids, c_ids = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
         a, b, s = tile_best(q, q_ids, c, c_ids, k)
         first = np.r_[0, np.flatnonzero(np.diff(a)) + 1] if len(a) else np.empty(0, np.int64)
         ends = np.r_[first[1:], len(a)] if len(a) else first
         lists = [[{"score": float(x), "vec_id": int(y)} for x, y in zip(s[i:j], c_ids[b[i:j]])] for i, j in zip(first, ends)]
-        return pd.DataFrame({"query_id": q_ids[a[first]], "part": int(right["cb"].iloc[0]), "found": lists})
+        return part_lists(q_ids[a[first]], int(right["cb"].iloc[0]), lists)
 
-    def merge(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         best: list[tuple[float, int]] = []
         for pair in heapq.merge(*([(-x["score"], x["vec_id"]) for x in found] for found in pdf["found"])):
             best.append(pair)
             if len(best) == k:
                 break
-        return pd.DataFrame({"query_id": [keys[0]], "part": [keys[1]], "found": [[{"score": -s, "vec_id": v} for s, v in best]]})
+        return part_lists([keys[0]], keys[1], [[{"score": -s, "vec_id": v} for s, v in best]])
 
     kind = "query_id long, part int, found array<struct<score:double,vec_id:long>>"
     found = asked.groupBy("qb", "cb").cogroup(given.groupBy("qb", "cb")).applyInPandas(tile, kind)

@@ -322,7 +322,7 @@ def _others(met: DataFrame, reached: DataFrame, classes: DataFrame, percent: int
         low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
         one = pdf[pdf["part"] == low]
         two = pdf[pdf["part"] == high]
-        maps = [np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(len(x), -1) for x in (one, two)]
+        maps = [np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(len(x), BITS // 64) for x in (one, two)]
         n, comp, who = ([x[c].to_numpy() for x in (one, two)] for c in ("n", "component", "member"))
         a, b = [], []
         for i in range(len(one)):
