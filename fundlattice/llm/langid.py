@@ -14,8 +14,9 @@ from .common import slices, table
 SLOTS = 32
 DIM = 1024
 SEED = 20_240_101
-#: Below this cosine with every prototype a text is no text of a learned language.
-LEAST_SCORE = 0.1
+#: About the deviation of the cosine of unrelated vectors, DIM ** -0.5: a text that is less like every prototype
+#: is in no learned language. Short clean texts score from 0.08 on, so a higher bar would reject some of them.
+LEAST_SCORE = 0.03
 
 
 @functools.cache
