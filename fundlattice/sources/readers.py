@@ -155,4 +155,4 @@ def search(df: DataFrame, keyword: str, most: int = 20) -> DataFrame:
 def strip_fence(text: Column) -> Column:
     """DEC-5: what stands between code fences, or the text."""
     inner = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.trim(F.when(inner != "", inner).otherwise(text))
+    return F.regexp_replace(F.when(inner != "", inner).otherwise(text), r"^\s+|\s+$", "")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def daily_series(events: DataFrame, late: str = "1 day") -> DataFrame:
     """STR-4: counts and sums of values by type and day; works on streams (with a watermark) and on tables."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if rows.isStreaming else rows
     return rows.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents")).select("event_type", F.to_date("w.start").alias("d"), "n", "cents")
 
 
