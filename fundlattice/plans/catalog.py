@@ -13,10 +13,12 @@ from fundlattice.operators import indicators as ind
 from fundlattice.operators import prediction as pred
 from fundlattice.operators import walkforward as wf
 from fundlattice.operators import decisions as dec
+from fundlattice.operators import documents as docs
 from fundlattice.operators import joins, portfolio
 from fundlattice.plans import backtest_sql as bsql
 from fundlattice.plans import decision_queries as dq
 from fundlattice.plans import indicator_sql as isql
+from fundlattice.sources import profiles
 from fundlattice.sources.panel import HOLDINGS_SQL, holdings, nav_panel, table
 from fundlattice.streaming import daily
 
@@ -78,8 +80,13 @@ INDICATORS = [
 ]
 
 
+#: What the aggregates and models read of a sample.
+SAMPLE = "code horizon i market prediction actual momentum threshold ret raw_score score adjusted probability prev_return up momentum_up pos_30 pos_60 rsi_6 rsi_14 bb_pos ret_1 ret_5 ret_20"
+
+
 def on_samples(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(wf.samples(nav_panel(spark, sf_dir)))
+    """f over walk-forward samples, which are kept (in memory, else on disk), as models pass over them several times."""
+    return lambda spark, sf_dir: f(wf.samples(nav_panel(spark, sf_dir)).select(*SAMPLE.split()).persist())
 
 
 BACKTEST = [
@@ -126,13 +133,13 @@ DECISIONS = [
     Query(*dq._query("risk_score", f"{SCORES} risk_level risk_colour", [], SCORES)),
     Query("keyword_types", lambda s, d: dec.with_kinds(s.sql(dq.CONTEXT)).select("code", "high_vol", "qdii", "defensive", "china"), f"SELECT code, {', '.join(f'{v} AS {k}' for k, v in dec.KINDS.items())} FROM ({dq.CONTEXT})"),
     Query("forecast_probs", dq.forecasts, dq.FORECAST_SQL, "raw squashed up1 side2 down1 range_low range_high"),
-    Query("calibration_lookup", dq.calibrated, dq.CALIBRATED_SQL, "raw observed"),
+    Query("calibration_lookup", on_samples(dq.calibrated), dq.CALIBRATED_SQL, "raw observed"),
     Query("ensemble", on_samples(lambda s: dec.apply_stages(s, [dq._LLM, *dec.ENSEMBLE_STAGES]).select(*dq.ENSEMBLE)), dq.with_samples(f"SELECT {', '.join(dq.ENSEMBLE)} FROM {dec.stages_sql('smp', [dq._LLM, *dec.ENSEMBLE_STAGES])}"), "oversold blend"),
     Query(*dq._query("decision_advice", "risk_score advice advice_confidence buy_pct buy_amount near_max_loss", [*dq.STUBS, *dec.ADVICE_STAGES], "risk_score buy_amount")),
     Query(*dq._query("final_decision", "final_direction final_action final_confidence headline", [*dq.STUBS, *dec.FINAL_STAGES], "")),
     Query(*dq._query("high_confidence_gate", "passed swing gate_action gate_score max_pct", [*dq.STUBS, *dec.GATE_STAGES], "gate_score")),
     Query("narrative", lambda s, d: dec.narrative(dec.apply_stages(dq.judged(s, d), [*dq.STUBS, *dec.FINAL_STAGES]))),
-    Query("rule_search", lambda s, d: pred.rule_search(wf.samples(nav_panel(s, d)), pred.rule_table(s)), dq._rule_sql(), "threshold hit coverage avg_return profit_factor bound"),
+    Query("rule_search", on_samples(lambda s: pred.rule_search(s, pred.rule_table(s.sparkSession))), dq._rule_sql(), "threshold hit coverage avg_return profit_factor bound"),
 ]
 PORTFOLIO = [
     Query("portfolio_summary", lambda s, d: portfolio.summary(dq.positions(s, d)), f"WITH {dq._P} {dq._SUMMARY}", "total_holding pnl cost mean_risk pnl_pct"),
@@ -157,4 +164,21 @@ PORTFOLIO = [
     ),
     Query("macro_summary", lambda s, d: portfolio.macro_summary(dq.macro_rows(s, d), ["event_type", "d"]), f"WITH {dq._MOVES} {dq._MACRO}", "us_change usdcny on_rate m1_rate spread"),
 ]
-QUERIES = [*INDICATORS, *BACKTEST, *JOINS, *DECISIONS, *PORTFOLIO]
+_PREDICTED = f"""SELECT b.code, b.horizon, n, b.hit, b.edge, brier, calibrated, threshold, signals, s.hit AS selective_hit, s.edge AS selective_edge, now
+ FROM ({bsql.BINARY}) b JOIN ({bsql.KERNEL}) k ON b.code = k.code AND b.horizon = k.horizon JOIN ({bsql.SWEEP}) s ON b.code = s.code AND b.horizon = s.horizon"""
+_PREDICTIONS = f"SELECT code, horizon, n, hit, edge, brier, calibrated, passes, confidence, direction, label, usable FROM {dec.stages_sql(f'({_PREDICTED})', docs.STAGES)}"
+_BIAS = f"SELECT code, i, {docs.ACTION_BIAS} AS action_bias FROM {dec.stages_sql('jr', dec.forecast_stages(7, 'round_even'))}"
+DOCUMENTS = [
+    Query("predictions", on_samples(docs.predictions), _PREDICTIONS, "hit edge brier calibrated"),
+    Query("prediction_quality", on_samples(lambda s: docs.prediction_quality(docs.predictions(s))), f"SELECT *, {docs.QUALITY} AS quality FROM (SELECT code, count(*) FILTER (usable) AS usable, sum(n)::BIGINT AS samples, FALSE AS trained FROM ({_PREDICTIONS}) GROUP BY code)"),
+    Query("analysis_documents", on_samples(lambda s: docs.documents(docs.predictions(s)))),
+    Query("action_bias", lambda s, d: dec.forecast(dq.judged(s, d), 7).select("code", "i", F.expr(docs.ACTION_BIAS).alias("action_bias")), dq.FORECAST_SQL.replace(dq._FORECASTS, _BIAS)),
+    Query("one_year_return", on_panel(profiles.one_year_return), dq.with_nav(f"SELECT code, arg_max_null(x, d) AS return_1y FROM (SELECT code, d, (nav / lag(nav, 249) {isql.OVER} - 1) * 100 AS x FROM nav) GROUP BY code"), "return_1y"),
+    Query("history_range", on_panel(profiles.date_range), dq.with_nav("SELECT code, strftime(min(d) - INTERVAL 10 DAYS, '%Y%m%d') AS start, strftime(max(d) + INTERVAL 1 DAY, '%Y%m%d') AS \"end\" FROM nav GROUP BY code")),
+    Query("fund_dimension", dq.dimension, dq.DIMENSION_SQL),
+    Query("macro_padding", dq.padding, dq.PADDING_SQL, "latest change_pct"),
+    Query("sector_lookup", lambda s, d: profiles.sectors(s.sql(dq.CONTEXT)), dq.SECTOR_SQL, "change_pct"),
+    Query("source_status", dq.status, dq.STATUS_SQL),
+    Query("nav_normalised", dq.normalised, dq.NORMALISED_SQL, "unit_nav daily_ret_pct"),
+]
+QUERIES = [*INDICATORS, *BACKTEST, *JOINS, *DECISIONS, *PORTFOLIO, *DOCUMENTS]

@@ -7,7 +7,7 @@ part of both forms of a query.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundlattice.operators import backtest as bt
@@ -15,9 +15,9 @@ from fundlattice.operators import decisions as dec
 from fundlattice.operators import joins, portfolio, scoring
 from fundlattice.operators import prediction as pred
 from fundlattice.operators import walkforward as wf
-from fundlattice.plans.indicator_sql import OVER, with_nav
+from fundlattice.plans.indicator_sql import with_nav
 from fundlattice.plans.walkforward_sql import FEATURE_CTES, with_samples
-from fundlattice.sources import readers
+from fundlattice.sources import profiles, readers
 from fundlattice.sources.panel import HOLDINGS_SQL, PRICE_SQL, holdings, nav_panel, price_panel, table
 from fundlattice.streaming import daily
 
@@ -72,8 +72,7 @@ _FORECASTS = " UNION ALL ".join(f"SELECT code, i, {p} AS horizon, {', '.join(dec
 FORECAST_SQL = with_nav(_FORECASTS, *FEATURE_CTES, f"ctx AS ({CONTEXT})", f"jr AS (SELECT * FROM {_ROWS})")
 
 
-def calibrated(s: SparkSession, d: str) -> DataFrame:
-    sm = wf.samples(nav_panel(s, d))
+def calibrated(sm: DataFrame) -> DataFrame:
     return dec.calibration_lookup(sm.select("code", "horizon", "i", F.col("raw_score").alias("raw")), bt.score_buckets(sm)).select("code", "horizon", "i", "raw", "observed")
 
 
@@ -228,3 +227,46 @@ def fallback(s: SparkSession, d: str) -> DataFrame:
 FALLBACK_SQL = """WITH o AS (SELECT o_custkey AS code, o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS src FROM orders),
 c AS (SELECT code, src, count(*) AS n, min(k) AS first_k FROM o GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT code, n, first_k FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY n >= 5 DESC, CASE WHEN n >= 5 THEN src END, n DESC, src) AS rk FROM c) WHERE rk = 1"""
+
+
+# dimensions and snapshots
+def dimension(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "part").select(F.col("p_partkey").cast("string").alias("code"), "p_name", "p_brand", "p_type", F.col("p_partkey").alias("k"))
+    first = p.where("k % 2 = 0").select("code", F.when(F.col("k") % 3 == 0, "").otherwise(F.col("p_name")).alias("name"))
+    second = p.where("k % 5 <> 0").select("code", F.col("p_brand").alias("name"), F.when(F.col("k") % 7 == 0, "unavailable").otherwise(F.col("p_type")).alias("type"))
+    return profiles.first_known([first, second], ["name", "type"])
+
+
+DIMENSION_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS code, coalesce(CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 <> 0 THEN p_name END, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END) AS name,
+ CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 THEN p_type END AS type FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 5 <> 0"""
+
+
+def padding(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    expected = e.select(F.col("event_type").alias("category")).distinct().withColumn("name", F.explode(F.array(*map(F.lit, ("0", "1", "2", "x")))))
+    rows = moves(s, d).select(F.col("event_type").alias("category"), F.col("idx").cast("string").alias("name"), (F.col("change_pct") * 2).alias("latest"), "change_pct", F.col("d").alias("as_of"))
+    return profiles.padded(expected, rows)
+
+
+PADDING_SQL = f"""WITH {_MOVES}, e AS (SELECT DISTINCT event_type AS category, unnest(['0', '1', '2', 'x']) AS name FROM events)
+SELECT e.category, e.name, arg_max(change_pct, d) * 2 AS latest, arg_max(change_pct, d) AS change_pct, max(d) AS as_of, CASE WHEN max(d) IS NULL THEN 'unavailable' ELSE 'ok' END AS status
+FROM e LEFT JOIN m ON e.category = m.event_type AND e.name = CAST(m.idx AS VARCHAR) GROUP BY 1, 2"""
+SECTOR_SQL = f"""SELECT code, unnest(CASE {' '.join(f"WHEN regexp_matches(fund_type, '{w}') THEN {list(n)!r}" for w, n in profiles.SECTORS)} ELSE {list(profiles.DEFAULT_SECTORS)!r} END) AS sector, 0::DOUBLE AS change_pct, 'unavailable' AS status FROM ({CONTEXT})"""
+
+
+def status(s: SparkSession, d: str) -> DataFrame:
+    return readers.source_status(table(s, d, "orders").select(F.col("o_custkey").alias("code"), F.col("o_orderstatus").alias("source"), F.when(F.col("o_totalprice") > 100_000, F.col("o_totalprice")).alias("nav")))
+
+
+STATUS_SQL = """SELECT o_custkey AS code, o_orderstatus AS source, count(*) FILTER (o_totalprice > 100000) > 0 AS available, count(*) FILTER (o_totalprice > 100000) || ' rows' AS detail FROM orders GROUP BY 1, 2"""
+
+
+def normalised(s: SparkSession, d: str) -> DataFrame:
+    raw = nav_panel(s, d).select("code", F.date_format("d", "yyyy-MM-dd").alias("净值日期"), F.when(F.col("i") % 10 == 3, "--").otherwise((F.floor(F.col("nav") * 1e4 + 0.5) / 1e4).cast("string")).alias("Unit_Nav"))
+    return readers.normalise_nav(raw).select("code", "nav_date", "unit_nav", "daily_ret_pct")
+
+
+NORMALISED_SQL = with_nav(
+    """SELECT code, d AS nav_date, v AS unit_nav, (v / lag(v) OVER (PARTITION BY code ORDER BY d) - 1) * 100 AS daily_ret_pct
+    FROM (SELECT code, d, floor(nav * 10000 + 0.5) / 10000 AS v FROM nav WHERE i % 10 <> 3)"""
+)
