@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 
 import numpy as np
@@ -311,29 +312,44 @@ def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percen
 
 
 def _others(met: DataFrame, reached: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a tile, aren't its hub and lie in different components, where bitmaps leave them open."""
+    """Pairs that share a tile, aren't its hub and lie in different components, where bitmaps leave them open.
+
+    Tiles are streamed in order of their keys; a task holds two blocks of one tile at a time.
+    """
     named = met.where("member <> hub").join(reached.select(F.col("id").alias("member"), "component"), "member", "left").select("key", "member", F.coalesce("component", "member").alias("component"))
     open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     part = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
     rows = named.join(open_keys, "key").join(classes.select(F.col("h1").alias("member"), "n", "bits"), "member").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
-        one = pdf[pdf["part"] == low]
-        two = pdf[pdf["part"] == high]
-        maps = [np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(len(x), BITS // 64) for x in (one, two)]
-        n, comp, who = ([x[c].to_numpy() for x in (one, two)] for c in ("n", "component", "member"))
-        a, b = [], []
-        for i in range(len(one)):
-            may = (comp[1] != comp[0][i]) & ((who[1] > who[0][i]) if low == high else True)
+    def compare(low: int, high: int, group: list[tuple]) -> list[tuple[int, int]]:
+        one, two = ([g for g in group if g[0] == part] for part in (low, high))
+        maps = [np.frombuffer(b"".join(g[4] for g in side), np.uint64).reshape(len(side), BITS // 64) for side in (one, two)]
+        who, comp, n = (np.array([g[c] for g in two], np.int64) for c in (1, 2, 3))
+        found = []
+        for i, (_, member, component, size, _) in enumerate(one):
+            may = (comp != component) & ((who > member) if low == high else True)
             j = np.flatnonzero(may)
-            j = j[bounded(n[0][i], n[1][j], np.bitwise_count(maps[1][j] ^ maps[0][i]).sum(axis=1, dtype=np.int64), percent)]
-            a += [who[0][i]] * len(j)
-            b += who[1][j].tolist()
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)} if a else {"a": [], "b": []})
+            j = j[bounded(size, n[j], np.bitwise_count(maps[1][j] ^ maps[0][i]).sum(axis=1, dtype=np.int64), percent)]
+            found += [(min(member, w), max(member, w)) for w in who[j].tolist()]
+        return found
 
-    return rows.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    def run(batches):
+        def each():
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in range(8)))
+
+        pairs = []
+        for (_, low, high), group in itertools.groupby(each(), key=lambda r: r[:3]):
+            pairs += compare(low, high, [r[3:] for r in group])
+            if len(pairs) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
+                pairs = []
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
+
+    dealt = rows.select("key", "low", "high", "part", "member", "component", "n", "bits").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def join_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
