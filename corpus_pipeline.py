@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundlattice.llm.common import stash
-from fundlattice.llm.langid import LEAST_SCORE, held_out, identify, learn
+from fundlattice.llm.langid import LEAST_LETTERS, LEAST_SCORE, held_out, identify, learn
 from fundlattice.llm.packing import pack
 from fundlattice.llm.secrets import redact_secrets
 from fundlattice.llm.shingle_join import BROADCAST_IDS, join_groups
@@ -20,14 +20,17 @@ from fundlattice.llm.shingle_join import BROADCAST_IDS, join_groups
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; a missing lang is filled in.
 
-    Rejected are texts that are null or without a letter, and texts less like every language than LEAST_SCORE.
+    Rejected are texts that are null or without a letter, and texts of at least LEAST_LETTERS letters that are less
+    like every language than LEAST_SCORE; shorter texts are too short to be rejected by their score.
     Without labelled documents only the first rule applies.
     """
     prototypes = learn(docs.where(~held_out()))
     found = identify(docs, prototypes, keep=tuple(docs.columns), out=("__lang", "__score"))
     if not prototypes:
         return found.where(F.col("text").rlike(r"\p{L}")).select(*docs.columns)
-    kept = found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE))
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]+", ""))
+    foreign = F.when(F.col("__score") < LEAST_SCORE, letters >= LEAST_LETTERS).otherwise(F.lit(False))
+    kept = found.where((F.col("__lang") != "und") & ~foreign)
     return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 

@@ -14,9 +14,9 @@ from .common import slices, table
 SLOTS = 32
 DIM = 1024
 SEED = 20_240_101
-#: About the deviation of the cosine of unrelated vectors, DIM ** -0.5: a text that is less like every prototype
-#: is in no learned language. Short clean texts score from 0.08 on, so a higher bar would reject some of them.
-LEAST_SCORE = 0.03
+#: A text of so many letters that is less like every prototype is in no learned language. Shorter texts can't be
+#: judged by their score: clean ones of four words come down to 0.02, about the cosine of unrelated vectors.
+LEAST_SCORE, LEAST_LETTERS = 0.1, 200
 
 
 @functools.cache

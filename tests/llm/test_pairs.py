@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fundlattice.llm import graph, neighbours, registry, shingle_join, vector_dedup
-from fundlattice.llm.langid import LEAST_SCORE, held_out, identify, learn
+from fundlattice.llm.langid import LEAST_LETTERS, LEAST_SCORE, held_out, identify, learn
 from tests.compare import assert_same, connect
 
 SF = "/root/testdata/sf0.001"
@@ -202,14 +202,15 @@ def test_queries(spark, name):
 
 def test_stages_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, "123 456", "de", "s", 7), (None, "the and with that this", None, "s", 1), (903, "password=hunter2x the and with", None, "s", 1)], docs.schema)
+    odd = spark.createDataFrame([(900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, "123 456", "de", "s", 7), (None, "the and with that this", None, "s", 1), (903, "password=hunter2x the and with", None, "s", 1), (904, "日本語の文章です" * 60, None, "s", 1), (905, "日本語", None, "s", 1)], docs.schema)
     docs = docs.unionByName(odd)
     kept = corpus_pipeline.identify_language(spark, docs, SF)
     scores = {r["doc_id"]: r for r in identify(docs, learn(docs.where(~held_out()))).collect()}
     rows = kept.collect()
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in rows} == {i for i, r in scores.items() if r["lang_pred"] != "und" and r["score"] >= LEAST_SCORE}
-    assert not {900, 901, 902} & {r["doc_id"] for r in rows} and all(r["lang"] for r in rows)
+    letters = {r["doc_id"]: sum(c.isalpha() for c in r["text"] or "") for r in docs.collect()}
+    assert {r["doc_id"] for r in rows} == {i for i, r in scores.items() if r["lang_pred"] != "und" and (r["score"] >= LEAST_SCORE or letters[i] < LEAST_LETTERS)}
+    assert {r["doc_id"] for r in rows} & {900, 901, 902, 903, 904, 905} == {903, 905} and all(r["lang"] for r in rows)
 
     one = corpus_pipeline.drop_near_duplicates(spark, kept, SF).collect()
     texts = {r["doc_id"]: r["text"] for r in rows if r["doc_id"] is not None}
