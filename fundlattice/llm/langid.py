@@ -39,7 +39,7 @@ def trigram_vectors(dim: int = DIM) -> np.ndarray:
     letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SLOTS, dim))
     first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
     bound = first[:, None, None] * second[None, :, None] * letters[None, None]
-    return bound.reshape(SLOTS**3, dim).astype(np.float32)
+    return bound.reshape(SLOTS**3, dim)
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +69,7 @@ def bundles(texts: list[str], dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
             cols, code = np.unique(code, return_inverse=True)
             if len(cols):
                 counts = np.bincount(text * len(cols) + code, minlength=len(part) * len(cols)).reshape(len(part), len(cols))
-                out[at : at + len(part)] = counts.astype(np.float32) @ trigram_vectors(dim)[cols]
+                out[at : at + len(part)] = counts.astype(np.float32) @ trigram_vectors(dim)[cols].astype(np.float32)
                 letters[at : at + len(part)] = counts.sum(axis=1)
     return out, letters
 
@@ -91,8 +91,9 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
                 for lo, hi in slices(own):
                     into += np.bincount(trigrams(own[lo:hi])[1], minlength=SLOTS**3)
         for lang, n in counts.items():
-            used = np.flatnonzero(n)
-            vector = n[used].astype(np.float64) @ trigram_vectors(dim)[used].astype(np.float64) if len(used) else np.zeros(dim)
+            used, vector = np.flatnonzero(n), np.zeros(dim)
+            for part in np.array_split(used, 1 + len(used) // 2_048):
+                vector += n[part].astype(np.float64) @ trigram_vectors(dim)[part].astype(np.float64)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang]), "vector": pa.array([vector.astype(np.int64).tolist()], pa.list_(pa.int64()))})
 
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")

@@ -21,6 +21,8 @@ BITS = 2_048
 BLOCK = 1_024
 #: Bytes of input for each bucket of tile keys, and the fewest buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 2_000_000, 64
+#: Characters that are hashed at once, and tile keys that a task holds before it passes them on.
+PORTION, HELD_KEYS = 300_000, 500_000
 #: Rows that may be broadcast (of two numbers each).
 BROADCAST_IDS = 500_000
 
@@ -194,10 +196,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _portions(batches):
-    """(ids, texts) of at most a million characters, or one text."""
+    """(ids, texts) of at most PORTION characters, or one text."""
     for batch in batches:
         ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-        for lo, hi in slices(texts, 1_000_000):
+        for lo, hi in slices(texts, PORTION):
             yield ids.slice(lo, hi - lo), texts[lo:hi]
 
 
@@ -243,7 +245,7 @@ def tiles(rows: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
             held_keys.append(keys)
             held_members.append(h1[who])
             held += len(keys)
-            if held > 2_000_000:
+            if held > HELD_KEYS:
                 yield flush()
                 held_keys, held_members, held = [], [], 0
         if held:
