@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stash, table
 
 # fixed values: the patterns of the base rules (letters of the keywords in either case)
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?"""
@@ -77,14 +77,15 @@ def find_secrets(versions: DataFrame, ledger: DataFrame | None = None, id_col: s
     """Findings of every row of versions: id_col, blob, spans.
 
     Unseen blobs are scanned, known ones come from the ledger, and the findings are joined back to all
-    rows by content address; blobs without findings take no part in that join. One row for each row of
+    rows by content address; blobs without findings take no part in that join. Findings are stored first, so
+    that the join has their size and may split hot addresses. One row for each row of
     versions; a null text is empty and has no findings; rows with a null id are kept.
     """
     fresh = scan_unseen(versions, ledger, text_col, rules, rules_version)
     if ledger is not None:
         fresh = fresh.unionByName(ledger.where(F.col("rules_version") == rules_version).select("blob", "rules_version", "spans"))
         fresh = fresh.dropDuplicates(["blob"])
-    hits = fresh.where(F.size("spans") > 0).select("blob", "spans")
+    hits = stash(fresh.where(F.size("spans") > 0).select("blob", "spans"), "findings")
     rows = versions.select(F.col(id_col), blob_id(F.col(text_col)).alias("blob"))
     return rows.join(hits, "blob", "left").select(id_col, "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
@@ -110,7 +111,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", n_chars_col: str | N
 
     All rows and columns stay; a text without findings, null included, is as it was.
     """
-    hits = scan_unseen(docs, text_col=text_col).where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    hits = stash(scan_unseen(docs, text_col=text_col).where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "findings")
     rows = docs.withColumn("__blob", blob_id(F.col(text_col))).join(hits, "__blob", "left")
     found = F.size(F.coalesce("__spans", F.array().cast(SPAN))) > 0
     rows = rows.withColumn(text_col, F.when(found, redact(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col)))
