@@ -21,6 +21,8 @@ BITS = 2_048
 BLOCK = 1_024
 #: Bytes of input for each bucket of tile keys, and the fewest buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 2_000_000, 64
+#: Further hubs of a tile before its members are compared with each other.
+MORE_HUBS = 3
 #: Characters that are hashed at once, and tile keys that a task holds before it passes them on.
 PORTION, HELD_KEYS = 300_000, 500_000
 #: Rows that may be broadcast (of two numbers each).
@@ -266,8 +268,11 @@ def tiles(rows: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(meet, "key long, member long, hub long")
 
 
-def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b: sets' h1) that link: bitmaps first, then exact intersections of sorted arrays."""
+def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percent: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(those of pairs (a, b: sets' h1) that link, the sets' arrays): bitmaps first, then exact intersections of sorted arrays.
+
+    known has the arrays of earlier calls, which are not made again.
+    """
     side = lambda x: classes.select(F.col("h1").alias(x), F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
 
     def bound(batches):
@@ -281,7 +286,8 @@ def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percen
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     left = stash(joined.mapInArrow(bound, "a long, b long, id_a long, id_b long"), "bounded")
     wanted = left.select(F.explode(F.array(F.struct(F.col("id_a").alias("id"), F.col("a").alias("h1")), F.struct(F.col("id_b").alias("id"), F.col("b").alias("h1")))).alias("x")).select("x.*").distinct()
-    wanted = stash(wanted, "wanted")
+    wanted = stash(wanted if known is None else wanted.join(known.select("h1"), "h1", "left_anti").select("id", "h1"), "wanted")
+    missing = wanted.count()
 
     def sets(batches):
         for batch in batches:
@@ -296,8 +302,11 @@ def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percen
                 yield pa.RecordBatch.from_arrays([pa.array(h1[right]), pa.array([value[i:j].tobytes() for i, j in zip(begins, ends)], pa.binary())], ["h1", "members"])
                 at += len(texts)
 
-    texts = rows.where("id is not null").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id").select("id", "text", "h1")
-    arrays = stash(texts.mapInArrow(sets, "h1 long, members binary").groupBy("h1").agg(F.first("members").alias("members")), "arrays")
+    texts = rows.where("id is not null").join(F.broadcast(wanted) if missing <= BROADCAST_IDS else wanted, "id").select("id", "text", "h1")
+    arrays = known
+    if known is None or missing:
+        made = stash(texts.mapInArrow(sets, "h1 long, members binary").groupBy("h1").agg(F.first("members").alias("members")), "arrays")
+        arrays = made if known is None else known.unionAll(made)
 
     def exact(batches):
         for batch in batches:
@@ -310,15 +319,29 @@ def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percen
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = left.select("a", "b").join(arrays.toDF("a", "x"), "a").join(arrays.toDF("b", "y"), "b")
-    return stash(both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "links")
+    return stash(both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "links"), arrays
+
+
+def _unsettled(met: DataFrame, reached: DataFrame) -> DataFrame:
+    """key, member, component of the members of each tile but its hub."""
+    return met.where("member <> hub").join(reached.select(F.col("id").alias("member"), "component"), "member", "left").select("key", "member", F.coalesce("component", "member").alias("component"))
+
+
+def _next_hubs(met: DataFrame, reached: DataFrame, turn: int) -> DataFrame:
+    """Pairs of another hub of each tile whose members lie in different components with the members outside its own."""
+    named = _unsettled(met, reached)
+    rank = F.xxhash64("member", F.lit(turn))
+    hubs = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("member", "component"), rank).alias("hub")).where("low <> high").select("key", "hub")
+    pairs = named.join(hubs, "key").where(F.col("component") != F.col("hub.component"))
+    return pairs.select(F.least("member", "hub.member").alias("a"), F.greatest("member", "hub.member").alias("b")).distinct()
 
 
 def _others(met: DataFrame, reached: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a tile, aren't its hub and lie in different components, where bitmaps leave them open.
+    """Pairs that share a tile, aren't its first hub and lie in different components, where bitmaps leave them open.
 
     Tiles are streamed in order of their keys; a task holds two blocks of one tile at a time.
     """
-    named = met.where("member <> hub").join(reached.select(F.col("id").alias("member"), "component"), "member", "left").select("key", "member", F.coalesce("component", "member").alias("component"))
+    named = _unsettled(met, reached)
     open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     part = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
     rows = named.join(open_keys, "key").join(classes.select(F.col("h1").alias("member"), "n", "bits"), "member").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -341,12 +364,12 @@ def _others(met: DataFrame, reached: DataFrame, classes: DataFrame, percent: int
             for batch in batches:
                 yield from zip(*(batch.column(c).to_pylist() for c in range(8)))
 
-        pairs = []
+        pairs: set[tuple[int, int]] = set()  # a pair shares many tiles
         for (_, low, high), group in itertools.groupby(each(), key=lambda r: r[:3]):
-            pairs += compare(low, high, [r[3:] for r in group])
+            pairs.update(compare(low, high, [r[3:] for r in group]))
             if len(pairs) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
-                pairs = []
+                pairs = set()
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
 
@@ -360,8 +383,9 @@ def join_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     1. Rows with equal sets are one class. 2. Classes fall into tiles by size band and by what they hold in a
     slice of the hash space (see Bands and tile_keys): two sets that link share a tile, and other sets
     hardly ever do. 3. In each tile every class is compared with one hub: bitmaps bound the intersection from
-    above, what they leave open is intersected exactly. 4. Tiles with other members in different
-    components compare those with each other, in blocks, in the same way. So no link between different
+    above, what they leave open is intersected exactly. 4. Tiles with members in different components take up to
+    MORE_HUBS other hubs in turn; 5. what is in different components then is compared with each other, in
+    blocks, in the same way. So no link between different
     components is lost, while large groups of near copies take about one comparison for each member.
 
     Returns id_col, n_shingles, component_id (the smallest id reachable by links, itself included); one row for each
@@ -377,11 +401,19 @@ def join_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     classes = stash(made.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("bits").alias("bits")), "classes")
     met = stash(tiles(rows.where("id is not null"), k, percent, buckets), "tiles")
     first = met.where("member <> hub").select(F.col("member").alias("a"), F.col("hub").alias("b")).distinct()
-    links = verify(first, rows, classes, k, percent)
+    links, arrays = verify(first, rows, classes, k, percent)
     reached = components(links)
-    more = stash(_others(met, reached, classes, percent), "others")
-    if more.limit(1).count():
-        reached = components(links.unionAll(verify(more, rows, classes, k, percent)))
+    for turn in range(MORE_HUBS):
+        pairs = stash(_next_hubs(met, reached, turn), "hubs")
+        if not pairs.limit(1).count():
+            break
+        more, arrays = verify(pairs, rows, classes, k, percent, arrays)
+        links = links.unionAll(more)
+        reached = components(links)
+    rest_of = stash(_others(met, reached, classes, percent), "others")
+    if rest_of.limit(1).count():
+        more, _ = verify(rest_of, rows, classes, k, percent, arrays)
+        reached = components(links.unionAll(more))
     linked = classes.join(reached.withColumnRenamed("id", "h1"), "h1").select("h1", "h2", "n", "id", "component")
     least = linked.groupBy("component").agg(F.min("id").alias("component_id"))
     named = linked.join(least, "component").select("h1", "h2", "n", "component_id")
