@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op7_bpe
 from .chat import OP5_SQL, op5_chat
 from .langid import op1_language_id
+from .lm_score import op4_lm_score
 from .neighbours import OP2_SQL, op2_neighbours
 from .packing import op3_packing
 from .secrets import OP8_SQL, op8_secret_scan
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_neighbours": op2_neighbours,
     "op3_packing": op3_packing,
+    "op4_lm_score": op4_lm_score,
     "op5_chat": op5_chat,
     "op6_vector_dedup": op6_vector_dedup,
     "op7_bpe": op7_bpe,
