@@ -2,91 +2,240 @@
 
 from __future__ import annotations
 
+import zlib
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, stash, table
 from .shingle_join import BROADCAST_IDS, mix, word_hashes
 
-#: Words and word pairs are counted in so many hashed classes, the vocabulary that both models share. That bounds
-#: a model's size, whatever the corpus; every word of every text is counted.
+#: The vocabulary over which single words are smoothed has at least so many words; a larger corpus has its own number.
+#: It bounds no counts: each distinct word and pair has its own.
 CLASSES = 1 << 18
 #: Weight of the pair against the word alone.
 PAIR_WEIGHT = 0.7
+#: Characters whose distinct words and pairs are counted, and looked up, together.
+PORTION = 8_000_000
+#: Bytes of input for each bucket of words and pairs, and the fewest buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 4_000_000, 16
 _U = np.uint64
 
 
+@dataclass
+class Model:
+    """What both models learn from: docs, with the rows of the target marked, and their totals."""
+
+    docs: DataFrame
+    rows: DataFrame  # id, text, hit
+    size: int
+    words: tuple[int, int]  # of all documents, of the target
+    vocabulary: int
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each word: its text, its class, the class of the pair with the word before (-1 at a text's begin), that word's class."""
+    """For each word: its text, its key, the key of the pair with the word before (0 at a text's begin), that word's key.
+
+    Keys are 64-bit hashes whose last bit tells words (0) from pairs (1).
+    """
     text, word = word_hashes(texts)
-    classes = (word % _U(CLASSES)).astype(np.int64)
-    pair, before = np.full(len(word), -1, np.int64), np.full(len(word), -1, np.int64)
+    pair, before = np.zeros(len(word), np.uint64), np.zeros(len(word), np.uint64)
     inner = np.flatnonzero(text[1:] == text[:-1]) + 1 if len(text) > 1 else np.empty(0, np.int64)
-    pair[inner] = (mix(word[inner - 1] * _U(0x9E3779B97F4A7C15) + word[inner]) % _U(CLASSES)).astype(np.int64)
-    before[inner] = classes[inner - 1]
-    return text, classes, pair, before
+    pair[inner] = mix(word[inner - 1] * _U(0x9E3779B97F4A7C15) + word[inner]) | _U(1)
+    word = word & ~_U(1)
+    before[inner] = word[inner - 1]
+    return text, word, pair, before
+
+
+def _keys(texts: list[str], hits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all words and pairs of texts, or of those texts that hits names as well."""
+    every, some = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    for lo, hi in slices(texts, 300_000):
+        text, word, pair, _ = grams(texts[lo:hi])
+        every += [word, pair[pair > 0]]
+        if hits is not None:
+            hit = hits[lo:hi][text]
+            some += [word[hit], pair[hit & (pair > 0)]]
+    return np.concatenate(every), np.concatenate(some)
+
+
+def _counts(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """How often each of the sorted keys is in some, which holds no others."""
+    of, n = np.unique(some, return_counts=True)
+    out = np.zeros(len(keys), np.int64)
+    out[np.searchsorted(keys, of)] = n
+    return out
+
+
+def _bits(size: int) -> int:
+    """Leading bits of a key that name its bucket, for so many bytes of input."""
+    return (max(LEAST_BUCKETS, min(1 << 16, size // BUCKET_BYTES)) - 1).bit_length()
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit numbers by planes of bytes, which compresses small ones well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(raw: bytes, kind=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
+
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=_U(0)))
 
-def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Counts by (model, word or pair, class): model 0 from all of docs, model 1 from the rows whose id is in target.
 
-    Each task sums its rows and passes on the classes it has seen, so what is gathered grows with the input; the sums
-    (4 x CLASSES numbers) are all that reaches the driver.
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw, np.uint64), dtype=np.uint64)
+
+
+def _cuts(keys: np.ndarray, bits: int):
+    """(bucket, first, end) of the buckets of sorted keys, by their leading bits."""
+    bucket = (keys >> _U(64 - bits)).astype(np.int64)
+    edges = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(keys)] if len(keys) else np.zeros(1, np.int64)
+    return [(int(bucket[a]), a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+
+def _portions(rows):
+    """(texts, hits) of at most PORTION characters together, or one text, from batches of text and hit."""
+    texts, hits, total = [], [], 0
+    for batch in rows:
+        for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if total and total + len(t or "") > PORTION:
+                yield texts, np.array(hits, bool)
+                texts, hits, total = [], [], 0
+            texts.append(t or "")
+            hits.append(h)
+            total += len(t or "")
+    yield texts, np.array(hits, bool)
+
+
+def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model of all of docs, and one of the rows whose id is in target.
+
+    The words of both and the size of their vocabulary are counted here: distinct words meet by bucket, three totals
+    reach the driver. The counts of words and pairs are as many as the corpus holds; score() sums them
+    where they are asked for.
     """
     ids = target.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(ids.withColumn("hit", F.lit(True)), "__id", "left").select("text", F.coalesce("hit", F.lit(False)).alias("hit"))
-
-    def count(batches):
-        counts = np.zeros((2, 2, CLASSES), np.int64)
-        for batch in batches:
-            texts, hits = [t or "" for t in batch.column(0).to_pylist()], np.array(batch.column(1).to_pylist(), bool)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # as planned, without a job
+    if size >= 2**60:  # unknown
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    bits = _bits(size)
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(ids.withColumn("hit", F.lit(True)), "__id", "left").select(F.col("__id").alias("id"), "text", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+    def words(batches):
+        for texts, hits in _portions(batches):
+            found, n, m = [np.empty(0, np.uint64)], 0, 0
             for lo, hi in slices(texts, 300_000):
-                text, word, pair, _ = grams(texts[lo:hi])
-                hit = hits[lo:hi][text]
-                for model, keep in ((0, slice(None)), (1, hit)):
-                    counts[model, 0] += np.bincount(word[keep], minlength=CLASSES)
-                    counts[model, 1] += np.bincount(pair[keep][pair[keep] >= 0], minlength=CLASSES)
-        flat = counts.reshape(-1)
-        used = np.flatnonzero(flat)
-        for at in range(0, len(used), 100_000):
-            part = used[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(flat[part])], ["at", "n"])
-
-    out = np.zeros(4 * CLASSES, np.int64)
-    sums = rows.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # columns, not a row object for each class
-    out[sums["at"].to_numpy()] = sums["n"].to_numpy()
-    return out.reshape(2, 2, CLASSES)
-
-
-def score(docs: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                text, word, _, _ = grams(texts[lo:hi])
+                found.append(np.unique(word))
+                n, m = n + len(word), m + int(hits[lo:hi][text].sum())
+            keys = np.unique(np.concatenate(found))
+            cuts = _cuts(keys, bits)
+            for k, (bucket, a, b) in enumerate(cuts):
+                yield pa.RecordBatch.from_pydict({"bucket": [bucket], "keys": pa.array([_pack_keys(keys[a:b])], pa.binary()), "n": [0 if k else n], "hits": [0 if k else m]})
+
+    def distinct(key, group):
+        keys = np.unique(np.concatenate([_unpack_keys(raw) for raw in group["keys"].to_pylist()]))
+        return pa.table({"n": [sum(group["n"].to_pylist())], "hits": [sum(group["hits"].to_pylist())], "distinct": [len(keys)]})
+
+    found = rows.select("text", "hit").mapInArrow(words, "bucket long, keys binary, n long, hits long").groupBy("bucket").applyInArrow(distinct, "n long, hits long, distinct long")
+    sums = found.agg(F.sum("n"), F.sum("hits"), F.sum("distinct")).first()
+    return Model(docs, rows, size, (sums[0] or 0, sums[1] or 0), sums[2] or 0)
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, target_loss, background_loss, score: mean losses of a word in nats, and target less background.
 
     A lower score means more like the target. A text without words, null included, has zeros. One row for each row.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 4 x CLASSES numbers, whatever the corpus
 
-    def run(batches):
-        c = shared.value
+    The model's texts and those of docs (once, where they are the same) are stored in portions, compressed. A portion sends the
+    distinct keys of its words and pairs, with their counts, to the buckets of the hash space. A bucket sums
+    them in one task and answers each portion in the order of its keys; a frequent word comes once from each
+    portion, so no bucket is hot. The answers meet the portion's texts again. Every distinct word and pair has its own count.
+    """
+    bits, words = _bits(model.size), model.words
+    vocabulary = max(CLASSES, model.vocabulary + 1)  # with a place for words that were never seen
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = own.schema["id"].dataType.simpleString()
+    if docs is model.docs:
+        rows = model.rows.select("id", "text", "hit", F.lit(True).alias("taught"), F.lit(True).alias("judged"))
+    else:
+        taught = model.rows.select(F.lit(None).cast(kind).alias("id"), "text", "hit", F.lit(True).alias("taught"), F.lit(False).alias("judged"))
+        rows = taught.unionAll(own.select("id", "text", F.lit(False).alias("hit"), F.lit(False).alias("taught"), F.lit(True).alias("judged")))
+
+    def deal(batches):
+        task, portion, total = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in slices(texts, 300_000):
-                text, word, pair, before = grams(texts[lo:hi])
-                n = np.bincount(text, minlength=hi - lo)
-                loss = []
-                for model in (1, 0):
-                    alone = (c[model, 0][word] + 1) / (c[model, 0].sum() + CLASSES)
-                    seen = np.where(pair >= 0, c[model, 0][before], 0)
-                    joint = np.minimum(c[model, 1][pair], seen) / np.maximum(seen, 1)
-                    p = np.where(seen > 0, PAIR_WEIGHT * joint + (1 - PAIR_WEIGHT) * alone, alone)
-                    loss.append(np.bincount(text, weights=-np.log(p), minlength=hi - lo) / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], ["id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+            names = []
+            for t in batch.column(1).to_pylist():
+                if total and total + len(t or "") > PORTION:
+                    portion, total = portion + 1, 0
+                total += len(t or "")
+                names.append((task << 32) + portion)
+            small = [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(0), pa.array(small, pa.binary()), *batch.columns[2:]], ["portion", "id", "text", "hit", "taught", "judged"])
+
+    def opened(group):
+        return [zlib.decompress(raw.as_py()).decode("utf-8", "surrogatepass") for raw in group["text"]]
+
+    def ask(key, group):
+        texts, hits, taught = opened(group), np.array(group["hit"].to_pylist(), bool), np.array(group["taught"].to_pylist(), bool)
+        every, of_target = _keys(texts, hits)
+        keys, n = np.unique(every, return_counts=True)
+        if not taught.all():
+            n = _counts(keys, _keys(texts, taught)[1])
+        hits = _counts(keys, of_target)
+        cuts = _cuts(keys, bits)
+        packed = {"keys": [_pack_keys(keys[a:b]) for _, a, b in cuts], "n": [_pack(n[a:b]) for _, a, b in cuts], "hits": [_pack(hits[a:b]) for _, a, b in cuts]}
+        return pa.table({"portion": pa.array([key[0].as_py()] * len(cuts), pa.int64()), "bucket": pa.array([b for b, _, _ in cuts], pa.int64())} | {k: pa.array(v, pa.binary()) for k, v in packed.items()})
+
+    def answer(key, group):
+        asked = [_unpack_keys(raw.as_py()) for raw in group["keys"]]
+        keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+        edges = np.cumsum([0] + [len(x) for x in asked]).tolist()
+        out = {"portion": group["portion"], "bucket": group["bucket"]}
+        for name in ("n", "hits"):
+            sums = np.zeros(len(keys), np.int64)
+            for a, b, raw in zip(edges, edges[1:], group[name]):
+                sums[at[a:b]] += _unpack(raw.as_py())  # keys of one portion are distinct
+            out[name] = pa.array([_pack(sums[at[a:b]]) for a, b in zip(edges, edges[1:])], pa.binary())
+        return pa.table(out)
+
+    def judge(portion, answers):
+        texts, judged = opened(portion), np.array(portion["judged"].to_pylist(), bool)
+        keys = np.unique(_keys(texts)[0])
+        order = np.argsort(answers["bucket"].to_numpy())
+        counts = [np.concatenate([np.empty(0, np.int64), *(_unpack(raw[int(k)].as_py()) for k in order)]) for raw in (answers["n"], answers["hits"])]
+        assert len(counts[0]) == len(keys)
+        tokens, loss = [np.empty(0, np.int64)], ([np.empty(0)], [np.empty(0)])
+        for lo, hi in slices(texts, 300_000):
+            text, word, pair, before = grams(texts[lo:hi])
+            n = np.bincount(text, minlength=hi - lo)
+            tokens.append(n)
+            inner = pair > 0
+            at_word, at_pair, at_before = np.searchsorted(keys, word), np.searchsorted(keys, pair[inner]), np.searchsorted(keys, before[inner])
+            for k in (0, 1):
+                alone = (counts[k][at_word] + 1) / (words[k] + vocabulary)
+                seen, both = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+                seen[inner], both[inner] = counts[k][at_before], counts[k][at_pair]
+                p = np.where(seen > 0, PAIR_WEIGHT * both / np.maximum(seen, 1) + (1 - PAIR_WEIGHT) * alone, alone)
+                loss[k].append(np.bincount(text, weights=-np.log(p), minlength=hi - lo) / np.maximum(n, 1))
+        n, (background, target) = np.concatenate(tokens), (np.concatenate(x) for x in loss)
+        out = pa.table({"id": portion["id"], "n_tokens": pa.array(n), "target_loss": pa.array(target), "background_loss": pa.array(background), "score": pa.array(target - background)})
+        return out.filter(pa.array(judged))
+
+    dealt = stash(rows.mapInArrow(deal, f"portion long, id {kind}, text binary, hit boolean, taught boolean, judged boolean"), "portions")
+    asked = dealt.groupBy("portion").applyInArrow(ask, "portion long, bucket long, keys binary, n binary, hits binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "portion long, bucket long, n binary, hits binary")
+    out = dealt.groupBy("portion").cogroup(answers.groupBy("portion")).applyInArrow(judge, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    return out.withColumnRenamed("id", id_col)
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import re
+from collections import Counter
 
 import pytest
 
@@ -43,3 +44,49 @@ def test_scores_by_brute_force(spark):
             assert out[i]["target_loss"] == pytest.approx(loss(good, t)) and out[i]["background_loss"] == pytest.approx(loss(every, t))
             assert out[i]["score"] == pytest.approx(loss(good, t) - loss(every, t)) and out[i]["n_tokens"] == len(split(t))
     assert lm_score.score(df.limit(0), lm_score.train(df.limit(0), target)).count() == 0
+
+
+def test_each_distinct_word_and_pair_has_its_own_count(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(lm_score, "PORTION", 200_000)
+    rng = random.Random(5)
+    names = [f"w{k}" for k in range(300_000)]  # more than CLASSES
+    texts = [" ".join(rng.sample(names, 3_000)) for _ in range(240)] + [" ".join(names)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    good = range(0, 200, 2)
+    out = {r["doc_id"]: r for r in lm_score.score(df, lm_score.train(df, spark.createDataFrame([(i,) for i in good], "doc_id long"))).collect()}
+    assert len(out) == len(texts)
+
+    def model(rows):
+        words, pairs = Counter(), Counter()
+        for t in rows:
+            w = t.split()
+            words.update(w)
+            pairs.update(zip(w, w[1:]))
+        return words, pairs, sum(words.values())
+
+    def loss(m, t):
+        words, pairs, size = m
+        w, total = t.split(), 0.0
+        for k, x in enumerate(w):
+            alone = (words[x] + 1) / (size + len(names) + 1)
+            seen = words[w[k - 1]] if k else 0
+            total -= math.log(0.7 * pairs[w[k - 1], x] / seen + 0.3 * alone if seen else alone)
+        return total / len(w)
+
+    every, target = model(texts), model(texts[i] for i in good)
+    assert len(every[1]) > 2 * lm_score.CLASSES
+    for i in (0, 1, 7, 150, 239, 240):
+        assert out[i]["background_loss"] == pytest.approx(loss(every, texts[i])) and out[i]["target_loss"] == pytest.approx(loss(target, texts[i]))
+
+
+def test_other_documents_than_those_learned_from(spark):
+    df = spark.createDataFrame([(0, "a b a c"), (1, "c a d")], "doc_id long, text string")
+    model = lm_score.train(df, spark.createDataFrame([(0,)], "doc_id long"))
+    out = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame([("x", "a b z"), (None, "a d"), ("y", "")], "doc_id string, text string"), model).collect()}
+    size = lm_score.CLASSES
+    alone = lambda n, of: (n + 1) / (of + size)
+    assert len(out) == 3 and out["y"]["n_tokens"] == 0
+    assert out["x"]["background_loss"] == pytest.approx(-(math.log(alone(3, 7)) + math.log(0.7 / 3 + 0.3 * alone(1, 7)) + math.log(0.3 * alone(0, 7))) / 3)
+    assert out[None]["target_loss"] == pytest.approx(-(math.log(alone(2, 4)) + math.log(0.3 * alone(0, 4))) / 2)
