@@ -228,6 +228,23 @@ def test_stages_by_brute_force(spark):
     assert {r["doc_id"] for r in packed} == {i for i in texts if i < 20}
 
 
+def test_long_foreign_texts_and_random_letters_are_rejected(spark):
+    rng = random.Random(1)
+    foreign = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Ahi quanto a dir qual era e cosa dura esta selva selvaggia e aspra e forte che nel pensier rinova la paura. Tanto e amara che poco e piu morte; ma per trattar del ben che vi trovai, diro delle altre cose.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin ja vapauksiin ilman minkäänlaista erotusta, kuten rotuun ja väriin.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności zawarte w niniejszej deklaracji bez względu na jakiekolwiek różnice rasy i koloru skóry.",
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10_000)),
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(3_000)),
+    ]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = docs.where("length(regexp_replace(text, '[^\\\\p{L}]+', '')) >= 200").count()
+    planted = spark.createDataFrame([(900 + i, t, None, "s", len(t)) for i, t in enumerate(foreign)], docs.schema)
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(planted), SF)
+    assert kept.where("doc_id >= 900").count() == 0
+    assert kept.where("length(regexp_replace(text, '[^\\\\p{L}]+', '')) >= 200").count() == long > 0
+
+
 def test_pipeline_on_empty_documents(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
