@@ -38,7 +38,8 @@ def with_risk(df: DataFrame) -> DataFrame:
 
 RISK_SCORE = f"floor((CASE WHEN {HAS_POSITION} THEN ({' + '.join(RISK_PARTS)} + personal_risk) / 6 ELSE ({' + '.join(RISK_PARTS)}) / 5 END) * 10 + 0.5e0) / 10"
 
-# SCR-10 to SCR-15, stage by stage; each stage only uses columns of the stages before it
+# SCR-11 to SCR-15, stage by stage; each stage only uses columns of the stages before it
+# fixed values: numbers of the forecast by horizon, thresholds, labels, gates and headlines down to the end of DEC-3
 BLEND = {1: (0.45, 30), 3: (0.60, 18), 7: (0.75, 8), 30: (0.90, 3)}
 SCALE = {1: 85, 3: 95, 7: 105, 30: 125}
 SIDEWAYS = {1: (36, 4), 3: (34, 2), 7: (30, 0), 30: (24, 0)}
@@ -75,7 +76,7 @@ def forecast_stages(p: int, half_even: str) -> list[dict[str, str]]:
             "conf_points": f"(100 - CASE WHEN i + 1 < 60 THEN 30 WHEN i + 1 < 90 THEN 15 ELSE 0 END - CASE WHEN macro_ok THEN 0 ELSE 10 END - CASE WHEN high_vol THEN 15 ELSE 0 END - CASE WHEN conflict THEN 20 ELSE 0 END - {10 if p == 30 else 0})",
             "daily_vol": "greatest(vol_30, ewma, 5e0) / sqrt(250e0)",
         },
-        {"confidence": "CASE WHEN conf_points >= 70 THEN '高' WHEN conf_points >= 40 THEN '中' ELSE '低' END", "direction2": "CASE WHEN conflict THEN '不确定' ELSE direction END" if p >= 7 else "direction", "drift": f"greatest(-2.5e0, least(2.5e0, squashed / 100e0)) * daily_vol * sqrt({num(p)}) * 0.45e0"},
+        {"confidence": ("CASE WHEN i + 1 < 60 THEN '低' WHEN" if p == 30 else "CASE WHEN") + " conf_points >= 70 THEN '高' WHEN conf_points >= 40 THEN '中' ELSE '低' END", "direction2": "CASE WHEN conflict THEN '不确定' ELSE direction END" if p >= 7 else "direction", "drift": f"greatest(-2.5e0, least(2.5e0, squashed / 100e0)) * daily_vol * sqrt({num(p)}) * 0.45e0"},
         {"width": f"daily_vol * sqrt({num(p)}) * {num(WIDTH[p])} * CASE WHEN high_vol THEN 1.15e0 ELSE 1e0 END * CASE WHEN defensive THEN 0.65e0 ELSE 1e0 END"},
         {"range_low": "drift - width", "range_high": "drift + width"},
     ]
@@ -84,11 +85,38 @@ def forecast_stages(p: int, half_even: str) -> list[dict[str, str]]:
 FORECAST_COLUMNS = ("raw", "squashed", "up1", "side2", "down1", "direction2", "rise_fall", "conflict", "confidence", "range_low", "range_high")
 
 
-def forecast(df: DataFrame, p: int) -> DataFrame:
-    """SCR-10 to SCR-15 for a horizon: probabilities, direction, confidence and range of returns."""
-    for stage in forecast_stages(p, "bround"):
-        df = df.withColumns({k: F.expr(v) for k, v in stage.items()})
-    return df.withColumn("horizon", F.lit(p))
+def forecast(df: DataFrame, horizons=scoring.HORIZONS) -> DataFrame:
+    """SCR-11 to SCR-15 for each horizon: probabilities, direction, confidence and range of returns.
+
+    Scores of all horizons are one projection, whose array is exploded; what follows is one row's arithmetic, with the
+    horizon's numbers by case. So the rows of df are made once.
+    """
+    stages = {p: forecast_stages(p, "bround") for p in horizons}
+    scores = F.array(*[F.struct(F.lit(p).alias("horizon"), F.expr(stages[p][0]["s0"]).alias("s0")) for p in horizons])
+    out = df.withColumn("of_horizon", F.explode(scores)).select("*", "of_horizon.*").drop("of_horizon")
+    for number in range(1, len(stages[horizons[0]])):
+        columns = {}
+        for name in stages[horizons[0]][number]:
+            forms: dict[str, list[int]] = {}
+            for p in horizons:
+                forms.setdefault(stages[p][number][name], []).append(p)
+            last = list(forms)[-1]
+            columns[name] = F.expr(last if len(forms) == 1 else "CASE " + " ".join(f"WHEN horizon IN ({', '.join(map(str, ps))}) THEN {form}" for form, ps in list(forms.items())[:-1]) + f" ELSE {last} END")
+        out = out.withColumns(columns)
+    return out
+
+
+#: SCR-10: rows that a horizon's forecast needs, and below which that of 30 days is of low confidence.
+LEAST_DAYS, LOW_CONFIDENCE_DAYS = {1: 8, 3: 12, 7: 15}, 60
+
+
+def forecast_gates(p: DataFrame) -> DataFrame:
+    """SCR-10: for each row and horizon, whether its history is enough: open, low_confidence (30 days) or insufficient."""
+    days = F.col("i") + 1
+    gate = F.when((F.col("horizon") == 30) & (days < LOW_CONFIDENCE_DAYS), "low_confidence")
+    for h, least in LEAST_DAYS.items():
+        gate = gate.when((F.col("horizon") == h) & (days < least), "insufficient")
+    return p.withColumn("horizon", F.explode(F.array(*map(F.lit, scoring.HORIZONS)))).withColumn("gate", gate.otherwise("open"))
 
 
 def calibration_lookup(df: DataFrame, curve: DataFrame) -> DataFrame:

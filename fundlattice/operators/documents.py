@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundlattice.operators import prediction as pred
+from fundlattice.operators.decisions import apply_stages
+from fundlattice.operators.walkforward import MIN_SAMPLES
 
 LABELS = {"up": "偏上涨", "down_or_flat": "偏不涨", "uncertain": "不确定"}
+# fixed values: gates of confidence and direction
 #: PRD-6 over now, calibrated, threshold, signals, selective_hit, selective_edge, n, edge, brier.
 STAGES = [
-    {"passes": "now >= threshold"},
+    {"passes": "coalesce(now >= threshold, FALSE)"},
     {"confidence": """CASE WHEN passes AND selective_hit >= 60 AND signals >= 20 AND selective_edge >= 3 THEN CASE WHEN signals >= 30 THEN '高' ELSE '中' END
  WHEN n >= 100 AND edge >= 8 AND brier <= 0.22e0 AND abs(calibrated - 0.5e0) >= 0.15e0 THEN '高' WHEN n >= 50 AND edge >= 4 AND brier <= 0.25e0 AND abs(calibrated - 0.5e0) >= 0.1e0 THEN '中' ELSE '低' END"""},
     {"direction": "CASE WHEN passes AND confidence <> '低' THEN 'up' WHEN edge < 3 OR confidence = '低' THEN 'uncertain' WHEN calibrated >= 0.58e0 THEN 'up' WHEN calibrated <= 0.45e0 THEN 'down_or_flat' ELSE 'uncertain' END"},
@@ -21,14 +24,20 @@ ACTION_BIAS = """CASE WHEN risk_score > 70 THEN '降低仓位风险' WHEN qualit
 QUALITY = "CASE WHEN usable = 0 THEN 'low' WHEN usable >= CASE WHEN trained THEN 2 ELSE 3 END THEN 'high' ELSE 'medium' END"
 
 
-def predictions(s: DataFrame) -> DataFrame:
-    """PRD-2, PRD-6: one row for each code and horizon: calibrated probability, confidence, direction and label."""
-    from fundlattice.operators.decisions import apply_stages
+def predictions(s: DataFrame, present: DataFrame) -> DataFrame:
+    """PRD-2, PRD-6: one row for each code and horizon of the present: calibrated probability, confidence, direction and label.
 
+    A horizon with fewer samples than MIN_SAMPLES is judged by nothing: its probability is the raw one, its direction open.
+    """
     keys = list(pred.KEYS)
     figures = pred.binary_metrics(s).select(*keys, "n", "hit", "edge", "brier")
+    enough = F.col("n") >= MIN_SAMPLES
+    figures = figures.select(*keys, "n", *[F.when(enough, F.col(c)).alias(c) for c in ("hit", "edge", "brier")])
     sweep = pred.threshold_sweep(s).select(*keys, "threshold", "signals", F.col("hit").alias("selective_hit"), F.col("edge").alias("selective_edge"))
-    joined = figures.join(pred.kernel_calibration(s).select(*keys, "now", "calibrated"), keys).join(sweep, keys)
+    judged = figures.join(pred.kernel_calibration(s, present).select(*keys, "calibrated"), keys).join(sweep, keys)
+    judged = judged.select(*keys, "n", "hit", "edge", "brier", *[F.when(enough, F.col(c)).alias(c) for c in ("calibrated", "threshold", "signals", "selective_hit", "selective_edge")])
+    joined = present.select(*keys, F.col("probability").alias("now")).join(judged, keys, "left")
+    joined = joined.withColumns({"n": F.coalesce("n", F.lit(0)), "calibrated": F.coalesce("calibrated", "now")})
     return apply_stages(joined, STAGES).select(*keys, "n", "hit", "edge", "brier", "calibrated", "passes", "confidence", "direction", "label", "usable")
 
 
@@ -38,8 +47,23 @@ def prediction_quality(p: DataFrame) -> DataFrame:
     return out.withColumn("quality", F.expr(QUALITY))
 
 
+def batch_report(q: DataFrame, known: DataFrame) -> DataFrame:
+    """SNK-7: one row for a whole batch of codes: how many there are of each quality, and how many have failed.
+
+    q: prediction_quality; known: all codes of the batch (see indicators.summary), of which those without a prediction failed.
+    """
+    rows = known.select("code").join(q.select("code", "quality"), "code", "left")
+    return rows.agg(F.count("*").alias("codes"), *[F.count_if(F.col("quality") == x).alias(f"n_{x}") for x in ("high", "medium", "low")], F.count_if(F.col("quality").isNull()).alias("n_failed"))
+
+
+def with_failures(docs: DataFrame, known: DataFrame, least: int) -> DataFrame:
+    """SNK-5: one row for each code of a batch, its document or the reason why it has none: code, document, error."""
+    reason = F.concat(F.lit("历史净值样本不足（"), F.col("data_days").cast("string"), F.lit(f" 条，至少 {least} 条）"))
+    return known.select("code", "data_days").join(docs, "code", "left").select("code", "document", F.when(F.col("document").isNull(), reason).alias("error"))
+
+
 def documents(p: DataFrame) -> DataFrame:
-    """SNK-4, SNK-5, SNK-7: one JSON document for each code, with a struct for each horizon; errors are rows, not exceptions."""
+    """SNK-4: one JSON document for each code, with a struct for each horizon."""
     period = F.struct("n", "calibrated", "confidence", "direction", "label", "edge", "brier")
     periods = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.col("horizon").cast("string"), F.lit("d")).alias("key"), period.alias("value")))))
     return p.groupBy("code").agg(periods.alias("periods")).select("code", F.to_json(F.struct("code", "periods", F.lit("仅供个人研究参考，不构成投资建议。").alias("disclaimer"))).alias("document"))

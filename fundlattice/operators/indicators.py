@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundlattice.functions.numeric import macd_states, max_drawdown, wilder
+from fundlattice.functions.numeric import EXACT_ROWS, macd_states, max_drawdown, wilder
 
 YEAR = 250.0
 
@@ -52,12 +52,12 @@ def as_of(n: int, col: str = "nav") -> Column:
     return F.last(col).over(Window.partitionBy("code").orderBy(F.unix_date("d")).rangeBetween(Window.unboundedPreceding, -n))
 
 
-def returns_calendar(p: DataFrame) -> DataFrame:
-    """IND-2: returns since the last row at least n days ago, with that row's date and value."""
+def returns_calendar(p: DataFrame, periods=(7, 30, 60, 90), col: str = "nav") -> DataFrame:
+    """IND-2: returns of a column since the last row at least n days ago, with that row's date."""
     out = p
-    for n in (7, 30, 60, 90):
-        start = as_of(n)
-        out = out.withColumn(f"start_{n}", F.when(F.col("i") >= 2, as_of(n, "d"))).withColumn(f"ret_{n}", F.when((F.col("i") >= 2) & (start != 0), (F.col("nav") - start) / start * 100))
+    for n in periods:
+        start = as_of(n, col)
+        out = out.withColumn(f"start_{n}", F.when(F.col("i") >= 2, as_of(n, "d"))).withColumn(f"ret_{n}", F.when((F.col("i") >= 2) & (start != 0), (F.col(col) - start) / start * 100))
     return out.drop("r", "nav")
 
 
@@ -208,7 +208,7 @@ def momentum_accel(p: DataFrame) -> DataFrame:
 
 def _ewma(returns: Column) -> Column:
     first = F.element_at(returns, 1)
-    return F.sqrt(F.aggregate(F.slice(returns, 2, 1_000_000), first * first, lambda s, v: s * 0.94 + v * v * 0.06)) * F.sqrt(F.lit(YEAR)) * 100
+    return F.sqrt(F.aggregate(F.slice(returns, 2, F.size(returns)), first * first, lambda s, v: s * 0.94 + v * v * 0.06)) * F.sqrt(F.lit(YEAR)) * 100
 
 
 def ewma_vol(p: DataFrame) -> DataFrame:
@@ -271,10 +271,34 @@ def streaks(p: DataFrame) -> DataFrame:
     return out.select("code", "d", "i", word.alias("dir_b"), F.when(F.col("sign") == 0, 0).otherwise(F.col("run")).cast("long").alias("days_b"), a_word.alias("dir_a"), F.when(F.size("recent") < 2, 0).otherwise(F.col("fold.n")).cast("long").alias("days_a"))
 
 
+def streak_c(p: DataFrame) -> DataFrame:
+    """INC-5: the run of rises or falls that ends in each row; a flat row counts 1, a first row 0."""
+    days = F.when(F.col("i") == 0, 0).when(F.col("sign") == 0, 1).otherwise(F.col("run")).cast("long")
+    word = F.when(F.col("sign") > 0, "up").when(F.col("sign") < 0, "down").otherwise("flat")
+    return _streak(p, F.signum("r")).select("code", "d", "i", days.alias("days"), word.alias("direction"))
+
+
+def range_60(p: DataFrame) -> DataFrame:
+    """INC-8: return over the last 60 rows (0 with fewer) and the place between their lowest and highest value."""
+    return p.select("code", "d", "i", F.when(F.col("i") >= 59, (F.col("nav") / lagged(59) - 1) * 100).otherwise(0.0).alias("ret_60"), _position(rows(60)).alias("pos_60"))
+
+
+def summary(p: DataFrame) -> DataFrame:
+    """IND-1, PRD-2: rows, first and last day and last value of each code; below 5 rows an error and none of these."""
+    out = p.groupBy("code").agg(F.count("*").alias("n"), F.min("d").alias("first"), F.max("d").alias("last"), F.max_by("nav", "d").alias("nav"))
+    enough = lambda x: F.when(F.col("n") >= 5, x)
+    error = F.when(F.col("n") < 5, F.concat(F.lit("净值数据不足（仅 "), F.col("n").cast("string"), F.lit(" 条）")))
+    return out.select("code", F.col("n").alias("data_days"), enough(F.date_format("first", "yyyy-MM-dd")).alias("data_start"), enough(F.date_format("last", "yyyy-MM-dd")).alias("data_end"), enough(four_places(F.col("nav"))).alias("latest_nav"), error.alias("error"))
+
+
 def latest(p: DataFrame) -> DataFrame:
-    """The whole history of each code as arrays in the order of dates: code, navs, rets."""
+    """The end of each code's history as arrays in the order of dates: code, navs, rets.
+
+    Exponential means are all that is taken of them, and rows further back than EXACT_ROWS do not show in these.
+    """
     rows_of = F.array_sort(F.collect_list(F.struct("i", "nav", "r")))
-    return p.groupBy("code").agg(rows_of.alias("h")).select("code", F.transform("h", lambda x: x["nav"]).alias("navs"), F.filter(F.transform("h", lambda x: x["r"]), lambda x: x.isNotNull()).alias("rets"))
+    newest = F.max("i").over(Window.partitionBy("code"))
+    return p.withColumn("newest", newest).where(F.col("i") > F.col("newest") - EXACT_ROWS).groupBy("code").agg(rows_of.alias("h")).select("code", F.transform("h", lambda x: x["nav"]).alias("navs"), F.filter(F.transform("h", lambda x: x["r"]), lambda x: x.isNotNull()).alias("rets"))
 
 
 def rsi_wilder(p: DataFrame) -> DataFrame:
@@ -347,7 +371,7 @@ def skews(p: DataFrame) -> DataFrame:
 
 
 def short_features(p: DataFrame) -> DataFrame:
-    """INC-1, INC-4 to INC-6, INC-8: returns, means, support, 10-row deviation, yearly deviation with 252 days."""
+    """INC-1, INC-4, INC-6, INC-8 (but for range_60): returns, means, support, 10-row deviation, yearly deviation with 252 days."""
     nav = F.col("nav")
     out = p.select(
         "code", "d", "i",

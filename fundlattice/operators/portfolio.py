@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fundlattice.functions.numeric import first_distinct
+
 PRIORITY = ("reduce", "avoid", "observe", "hold", "buy_watch")
 
 
@@ -25,10 +27,15 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "code") -> DataFrame:
 
 
 def delete(old: DataFrame, gone: DataFrame, key: str = "code") -> DataFrame:
-    """SNK-3, JOIN-9."""
+    """SNK-3, JOIN-9: rows of old without those of gone; see missing_keys for what gone names in vain."""
     return old.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def missing_keys(old: DataFrame, gone: DataFrame, key: str = "code") -> DataFrame:
+    """SNK-3: keys to delete that old does not have, to be reported."""
+    return gone.select(key).distinct().join(old.select(key), key, "left_anti")
+
+
 def priority_order(df: DataFrame) -> DataFrame:
     """REL-7: rank by action, then risk (highest first), then code."""
     place = F.lit(99)
@@ -71,7 +78,7 @@ def market_sentiment(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def macro_summary(df: DataFrame, keys: list[str]) -> DataFrame:
-    """AGG-23, AGG-24 from columns us_change, usdcny, on_rate, m1_rate (null where a source gives nothing)."""
+    """AGG-23 from columns us_change, usdcny, on_rate, m1_rate (null where a source gives nothing)."""
     out = df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("us_change", "usdcny", "on_rate", "m1_rate")])
     us, on = F.col("us_change"), F.col("on_rate")
     first = F.when(us > 1, "risk-on").when(us < -1, "risk-off").otherwise("neutral")
@@ -80,3 +87,16 @@ def macro_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     appetite = F.when((on > 2.5) & (first == "risk-on"), "neutral").when((on < 1.5) & (first == "neutral"), "risk-on").otherwise(first)
     fx = F.when(F.col("usdcny") > 7.3, "贬值压力较大").when(F.col("usdcny") > 7.1, "有一定贬值压力").otherwise("stable")
     return out.withColumns({"overseas": F.when(us > 1, "bullish").when(us < -1, "bearish").otherwise("mixed"), "risk_appetite": appetite, "liquidity": liquidity, "forex_pressure": fx, "spread": spread})
+
+
+def macro_risks(df: DataFrame, commodities: bool = False) -> DataFrame:
+    """AGG-24, REL-9: the list of macro risks that hold, in order, each once; commodities: some are quoted."""
+    us, fx, on = F.col("us_change"), F.col("usdcny"), F.col("on_rate")
+    some = us.isNotNull() | fx.isNotNull()
+    # fixed values: bounds and texts
+    rules = [
+        (us < -1, "纳斯达克指数下跌，科技股风险偏好下降"), (fx > 7.2, "人民币汇率承压，可能影响跨境资金流动和外资持仓偏好"), (F.lit(commodities), "大宗商品价格波动可能影响相关行业板块"),
+        (on > 2.5, "SHIBOR隔夜利率偏高，短期资金面偏紧，可能对股市估值形成压力"), (on < 1.2, "银行间流动性极度宽松，需关注资金空转和政策调控风险"),
+        (some, "国际地缘政治风险可能影响全球资本市场情绪"), (some, "美联储货币政策不确定性可能影响全球流动性和QDII基金表现"),
+    ]
+    return df.withColumn("risks", first_distinct(F.array_compact(F.array(*[F.when(c, text) for c, text in rules])), len(rules)))

@@ -28,16 +28,12 @@ def binary_metrics(s: DataFrame) -> DataFrame:
     return out.withColumn("edge", F.col("hit") - F.greatest("majority_hit", "momentum_hit"))
 
 
-def last_sample(s: DataFrame) -> DataFrame:
-    """The newest sample of each code and horizon stands for the present."""
-    return s.groupBy(*KEYS).agg(F.max_by("probability", "i").alias("now"))
-
-
-def kernel_calibration(s: DataFrame, near: float = 0.08, enough: int = 12) -> DataFrame:
-    """AGG-18: the present probability against what followed similar ones, all from one pass of sums."""
+def kernel_calibration(s: DataFrame, present: DataFrame, near: float = 0.08, enough: int = 12) -> DataFrame:
+    """AGG-18: the probability of the present row against what followed similar ones, all from one pass of sums."""
     d = F.abs(F.col("probability") - F.col("now"))
     up, w = F.col("up").cast("double"), 1 / (d + 0.05)
-    out = s.join(last_sample(s), list(KEYS)).groupBy(*KEYS).agg(F.first("now").alias("now"), F.avg(up).alias("base"), F.count_if(d <= near).alias("n_near"), F.avg(F.when(d <= near, up)).alias("seen"), (F.sum(w * up) / F.sum(w)).alias("weighted"))
+    now = present.select(*KEYS, F.col("probability").alias("now"))
+    out = s.join(now, list(KEYS)).groupBy(*KEYS).agg(F.first("now").alias("now"), F.avg(up).alias("base"), F.count_if(d <= near).alias("n_near"), F.avg(F.when(d <= near, up)).alias("seen"), (F.sum(w * up) / F.sum(w)).alias("weighted"))
     shrunk = (F.col("seen") * F.col("n_near") + F.col("base") * 8) / (F.col("n_near") + 8)
     value = F.when(F.col("n_near") >= enough, 0.65 * shrunk + 0.35 * F.col("now")).otherwise(0.5 * F.col("weighted") + 0.3 * F.col("now") + 0.2 * F.col("base"))
     return out.select(*KEYS, "now", "base", "n_near", value.alias("calibrated"))
@@ -73,20 +69,23 @@ def threshold_sweep(s: DataFrame) -> DataFrame:
 
 
 def _products(groups: list[list[dict]], parts: int, cap: int) -> list[dict]:
-    """One item from each of `parts` groups, in the order of groups and items; the first `cap`."""
-    picks = (itertools.product(*(groups[g] for g in chosen)) for chosen in itertools.combinations(range(len(groups)), parts))
-    nested = ([dict(kv for item in pick for kv in item.items()) for pick in sorted_picks] for sorted_picks in picks)
-    found = [rule for rules in nested for rule in rules]
-    # depth first: earlier items of the first group come before later groups
-    order = {id(r): n for n, r in enumerate(found)}
-    position = {tuple(sorted(item.items())): (g, k) for g, group in enumerate(groups) for k, item in enumerate(group)}
-    path = lambda rule: tuple(position[((key, value),)] for key, value in rule.items())
-    return sorted(found, key=lambda rule: (path(rule), order[id(rule)]))[:cap]
+    """One item from each of `parts` groups, in the order of the first item, then of the second; the first `cap`."""
+
+    def grow(rule: dict, begin: int, left: int):
+        if not left:
+            yield rule
+            return
+        for at in range(begin, len(groups) - left + 1):
+            for item in groups[at]:
+                yield from grow(rule | item, at + 1, left - 1)
+
+    return list(itertools.islice(grow({}, 0, parts), cap))
 
 
 def rule_templates(horizon: int, external: bool = False) -> list[dict[str, float]]:
     """PRD-4: conjunctions of bounds on features, in their order of preference, without repeats."""
     bounds = lambda key, *values: [{key: float(v)} for v in values]
+    # fixed values: keys and bounds, down to the removal of repeats
     singles = [{}]
     for key, values in (
         ("position_30d_max", (95, 90, 85, 80, 75, 70)), ("position_60d_max", (95, 85, 75)), ("rsi_14_max", (80, 75, 70, 65)), ("bb_position_max", (98, 95, 90, 85)),
@@ -143,39 +142,45 @@ def _by_horizon(values: dict[int, float]) -> Column:
     return out
 
 
+def meets(features: dict[str, str] = FEATURES) -> Column:
+    """Whether a row meets the bounds of the template beside it; a null bound is none, a missing feature meets no bound."""
+    met = F.lit(True)
+    for key, column in features.items():
+        x = F.col(column)
+        met = met & (F.col(f"{key}_min").isNull() | (x >= F.col(f"{key}_min"))) & (F.col(f"{key}_max").isNull() | (x <= F.col(f"{key}_max")))
+    return F.coalesce(met, F.lit(False))
+
+
 def rule_metrics(s: DataFrame, rules: DataFrame, count: int = 70, low: float = 0.55, step: float = 0.005) -> DataFrame:
     """AGG-13 for every template and every probability threshold, by part of the samples.
 
     Samples meet the broadcast templates once (a few hundred rows of fixed number); each pair falls into a bin of its
     probability, and bins are summed by part: all samples (no suffix), training (_t), validation (_v) and the folds
-    (_1 to _4). c, h, s, g, l are signals, hits and the sums of returns, gains and losses.
+    (_1 to _4). c, h, s, g, l are signals, hits and the sums of returns, gains and losses; m the least return of all.
     """
     parts = s.join(s.groupBy(*KEYS).agg(F.count("*").alias("n")), list(KEYS))
     order = Window.partitionBy(*KEYS).orderBy("i")
     parts = parts.withColumns({"rn": F.row_number().over(order), "fold": F.ntile(FOLDS).over(order)}).withColumn("train", F.col("rn") <= F.greatest(F.lit(1), F.col("n") - F.greatest(F.lit(1), F.least(F.ceil(F.col("n") * 0.3), F.greatest(F.col("n") - 1, F.lit(1))))))
-    met = F.lit(True)
-    for key, column in FEATURES.items():
-        x = F.col(column)
-        met = met & (F.col(f"{key}_min").isNull() | (x >= F.col(f"{key}_min"))) & (F.col(f"{key}_max").isNull() | (x <= F.col(f"{key}_max")))
     slim = parts.select(*KEYS, "n", "fold", "train", "up", "ret", F.least(F.lit(count), F.floor((F.col("probability") - low) / step + 1e-9)).alias("k"), *[c for c in dict.fromkeys(FEATURES.values())]).where("k >= 0")
-    pairs = slim.join(F.broadcast(rules), "horizon").where(met)
+    pairs = slim.join(F.broadcast(rules), "horizon").where(meets())
     values = {"c": F.lit(1), "h": F.col("up").cast("int"), "s": F.col("ret"), "g": F.greatest("ret", F.lit(0.0)), "l": F.least("ret", F.lit(0.0))}
     masks = {"": F.lit(True), "_t": F.col("train"), "_v": ~F.col("train")} | {f"_{f}": F.col("fold") == f for f in range(1, FOLDS + 1)}
-    return pairs.groupBy(*KEYS, "ord", "k", "n").agg(*[F.sum(F.when(m, v).otherwise(v * 0)).alias(x + tag) for tag, m in masks.items() for x, v in values.items()])
+    return pairs.groupBy(*KEYS, "ord", "k", "n").agg(*[F.sum(F.when(m, v).otherwise(v * 0)).alias(x + tag) for tag, m in masks.items() for x, v in values.items()], F.min("ret").alias("m"))
 
 
-def rule_search(s: DataFrame, rules: DataFrame) -> DataFrame:
+def rule_search(s: DataFrame, rules: DataFrame, present: DataFrame) -> DataFrame:
     """PRD-5: the best rule of each code and horizon among those whose full-sample figures pass all gates.
 
-    Valid rules (training, validation and folds pass as well) come before others; then the higher hit rate, more
-    signals, the lower threshold and the earlier template.
+    Valid rules (training, validation and folds pass as well) come before others; among either, rules that the present
+    row meets; then the higher hit rate, more signals, the lower threshold and the earlier template. Median and worst
+    return are those of the rule's signals.
     """
     cells = rule_metrics(s, rules)
     base = binary_metrics(s).select(*KEYS, F.greatest("up_rate", "momentum_hit").alias("baseline"))
     # sums over falling thresholds; a row stands for the thresholds above the next lower bin, of which the lowest is named
     down = Window.partitionBy(*KEYS, "ord").orderBy(F.desc("k"))
     tags = ["", "_t", "_v", *[f"_{f}" for f in range(1, FOLDS + 1)]]
-    total = [F.sum(x + tag).over(down).alias(x + tag) for tag in tags for x in "chsgl"]
+    total = [F.sum(x + tag).over(down).alias(x + tag) for tag in tags for x in "chsgl"] + [F.min("m").over(down).alias("worst_return")]
     out = cells.select(*KEYS, "ord", "n", F.coalesce(F.lead("k").over(down) + 1, F.lit(0)).alias("t"), *total).join(base, list(KEYS))
     hit = lambda p: F.try_divide(F.col(f"h{p}") * 100.0, F.col(f"c{p}"))
     mean = lambda p: F.try_divide(F.col(f"s{p}"), F.col(f"c{p}"))
@@ -196,9 +201,17 @@ def rule_search(s: DataFrame, rules: DataFrame) -> DataFrame:
         "cv_ok": (evaluable >= 2) & (passed * 100.0 >= evaluable * 50.0) & (fold_mean > 0),
     })
     full = full.withColumn("valid", F.col("train_ok") & F.col("validation_ok") & F.col("cv_ok"))
-    rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("valid"), F.desc(F.round(hit(""), 9)), F.desc("c"), "t", "ord"))
+    now = present.select(*KEYS, F.col("probability").alias("now"), *dict.fromkeys(FEATURES.values()))
+    met = meets() & (F.col("now") >= low_threshold() + F.col("t") * 0.005)
+    full = full.join(F.broadcast(rules), ["horizon", "ord"]).join(now, list(KEYS), "left").withColumn("matches_now", F.coalesce(met, F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("valid"), F.desc("matches_now"), F.desc(F.round(hit(""), 9)), F.desc("c"), "t", "ord"))
     best = full.withColumn("rank", rank).where("rank = 1")
-    return best.select(*KEYS, "ord", (low_threshold() + F.col("t") * 0.005).alias("threshold"), F.col("c").alias("signals"), hit("").alias("hit"), (F.col("c") * 100.0 / F.col("n")).alias("coverage"), mean("").alias("avg_return"), factor("").alias("profit_factor"), wilson(F.col("h"), F.col("c")).alias("bound"), "train_ok", "validation_ok", "cv_ok", "valid")
+    figures = [(low_threshold() + F.col("t") * 0.005).alias("threshold"), F.col("c").alias("signals"), hit("").alias("hit"), (F.col("c") * 100.0 / F.col("n")).alias("coverage"), mean("").alias("avg_return"), "worst_return", factor("").alias("profit_factor"), wilson(F.col("h"), F.col("c")).alias("bound")]
+    chosen = best.select(*KEYS, "ord", *figures, "train_ok", "validation_ok", "cv_ok", "valid", "matches_now", "t")
+    bounds = chosen.select(*KEYS, "ord", "t").join(F.broadcast(rules), ["horizon", "ord"])
+    bin_of = F.floor((F.col("probability") - low_threshold()) / 0.005 + 1e-9)
+    medians = s.join(bounds, list(KEYS)).where(meets() & (bin_of >= F.col("t"))).groupBy(*KEYS).agg(F.median("ret").alias("median_return"))
+    return chosen.drop("t").join(medians, list(KEYS))
 
 
 def low_threshold() -> Column:

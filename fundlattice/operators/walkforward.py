@@ -1,60 +1,96 @@
 """Walk-forward samples: what was known at each row, and what came after.
 
-A sample at row i knows the `lookback` rows before it (up to i - 1) and is judged by row i + horizon, so a label
-spans horizon + 1 steps. All features are computed once for each row and shared by the horizons.
+A sample at row i knows the lookback of its code, the rows up to i - 1, and is judged by row i + horizon, so a label
+spans horizon + 1 steps. All features are computed once for each row and shared by the horizons. The present row of a
+code knows its whole history and has no outcome yet.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundlattice.functions.numeric import macd_states, max_drawdown, round_half_up
+from fundlattice.functions.numeric import EXACT_ROWS, macd_states, max_drawdown, round_half_up
 from fundlattice.operators import scoring
-from fundlattice.operators.indicators import YEAR, _percentile_b, _position, _streak, in_order, lagged, ma, macd_b_columns, rows, trend_b_label
+from fundlattice.operators.indicators import YEAR, _streak, in_order, lagged, ma, macd_b_columns, rows, trend_b_label
 
-LOOKBACK = 90
+# fixed values: rows that a code needs, samples that a horizon needs, bounds of the lookback, floors of thresholds
+MIN_ROWS, MIN_SAMPLES = 60, 20
+LEAST_LOOKBACK, MOST_LOOKBACK = 40, 90
 FLOORS = {1: 0.5, 3: 1.0, 7: 2.0, 30: 3.0}
 FALLBACK_VOL = 0.15 / YEAR**0.5
 
 
-def features(p: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
-    """Family-b indicators of every row with a full lookback (at least 61 rows), rounded as they are scored."""
+def _last(values: Column, n: Column) -> Column:
+    """The last n elements, or all of them."""
+    n = F.least(n, F.size(values))
+    return F.slice(values, F.when(n > 0, -n).otherwise(1), n)
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+
+
+def _deviation(values: Column) -> Column:
+    mean = _mean(values)
+    return F.sqrt(F.aggregate(F.transform(values, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x) / F.size(values))
+
+
+def _whole(p: DataFrame) -> DataFrame:
+    """For each code, over all its rows: share of earlier volatilities below the last one, MACD states, deviation."""
+    newest = F.max_by("v20", "i").over(Window.partitionBy("code"))
+    navs = F.transform(F.array_sort(F.collect_list(F.when(F.col("i") >= F.col("n_rows") - EXACT_ROWS, F.struct("i", "nav")))), lambda x: x["nav"])
+    out = p.withColumn("v_now", newest).groupBy("code").agg((F.count_if(F.col("v20") < F.col("v_now")) / F.count("v20") * 100).alias("w_pct"), F.stddev_pop("r").alias("w_pop"), navs.alias("navs"))
+    return out.withColumn("w_m", macd_states(F.col("navs"))).drop("navs")
+
+
+def features(p: DataFrame, present: bool = False) -> DataFrame:
+    """Family-b indicators, rounded as they are scored, of every row with a full lookback, or of each code's present row.
+
+    The lookback of a code is half its rows, MOST_LOOKBACK at most and LEAST_LOOKBACK at least; frames that are longer take
+    what it holds, and what needs more rows has its neutral value. The present row looks back on all rows. Codes
+    with fewer than MIN_ROWS rows have none.
+    """
     r2 = lambda x: round_half_up(x, 2)
     year = F.sqrt(F.lit(YEAR))
-    nav, std = F.col("nav"), lambda n: F.stddev_samp("r").over(rows(n))
-    mean = lambda n: F.avg("r").over(rows(n))
+    nav, look = F.col("nav"), F.col("look")
+    # of the returns, one fewer than rows, a lookback of 40 rows holds 39
+    within = lambda n, f: f(rows(n)) if n < LEAST_LOOKBACK else F.when(look > n, f(rows(n))).otherwise(f(rows(n - 1)))
+    std = lambda n: within(n, lambda f: F.stddev_samp("r").over(f))
+    mean = lambda n: within(n, lambda f: F.avg("r").over(f))
     dd = lambda n: r2(max_drawdown(F.collect_list("nav").over(rows(n))) * 100)
     negative = F.when(F.col("r") < 0, F.col("r"))
-    base = _streak(p, F.signum("r")).withColumn("v20", F.when(F.col("i") >= 20, std(20))).withColumn("change", nav - lagged(1))
+    rule = F.least(F.lit(MOST_LOOKBACK), F.greatest(F.lit(LEAST_LOOKBACK), F.floor(F.col("n_rows") / 2).cast("int")))
+    known = p.withColumn("n_rows", F.count("*").over(Window.partitionBy("code")).cast("int")).where(F.col("n_rows") >= MIN_ROWS)
+    known = known.withColumn("look", F.col("n_rows") if present else rule)
+    base = _streak(known, F.signum("r")).withColumn("v20", F.when(F.col("i") >= 20, F.stddev_samp("r").over(rows(20)))).withColumn("change", nav - lagged(1))
     gain = lambda w, sign: F.sum(F.greatest(F.col("change") * sign, F.lit(0.0))).over(rows(w))
     rsi = lambda w: round_half_up(F.when(gain(w, -1) == 0, F.when(gain(w, 1) > 0, 100.0).otherwise(50.0)).otherwise(100 - 100 / (1 + gain(w, 1) / gain(w, -1))), 1)
-    dd_of = {n: dd(n) for n in (20, 40, 60)}
     sharpe = lambda n: r2(F.when(std(n) == 0, 0.0).otherwise(mean(n) / std(n) * year))
+    place = lambda low, high: round_half_up(F.when(high == low, 50.0).otherwise((nav - low) / (high - low) * 100), 1)
+    within_rows = lambda n: place(F.min("nav").over(rows(n)), F.max("nav").over(rows(n)))
+    back = lambda k: F.when(look > k, (nav / lagged(k) - 1) * 100).otherwise(0.0)
     mid, dev = F.avg("nav").over(rows(20)), F.stddev_samp("nav").over(rows(20))
-    n40 = F.lit(40.0)
+    n40 = F.least(F.lit(40), look - 1).cast("double")
     squares = F.collect_list("r").over(rows(20))
-    ewma = F.sqrt(F.aggregate(F.slice(squares, 2, 100), F.pow(F.element_at(squares, 1), F.lit(2.0)), lambda a, v: a * 0.94 + v * v * 0.06)) * year * 100
+    ewma = F.sqrt(F.aggregate(F.slice(squares, 2, 20), F.pow(F.element_at(squares, 1), F.lit(2.0)), lambda a, v: a * 0.94 + v * v * 0.06)) * year * 100
     out = base.select(
-        "code", "d", "i", "nav",
-        *[r2((nav / lagged(k) - 1) * 100).alias(name) for name, k in (("ret_1", 1), ("ret_5", 5), ("ret_20", 20), ("ret_7d", 5), ("ret_30d", 20), ("ret_60d", 40), ("ret_90d", 60))],
-        *[round_half_up(ma(k), 4).alias(f"ma_{k}") for k in (5, 10, 20, 60)],
-        *[dd_of[n].alias(name) for name, n in (("dd_30", 20), ("dd_60", 40), ("dd_90", 60))],
+        "code", "d", "i", "nav", "look",
+        *[r2(back(k)).alias(name) for name, k in (("ret_1", 1), ("ret_5", 5), ("ret_20", 20), ("ret_7d", 5), ("ret_30d", 20), ("ret_60d", 40), ("ret_90d", 60))],
+        *[F.when(look >= k, round_half_up(ma(k), 4)).alias(f"ma_{k}") for k in (5, 10, 20, 60)],
+        *[dd(n).alias(name) for name, n in (("dd_30", 20), ("dd_60", 40))],
         *[r2(std(n) * year * 100).alias(name) for name, n in (("vol_30", 20), ("vol_60", 40))],
         r2(F.when(F.count(negative).over(rows(20)) < 2, 0.0).otherwise(F.stddev_samp(negative).over(rows(20)) * year * 100)).alias("down_30"),
-        sharpe(20).alias("sharpe_30"), sharpe(40).alias("sharpe_60"),
-        *[round_half_up(_position(rows(n)), 1).alias(name) for name, n in (("pos_7", 5), ("pos_30", 20), ("pos_60", 40), ("pos_90", 60))],
+        sharpe(20).alias("sharpe_30"), sharpe(40).alias("sharpe_60"), mean(40).alias("mean_40"),
+        *[within_rows(n).alias(name) for name, n in (("pos_7", 5), ("pos_30", 20), ("pos_60", 40))],
         *[r2((nav - F.min("nav").over(rows(n))) / F.min("nav").over(rows(n)) * 100).alias(name) for name, n in (("rebound_7", 5), ("rebound_30", 20))],
         *[r2((F.max("nav").over(rows(n)) - nav) / F.max("nav").over(rows(n)) * 100).alias(name) for name, n in (("pullback_7", 5), ("pullback_30", 20))],
         rsi(6).alias("rsi_6"), rsi(14).alias("rsi_14"),
         round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.when(dev == 0, 50.0).otherwise((nav - (mid - dev * 2)) / (dev * 4) * 100))), 1).alias("bb_pos"),
         r2(dev * 4 / mid * 100).alias("bb_width"),
-        r2(F.skewness("r").over(rows(40)) * F.pow((n40 - 1) / n40, F.lit(1.5))).alias("skew"),
-        r2((nav / lagged(2) - 1) * 100 - (lagged(3) / lagged(5) - 1) * 100).alias("accel"),
-        r2(ewma).alias("ewma"), round_half_up(_percentile_b(lookback), 1).alias("pct"),
-        *[r2(F.when(dd_of[n] == 0, 0.0).otherwise(mean(n) * YEAR * 100 / dd_of[n])).alias(name) for name, n in (("calmar_60", 40), ("calmar_90", 60))],
-        round_half_up(F.count_if(F.col("r") > 0).over(rows(20)) / 20 * 100, 1).alias("win_30"),
-        F.stddev_pop("r").over(rows(lookback - 1)).alias("vol_pop"), F.stddev_pop("r").over(rows(30)).alias("vol_pop_30"),
+        r2(within(40, lambda f: F.skewness("r").over(f)) * F.pow((n40 - 1) / n40, F.lit(1.5))).alias("skew"),
+        r2((nav / lagged(2) - 1) * 100 - (lagged(3) / lagged(5) - 1) * 100).alias("accel"), r2(ewma).alias("ewma"),
+        round_half_up(F.count_if(F.col("r") > 0).over(rows(20)) / 20 * 100, 1).alias("win_30"), F.stddev_pop("r").over(rows(30)).alias("vol_pop_30"),
         *[F.avg("nav").over(rows(k)).alias(f"raw_{k}") for k in (5, 10, 20)],
         ((nav - lagged(4)) / lagged(4) * 100).alias("slope"), ((lagged(9) - lagged(19)) / lagged(19) * 100).alias("long_slope"),
         gain(14, 1).alias("gain_14"), gain(14, -1).alias("loss_14"),
@@ -62,13 +98,23 @@ def features(p: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
         *[((nav / lagged(h) - 1) * 100).alias(f"prev_{h}") for h in scoring.HORIZONS],
         F.when(F.col("sign") == 0, 0).otherwise(F.col("run")).cast("long").alias("streak_days"),
         F.when(F.col("sign") > 0, "上涨").when(F.col("sign") < 0, "下跌").otherwise("平").alias("streak_dir"),
-        F.collect_list("nav").over(rows(lookback)).alias("h"),
-    ).where(F.col("i") >= lookback - 1)
-    out = out.withColumn("m", macd_states(F.col("h"))).drop("h")
+        F.collect_list("nav").over(rows(MOST_LOOKBACK)).alias("h"), F.collect_list("r").over(rows(MOST_LOOKBACK - 1)).alias("rets"),
+        "v20", F.collect_list("v20").over(rows(MOST_LOOKBACK - 20)).alias("vols"),
+    ).where(F.col("i") == look - 1 if present else F.col("i") >= look - 1)
+    if present:
+        out = out.join(_whole(base.select("code", "i", "nav", "r", "v20", "n_rows")), "code").withColumnsRenamed({"w_pct": "pct_of", "w_pop": "vol_pop", "w_m": "m"})
+    else:
+        vols = _last(F.col("vols"), look - 20)
+        below = F.size(F.filter(vols, lambda x: x < F.col("v20"))) / F.size(vols) * 100
+        out = out.withColumns({"pct_of": below, "vol_pop": _deviation(_last(F.col("rets"), look - 1)), "m": macd_states(_last(F.col("h"), look))})
+    tail, tail_rets = _last(F.col("h"), F.least(look, F.lit(60))), _last(F.col("rets"), F.least(look - 1, F.lit(60)))
+    out = out.withColumns({"pct": round_half_up(F.col("pct_of"), 1), "pos_90": place(F.array_min(tail), F.array_max(tail)), "dd_90": r2(max_drawdown(tail) * 100), "mean_60": _mean(tail_rets)})
+    calmar = lambda mean, dd: r2(F.when(F.col(dd) == 0, 0.0).otherwise(F.col(mean) * YEAR * 100 / F.col(dd)))
     hist, cross, way = macd_b_columns(F.col("m"))
-    out = out.withColumns({"macd_hist": round_half_up(hist, 6), "macd_cross": cross, "macd_dir": way}).drop("m")
     regime = F.when(F.col("pct") > 75, "高波动").when(F.col("pct") < 25, "低波动").otherwise("正常")
-    return out.withColumns({"regime": regime, "trend": trend_b_label(*(F.col(c) for c in ("nav", "ma_5", "ma_10", "ma_20", "ma_60")))})
+    trend = trend_b_label(*(F.col(c) for c in ("nav", "ma_5", "ma_10", "ma_20", "ma_60")))
+    out = out.withColumns({"calmar_60": calmar("mean_40", "dd_60"), "calmar_90": calmar("mean_60", "dd_90"), "macd_hist": round_half_up(hist, 6), "macd_cross": cross, "macd_dir": way, "regime": regime, "trend": trend})
+    return out.drop("h", "rets", "vols", "v20", "m", "mean_40", "mean_60", "pct_of")
 
 
 def market_regime() -> Column:
@@ -85,28 +131,36 @@ def label(x: Column, threshold: Column | float) -> Column:
     return F.when(x > threshold, "up").when(x < -threshold, "down").otherwise("sideways")
 
 
-def samples(p: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
-    """D4: a row for each (code, horizon, i): score, prediction, threshold, outcome, probability of a rise.
+def _by_horizon(build) -> Column:
+    """build(h) for the row's horizon."""
+    out = F.lit(None).cast("double")
+    for h in scoring.HORIZONS:
+        out = F.when(F.col("horizon") == h, F.expr(build(h))).otherwise(out)
+    return out
 
-    The features are computed once; an array of horizons is exploded afterwards.
-    """
-    base = features(p, lookback).withColumn("market", market_regime())
+
+def _scored(base: DataFrame) -> DataFrame:
+    """base by horizon, with its scores and the probability of a rise. An array of horizons is exploded, so base is read once."""
+    base = base.withColumn("market", market_regime())
     sigma = F.when(F.coalesce(F.col("vol_pop"), F.lit(0.0)) > 0, F.col("vol_pop")).otherwise(FALLBACK_VOL)
-    each = []
-    for h in scoring.HORIZONS:
-        score = F.expr(scoring.direction_score(h))
-        each.append(F.struct(F.lit(h).alias("horizon"), score.alias("score"), F.col(f"after_{h}").alias("after"), F.col(f"prev_{h}").alias("prev_return"), F.greatest(F.lit(FLOORS[h]), sigma * F.sqrt(F.lit(float(h))) * 100).alias("t")))
+    each = [
+        F.struct(F.lit(h).alias("horizon"), F.expr(scoring.direction_score(h)).alias("score"), F.col(f"after_{h}").alias("after"), F.col(f"prev_{h}").alias("prev_return"), F.greatest(F.lit(FLOORS[h]), sigma * F.sqrt(F.lit(float(h))) * 100).alias("t"))
+        for h in scoring.HORIZONS
+    ]
     out = base.withColumn("x", F.explode(F.array(*each))).select("*", "x.*").drop("x", *[f"after_{h}" for h in scoring.HORIZONS], *[f"prev_{h}" for h in scoring.HORIZONS])
-    out = out.where(F.col("after").isNotNull()).withColumn("i", F.col("i") + 1)
+    return out.withColumn("adjusted", _by_horizon(scoring.binary_score)).withColumn("probability", _by_horizon(lambda h: scoring.up_probability(h, days="look")))
+
+
+def samples(p: DataFrame) -> DataFrame:
+    """D4: a row for each (code, horizon, i) whose outcome is known: score, prediction, threshold, outcome, probability of a rise."""
+    out = _scored(features(p)).where(F.col("after").isNotNull()).withColumn("i", F.col("i") + 1)
     adjusted = F.when((F.col("market") == "mean_reverting") & (F.col("rsi_14") < 30), F.col("score") + 8).when((F.col("market") == "mean_reverting") & (F.col("rsi_14") > 70), F.col("score") - 8).when(F.col("market") == "high_volatility", F.col("score") * 0.75).otherwise(F.col("score"))
     out = out.withColumns({"raw_score": adjusted, "threshold": F.least(F.lit(20.0), F.col("t")), "ret": (F.col("after") - F.col("nav")) / F.col("nav") * 100})
     prediction = F.when(F.col("raw_score") >= 12, "up").when(F.col("raw_score") <= -12, "down").otherwise("sideways")
     out = out.withColumns({"prediction": prediction, "actual": label(F.col("ret"), F.col("threshold")), "momentum": label(F.col("prev_return"), F.col("threshold"))})
-    binary = F.lit(None).cast("double")
-    for h in scoring.HORIZONS:
-        binary = F.when(F.col("horizon") == h, F.expr(scoring.binary_score(h))).otherwise(binary)
-    out = out.withColumn("adjusted", binary)
-    prob = F.lit(None).cast("double")
-    for h in scoring.HORIZONS:
-        prob = F.when(F.col("horizon") == h, F.expr(scoring.up_probability(h))).otherwise(prob)
-    return out.withColumns({"probability": prob, "up": F.col("ret") > 0, "momentum_up": F.col("prev_return") > 0}).drop("t", "after")
+    return out.withColumns({"up": F.col("ret") > 0, "momentum_up": F.col("prev_return") > 0}).drop("t", "after", "look")
+
+
+def present(p: DataFrame) -> DataFrame:
+    """A row for each code and horizon: the features and the probability of its newest row, whose outcome nobody knows."""
+    return _scored(features(p, present=True)).drop("t", "after", "look")

@@ -64,7 +64,7 @@ KERNEL = with_samples(
     """SELECT code, horizon, now, base, n_near, CASE WHEN n_near >= 12 THEN 0.65 * (seen * n_near + base * 8) / (n_near + 8) + 0.35 * now ELSE 0.5 * weighted + 0.3 * now + 0.2 * base END AS calibrated FROM
     (SELECT s.code, s.horizon, any_value(now) AS now, avg(up::DOUBLE) AS base, count(*) FILTER (abs(probability - now) <= 0.08) AS n_near, avg(up::DOUBLE) FILTER (abs(probability - now) <= 0.08) AS seen,
        sum(up::DOUBLE / (abs(probability - now) + 0.05)) / sum(1 / (abs(probability - now) + 0.05)) AS weighted
-     FROM smp s JOIN (SELECT code, horizon, arg_max(probability, i) AS now FROM smp GROUP BY 1, 2) l ON s.code = l.code AND s.horizon = l.horizon GROUP BY 1, 2)"""
+     FROM smp s JOIN (SELECT code, horizon, probability AS now FROM now) l ON s.code = l.code AND s.horizon = l.horizon GROUP BY 1, 2)"""
 )
 _DEFAULT = "CASE horizon " + " ".join(f"WHEN {h} THEN {t}::DOUBLE" for h, t in DEFAULT_THRESHOLDS.items()) + " END"
 SWEEP = with_samples(

@@ -18,6 +18,8 @@ from fundlattice.operators import joins, portfolio
 from fundlattice.plans import backtest_sql as bsql
 from fundlattice.plans import decision_queries as dq
 from fundlattice.plans import indicator_sql as isql
+from fundlattice.plans import more_queries as mq
+from fundlattice.plans.walkforward_sql import with_samples
 from fundlattice.sources import profiles
 from fundlattice.sources.panel import HOLDINGS_SQL, holdings, nav_panel, table
 from fundlattice.streaming import daily
@@ -84,9 +86,31 @@ INDICATORS = [
 SAMPLE = "code horizon i market prediction actual momentum threshold ret raw_score score adjusted probability prev_return up momentum_up pos_30 pos_60 rsi_6 rsi_14 bb_pos ret_1 ret_5 ret_20"
 
 
-def on_samples(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """f over walk-forward samples, which are kept (in memory, else on disk), as models pass over them several times."""
-    return lambda spark, sf_dir: f(wf.samples(nav_panel(spark, sf_dir)).select(*SAMPLE.split()).persist())
+PRESENT = ["code", "horizon", "probability", *dict.fromkeys(pred.FEATURES.values())]
+_kept: list[DataFrame] = []
+
+
+def _keep(df: DataFrame) -> DataFrame:
+    """df, kept for passes to come (in memory, else on disk; lost parts are made again); what was kept before is released."""
+    while _kept:
+        _kept.pop().unpersist()
+    _kept.append(df.persist())
+    return df
+
+
+def on_samples(f: Callable[[DataFrame], DataFrame], passes: int = 1) -> Callable[[SparkSession, str], DataFrame]:
+    """f over walk-forward samples; those that f passes over more than once are kept."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = wf.samples(nav_panel(spark, sf_dir)).select(*SAMPLE.split())
+        return f(_keep(s) if passes > 1 else s)
+
+    return run
+
+
+def on_models(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """f over walk-forward samples and the present rows."""
+    return lambda spark, sf_dir: on_samples(lambda s: f(s, wf.present(nav_panel(spark, sf_dir)).select(*PRESENT)), passes=2)(spark, sf_dir)
 
 
 BACKTEST = [
@@ -96,17 +120,17 @@ BACKTEST = [
     Query("actual_distribution", on_samples(bt.actual_distribution), bsql.DISTRIBUTION, "up_pct sideways_pct down_pct threshold_mean threshold_median"),
     Query("brier_multiclass", on_samples(bt.brier_multiclass), bsql.BRIER, "brier"),
     Query("calibration_bins", on_samples(bt.calibration_bins), bsql.CALIBRATION, "expected observed gap"),
-    Query("hit_by_confidence", on_samples(bt.hit_by_move), bsql.HIT_BY_MOVE, "hit_high hit_medium hit_low"),
+    Query("hit_by_confidence", on_samples(bt.hit_by_move, passes=2), bsql.HIT_BY_MOVE, "hit_high hit_medium hit_low"),
     Query("return_stats", on_samples(bt.return_stats), bsql.RETURN_STATS, "mean median p10 p90"),
     Query("score_buckets", on_samples(bt.score_buckets), bsql.SCORE_BUCKETS, "accuracy pct"),
     Query("score_stats", on_samples(bt.score_stats), bsql.SCORE_STATS, "mean std p10 p50 p90"),
     Query("baseline_edge", on_samples(bt.baseline_edge), bsql.BASELINE, "rule_acc sideways_acc momentum_acc edge"),
     Query("down_precision_recall", on_samples(bt.down_metrics), bsql.DOWN, "precision recall f1"),
-    Query("probability_quality", on_samples(bt.quality), bsql.QUALITY),
+    Query("probability_quality", on_samples(bt.quality, passes=2), bsql.QUALITY),
     Query("up_probability", on_samples(lambda s: s.select("code", "horizon", "i", "adjusted", "probability", "prev_return", "up", "momentum_up")), bsql.UP_PROBABILITY, "adjusted probability prev_return"),
     Query("binary_metrics", on_samples(pred.binary_metrics), bsql.BINARY, "hit up_rate momentum_hit brier majority_hit edge"),
-    Query("kernel_calibration", on_samples(pred.kernel_calibration), bsql.KERNEL, "now base calibrated"),
-    Query("threshold_sweep", on_samples(pred.threshold_sweep), bsql.SWEEP, "threshold hit edge"),
+    Query("kernel_calibration", on_models(pred.kernel_calibration), bsql.KERNEL, "now base calibrated"),
+    Query("threshold_sweep", on_samples(pred.threshold_sweep, passes=4), bsql.SWEEP, "threshold hit edge"),
     Query("ts_cv_folds", on_samples(pred.ts_cv_folds), bsql.FOLDS_SQL, "hit"),
 ]
 SCORES = "trend_risk drawdown_risk volatility_risk position_risk macro_risk personal_risk risk_score"
@@ -133,13 +157,13 @@ DECISIONS = [
     Query(*dq._query("risk_score", f"{SCORES} risk_level risk_colour", [], SCORES)),
     Query("keyword_types", lambda s, d: dec.with_kinds(s.sql(dq.CONTEXT)).select("code", "high_vol", "qdii", "defensive", "china"), f"SELECT code, {', '.join(f'{v} AS {k}' for k, v in dec.KINDS.items())} FROM ({dq.CONTEXT})"),
     Query("forecast_probs", dq.forecasts, dq.FORECAST_SQL, "raw squashed up1 side2 down1 range_low range_high"),
-    Query("calibration_lookup", on_samples(dq.calibrated), dq.CALIBRATED_SQL, "raw observed"),
+    Query("calibration_lookup", on_samples(dq.calibrated, passes=2), dq.CALIBRATED_SQL, "raw observed"),
     Query("ensemble", on_samples(lambda s: dec.apply_stages(s, [dq._LLM, *dec.ENSEMBLE_STAGES]).select(*dq.ENSEMBLE)), dq.with_samples(f"SELECT {', '.join(dq.ENSEMBLE)} FROM {dec.stages_sql('smp', [dq._LLM, *dec.ENSEMBLE_STAGES])}"), "oversold blend"),
     Query(*dq._query("decision_advice", "risk_score advice advice_confidence buy_pct buy_amount near_max_loss", [*dq.STUBS, *dec.ADVICE_STAGES], "risk_score buy_amount")),
     Query(*dq._query("final_decision", "final_direction final_action final_confidence headline", [*dq.STUBS, *dec.FINAL_STAGES], "")),
     Query(*dq._query("high_confidence_gate", "passed swing gate_action gate_score max_pct", [*dq.STUBS, *dec.GATE_STAGES], "gate_score")),
-    Query("narrative", lambda s, d: dec.narrative(dec.apply_stages(dq.judged(s, d), [*dq.STUBS, *dec.FINAL_STAGES]))),
-    Query("rule_search", on_samples(lambda s: pred.rule_search(s, pred.rule_table(s.sparkSession))), dq._rule_sql(), "threshold hit coverage avg_return profit_factor bound"),
+    Query("narrative", lambda s, d: dec.narrative(dec.apply_stages(dq.judged(s, d), [*dq.STUBS, *dec.FINAL_STAGES])), mq.NARRATIVE_SQL),
+    Query("rule_search", on_models(lambda s, now: pred.rule_search(s, pred.rule_table(s.sparkSession), now)), dq._rule_sql(), "threshold hit coverage avg_return worst_return median_return profit_factor bound"),
 ]
 PORTFOLIO = [
     Query("portfolio_summary", lambda s, d: portfolio.summary(dq.positions(s, d)), f"WITH {dq._P} {dq._SUMMARY}", "total_holding pnl cost mean_risk pnl_pct"),
@@ -164,15 +188,17 @@ PORTFOLIO = [
     ),
     Query("macro_summary", lambda s, d: portfolio.macro_summary(dq.macro_rows(s, d), ["event_type", "d"]), f"WITH {dq._MOVES} {dq._MACRO}", "us_change usdcny on_rate m1_rate spread"),
 ]
-_PREDICTED = f"""SELECT b.code, b.horizon, n, b.hit, b.edge, brier, calibrated, threshold, signals, s.hit AS selective_hit, s.edge AS selective_edge, now
- FROM ({bsql.BINARY}) b JOIN ({bsql.KERNEL}) k ON b.code = k.code AND b.horizon = k.horizon JOIN ({bsql.SWEEP}) s ON b.code = s.code AND b.horizon = s.horizon"""
+_JUDGED = ", ".join(f"CASE WHEN n >= {wf.MIN_SAMPLES} THEN {x} END AS {c}" for x, c in (("b.hit", "hit"), ("b.edge", "edge"), ("brier", "brier"), ("calibrated", "judged"), ("threshold", "threshold"), ("signals", "signals"), ("s.hit", "selective_hit"), ("s.edge", "selective_edge")))
+_PREDICTED = f"""SELECT w.code, w.horizon, w.now, coalesce(n, 0) AS n, coalesce(judged, w.now) AS calibrated, hit, edge, brier, threshold, signals, selective_hit, selective_edge
+ FROM ({with_samples("SELECT code, horizon, probability AS now FROM now")}) w LEFT JOIN (SELECT b.code, b.horizon, n, {_JUDGED}
+ FROM ({bsql.BINARY}) b JOIN ({bsql.KERNEL}) k ON b.code = k.code AND b.horizon = k.horizon JOIN ({bsql.SWEEP}) s ON b.code = s.code AND b.horizon = s.horizon) j ON w.code = j.code AND w.horizon = j.horizon"""
 _PREDICTIONS = f"SELECT code, horizon, n, hit, edge, brier, calibrated, passes, confidence, direction, label, usable FROM {dec.stages_sql(f'({_PREDICTED})', docs.STAGES)}"
 _BIAS = f"SELECT code, i, {docs.ACTION_BIAS} AS action_bias FROM {dec.stages_sql('jr', dec.forecast_stages(7, 'round_even'))}"
 DOCUMENTS = [
-    Query("predictions", on_samples(docs.predictions), _PREDICTIONS, "hit edge brier calibrated"),
-    Query("prediction_quality", on_samples(lambda s: docs.prediction_quality(docs.predictions(s))), f"SELECT *, {docs.QUALITY} AS quality FROM (SELECT code, count(*) FILTER (usable) AS usable, sum(n)::BIGINT AS samples, FALSE AS trained FROM ({_PREDICTIONS}) GROUP BY code)"),
-    Query("analysis_documents", on_samples(lambda s: docs.documents(docs.predictions(s)))),
-    Query("action_bias", lambda s, d: dec.forecast(dq.judged(s, d), 7).select("code", "i", F.expr(docs.ACTION_BIAS).alias("action_bias")), dq.FORECAST_SQL.replace(dq._FORECASTS, _BIAS)),
+    Query("predictions", on_models(docs.predictions), _PREDICTIONS, "hit edge brier calibrated"),
+    Query("prediction_quality", on_models(lambda s, now: docs.prediction_quality(docs.predictions(s, now))), f"SELECT *, {docs.QUALITY} AS quality FROM (SELECT code, count(*) FILTER (usable) AS usable, sum(n)::BIGINT AS samples, FALSE AS trained FROM ({_PREDICTIONS}) GROUP BY code)"),
+    Query("analysis_documents", on_models(lambda s, now: docs.documents(docs.predictions(s, now)))),
+    Query("action_bias", lambda s, d: dec.forecast(dq.judged(s, d), [7]).select("code", "i", F.expr(docs.ACTION_BIAS).alias("action_bias")), dq.FORECAST_SQL.replace(dq._FORECASTS, _BIAS)),
     Query("one_year_return", on_panel(profiles.one_year_return), dq.with_nav(f"SELECT code, arg_max_null(x, d) AS return_1y FROM (SELECT code, d, (nav / lag(nav, 249) {isql.OVER} - 1) * 100 AS x FROM nav) GROUP BY code"), "return_1y"),
     Query("history_range", on_panel(profiles.date_range), dq.with_nav("SELECT code, strftime(min(d) - INTERVAL 10 DAYS, '%Y%m%d') AS start, strftime(max(d) + INTERVAL 1 DAY, '%Y%m%d') AS \"end\" FROM nav GROUP BY code")),
     Query("fund_dimension", dq.dimension, dq.DIMENSION_SQL),
@@ -181,4 +207,25 @@ DOCUMENTS = [
     Query("source_status", dq.status, dq.STATUS_SQL),
     Query("nav_normalised", dq.normalised, dq.NORMALISED_SQL, "unit_nav daily_ret_pct"),
 ]
-QUERIES = [*INDICATORS, *BACKTEST, *JOINS, *DECISIONS, *PORTFOLIO, *DOCUMENTS]
+MORE = [
+    Query("forecast_gates", mq.forecast_gates, mq.FORECAST_GATES_SQL),
+    Query("short_streak", on_panel(ind.streak_c), mq.STREAK_C_SQL),
+    Query("range_60", on_panel(ind.range_60), mq.RANGE_60_SQL, "ret_60 pos_60"),
+    Query("metrics_summary", on_panel(ind.summary), mq.SUMMARY_SQL, "latest_nav"),
+    Query("returns_acc_nav", mq.acc_nav, mq.ACC_NAV_SQL, "ret_30 ret_90"),
+    Query("macro_risks", mq.macro_risks, mq.MACRO_RISKS_SQL),
+    Query("portfolio_missing", mq.missing_keys, mq.MISSING_SQL),
+    Query("quotes", mq.quotes, mq.QUOTES_SQL, "price prev_close change_pct"),
+    Query("keyword_search", mq.keyword_search, mq.SEARCH_SQL),
+    Query("exchange_symbols", mq.symbols, mq.SYMBOLS_SQL),
+    Query("profile_pivot", mq.profile_pivot, mq.PIVOT_SQL),
+    Query("company", lambda s, d: profiles.company_of(mq._items(s, d)), mq.COMPANY_SQL),
+    Query("prices_normalised", mq.prices_normalised, mq.PRICES_SQL, "close"),
+    Query("positional_join", mq.positional, mq.POSITIONAL_SQL),
+    Query("nav_delay", mq.nav_delay, mq.DELAY_SQL),
+    Query(
+        "batch_report", on_models(lambda s, now: docs.batch_report(docs.prediction_quality(docs.predictions(s, now)), now.select("code").distinct())),
+        f"SELECT count(*) AS codes, {', '.join(f'count(*) FILTER (quality = {chr(39)}{x}{chr(39)}) AS n_{x}' for x in ('high', 'medium', 'low'))}, 0 AS n_failed FROM (SELECT {docs.QUALITY} AS quality FROM (SELECT code, count(*) FILTER (usable) AS usable, FALSE AS trained FROM ({_PREDICTIONS}) GROUP BY code))",
+    ),
+]
+QUERIES = [*INDICATORS, *BACKTEST, *JOINS, *DECISIONS, *PORTFOLIO, *DOCUMENTS, *MORE]

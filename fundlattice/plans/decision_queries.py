@@ -57,15 +57,7 @@ def _query(name: str, columns: str, stages: list, doubles: str):
 
 
 def forecasts(s: SparkSession, d: str) -> DataFrame:
-    base = judged(s, d)
-    return _union([dec.forecast(base, p).select("code", "i", "horizon", *dec.FORECAST_COLUMNS) for p in scoring.HORIZONS])
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionAll(f)
-    return out
+    return dec.forecast(judged(s, d)).select("code", "i", "horizon", *dec.FORECAST_COLUMNS)
 
 
 _FORECASTS = " UNION ALL ".join(f"SELECT code, i, {p} AS horizon, {', '.join(dec.FORECAST_COLUMNS)} FROM {dec.stages_sql('jr', dec.forecast_stages(p, 'round_even'))}" for p in scoring.HORIZONS)
@@ -110,21 +102,24 @@ BASKET_CTES = (HOLDINGS_SQL.strip(), _TOP, PRICE_SQL.strip(), _BASKET)
 
 
 def asof_factors(s: SparkSession, d: str) -> DataFrame:
-    factors = basket(s, d).withColumn("code", F.element_at(F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))), F.col("fund") + 1)).where("fund < 5").drop("fund")
-    return joins.as_of_join(nav_panel(s, d).select("code", "d", "i"), factors.where(F.dayofmonth("d") % 3 == 0))
+    """The factors of every fund as of each date of the panel's code that the fund goes by."""
+    names = F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
+    funds = table(s, d, "nation").select(F.col("n_nationkey").alias("fund"), F.element_at(names, (F.col("n_nationkey") % 5 + 1).cast("int")).alias("code"))
+    dates = nav_panel(s, d).select("code", "d", "i").join(F.broadcast(funds), "code").drop("code")  # a fund for each nation
+    return joins.as_of_join(dates, basket(s, d), key="fund")
 
 
 ASOF_SQL = with_nav(
-    "SELECT code, d, i, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY code ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in joins.FACTORS) + " FROM j",
+    "SELECT fund, d, i, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY fund ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in joins.FACTORS) + " FROM j",
     *BASKET_CTES,
-    "fc AS (SELECT ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][fund + 1] AS code, * EXCLUDE (fund) FROM bf WHERE fund < 5 AND day(d) % 3 = 0)",
-    "j AS (SELECT n.code, n.d, n.i, " + ", ".join(f"fc.{c}" for c in joins.FACTORS) + " FROM nav n ASOF LEFT JOIN fc ON n.code = fc.code AND n.d >= fc.d)",
+    "fn AS (SELECT n_nationkey AS fund, d, i FROM nation JOIN nav ON code = ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][n_nationkey % 5 + 1])",
+    "j AS (SELECT n.fund, n.d, n.i, " + ", ".join(f"bf.{c}" for c in joins.FACTORS) + " FROM fn n ASOF LEFT JOIN bf ON n.fund = bf.fund AND n.d >= bf.d)",
 )
 # rule search
 _KEYS = [f"{f}_{side}" for f in pred.FEATURES for side in ("min", "max")]
 _RULES = ", ".join(f"({h}, {n}, {', '.join('NULL' if rule.get(k) is None else repr(float(rule[k])) for k in _KEYS)})" for h in scoring.HORIZONS for n, rule in enumerate(pred.rule_templates(h)))
 _MET = " AND ".join(f"({k} IS NULL OR {pred.FEATURES[k[:-4]]} {'>=' if k.endswith('min') else '<='} {k})" for k in _KEYS)
-_SUMS = "count(*) AS c, count(*) FILTER (up) AS h, sum(ret) AS s, sum(greatest(ret, 0)) AS g, sum(least(ret, 0)) AS l"
+_SUMS = "count(*) AS c, count(*) FILTER (up) AS h, sum(ret) AS s, sum(greatest(ret, 0)) AS g, sum(least(ret, 0)) AS l, min(ret) AS m"
 _CASE = lambda values: "CASE horizon " + " ".join(f"WHEN {h} THEN {v}" for h, v in values.items()) + " END"
 
 
@@ -148,17 +143,19 @@ def _rule_sql() -> str:
     mean = " + ".join(f"CASE WHEN c_{f} >= {fold_min} THEN s_{f} / c_{f} ELSE 0 END" for f in folds)
     return with_samples(
         f"""SELECT code, horizon, ord, 0.55::DOUBLE + t * 0.005::DOUBLE AS threshold, c AS signals, h * 100.0::DOUBLE / c AS hit, c * 100.0::DOUBLE / n AS coverage, s / c AS avg_return,
-          CASE WHEN l < -1e-9 THEN g / -l WHEN g > 0 THEN 99 ELSE 0 END AS profit_factor, {_wilson('')} AS bound, train_ok, validation_ok, cv_ok, train_ok AND validation_ok AND cv_ok AS valid
-        FROM (SELECT *, row_number() OVER (PARTITION BY code, horizon ORDER BY train_ok AND validation_ok AND cv_ok DESC, round(h * 100.0::DOUBLE / c, 9) DESC, c DESC, t, ord) AS rk FROM
+          CASE WHEN l < -1e-9 THEN g / -l WHEN g > 0 THEN 99 ELSE 0 END AS profit_factor, {_wilson('')} AS bound, train_ok, validation_ok, cv_ok, train_ok AND validation_ok AND cv_ok AS valid, matches_now, m AS worst_return,
+          (SELECT median(p.ret) FROM pt p JOIN ru ON p.horizon = ru.horizon AND {_MET} WHERE p.code = bst.code AND p.horizon = bst.horizon AND ru.ord = bst.ord AND p.k >= bst.t) AS median_return
+        FROM (SELECT *, row_number() OVER (PARTITION BY code, horizon ORDER BY train_ok AND validation_ok AND cv_ok DESC, matches_now DESC, round(h * 100.0::DOUBLE / c, 9) DESC, c DESC, t, ord) AS rk FROM
           (SELECT *, coalesce(c_t > 0 AND {_passes('_t', least_t, 80, 5, 1.05)} AND {_wilson('_t')} >= 55, FALSE) AS train_ok, coalesce({_passes('_v', val, 80, 5, 1)}, FALSE) AS validation_ok,
-             ({seen}) >= 2 AND ({good}) * 100 >= ({seen}) * 50 AND ({mean}) > 0 AS cv_ok
-           FROM agg WHERE {_passes('', least, 80, 5, 1.05)} AND {_wilson('')} >= 55)) WHERE rk = 1""",
+             ({seen}) >= 2 AND ({good}) * 100 >= ({seen}) * 50 AND ({mean}) > 0 AS cv_ok,
+             EXISTS (SELECT 1 FROM now p JOIN ru ON p.horizon = ru.horizon AND {_MET} WHERE p.code = agg.code AND p.horizon = agg.horizon AND ru.ord = agg.ord AND p.probability >= 0.55::DOUBLE + t * 0.005::DOUBLE) AS matches_now
+           FROM agg WHERE {_passes('', least, 80, 5, 1.05)} AND {_wilson('')} >= 55)) bst WHERE rk = 1""",
         "bs AS (SELECT code, horizon, greatest(avg(up::DOUBLE), avg((momentum_up = up)::DOUBLE)) * 100 AS base FROM smp GROUP BY 1, 2)",
         f"ru(horizon, ord, {', '.join(_KEYS)}) AS (VALUES {_RULES})",
         """pt AS (SELECT *, ntile(4) OVER (PARTITION BY code, horizon ORDER BY i) AS fold, row_number() OVER (PARTITION BY code, horizon ORDER BY i) <= count(*) OVER (PARTITION BY code, horizon) - ceil(count(*) OVER (PARTITION BY code, horizon) * 0.3::DOUBLE) AS train,
           count(*) OVER (PARTITION BY code, horizon) AS n, least(70, floor((probability - 0.55::DOUBLE) / 0.005::DOUBLE + 1e-9)) AS k FROM smp)""",
         f"ce AS (SELECT p.code, p.horizon, ord, k, fold, train, n, {_SUMS} FROM pt p JOIN ru ON p.horizon = ru.horizon AND {_MET} WHERE k >= 0 GROUP BY ALL)",
-        f"agg AS (SELECT ce.code, ce.horizon, ord, t, ce.n, any_value(base) AS base, sum(c) AS c, sum(h) AS h, sum(s) AS s, sum(g) AS g, sum(l) AS l, {part('train', '_t')}, {part('NOT train', '_v')}, {', '.join(part(f'fold = {f}', f'_{f}') for f in folds)} FROM ce JOIN range(71) r(t) ON t <= k JOIN bs ON ce.code = bs.code AND ce.horizon = bs.horizon GROUP BY 1, 2, 3, 4, 5)",
+        f"agg AS (SELECT ce.code, ce.horizon, ord, t, ce.n, any_value(base) AS base, sum(c) AS c, sum(h) AS h, sum(s) AS s, sum(g) AS g, sum(l) AS l, min(m) AS m, {part('train', '_t')}, {part('NOT train', '_v')}, {', '.join(part(f'fold = {f}', f'_{f}') for f in folds)} FROM ce JOIN range(71) r(t) ON t <= k JOIN bs ON ce.code = bs.code AND ce.horizon = bs.horizon GROUP BY 1, 2, 3, 4, 5)",
     )
 
 

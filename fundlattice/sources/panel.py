@@ -15,9 +15,15 @@ def by_code() -> Window:
 
 
 def index_panel(panel: DataFrame) -> DataFrame:
-    """code, d, nav plus i (0-based row of the code) and r (daily return; null in the first row)."""
+    """code, d, nav plus i (0-based row of the code) and r (daily return; null in the first row).
+
+    Rows without a date or a value above 0 are left out (FLT-3). Daily returns that the panel gives in percent are
+    preferred to those of its values (IND-0).
+    """
     w = by_code()
-    return panel.select("code", "d", "nav", (F.row_number().over(w) - 1).alias("i"), (F.col("nav") / F.lag("nav").over(w) - 1).alias("r"))
+    given = "daily_ret_pct" in panel.columns
+    r = F.col("daily_ret_pct") / 100 if given else F.col("nav") / F.lag("nav").over(w) - 1
+    return panel.where("d is not null and nav > 0").select("code", "d", "nav", (F.row_number().over(w) - 1).alias("i"), r.alias("r"))
 
 
 def nav_panel(spark: SparkSession, sf_dir: str, warm_up: int = 60) -> DataFrame:

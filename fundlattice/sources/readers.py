@@ -94,7 +94,7 @@ def exchange_symbol(code: Column) -> Column:
 def load_user_funds(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     """SRC-24: (the cleaned rows of a {"funds": [...]} file, whether the file was readable).
 
-    A missing, broken or wrongly shaped file gives no rows. Items that are no objects, or have no valid code, are
+    A missing, broken or wrongly shaped file gives no rows; the latter two are copied to <path>.bad. Items that are no objects, or have no valid code, are
     dropped; of rows with one code the last stays, at the place of the first. Missing files are told apart by Hadoop.
     """
     from fundlattice.operators.portfolio import dedup_last_wins, valid_codes
@@ -102,13 +102,16 @@ def load_user_funds(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     empty = spark.createDataFrame([], USER_FUND + ", place long")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    conf = spark._jsc.hadoopConfiguration()
+    fs = where.getFileSystem(conf)
+    if not fs.exists(where):
         return empty, True
     text = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one settings file of a user
     try:
         funds = json.loads(text)["funds"]
         items = [json.dumps(f) for f in funds if isinstance(f, dict)]
     except (ValueError, TypeError, KeyError):
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, where, fs, jvm.org.apache.hadoop.fs.Path(path + ".bad"), False, True, conf)
         return empty, False
     rows = spark.createDataFrame(list(enumerate(items)), "ord long, item string").select("ord", F.from_json("item", USER_FUND).alias("x")).select("ord", "x.*")
     return dedup_last_wins(valid_codes(rows)).select(*empty.columns), True
@@ -123,8 +126,10 @@ def save_user_funds(df: DataFrame, path: str) -> None:
     out = fs.create(temporary, True)
     out.write(bytearray(('{"funds": [' + ", ".join(rows) + "]}").encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(temporary, target)
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = df.sparkSession.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(temporary, target, options)
 
 
 def pivot_profile(kv: DataFrame, aliases: DataFrame, fields: Sequence[str]) -> DataFrame:
