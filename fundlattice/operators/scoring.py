@@ -154,6 +154,10 @@ def up_probability(p: int, adjusted: str = "adjusted", days: str = "90") -> str:
     return f"least(0.9e0, greatest(0.1e0, 0.5e0 + ({blend} - 0.5e0) * {strength}))"
 
 
+AVERSE = "(lower(risk_appetite) LIKE '%risk-off%' OR risk_appetite LIKE '%避险%')"
+WEAK_ABROAD = "(lower(overseas) LIKE '%bearish%' OR overseas LIKE '%下跌%')"
+UNDER_PRESSURE = "(forex_pressure LIKE '%压力%' OR forex_pressure LIKE '%贬值%')"
+# fixed values: bounds and points of the risk scores, and the texts of what they rest on
 #: RSK-2: sub-scores begin at 50 and stay within 0 to 100.
 RISK = {
     "trend_risk": [
@@ -164,7 +168,7 @@ RISK = {
         [("nav < ma_20", 5)],
     ],
     "drawdown_risk": [[("dd_30 > 10", 20), ("dd_30 > 5", 10), ("dd_30 > 3", 5)], [("dd_60 > 15", 15), ("dd_60 > 8", 8)], [("dd_90 > 20", 12)]],
-    "volatility_risk": [[("vol_30 > 40", 20), ("vol_30 > 25", 12), ("vol_30 > 15", 5), ("vol_30 < 10", -10)], [("vol_60 > 35", 10)], [("down_30 > 25", 8)]],
+    "volatility_risk": [[("vol_30 > 40", 20), ("vol_30 > 25", 12), ("vol_30 > 15", 5), ("coalesce(vol_30, 0e0) < 10", -10)], [("vol_60 > 35", 10)], [("down_30 > 25", 8)]],
     "position_risk": [
         [("pos_30 > 80 AND vol_30 > 25", 18), ("pos_30 > 80", 10), ("pos_30 > 60", 3)],
         [(f"pos_30 < 20 AND {BEARISH}", 12), ("pos_30 < 20", -5)],
@@ -172,9 +176,9 @@ RISK = {
         [("pos_90 < 15", 5)],
     ],
     "macro_risk": [
-        [("macro_ok AND risk_appetite = 'risk-off'", 8), ("macro_ok AND risk_appetite = 'risk-on'", -5)],
-        [("macro_ok AND overseas = 'bearish'", 5), ("macro_ok AND overseas = 'bullish'", -3)],
-        [("macro_ok AND forex_pressure LIKE '%压力%'", 5)],
+        [(f"macro_ok AND {AVERSE}", 8), ("macro_ok AND (lower(risk_appetite) LIKE '%risk-on%' OR risk_appetite LIKE '%积极%')", -5)],
+        [(f"macro_ok AND {WEAK_ABROAD}", 5), ("macro_ok AND (lower(overseas) LIKE '%bullish%' OR overseas LIKE '%上涨%')", -3)],
+        [(f"macro_ok AND {UNDER_PRESSURE}", 5)],
         [("macro_ok AND commodity_disturbance LIKE '%扰动%'", 3)],
     ],
     "personal_risk": [
@@ -185,6 +189,37 @@ RISK = {
 }
 
 
+_FALLING = either("trend LIKE '%空头排列%'", "trend LIKE '%下降%'")
+_VALID = "(cost_nav > 0 AND nav > 0)"
+_LOSS = "printf('%.1f', abs(profit_pct))"
+#: RSK-2: reasons in their order, as (condition, text); texts are SQL.
+REASONS = [
+    ("ret_30d > 10", "concat('近30天涨幅较大(', ret_30d, '%)，短期回调风险提高')"), ("ret_30d < -10", "concat('近30天跌幅较大(', ret_30d, '%)，下行趋势风险较高')"), ("ret_30d >= -10 AND ret_30d < -5", "concat('近30天下跌(', ret_30d, '%)')"),
+    ("ret_60d < -15", "concat('近60天跌幅较大(', ret_60d, '%)，中期趋势偏弱')"), ("ret_90d < -20", "concat('近90天跌幅较大(', ret_90d, '%)，长期趋势偏弱')"), (_FALLING, "'均线空头排列，下降趋势'"), ("nav < ma_20", "'净值低于20日均线'"),
+    ("dd_30 > 10", "concat('近30天最大回撤', dd_30, '%，短期回撤显著')"), ("dd_30 > 5 AND dd_30 <= 10", "concat('近30天最大回撤', dd_30, '%')"), ("dd_60 > 15", "concat('近60天最大回撤', dd_60, '%，中期回撤较大')"), ("dd_90 > 20", "concat('近90天最大回撤', dd_90, '%，长期回撤较大')"),
+    ("vol_30 > 40", "concat('近30天年化波动率极高(', vol_30, '%)')"), ("vol_30 > 25 AND vol_30 <= 40", "concat('近30天波动率较高(', vol_30, '%)')"), ("vol_30 < 10", "concat('近30天波动率较低(', vol_30, '%)，波动风险小')"),
+    ("vol_60 > 35", "concat('近60天波动率较高(', vol_60, '%)')"), ("down_30 > 25", "'下行波动率较高，下跌时的波动幅度大'"),
+    ("pos_30 > 80", "'净值处于近30日高位区间'"), (f"pos_30 < 20 AND {BEARISH}", "'净值处于近30日低位但趋势仍为空头'"), (f"pos_30 < 20 AND NOT {BEARISH}", "'净值处于近30日低位区间，可能存在分批关注机会'"), ("pos_90 < 15", "'净值接近90日低位'"),
+    ("NOT coalesce(macro_ok, FALSE)", "'宏观数据暂不可用，宏观评分保持中性'"), (f"macro_ok AND {AVERSE}", "'当前宏观风险偏好偏避险'"), (f"macro_ok AND {WEAK_ABROAD}", "'海外市场偏弱，可能传导至国内'"), (f"macro_ok AND {UNDER_PRESSURE}", "'汇率存在贬值压力，可能影响QDII基金和外资流向'"),
+    (f"has_position AND NOT coalesce({_VALID}, FALSE)", "'持仓成本或净值数据无效，个人持仓评分保持中性'"),
+    ("profit_pct < 0 AND -profit_pct / max_loss >= 0.9e0", f"concat('当前浮亏', {_LOSS}, '%，已接近最大可承受亏损', max_loss, '%')"),
+    ("profit_pct < 0 AND -profit_pct / max_loss >= 0.5e0 AND -profit_pct / max_loss < 0.9e0", f"concat('当前浮亏', {_LOSS}, '%，达到最大可承受亏损的', printf('%.0f', -profit_pct / max_loss * 100), '%')"),
+    ("profit_pct < -5 AND -profit_pct / max_loss < 0.5e0", f"concat('当前浮亏', {_LOSS}, '%')"), ("profit_pct > 10", "concat('当前浮盈', printf('%.1f', profit_pct), '%，已有较好收益')"),
+    ("profit_pct IS NOT NULL AND preference = '保守'", "'用户风险偏好为保守，风险敏感度提高'"), ("profit_pct IS NOT NULL AND holding_amount > 500000", "'持仓金额较大，需更关注风险'"),
+]
+WARNINGS = [
+    (_FALLING, "'当前处于下降趋势中，左侧介入风险较高'"), ("dd_30 > 10", "'近期回撤较大，关注止损纪律'"), ("dd_90 > 20", "'长期回撤幅度较大，需关注是否进入下跌通道'"), ("vol_30 > 40", "'波动率极高，净值波动剧烈，不适合风险承受能力低的投资者'"),
+    ("pos_30 > 80 AND vol_30 > 25", "'净值接近短期高位且波动率高，追高风险较大'"), (f"pos_30 < 20 AND {BEARISH}", "'虽然处于低位但下跌趋势未结束，左侧介入风险较高'"), ("pos_60 > 85", "'净值接近60日高位，中期追高风险'"),
+    ("profit_pct < 0 AND -profit_pct / max_loss >= 0.9e0", "'持仓亏损已接近个人设定的最大亏损线，需警惕止损'"), ("profit_pct < 0 AND -profit_pct / max_loss >= 0.5e0 AND -profit_pct / max_loss < 0.9e0", "'持仓亏损已过半程，建议关注是否继续恶化'"),
+    ("profit_pct < -3", f"concat('当前持仓浮亏', {_LOSS}, '%（成本', cost_nav, '，现价', nav, '）')"),
+]
+
+
+def told(texts: list[tuple[str, str]]) -> str:
+    """The texts whose conditions hold, in order, joined."""
+    return "concat_ws('；', " + ", ".join(f"CASE WHEN {c} THEN {text} END" for c, text in texts) + ")"
+
+
 def risk_part(name: str) -> str:
     return f"greatest(0e0, least(100e0, 50e0 + {total(RISK[name])}))"
 

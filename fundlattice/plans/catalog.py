@@ -14,7 +14,7 @@ from fundlattice.operators import prediction as pred
 from fundlattice.operators import walkforward as wf
 from fundlattice.operators import decisions as dec
 from fundlattice.operators import documents as docs
-from fundlattice.operators import joins, portfolio
+from fundlattice.operators import joins, portfolio, scoring
 from fundlattice.plans import backtest_sql as bsql
 from fundlattice.plans import decision_queries as dq
 from fundlattice.plans import indicator_sql as isql
@@ -155,6 +155,7 @@ JOINS = [
 ]
 DECISIONS = [
     Query(*dq._query("risk_score", f"{SCORES} risk_level risk_colour", [], SCORES)),
+    Query("risk_reasons", lambda s, d: dec.apply_stages(dq.judged(s, d).withColumns({"has_position": F.expr(dec.HAS_POSITION), "nav": F.round("nav", 4)}), [{"risk_reasons": scoring.told(scoring.REASONS), "risk_warnings": scoring.told(scoring.WARNINGS)}]).select("code", "i", "risk_reasons", "risk_warnings"), dq.REASONS_SQL),
     Query("keyword_types", lambda s, d: dec.with_kinds(s.sql(dq.CONTEXT)).select("code", "high_vol", "qdii", "defensive", "china"), f"SELECT code, {', '.join(f'{v} AS {k}' for k, v in dec.KINDS.items())} FROM ({dq.CONTEXT})"),
     Query("forecast_probs", dq.forecasts, dq.FORECAST_SQL, "raw squashed up1 side2 down1 range_low range_high"),
     Query("calibration_lookup", on_samples(dq.calibrated, passes=2), dq.CALIBRATED_SQL, "raw observed"),

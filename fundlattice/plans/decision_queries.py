@@ -56,6 +56,11 @@ def _query(name: str, columns: str, stages: list, doubles: str):
     return name, lambda s, d: dec.apply_stages(judged(s, d), stages).select(*cols), _judged_sql(f"SELECT {', '.join(cols)} FROM {{rows}}", stages), doubles
 
 
+REASONS_SQL = _judged_sql(
+    f"SELECT code, i, {scoring.told(scoring.REASONS)} AS risk_reasons, {scoring.told(scoring.WARNINGS)} AS risk_warnings FROM (SELECT * REPLACE (round(nav, 4) AS nav), {dec.HAS_POSITION} AS has_position FROM {{rows}})"
+)
+
+
 def forecasts(s: SparkSession, d: str) -> DataFrame:
     return dec.forecast(judged(s, d)).select("code", "i", "horizon", *dec.FORECAST_COLUMNS)
 

@@ -77,3 +77,12 @@ def test_portfolio_operations(spark):
     new = spark.createDataFrame([("2", 5), ("3", 6)], "code string, v int")
     assert sorted(map(tuple, portfolio.upsert(old, new).collect())) == [("1", 1), ("2", 5), ("3", 6)]
     assert [tuple(r) for r in portfolio.delete(old, new).collect()] == [("1", 1)]
+
+
+@pytest.mark.parametrize("appetite, overseas, forex, points", [("risk-off", "bearish", "贬值压力较大", 68.0), ("偏避险", "海外下跌", "贬值", 68.0), ("Risk-On", "Bullish", "stable", 42.0), ("积极", "上涨", "stable", 42.0), ("neutral", "mixed", "stable", 50.0)])
+def test_macro_words_and_their_synonyms(spark, appetite, overseas, forex, points):
+    from fundlattice.operators import scoring
+
+    df = spark.createDataFrame([(True, appetite, overseas, forex, "none", None, None, None)], "macro_ok boolean, risk_appetite string, overseas string, forex_pressure string, commodity_disturbance string, vol_30 double, vol_60 double, down_30 double")
+    assert df.select(F.expr(scoring.risk_part("macro_risk"))).first()[0] == points
+    assert df.select(F.expr(scoring.risk_part("volatility_risk"))).first()[0] == 40.0  # a missing volatility counts as none

@@ -52,6 +52,48 @@ def test_user_funds_survive_a_round_trip(spark, tmp_path):
     assert [(r["code"], r["cost_nav"]) for r in rows] == [("161725", 2.0)]
 
 
+def test_broken_portfolio_is_copied_aside(spark, tmp_path):
+    (tmp_path / "f.json").write_text("{broken")
+    df, readable = readers.load_user_funds(spark, f"file://{tmp_path}/f.json")
+    assert not readable and df.count() == 0 and (tmp_path / "f.json.bad").read_text() == "{broken" and (tmp_path / "f.json").exists()
+
+
+def test_rows_without_a_date_or_value_are_left_out(spark):
+    from fundlattice.sources.panel import index_panel
+
+    rows = [("a", "2024-01-01", 1.0, 9.0), ("a", "2024-01-02", 0.0, 8.0), ("a", None, 2.0, 7.0), ("a", "2024-01-03", -1.0, 6.0), ("a", "2024-01-04", 1.5, None), ("a", "2024-01-05", None, 5.0), ("a", "2024-01-06", 3.0, 4.0)]
+    df = spark.createDataFrame(rows, "code string, d string, nav double, daily_ret_pct double").withColumn("d", F.to_date("d"))
+    assert [(r["i"], r["nav"], r["r"]) for r in index_panel(df.drop("daily_ret_pct")).orderBy("i").collect()] == [(0, 1.0, None), (1, 1.5, 0.5), (2, 3.0, 1.0)]
+    assert [(r["i"], r["r"]) for r in index_panel(df).orderBy("i").collect()] == [(0, 0.09), (1, None), (2, 0.04)]  # given returns are preferred
+
+
+def test_first_distinct(spark):
+    from fundlattice.functions.numeric import first_distinct
+
+    df = spark.createDataFrame([(["b", "a", "b", "c", "d"],), ([],), (None,)], "x array<string>")
+    assert [r[0] for r in df.select(first_distinct(F.col("x"), 3)).collect()] == [["b", "a", "c"], [], None]
+
+
+def test_as_of_join_over_gaps(spark):
+    from fundlattice.operators import joins
+
+    left = spark.createDataFrame([("a", 1), ("a", 3), ("a", 6), ("b", 2)], "code string, d int")
+    right = spark.createDataFrame([("a", 2, 5.0), ("a", 5, None), ("b", 2, 7.0), ("c", 1, 9.0)], "code string, d int, x double")
+    got = {(r["code"], r["d"]): r["x"] for r in joins.as_of_join(left, right, values=("x",)).collect()}
+    assert got == {("a", 1): None, ("a", 3): 5.0, ("a", 6): 5.0, ("b", 2): 7.0}
+    assert {(r["code"], r["d"]): r["x"] for r in joins.as_of_join(left, right, values=("x",), fill=False).collect()}[("a", 6)] is None
+
+
+def test_failures_are_rows(spark):
+    from fundlattice.operators import documents
+
+    known = spark.createDataFrame([("a", 300), ("b", 12)], "code string, data_days int")
+    docs = spark.createDataFrame([("a", "{}")], "code string, document string")
+    assert {r["code"]: (r["document"], r["error"]) for r in documents.with_failures(docs, known, 60).collect()} == {"a": ("{}", None), "b": (None, "历史净值样本不足（12 条，至少 60 条）")}
+    quality = spark.createDataFrame([("a", "medium")], "code string, quality string")
+    assert documents.batch_report(quality, known).first().asDict() == {"codes": 2, "n_high": 0, "n_medium": 1, "n_low": 0, "n_failed": 1}
+
+
 def test_fallback_takes_the_first_source_with_enough(spark):
     make = lambda n, k: spark.createDataFrame([("a", i, k) for i in range(n)], "code string, i int, src string")
     pick = lambda *dfs: {r["src"] for r in readers.with_fallback(dfs).collect()}
