@@ -111,3 +111,21 @@ def quality(s: DataFrame) -> DataFrame:
     )
     calibrated = ~low & ((F.col("sideways") > 80) | (q != "low"))
     return a.select("code", "periods", "total", "good", "strong", q.alias("quality"), calibrated.alias("calibrated"))
+
+
+def uncertainties(s: DataFrame) -> DataFrame:
+    """SCR-9: what speaks against each code's backtest, as a list: code, uncertainties.
+
+    Thresholds are told with two decimals. Of horizons that share a reason the shortest is named.
+    """
+    each = s.groupBy(*KEYS).agg(F.count("*").alias("n"), share(F.col("prediction") == F.col("actual")).alias("hit"), share(F.col("actual") == "sideways").alias("sideways"), F.avg("threshold").alias("t"))
+    name = F.concat(F.col("horizon").cast("string"), F.lit("d"))
+    first = lambda text, when: F.min_by(text, F.when(when, F.col("horizon")))
+    # fixed values: bounds and texts
+    high = first(F.concat(name, F.lit("周期阈值较高（"), F.format_string("%.2f", "t"), F.lit("%），反映波动较大，方向预测误差可能放大")), F.col("t") > 5)
+    flat = first(F.concat(name, F.lit("周期实际走势极端偏向震荡，方向预测区分度可能不足")), F.col("sideways") > 80)
+    found = F.array(
+        high, F.when(F.min("n") < 30, "部分周期回测样本较少，历史准确率参考价值有限"), F.when(F.count_if(F.col("hit") < 50) >= 2, "多个周期方向准确率低于随机猜测，需谨慎参考"), flat,
+    )
+    out = each.groupBy("code").agg(F.array_compact(found).alias("uncertainties"))
+    return out.withColumn("uncertainties", F.when(F.size("uncertainties") > 0, F.col("uncertainties")).otherwise(F.array(F.lit("回测样本量尚可，但历史表现不代表未来"))))

@@ -141,6 +141,17 @@ ENSEMBLE_STAGES = [
     {"ensemble_confidence": "CASE WHEN points >= 5 THEN '高' WHEN points >= 3 THEN '中' ELSE '低' END"},
 ]
 
+#: PRD-7: who answers for the short term: a trained code's own model, rules where no language model has answered, else the ensemble.
+ROUTE_STAGES = [
+    *ENSEMBLE_STAGES,
+    {"route": "CASE WHEN i < 30 THEN 'unavailable' WHEN trained THEN 'trained' WHEN llm_up IS NULL THEN 'rules' ELSE 'ensemble' END", "signal": "CASE WHEN rsi < 30 OR bb_pos < 15 THEN 1 WHEN rsi > 70 OR bb_pos > 85 THEN -1 ELSE 0 END"},
+    {
+        "route_up": "CASE route WHEN 'trained' THEN rule_up WHEN 'rules' THEN 50e0 + signal * 10 WHEN 'ensemble' THEN blend END",
+        "route_direction": "CASE route WHEN 'rules' THEN CASE signal WHEN 1 THEN 'up' WHEN -1 THEN 'down_or_flat' ELSE 'uncertain' END WHEN 'ensemble' THEN ensemble_direction WHEN 'trained' THEN CASE WHEN rule_up >= 58 THEN 'up' WHEN rule_up <= 45 THEN 'down_or_flat' ELSE 'uncertain' END END",
+        "route_confidence": "CASE route WHEN 'rules' THEN CASE WHEN signal = 0 THEN '低' ELSE '中' END WHEN 'ensemble' THEN ensemble_confidence ELSE '低' END",
+    },
+]
+
 # DEC-1: the first rule that holds
 UP_WORDS, DOWN_WORDS = ("上行", "偏涨", "上涨", "偏强"), ("下行", "偏跌", "下跌", "偏弱")
 
@@ -195,8 +206,13 @@ SWING = [
     "specific", "status = 'ok'", "passes_30d", "selective_valid", "validation_ok", "cv_ok", "hit_bound >= 55", "selective_hit_30d >= 80 AND selective_n_30d >= 10", "validation_hit >= 80 AND validation_n >= 3",
     "avg_return > 0 AND profit_factor >= 1.3e0", "risk_score < 60", "vol_30 <= 35", "dd_30 <= 12", "pos_30 < 85", "rsi_14 < 75",
 ]
+GATE_NAMES = (
+    "status", "prediction_quality", "direction_7d", "direction_30d", "confidence_7d", "confidence_30d", "has_edge_7d", "has_edge_30d", "edge_7d", "edge_30d", "hit_7d", "hit_30d", "passes_7d", "passes_30d",
+    "selective_7d", "selective_30d", "risk", "volatility", "drawdown", "position", "rsi", "backtest_quality",
+)
 AVOID = "status = 'unavailable' OR risk_score >= 70 OR vol_30 >= 40 OR dd_30 >= 15 OR (dir_7d = 'down_or_flat' AND dir_30d = 'down_or_flat') OR (NOT edge_7d AND NOT edge_30d AND risk_score >= 60)"
 GATE_STAGES = [
+    {"failed_gates": "concat_ws(',', " + ", ".join(f"CASE WHEN {g} THEN NULL ELSE '{name}' END" for g, name in zip(GATES, GATE_NAMES, strict=True)) + ")"},
     {"passed": " + ".join(f"CASE WHEN {g} THEN 1 ELSE 0 END" for g in GATES), "swing": " AND ".join(f"coalesce({g}, FALSE)" for g in SWING)},
     {"gate_action": f"CASE WHEN {AVOID} THEN 'avoid' WHEN swing OR passed = {len(GATES)} THEN 'small_buy' ELSE 'wait' END"},
     {

@@ -291,6 +291,21 @@ def summary(p: DataFrame) -> DataFrame:
     return out.select("code", F.col("n").alias("data_days"), enough(F.date_format("first", "yyyy-MM-dd")).alias("data_start"), enough(F.date_format("last", "yyyy-MM-dd")).alias("data_end"), enough(four_places(F.col("nav"))).alias("latest_nav"), error.alias("error"))
 
 
+def one_year(p: DataFrame) -> DataFrame:
+    """FLT-6: rows of the 365 days before each code's last one."""
+    last = F.max("d").over(Window.partitionBy("code"))
+    return p.withColumn("last", last).where(F.col("d") >= F.date_sub("last", 365)).drop("last")
+
+
+#: PRJ-2: older names of the calendar returns and drawdowns.
+ALIASES = {"ret_7": "return_7d", "ret_30": "return_30d", "ret_60": "return_60d", "ret_90": "return_90d", "dd_7": "max_drawdown_7d", "dd_30": "max_drawdown_30d", "dd_60": "max_drawdown_60d", "dd_90": "max_drawdown_90d"}
+
+
+def with_aliases(df: DataFrame) -> DataFrame:
+    """PRJ-2: the columns of df that have older names under these as well."""
+    return df.withColumns({alias: F.col(c) for c, alias in ALIASES.items() if c in df.columns})
+
+
 def latest(p: DataFrame) -> DataFrame:
     """The end of each code's history as arrays in the order of dates: code, navs, rets.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundlattice.functions.numeric import first_distinct
+from fundlattice.functions.numeric import first_distinct, round_half_up
 
 PRIORITY = ("reduce", "avoid", "observe", "hold", "buy_watch")
 
@@ -100,3 +100,22 @@ def macro_risks(df: DataFrame, commodities: bool = False) -> DataFrame:
         (some, "国际地缘政治风险可能影响全球资本市场情绪"), (some, "美联储货币政策不确定性可能影响全球流动性和QDII基金表现"),
     ]
     return df.withColumn("risks", first_distinct(F.array_compact(F.array(*[F.when(c, text) for c, text in rules])), len(rules)))
+
+
+# fixed values: words for sentiment and flow
+MOODS = {"very_bullish": "非常乐观", "bullish": "偏乐观", "neutral": "中性", "bearish": "偏悲观", "very_bearish": "非常悲观"}
+FLOWS = {"strong_inflow": "大幅流入", "inflow": "净流入", "neutral": "平衡", "outflow": "净流出", "strong_outflow": "大幅流出"}
+
+
+def market_context(df: DataFrame, keys: list[str], name: str = "idx") -> DataFrame:
+    """DEC-6: the market in words: each index with its change, sentiment and money flow; one text for each of keys."""
+    line = F.concat(F.lit("  - "), F.col(name).cast("string"), F.format_string(": %+.2f%%", round_half_up(F.col("change_pct"), 2)))
+    lines = df.where("change_pct is not null").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name, line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    word = lambda c, words: F.element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), F.col(c))
+    text = F.concat(F.lit("## 市场环境\n主要指数:\n"), F.col("lines"), F.lit("\n市场情绪: "), word("sentiment", MOODS), F.lit("\n资金流向: "), word("flow", FLOWS))
+    return market_sentiment(df, keys).join(lines, keys, "left").select(*keys, F.coalesce(text, F.lit("市场环境数据不可用")).alias("context"))
+
+
+def with_results(positions: DataFrame, results: DataFrame) -> DataFrame:
+    """JOIN-8: each position with its code's results, if there are any; results have one row for each code."""
+    return positions.join(results, "code", "left")

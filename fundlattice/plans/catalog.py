@@ -162,7 +162,7 @@ DECISIONS = [
     Query("ensemble", on_samples(lambda s: dec.apply_stages(s, [dq._LLM, *dec.ENSEMBLE_STAGES]).select(*dq.ENSEMBLE)), dq.with_samples(f"SELECT {', '.join(dq.ENSEMBLE)} FROM {dec.stages_sql('smp', [dq._LLM, *dec.ENSEMBLE_STAGES])}"), "oversold blend"),
     Query(*dq._query("decision_advice", "risk_score advice advice_confidence buy_pct buy_amount near_max_loss", [*dq.STUBS, *dec.ADVICE_STAGES], "risk_score buy_amount")),
     Query(*dq._query("final_decision", "final_direction final_action final_confidence headline", [*dq.STUBS, *dec.FINAL_STAGES], "")),
-    Query(*dq._query("high_confidence_gate", "passed swing gate_action gate_score max_pct", [*dq.STUBS, *dec.GATE_STAGES], "gate_score")),
+    Query(*dq._query("high_confidence_gate", "failed_gates passed swing gate_action gate_score max_pct", [*dq.STUBS, *dec.GATE_STAGES], "gate_score")),
     Query("narrative", lambda s, d: dec.narrative(dec.apply_stages(dq.judged(s, d), [*dq.STUBS, *dec.FINAL_STAGES])), mq.NARRATIVE_SQL),
     Query("rule_search", on_models(lambda s, now: pred.rule_search(s, pred.rule_table(s.sparkSession), now)), dq._rule_sql(), "threshold hit coverage avg_return worst_return median_return profit_factor bound"),
 ]
@@ -209,6 +209,14 @@ DOCUMENTS = [
     Query("nav_normalised", dq.normalised, dq.NORMALISED_SQL, "unit_nav daily_ret_pct"),
 ]
 MORE = [
+    Query("one_year_cut", on_panel(lambda p: ind.one_year(p).select("code", "d", "i")), mq.ONE_YEAR_SQL),
+    Query("metric_aliases", on_panel(lambda p: ind.with_aliases(ind.returns_calendar(p)).select("code", "i", "return_7d", "return_30d", "return_60d", "return_90d")), mq.ALIASES_SQL, "return_7d return_30d return_60d return_90d"),
+    Query("uncertainties", on_samples(mq.uncertainties), mq.UNCERTAIN_SQL),
+    Query("market_context", lambda s, d: portfolio.market_context(dq.moves(s, d), ["event_type", "d"]), mq.CONTEXT_SQL),
+    Query("short_term_route", on_samples(mq.routed), mq.ROUTED_SQL, "route_up"),
+    Query("price_sources", mq.price_sources, mq.PRICE_SOURCES_SQL),
+    Query("holding_results", mq.holding_results, mq.HOLDING_RESULTS_SQL, "risk_score"),
+    Query("short_profiles", mq.short_profiles, mq.SHORT_PROFILES_SQL),
     Query("forecast_gates", mq.forecast_gates, mq.FORECAST_GATES_SQL),
     Query("short_streak", on_panel(ind.streak_c), mq.STREAK_C_SQL),
     Query("range_60", on_panel(ind.range_60), mq.RANGE_60_SQL, "ret_60 pos_60"),

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fundlattice.operators import backtest as bt
 from fundlattice.operators import decisions as dec
 from fundlattice.operators import indicators as ind
 from fundlattice.operators import joins, portfolio
 from fundlattice.plans import decision_queries as dq
-from fundlattice.plans.indicator_sql import OVER, rows, with_nav
+from fundlattice.plans.indicator_sql import OVER, RETURNS_CALENDAR, rows, with_nav
+from fundlattice.plans.walkforward_sql import with_samples
 from fundlattice.sources import profiles, readers
 from fundlattice.sources.panel import nav_panel, table
 from fundlattice.streaming import daily
@@ -140,3 +142,68 @@ DELAY_SQL = "SELECT code, data_end, date_diff('day', data_end, DATE '1998-08-02'
 NARRATIVE_SQL = dq._judged_sql(
     "SELECT code, d, printf('%s：风险分 %.1f（%s），趋势%s，近30日收益 %.2f%%，最大回撤 %.2f%%，波动率 %.2f%%。%s。仅供个人研究参考，不构成投资建议。', code, risk_score, risk_level, trend, ret_30d, dd_30, vol_30, headline) AS narrative FROM {rows}", [*dq.STUBS, *dec.FINAL_STAGES]
 )
+ONE_YEAR_SQL = with_nav("SELECT code, d, i FROM (SELECT *, max(d) OVER (PARTITION BY code) AS z FROM nav) WHERE d >= z - 365")
+UNCERTAIN_SQL = with_samples(
+    """SELECT code, CASE WHEN coalesce(a, b, c, e) IS NULL THEN '回测样本量尚可，但历史表现不代表未来' ELSE concat_ws('；', a, b, c, e) END AS uncertainties FROM (
+      SELECT code, arg_min(horizon || 'd周期阈值较高（' || printf('%.2f', t) || '%），反映波动较大，方向预测误差可能放大', horizon) FILTER (t > 5) AS a, CASE WHEN min(n) < 30 THEN '部分周期回测样本较少，历史准确率参考价值有限' END AS b,
+        CASE WHEN count(*) FILTER (hit < 50) >= 2 THEN '多个周期方向准确率低于随机猜测，需谨慎参考' END AS c, arg_min(horizon || 'd周期实际走势极端偏向震荡，方向预测区分度可能不足', horizon) FILTER (sideways > 80) AS e
+      FROM (SELECT code, horizon, count(*) AS n, avg((prediction = actual)::DOUBLE) * 100 AS hit, avg((actual = 'sideways')::DOUBLE) * 100 AS sideways, avg(threshold) AS t FROM smp GROUP BY 1, 2) GROUP BY code)"""
+)
+
+
+def uncertainties(sm: DataFrame) -> DataFrame:
+    return bt.uncertainties(sm).select("code", F.array_join("uncertainties", "；").alias("uncertainties"))
+
+
+CONTEXT_SQL = f"""WITH {dq._MOVES} SELECT event_type, d, '## 市场环境' || chr(10) || '主要指数:' || chr(10) || lines || chr(10) || '市场情绪: ' ||
+  CASE WHEN mean > 1.5 AND up >= n * 0.75 THEN '非常乐观' WHEN mean > 0.5 AND up >= n * 0.6 THEN '偏乐观' WHEN mean < -1.5 AND up <= n * 0.25 THEN '非常悲观' WHEN mean < -0.5 AND up <= n * 0.4 THEN '偏悲观' ELSE '中性' END || chr(10) || '资金流向: ' ||
+  CASE WHEN mean > 0.8 THEN '大幅流入' WHEN mean > 0.3 THEN '净流入' WHEN mean < -0.8 THEN '大幅流出' WHEN mean < -0.3 THEN '净流出' ELSE '平衡' END AS context
+  FROM (SELECT event_type, d, avg(change_pct) AS mean, count(*) FILTER (change_pct > 0) AS up, count(*) AS n, string_agg('  - ' || idx || printf(': %+.2f%%', floor(change_pct * 100 + 0.5) / 100), chr(10) ORDER BY idx) AS lines FROM m GROUP BY 1, 2)"""
+_ROUTED = {"trained": "code = '3-MEDIUM'"}
+
+
+def routed(sm: DataFrame) -> DataFrame:
+    out = dec.apply_stages(sm, [dq._LLM | _ROUTED, *dec.ROUTE_STAGES])
+    return out.select("code", "horizon", "i", "route", "route_up", "route_direction", "route_confidence")
+
+
+ROUTED_SQL = with_samples(
+    """SELECT code, horizon, i, CASE WHEN code = '3-MEDIUM' THEN 'trained' WHEN llm IS NULL THEN 'rules' ELSE 'ensemble' END AS route,
+      CASE WHEN code = '3-MEDIUM' THEN p WHEN llm IS NULL THEN CASE s WHEN 'low' THEN 60 WHEN 'high' THEN 40 ELSE 50 END ELSE b END AS route_up,
+      CASE WHEN code = '3-MEDIUM' THEN CASE WHEN p >= 58 THEN 'up' WHEN p <= 45 THEN 'down_or_flat' ELSE 'uncertain' END WHEN llm IS NULL THEN CASE s WHEN 'low' THEN 'up' WHEN 'high' THEN 'down_or_flat' ELSE 'uncertain' END
+        WHEN b >= 58 THEN 'up' WHEN b <= 42 THEN 'down_or_flat' ELSE 'uncertain' END AS route_direction,
+      CASE WHEN code = '3-MEDIUM' THEN '低' WHEN llm IS NULL THEN CASE WHEN s = 'mid' THEN '低' ELSE '中' END WHEN pts >= 5 THEN '高' WHEN pts >= 3 THEN '中' ELSE '低' END AS route_confidence
+    FROM (SELECT *, CASE WHEN i % 2 = 0 THEN 3 WHEN i % 5 = 0 THEN 2 ELSE 1 END + CASE WHEN abs(b - 50) > 15 THEN 2 WHEN abs(b - 50) > 10 THEN 1 ELSE 0 END + (rsi_14 < 30 OR rsi_14 > 70 OR bb_pos < 10 OR bb_pos > 90)::INT AS pts FROM
+      (SELECT *, 0.6 * llm + 0.2 * p + 0.2 * least(90, greatest(10, 50 + CASE WHEN x < 25 THEN 25 WHEN x < 30 THEN 18 WHEN x < 35 THEN 10 WHEN x > 75 THEN -25 WHEN x > 70 THEN -18 WHEN x > 65 THEN -10 ELSE 0 END
+          + CASE WHEN bb_pos < 5 THEN 15 WHEN bb_pos < 10 THEN 10 WHEN bb_pos > 95 THEN -15 WHEN bb_pos > 90 THEN -10 ELSE 0 END)) AS b,
+        CASE WHEN x < 30 OR bb_pos < 15 THEN 'low' WHEN x > 70 OR bb_pos > 85 THEN 'high' ELSE 'mid' END AS s FROM
+      (SELECT *, probability * 100 AS p, CASE WHEN horizon <= 3 THEN rsi_6 ELSE rsi_14 END AS x, CASE WHEN i % 3 <> 0 THEN 50 + ret_1 * 8 END AS llm FROM smp)))"""
+)
+
+
+def price_sources(s: SparkSession, d: str) -> DataFrame:
+    """Prices of suppliers from four sources in order: two providers, each adjusted first; the first that has any counts."""
+    lines = table(s, d, "lineitem").select(F.col("l_suppkey").alias("code"), F.col("l_orderkey").alias("k"), "l_linenumber", "l_returnflag")
+    pick = lambda flag, odd: lines.where((F.col("l_returnflag") == flag) & (F.col("l_linenumber") % 4 == odd)).select("code", "k")
+    out = readers.with_fallback([pick("R", 3), pick("R", 2), pick("A", 3), pick("A", 2)], enough=1, least=1)
+    return out.groupBy("code").agg(F.count("*").alias("n"), F.min("k").alias("first_k"))
+
+
+PRICE_SOURCES_SQL = """WITH x AS (SELECT l_suppkey AS code, l_orderkey AS k, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 2 END + CASE WHEN l_linenumber % 4 = 3 THEN 0 ELSE 1 END AS src FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_linenumber % 4 IN (2, 3))
+SELECT code, count(*) AS n, min(k) AS first_k FROM x WHERE src = (SELECT min(src) FROM x y WHERE y.code = x.code) GROUP BY code"""
+
+
+def holding_results(s: SparkSession, d: str) -> DataFrame:
+    p = dq.positions(s, d)
+    return portfolio.with_results(p.select("portfolio", "code"), p.where("risk_score > 50").select("code", "risk_score", "action"))
+
+
+HOLDING_RESULTS_SQL = f"WITH {dq._P} SELECT p.portfolio, p.code, r.risk_score, r.action FROM p LEFT JOIN (SELECT * FROM p WHERE risk_score > 50) r ON p.code = r.code"
+
+
+def short_profiles(s: SparkSession, d: str) -> DataFrame:
+    return profiles.short_profile(profile_pivot(s, d), ["type", "manager", "size"])
+
+
+SHORT_PROFILES_SQL = "SELECT p_partkey AS code, p_type AS type, CASE WHEN p_partkey % 4 <> 0 THEN p_brand ELSE 'unavailable' END AS manager, 'unavailable' AS size FROM part"
+ALIASES_SQL = f"SELECT code, i, ret_7 AS return_7d, ret_30 AS return_30d, ret_60 AS return_60d, ret_90 AS return_90d FROM ({RETURNS_CALENDAR})"

@@ -27,6 +27,11 @@ def first_known(frames: Sequence[DataFrame], fields: Sequence[str], key: str = "
     return united.groupBy(key).agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("__n"))).alias(f) for f in fields])
 
 
+def short_profile(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """SRC-16, SRC-5: the code and these fields, "unavailable" where a field is missing or not known."""
+    return df.select("code", *[(F.coalesce(F.col(f).cast("string"), F.lit("unavailable")) if f in df.columns else F.lit("unavailable")).alias(f) for f in fields])
+
+
 def company_of(items: DataFrame) -> DataFrame:
     """SRC-3: the first value, in order, of an item whose name holds 公司."""
     return items.where(F.contains("item", F.lit("公司")) & (F.col("value") != "")).groupBy("code").agg(F.min_by("value", "ord").alias("company"))

@@ -86,3 +86,8 @@ def test_macro_words_and_their_synonyms(spark, appetite, overseas, forex, points
     df = spark.createDataFrame([(True, appetite, overseas, forex, "none", None, None, None)], "macro_ok boolean, risk_appetite string, overseas string, forex_pressure string, commodity_disturbance string, vol_30 double, vol_60 double, down_30 double")
     assert df.select(F.expr(scoring.risk_part("macro_risk"))).first()[0] == points
     assert df.select(F.expr(scoring.risk_part("volatility_risk"))).first()[0] == 40.0  # a missing volatility counts as none
+
+
+def test_failed_gates_are_named(spark):
+    assert gate(spark)["failed_gates"] == ""
+    assert gate(spark, risk_score=60.0, rsi_14=75.0, status="unavailable")["failed_gates"] == "status,risk,rsi"
