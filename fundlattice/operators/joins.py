@@ -27,6 +27,12 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str = "code", time: str =
     return out.withColumns({v: F.last(v, ignorenulls=True).over(w) for v in values})
 
 
+def with_factors(rows: DataFrame, panel: DataFrame, factors: DataFrame, behind: int) -> DataFrame:
+    """PRD-3: rows (code, i, ...) with the factors known at the panel's row i - behind of the code, null where there are none yet."""
+    known = as_of_join(panel.select("code", "d", "i"), factors).drop("d").withColumn("i", F.col("i") + behind)
+    return rows.join(known, ["code", "i"], "left")
+
+
 def quarter_key(text: Column) -> Column:
     """REL-4: year * 10 + quarter of a text like 2023年4季度...; 0 without one."""
     year, quarter = (F.regexp_extract(text, r"(\d{4})年(\d+)季度", k).try_cast("int") for k in (1, 2))

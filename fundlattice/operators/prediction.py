@@ -119,12 +119,14 @@ def rule_templates(horizon: int, external: bool = False) -> list[dict[str, float
 
 #: Feature of each rule key in the samples' columns.
 FEATURES = {"position_30d": "pos_30", "position_60d": "pos_60", "rsi_14": "rsi_14", "bb_position": "bb_pos", "return_5d": "ret_5", "return_20d": "ret_20", "prev_return": "prev_return", "score": "adjusted"}
+#: Those of baskets of a fund's holdings, which some templates ask for.
+EXTERNAL = {c: c for c in ("factor_return_1d", "factor_return_5d", "factor_return_20d", "factor_position_30d", "factor_above_ma20", "factor_volatility_20d")}
 
 
-def rule_table(spark: SparkSession, horizons=(1, 3, 7, 30)) -> DataFrame:
+def rule_table(spark: SparkSession, horizons=(1, 3, 7, 30), external: bool = False) -> DataFrame:
     """D5: horizon, ord and a nullable bound for each key; a few hundred rows, whatever the data."""
-    keys = [f"{f}_{side}" for f in FEATURES for side in ("min", "max")]
-    rows = [(h, n, *(rule.get(k) for k in keys)) for h in horizons for n, rule in enumerate(rule_templates(h))]
+    keys = [f"{f}_{side}" for f in (FEATURES | EXTERNAL if external else FEATURES) for side in ("min", "max")]
+    rows = [(h, n, *(rule.get(k) for k in keys)) for h in horizons for n, rule in enumerate(rule_templates(h, external))]
     return spark.createDataFrame(rows, "horizon int, ord int, " + ", ".join(f"{k} double" for k in keys))
 
 
@@ -151,7 +153,7 @@ def meets(features: dict[str, str] = FEATURES) -> Column:
     return F.coalesce(met, F.lit(False))
 
 
-def rule_metrics(s: DataFrame, rules: DataFrame, count: int = 70, low: float = 0.55, step: float = 0.005) -> DataFrame:
+def rule_metrics(s: DataFrame, rules: DataFrame, features: dict[str, str] = FEATURES, count: int = 70, low: float = 0.55, step: float = 0.005) -> DataFrame:
     """AGG-13 for every template and every probability threshold, by part of the samples.
 
     Samples meet the broadcast templates once (a few hundred rows of fixed number); each pair falls into a bin of its
@@ -161,21 +163,21 @@ def rule_metrics(s: DataFrame, rules: DataFrame, count: int = 70, low: float = 0
     parts = s.join(s.groupBy(*KEYS).agg(F.count("*").alias("n")), list(KEYS))
     order = Window.partitionBy(*KEYS).orderBy("i")
     parts = parts.withColumns({"rn": F.row_number().over(order), "fold": F.ntile(FOLDS).over(order)}).withColumn("train", F.col("rn") <= F.greatest(F.lit(1), F.col("n") - F.greatest(F.lit(1), F.least(F.ceil(F.col("n") * 0.3), F.greatest(F.col("n") - 1, F.lit(1))))))
-    slim = parts.select(*KEYS, "n", "fold", "train", "up", "ret", F.least(F.lit(count), F.floor((F.col("probability") - low) / step + 1e-9)).alias("k"), *[c for c in dict.fromkeys(FEATURES.values())]).where("k >= 0")
-    pairs = slim.join(F.broadcast(rules), "horizon").where(meets())
+    slim = parts.select(*KEYS, "n", "fold", "train", "up", "ret", F.least(F.lit(count), F.floor((F.col("probability") - low) / step + 1e-9)).alias("k"), *dict.fromkeys(features.values())).where("k >= 0")
+    pairs = slim.join(F.broadcast(rules), "horizon").where(meets(features))
     values = {"c": F.lit(1), "h": F.col("up").cast("int"), "s": F.col("ret"), "g": F.greatest("ret", F.lit(0.0)), "l": F.least("ret", F.lit(0.0))}
     masks = {"": F.lit(True), "_t": F.col("train"), "_v": ~F.col("train")} | {f"_{f}": F.col("fold") == f for f in range(1, FOLDS + 1)}
     return pairs.groupBy(*KEYS, "ord", "k", "n").agg(*[F.sum(F.when(m, v).otherwise(v * 0)).alias(x + tag) for tag, m in masks.items() for x, v in values.items()], F.min("ret").alias("m"))
 
 
-def rule_search(s: DataFrame, rules: DataFrame, present: DataFrame) -> DataFrame:
+def rule_search(s: DataFrame, rules: DataFrame, present: DataFrame, features: dict[str, str] = FEATURES) -> DataFrame:
     """PRD-5: the best rule of each code and horizon among those whose full-sample figures pass all gates.
 
     Valid rules (training, validation and folds pass as well) come before others; among either, rules that the present
     row meets; then the higher hit rate, more signals, the lower threshold and the earlier template. Median and worst
     return are those of the rule's signals.
     """
-    cells = rule_metrics(s, rules)
+    cells = rule_metrics(s, rules, features)
     base = binary_metrics(s).select(*KEYS, F.greatest("up_rate", "momentum_hit").alias("baseline"))
     # sums over falling thresholds; a row stands for the thresholds above the next lower bin, of which the lowest is named
     down = Window.partitionBy(*KEYS, "ord").orderBy(F.desc("k"))
@@ -201,8 +203,8 @@ def rule_search(s: DataFrame, rules: DataFrame, present: DataFrame) -> DataFrame
         "cv_ok": (evaluable >= 2) & (passed * 100.0 >= evaluable * 50.0) & (fold_mean > 0),
     })
     full = full.withColumn("valid", F.col("train_ok") & F.col("validation_ok") & F.col("cv_ok"))
-    now = present.select(*KEYS, F.col("probability").alias("now"), *dict.fromkeys(FEATURES.values()))
-    met = meets() & (F.col("now") >= low_threshold() + F.col("t") * 0.005)
+    now = present.select(*KEYS, F.col("probability").alias("now"), *dict.fromkeys(features.values()))
+    met = meets(features) & (F.col("now") >= low_threshold() + F.col("t") * 0.005)
     full = full.join(F.broadcast(rules), ["horizon", "ord"]).join(now, list(KEYS), "left").withColumn("matches_now", F.coalesce(met, F.lit(False)))
     rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("valid"), F.desc("matches_now"), F.desc(F.round(hit(""), 9)), F.desc("c"), "t", "ord"))
     best = full.withColumn("rank", rank).where("rank = 1")
@@ -210,7 +212,7 @@ def rule_search(s: DataFrame, rules: DataFrame, present: DataFrame) -> DataFrame
     chosen = best.select(*KEYS, "ord", *figures, "train_ok", "validation_ok", "cv_ok", "valid", "matches_now", "t")
     bounds = chosen.select(*KEYS, "ord", "t").join(F.broadcast(rules), ["horizon", "ord"])
     bin_of = F.floor((F.col("probability") - low_threshold()) / 0.005 + 1e-9)
-    medians = s.join(bounds, list(KEYS)).where(meets() & (bin_of >= F.col("t"))).groupBy(*KEYS).agg(F.median("ret").alias("median_return"))
+    medians = s.join(bounds, list(KEYS)).where(meets(features) & (bin_of >= F.col("t"))).groupBy(*KEYS).agg(F.median("ret").alias("median_return"))
     return chosen.drop("t").join(medians, list(KEYS))
 
 

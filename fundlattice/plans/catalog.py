@@ -86,7 +86,7 @@ INDICATORS = [
 SAMPLE = "code horizon i market prediction actual momentum threshold ret raw_score score adjusted probability prev_return up momentum_up pos_30 pos_60 rsi_6 rsi_14 bb_pos ret_1 ret_5 ret_20"
 
 
-PRESENT = ["code", "horizon", "probability", *dict.fromkeys(pred.FEATURES.values())]
+PRESENT = ["code", "horizon", "i", "probability", *dict.fromkeys(pred.FEATURES.values())]
 _kept: list[DataFrame] = []
 
 
@@ -113,6 +113,17 @@ def on_models(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[Spark
     return lambda spark, sf_dir: on_samples(lambda s: f(s, wf.present(nav_panel(spark, sf_dir)).select(*PRESENT)), passes=2)(spark, sf_dir)
 
 
+def external_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule search with templates on the factors of a fund's basket, for codes that stand for a fund each."""
+    panel, factors = nav_panel(spark, sf_dir), dq.code_factors(spark, sf_dir)
+
+    def search(s: DataFrame, now: DataFrame) -> DataFrame:
+        s = _keep(joins.with_factors(s, panel, factors, behind=1))
+        return pred.rule_search(s, pred.rule_table(spark, external=True), joins.with_factors(now, panel, factors, behind=0), pred.FEATURES | pred.EXTERNAL)
+
+    return search(wf.samples(panel).select(*SAMPLE.split()), wf.present(panel).select(*PRESENT))
+
+
 BACKTEST = [
     Query("walkforward_features", on_panel(lambda p: wf.features(p).select("code", "i", *bsql.FEATURE_DOUBLES.split(), *bsql.FEATURE_LABELS.split())), bsql.WALKFORWARD_FEATURES, bsql.FEATURE_DOUBLES),
     Query("walkforward_labels", on_samples(lambda s: s.select(*bsql.LABEL_COLUMNS.split(), "threshold", "ret", "raw_score", "score")), bsql.LABELS_SQL, "threshold ret raw_score score"),
@@ -164,6 +175,7 @@ DECISIONS = [
     Query(*dq._query("final_decision", "final_direction final_action final_confidence headline", [*dq.STUBS, *dec.FINAL_STAGES], "")),
     Query(*dq._query("high_confidence_gate", "failed_gates passed swing gate_action gate_score max_pct", [*dq.STUBS, *dec.GATE_STAGES], "gate_score")),
     Query("narrative", lambda s, d: dec.narrative(dec.apply_stages(dq.judged(s, d), [*dq.STUBS, *dec.FINAL_STAGES])), mq.NARRATIVE_SQL),
+    Query("rule_search_external", external_rules, dq._rule_sql(external=True), "threshold hit coverage avg_return worst_return median_return profit_factor bound"),
     Query("rule_search", on_models(lambda s, now: pred.rule_search(s, pred.rule_table(s.sparkSession), now)), dq._rule_sql(), "threshold hit coverage avg_return worst_return median_return profit_factor bound"),
 ]
 PORTFOLIO = [

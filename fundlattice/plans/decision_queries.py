@@ -106,9 +106,17 @@ bf AS (SELECT fund, d, (v / lag(v, 1) OVER p - 1) * 100 AS factor_return_1d, (v
 BASKET_CTES = (HOLDINGS_SQL.strip(), _TOP, PRICE_SQL.strip(), _BASKET)
 
 
+CODES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def code_factors(s: SparkSession, d: str) -> DataFrame:
+    """The factors of five funds under the codes of the panel's series, one for each."""
+    return basket(s, d).join(F.broadcast(s.createDataFrame(list(enumerate(CODES)), "fund long, code string")), "fund").drop("fund")
+
+
 def asof_factors(s: SparkSession, d: str) -> DataFrame:
     """The factors of every fund as of each date of the panel's code that the fund goes by."""
-    names = F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
+    names = F.array(*map(F.lit, CODES))
     funds = table(s, d, "nation").select(F.col("n_nationkey").alias("fund"), F.element_at(names, (F.col("n_nationkey") % 5 + 1).cast("int")).alias("code"))
     dates = nav_panel(s, d).select("code", "d", "i").join(F.broadcast(funds), "code").drop("code")  # a fund for each nation
     return joins.as_of_join(dates, basket(s, d), key="fund")
@@ -122,8 +130,9 @@ ASOF_SQL = with_nav(
 )
 # rule search
 _KEYS = [f"{f}_{side}" for f in pred.FEATURES for side in ("min", "max")]
-_RULES = ", ".join(f"({h}, {n}, {', '.join('NULL' if rule.get(k) is None else repr(float(rule[k])) for k in _KEYS)})" for h in scoring.HORIZONS for n, rule in enumerate(pred.rule_templates(h)))
-_MET = " AND ".join(f"({k} IS NULL OR {pred.FEATURES[k[:-4]]} {'>=' if k.endswith('min') else '<='} {k})" for k in _KEYS)
+_MORE_KEYS = _KEYS + [f"{f}_{side}" for f in pred.EXTERNAL for side in ("min", "max")]
+_BOUNDS = lambda keys, external: ", ".join(f"({h}, {n}, {', '.join('NULL::DOUBLE' if rule.get(k) is None else repr(float(rule[k])) for k in keys)})" for h in scoring.HORIZONS for n, rule in enumerate(pred.rule_templates(h, external)))
+_MEETS = lambda keys: " AND ".join(f"({k} IS NULL OR {(pred.FEATURES | pred.EXTERNAL)[k[:-4]]} {'>=' if k.endswith('min') else '<='} {k})" for k in keys)
 _SUMS = "count(*) AS c, count(*) FILTER (up) AS h, sum(ret) AS s, sum(greatest(ret, 0)) AS g, sum(least(ret, 0)) AS l, min(ret) AS m"
 _CASE = lambda values: "CASE horizon " + " ".join(f"WHEN {h} THEN {v}" for h, v in values.items()) + " END"
 
@@ -137,7 +146,18 @@ def _wilson(p: str) -> str:
     return f"greatest(0, ({q} + 3.8416 / (2 * {n}) - 1.96 * sqrt(({q} * (1 - {q}) + 3.8416 / (4 * {n})) / {n})) / (1 + 3.8416 / {n}) * 100)"
 
 
-def _rule_sql() -> str:
+def _rule_sql(external: bool = False) -> str:
+    keys = _MORE_KEYS if external else _KEYS
+    _MET, rules = _MEETS(keys), _BOUNDS(keys, external)
+    known = ", ".join(pred.EXTERNAL)
+    more = (
+        *BASKET_CTES,
+        f"fc AS (SELECT [{', '.join(map(repr, CODES))}][fund + 1] AS code, * EXCLUDE (fund) FROM bf WHERE fund < 5)",
+        "fj AS (SELECT n.code, n.d, n.i, " + ", ".join(f"fc.{c}" for c in pred.EXTERNAL) + " FROM nav n ASOF LEFT JOIN fc ON n.code = fc.code AND n.d >= fc.d)",
+        "fk AS (SELECT code, i, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY code ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in pred.EXTERNAL) + " FROM fj)",
+    ) if external else ()
+    samples = f"(SELECT s.*, {known} FROM smp s LEFT JOIN fk ON s.code = fk.code AND s.i - 1 = fk.i)" if external else "smp"
+    present = f"(SELECT s.*, {known} FROM now s LEFT JOIN fk ON s.code = fk.code AND s.i = fk.i)" if external else "now"
     part = lambda cond, tag: ", ".join(f"coalesce(sum({x}) FILTER ({cond}), 0) AS {x}{tag}" for x in "chsgl")
     least, val = _CASE(pred.MIN_SIGNALS), _CASE(pred.MIN_VALIDATION)
     least_t = _CASE({h: max(pred.MIN_VALIDATION[h], -(-pred.MIN_SIGNALS[h] * 65 // 100)) for h in pred.MIN_SIGNALS})
@@ -153,12 +173,13 @@ def _rule_sql() -> str:
         FROM (SELECT *, row_number() OVER (PARTITION BY code, horizon ORDER BY train_ok AND validation_ok AND cv_ok DESC, matches_now DESC, round(h * 100.0::DOUBLE / c, 9) DESC, c DESC, t, ord) AS rk FROM
           (SELECT *, coalesce(c_t > 0 AND {_passes('_t', least_t, 80, 5, 1.05)} AND {_wilson('_t')} >= 55, FALSE) AS train_ok, coalesce({_passes('_v', val, 80, 5, 1)}, FALSE) AS validation_ok,
              ({seen}) >= 2 AND ({good}) * 100 >= ({seen}) * 50 AND ({mean}) > 0 AS cv_ok,
-             EXISTS (SELECT 1 FROM now p JOIN ru ON p.horizon = ru.horizon AND {_MET} WHERE p.code = agg.code AND p.horizon = agg.horizon AND ru.ord = agg.ord AND p.probability >= 0.55::DOUBLE + t * 0.005::DOUBLE) AS matches_now
+             EXISTS (SELECT 1 FROM {present} p JOIN ru ON p.horizon = ru.horizon AND {_MET} WHERE p.code = agg.code AND p.horizon = agg.horizon AND ru.ord = agg.ord AND p.probability >= 0.55::DOUBLE + t * 0.005::DOUBLE) AS matches_now
            FROM agg WHERE {_passes('', least, 80, 5, 1.05)} AND {_wilson('')} >= 55)) bst WHERE rk = 1""",
+        *more,
         "bs AS (SELECT code, horizon, greatest(avg(up::DOUBLE), avg((momentum_up = up)::DOUBLE)) * 100 AS base FROM smp GROUP BY 1, 2)",
-        f"ru(horizon, ord, {', '.join(_KEYS)}) AS (VALUES {_RULES})",
-        """pt AS (SELECT *, ntile(4) OVER (PARTITION BY code, horizon ORDER BY i) AS fold, row_number() OVER (PARTITION BY code, horizon ORDER BY i) <= count(*) OVER (PARTITION BY code, horizon) - ceil(count(*) OVER (PARTITION BY code, horizon) * 0.3::DOUBLE) AS train,
-          count(*) OVER (PARTITION BY code, horizon) AS n, least(70, floor((probability - 0.55::DOUBLE) / 0.005::DOUBLE + 1e-9)) AS k FROM smp)""",
+        f"ru(horizon, ord, {', '.join(keys)}) AS (VALUES {rules})",
+        f"""pt AS (SELECT *, ntile(4) OVER (PARTITION BY code, horizon ORDER BY i) AS fold, row_number() OVER (PARTITION BY code, horizon ORDER BY i) <= count(*) OVER (PARTITION BY code, horizon) - ceil(count(*) OVER (PARTITION BY code, horizon) * 0.3::DOUBLE) AS train,
+          count(*) OVER (PARTITION BY code, horizon) AS n, least(70, floor((probability - 0.55::DOUBLE) / 0.005::DOUBLE + 1e-9)) AS k FROM {samples})""",
         f"ce AS (SELECT p.code, p.horizon, ord, k, fold, train, n, {_SUMS} FROM pt p JOIN ru ON p.horizon = ru.horizon AND {_MET} WHERE k >= 0 GROUP BY ALL)",
         f"agg AS (SELECT ce.code, ce.horizon, ord, t, ce.n, any_value(base) AS base, sum(c) AS c, sum(h) AS h, sum(s) AS s, sum(g) AS g, sum(l) AS l, min(m) AS m, {part('train', '_t')}, {part('NOT train', '_v')}, {', '.join(part(f'fold = {f}', f'_{f}') for f in folds)} FROM ce JOIN range(71) r(t) ON t <= k JOIN bs ON ce.code = bs.code AND ce.horizon = bs.horizon GROUP BY 1, 2, 3, 4, 5)",
     )
