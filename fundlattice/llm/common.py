@@ -7,7 +7,15 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that a Python worker gets at once while a table is stored.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+#: See join_frequent.
+FREQUENT_SHARE = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made, and removed at exit.
+    Only in local mode, where all share one machine, may it be unset: then a temporary folder is made, and removed at
+    exit. A cluster without the setting is an error, as each machine would write to a folder of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="fundlattice-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
@@ -31,11 +42,17 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
-    That cuts the lineage and fixes the rows: a lost executor costs a re-read, not a recomputation.
+    That cuts the lineage and fixes the rows: a lost executor costs a re-read, not a recomputation. Meanwhile
+    Python workers get BATCH_ROWS rows at a time, as texts and arrays of members are long.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, min(int(before), BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._stash_path = path
     return back
@@ -50,6 +67,65 @@ def unstash(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """The stored tables of one operator: each can be dropped once it is used up, and the end drops all."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        self.held.append(df)
+        return df
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        return self.hold(stash(df, tag))
+
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            unstash(df)
+        self.held = [h for h in self.held if all(h is not df for df in frames)]
+
+    def end(self, df: DataFrame, tag: str) -> DataFrame:
+        """df, stored; whatever else was stored is deleted."""
+        out = stash(df, tag)
+        self.drop(*self.held)
+        return out
+
+
+def join_frequent(rows: DataFrame, by: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """Inner join of rows with `by`, which is unique in keys, where a key may hold a large share of the rows.
+
+    Keys of more than one row in FREQUENT_SHARE, of which there are fewer than that, are broadcast with what `by` has for
+    them; so the shuffled join of the other rows has no hot key.
+    """
+    counts = scratch.keep(rows.groupBy(*keys).count(), "counts")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    often = F.broadcast(counts.where(F.col("count") * FREQUENT_SHARE > total).drop("count"))
+    return rows.join(F.broadcast(by.join(often, keys)), keys).unionAll(rows.join(often, keys, "left_anti").join(by, keys).select(*rows.join(by, keys).columns))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores put before it until no column is called so."""
+    while name.lower() in (c.lower() for c in columns):
+        name = "_" + name
+    return name
+
+
+def text_portions(batches, column: int, most_bytes: int, most_texts: int = 1_024):
+    """(part of a batch, its texts) for batches with texts in a column; a part holds one text, or so many bytes and texts.
+
+    Only one part's texts are Python strings at a time; null texts are empty.
+    """
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        begin = 0
+        while begin < len(size):
+            fits = int(np.searchsorted(np.cumsum(size[begin : begin + most_texts]), most_bytes, side="right"))
+            part = batch.slice(begin, max(1, fits))
+            yield part, [t or "" for t in part.column(column).to_pylist()]
+            begin += part.num_rows
+
+
 def slices(texts: list[str], most: int = 2_000_000):
     """(first, end) ranges of texts with at most that many characters together, or one text."""
     begin = total = 0

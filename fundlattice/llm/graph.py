@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges has columns a and b (long, not null; either order, repeats and loops allowed). The stars converge
     in about the logarithm of the longest path; each step is a minimum by key with partial sums and a
     join whose hot keys AQE splits. Steps are written to the shared folder. An id that only has loops
-    isn't returned.
+    isn't returned. unstash() deletes what the result reads.
     """
     now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     told = None
@@ -39,4 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(print_of) == told or not print_of[0]:
             break
         told = tuple(print_of)
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select("b", "b").distinct().toDF("id", "component"))
+    out = now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select("b", "b").distinct().toDF("id", "component"))
+    out._stash_path = now._stash_path
+    return out

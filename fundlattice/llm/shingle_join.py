@@ -4,27 +4,33 @@ from __future__ import annotations
 
 import functools
 import itertools
-import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stash, table
+from .common import Scratch, join_frequent, table, text_portions
 from .graph import components
+from .packed import bucket_bits, cuts, pack, pack_keys, planned_bytes, unpack, unpack_keys
 
 #: Bits of a set's bitmap.
 BITS = 2_048
 #: Members of a tile that one task compares with as many others.
 BLOCK = 1_024
-#: Bytes of input for each bucket of tile keys, and the fewest buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 2_000_000, 64
-#: Further hubs of a tile before its members are compared with each other.
-MORE_HUBS = 3
-#: Characters that are hashed at once, and tile keys that a task holds before it passes them on.
-PORTION, HELD_KEYS = 300_000, 500_000
+#: Bytes of input for each bucket of members, and the fewest buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 1_000_000, 64
+#: Further hubs of a tile before its members are compared with each other, and the growth of pairs tried by then.
+MORE_HUBS, MORE_PAIRS = 1, 8
+#: Bytes of texts that are hashed at once, and members that a task holds before it passes them on.
+PORTION, HELD_MEMBERS = 300_000, 300_000
+#: A member that more sets of a portion have is sent once, with their number (at least 1, as what is counted is shared).
+SENT_APART = 8
+#: Kinds of packed rows: a portion's sets and its frequent members; members with the sets that have them, or with their number.
+SETS, HOT, MEMBERS, COUNTED = range(4)
+PACKED_NAMES = ["portion", "bucket", "kind", "keys", "owners", "counts"]
+PACKED = "portion long, bucket long, kind int, keys binary, owners binary, counts binary"
 #: Rows that may be broadcast (of two numbers each).
 BROADCAST_IDS = 500_000
 
@@ -126,65 +132,39 @@ def bitmaps(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return np.packbits((flips & 1).astype(np.uint8), axis=1)
 
 
-class Bands:
-    """Size bands: a set's partners lie in its band or the next ones beside it.
+def band_bounds(percent: int, largest: int) -> np.ndarray:
+    """Sizes at which size bands begin: a set's partners lie in its band or the next ones beside it."""
+    bounds = [1]
+    while bounds[-1] <= largest:
+        bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 100 // percent)))
+    return np.array(bounds, np.int64)
 
-    percent: sets link when 100 * intersection >= percent * union. Sets of band j have bounds[j] up to
-    bounds[j + 1] - 1 members. A pair, judged in the band of its larger set, has at most `apart` members that
-    only one of them has. So of apart + 1 + spare slices of the space of hashes at least spare + 1 hold the
-    same members in both sets.
+
+def prefix_length(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """How many of a set's first members, in an order that all sets share, surely hold one of a linked set's first.
+
+    Linked sets have at least ceil(percent * size / 100) members in common, whichever of the two sizes is taken.
     """
+    return sizes - -(-sizes * percent // 100) + 1
+
 
-    def __init__(self, percent: int, largest: int):
-        bounds = [1]
-        while bounds[-1] <= largest:
-            bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 100 // percent)))
-        for _ in range(2):
-            bounds.append(-(-bounds[-1] * 100 // percent))
-        self.bounds = np.array(bounds, np.int64)
-        apart = (100 - percent) * 2 * (self.bounds[1:] - 1) // (100 + percent)
-        spare = [0] * len(apart)
-        for j, d in enumerate(apart.tolist()):
-            if d:
-                for _ in range(4):
-                    k = d + 1 + spare[j]
-                    spare[j] = math.ceil(1.5 * k * math.exp(-max(1.0, bounds[j] * percent / 100) / k))
-        self.spare = np.array(spare, np.int64)
-        self.slices = np.where(apart > 0, apart + 1 + self.spare, 0)  # sets of one band that may not differ are equal
-
-
-def tile_keys(owner: np.ndarray, value: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, tile key) for each set and slice.
-
-    A key stands for a band, a slice, and the members that the set has there. Each set gives keys in its own band
-    and the next. Slices without members give keys only where a set has more of them than the band's spare
-    slices: of two sets' common slices at least spare + 1 match, so either a slice with members is among
-    them or both sets have more empty ones than that.
+def tile_keys(owner: np.ndarray, value: np.ndarray, count: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the set, tile key) for the rarest members of each set that other sets have too.
+
+    owner, value, count: the set, the hash and the number of sets of each member that more than one set has. Members
+    are ordered by that number, then by hash. Those that no other set has come first and give no key; of the
+    others a set gives as many as its prefix has left (see prefix_length), so linked sets share a key. A key stands for a
+    member and a size band; each set gives keys in its own band and the next.
     """
-    sizes = np.bincount(owner, minlength=n)
-    bands = Bands(percent, int(sizes.max(initial=1)))
-    home = np.searchsorted(bands.bounds, sizes, side="right") - 1
-    whose, keys = [], []
-    for step in (0, 1):
-        band = np.maximum(home, 0) + step
-        count = np.where(sizes > 0, bands.slices[band], 0)
-        offset = np.cumsum(count) - count
-        mine = count[owner] > 0
-        o, v = owner[mine], value[mine]
-        slot = offset[o] + ((v >> _U(32)) * count[o].astype(np.uint64) >> _U(32)).astype(np.int64)
-        sums, filled = np.zeros(int(count.sum()), np.uint64), np.zeros(int(count.sum()), bool)
-        if len(slot):
-            firsts = np.flatnonzero(np.r_[True, np.diff(slot) != 0])
-            sums[slot[firsts]] = np.add.reduceat(mix(v ^ series(1, 6)[0]), firsts)
-            filled[slot[firsts]] = True
-        who = np.repeat(np.arange(n), count)
-        empties = np.bincount(who, weights=~filled, minlength=n)
-        give = filled | (empties > bands.spare[band])[who]
-        place = (np.arange(len(who)) - np.repeat(offset, count)).astype(np.uint64)
-        named = mix(sums + mix((band[who].astype(np.uint64) << _U(40)) + place))
-        whose.append(who[give])
-        keys.append(named[give])
-    return np.concatenate(whose), np.concatenate(keys)
+    order = np.lexsort((value, count, owner))
+    owner, value = owner[order], value[order]
+    shared = np.bincount(owner, minlength=len(sizes))
+    left = prefix_length(sizes, percent) - (sizes - shared)
+    rank = np.arange(len(owner)) - (np.cumsum(shared) - shared)[owner]
+    chosen = rank < left[owner]
+    owner, value = owner[chosen], value[chosen]
+    home = np.searchsorted(band_bounds(percent, int(sizes.max(initial=1))), sizes[owner], side="right").astype(np.uint64)
+    return np.r_[owner, owner], np.r_[mix(value + mix(home)), mix(value + mix(home + _U(1)))]
 
 
 def bounded(n_a, n_b, differing, percent: int):
@@ -193,82 +173,114 @@ def bounded(n_a, n_b, differing, percent: int):
     return 100 * most >= percent * (n_a + n_b - most)
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-
-def _portions(batches):
-    """(ids, texts) of at most PORTION characters, or one text."""
-    for batch in batches:
-        ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-        for lo, hi in slices(texts, PORTION):
-            yield ids.slice(lo, hi - lo), texts[lo:hi]
-
-
 def features(rows: DataFrame, k: int) -> DataFrame:
-    """id, n (shingles), h1 and h2 (the set's names), bits (its bitmap) of each row."""
+    """id, n (shingles), h1 and h2 (the set's names), bits (its bitmap) of each row, and its third column as it is."""
+
+    names = ["id", "n", "h1", "h2", "bits"] + rows.columns[2:]
 
     def run(batches):
-        for ids, texts in _portions(batches):
+        for part, texts in text_portions(batches, 1, PORTION):
             owner, value = shingle_sets(texts, k)
             h1, h2 = set_names(owner, value, len(texts))
             maps = bitmaps(owner, value, len(texts))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.bincount(owner, minlength=len(texts))), pa.array(h1), pa.array(h2), pa.array([m.tobytes() for m in maps], pa.binary())], ["id", "n", "h1", "h2", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.bincount(owner, minlength=len(texts))), pa.array(h1), pa.array(h2), pa.array([m.tobytes() for m in maps], pa.binary()), *part.columns[2:]], names)
 
-    return rows.mapInArrow(run, "id long, n long, h1 long, h2 long, bits binary")
+    return rows.mapInArrow(run, "id long, n long, h1 long, h2 long, bits binary" + "".join(f", {c} long" for c in names[5:]))
 
 
-def tiles(rows: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """Members of each tile with more than one: key, member (a set's h1), hub (the smallest member).
+def shared_keys(rows: DataFrame, k: int, percent: int, bits: int, key_bits: int = 64) -> DataFrame:
+    """(key, member: a set's h1) of each set's tile keys; repeated where copies of a set lie in several portions.
 
-    Keys travel as packed arrays: a row holds one task's keys for one bucket.
+    1. A task packs the members of some sets, a portion, by bucket of the hash space: key_bits leading bits of each, since
+    two members that look equal by these only meet without need. A member that many sets of the portion have is
+    sent once, with their number; which sets these are goes into the portion's own rows. 2. A bucket counts the sets of each member and answers with those that more than one set has. 3. The
+    answers meet the portion's own rows and give the keys. Members that only one set has never come back.
     """
 
-    def pack(batches):
-        held_keys, held_members, held = [], [], 0
+    shift = _U(64 - key_bits)
+    keys_of = lambda keys: pack_keys(keys >> shift)
+    opened = lambda raw: unpack_keys(raw) << shift
+
+    def batch(portion: int, cells: list[tuple]) -> pa.RecordBatch:
+        """Rows (bucket, kind, keys, owners, counts) of a portion."""
+        bucket, kind, *packed = zip(*cells)
+        return pa.RecordBatch.from_arrays([pa.array([portion] * len(cells), pa.int64()), pa.array(bucket, pa.int64()), pa.array(kind, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], PACKED_NAMES)
+
+    def ask(batches):
+        context = TaskContext.get()
+        first = (context.partitionId() if context else 0) << 32
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        total = done = 0
 
         def flush():
-            key, member = np.concatenate(held_keys), np.concatenate(held_members)
-            bucket = (key >> _U(32)) % _U(buckets)
-            order = np.lexsort((member, key, bucket))
-            key, member, bucket = key[order], member[order], bucket[order]
-            fresh = np.r_[True, (np.diff(key) != 0) | (np.diff(member) != 0)]  # copies of a set count once
-            key, member, bucket = key[fresh], member[fresh], bucket[fresh]
-            firsts = np.flatnonzero(np.r_[True, np.diff(bucket) != 0])
-            ends = np.r_[firsts[1:], len(bucket)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(bucket[firsts].astype(np.int32)), pa.array([key[i:j].tobytes() for i, j in zip(firsts, ends)], pa.binary()), pa.array([member[i:j].tobytes() for i, j in zip(firsts, ends)], pa.binary())], ["bucket", "keys", "members"]
-            )
-
-        for _, texts in _portions(batches):
+            names = np.concatenate([h for h, _, _ in held])
+            begin = np.cumsum([0] + [len(h) for h, _, _ in held])
+            owner, value = np.concatenate([o + at for (_, o, _), at in zip(held, begin)]), np.concatenate([v for _, _, v in held])
+            sizes = np.bincount(owner, minlength=len(names))
+            one = np.zeros(len(names), bool)
+            one[np.unique(names, return_index=True)[1]] = True  # of equal sets one
+            owner, value = owner[one[owner]], value[one[owner]] >> shift << shift
+            order = np.argsort(value, kind="stable")
+            owner, value = owner[order], value[order]
+            begins = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+            times = np.diff(np.r_[begins, len(value)])
+            hot, hot_times, often = value[begins[times > SENT_APART]], times[times > SENT_APART], np.repeat(times > SENT_APART, times)
+            few, few_owners = value[~often], owner[~often]
+            own = -1 - first - done
+            cells = [(own, SETS, pack(names), b"", pack(sizes)), (own, HOT, keys_of(hot), pack(owner[often]), pack(hot_times))]
+            cells += [(n, MEMBERS, keys_of(few[i:j]), pack(few_owners[i:j]), b"") for n, i, j in cuts(few, bits)]
+            cells += [(n, COUNTED, keys_of(hot[i:j]), b"", pack(hot_times[i:j])) for n, i, j in cuts(hot, bits)]
+            return batch(first + done, cells)
+
+        for _, texts in text_portions(batches, 1, PORTION):
             owner, value = shingle_sets(texts, k)
-            h1, _ = set_names(owner, value, len(texts))
-            who, keys = tile_keys(owner, value, len(texts), percent)
-            held_keys.append(keys)
-            held_members.append(h1[who])
-            held += len(keys)
-            if held > HELD_KEYS:
+            held.append((set_names(owner, value, len(texts))[0], owner, value))
+            total += len(value)
+            if total > HELD_MEMBERS:
                 yield flush()
-                held_keys, held_members, held = [], [], 0
-        if held:
+                held, total, done = [], 0, done + 1
+        if total:
             yield flush()
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, member = np.frombuffer(b"".join(pdf["keys"]), np.int64), np.frombuffer(b"".join(pdf["members"]), np.int64)
-        order = np.lexsort((member, key))
-        key, member = key[order], member[order]
-        fresh = np.r_[True, (np.diff(key) != 0) | (np.diff(member) != 0)]
-        key, member = key[fresh], member[fresh]
-        firsts = np.flatnonzero(np.r_[True, np.diff(key) != 0])
-        sizes = np.diff(np.r_[firsts, len(key)])
-        many = np.repeat(sizes > 1, sizes)
-        return pd.DataFrame({"key": key[many], "member": member[many], "hub": np.repeat(member[firsts], sizes)[many]})
-
-    packed = rows.mapInArrow(pack, "bucket int, keys binary, members binary")
-    return packed.groupBy("bucket").applyInPandas(meet, "key long, member long, hub long")
-
-
-def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percent: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    def answer(key, group):
+        if key[0].as_py() < 0:  # a portion's own rows
+            return group
+        asked = [(opened(x), unpack(c) if c else None) for x, c in zip(group["keys"].to_pylist(), group["counts"].to_pylist())]
+        found, at = np.unique(np.concatenate([x for x, _ in asked]), return_inverse=True)
+        sets = np.bincount(at, weights=np.concatenate([np.ones(len(x)) if c is None else c for x, c in asked])).astype(np.int64)
+        edges = np.cumsum([0] + [len(x) for x, _ in asked]).tolist()
+        cells = []
+        for (keys, c), owners, i, j in zip(asked, group["owners"].to_pylist(), edges, edges[1:]):
+            n = sets[at[i:j]]
+            many = n > 1
+            cells.append((keys_of(keys[many]), pack(unpack(owners)[many]) if c is None else b"", pack(n[many])))
+        return pa.table([group["portion"], group["bucket"], group["kind"], *(pa.array(x, pa.binary()) for x in zip(*cells))], PACKED_NAMES)
+
+    def choose(key, group):
+        parts: dict[int, list[tuple]] = {kind: [] for kind in (SETS, HOT, MEMBERS, COUNTED)}
+        for _, kind, *packed in sorted(zip(*(group[c].to_pylist() for c in PACKED_NAMES[1:])), key=lambda r: r[:2]):
+            parts[kind].append(packed)
+        (names, _, sizes), (hot, hot_owners, hot_times) = parts[SETS][0], parts[HOT][0]
+        none = [np.empty(0, np.int64)]
+        times = unpack(hot_times)
+        owner = np.concatenate(none + [unpack(o) for _, o, _ in parts[MEMBERS]] + [unpack(hot_owners)])
+        value = np.concatenate([np.empty(0, np.uint64)] + [opened(x) for x, _, _ in parts[MEMBERS]] + [np.repeat(opened(hot), times)])
+        # counted members are answered in full, bucket by bucket, so in the order of hot
+        count = np.concatenate(none + [unpack(c) for _, _, c in parts[MEMBERS]] + [np.repeat(np.concatenate(none + [unpack(c) for _, _, c in parts[COUNTED]]), times)])
+        who, keys = tile_keys(owner, value, count, unpack(sizes), percent)
+        return pa.table({"key": keys.view(np.int64), "member": unpack(names)[who]})
+
+    asked = rows.mapInArrow(ask, PACKED)
+    return asked.groupBy("bucket").applyInArrow(answer, PACKED).groupBy("portion").applyInArrow(choose, "key long, member long")
+
+
+def tiles(keys: DataFrame) -> DataFrame:
+    """Members of each tile with more than one: key, member, hub (the smallest member)."""
+    hubs = keys.groupBy("key").agg(F.min("member").alias("hub"), F.max("member").alias("top")).where("hub <> top").select("key", "hub")
+    return keys.join(hubs, "key").distinct()
+
+
+def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percent: int, scratch: Scratch, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(those of pairs (a, b: sets' h1) that link, the sets' arrays): bitmaps first, then exact intersections of sorted arrays.
 
     known has the arrays of earlier calls, which are not made again.
@@ -284,16 +296,16 @@ def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percen
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "id_a", "id_b")], ["a", "b", "id_a", "id_b"]).filter(pa.array(keep))
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    left = stash(joined.mapInArrow(bound, "a long, b long, id_a long, id_b long"), "bounded")
+    left = scratch.keep(joined.mapInArrow(bound, "a long, b long, id_a long, id_b long"), "bounded")
     wanted = left.select(F.explode(F.array(F.struct(F.col("id_a").alias("id"), F.col("a").alias("h1")), F.struct(F.col("id_b").alias("id"), F.col("b").alias("h1")))).alias("x")).select("x.*").distinct()
-    wanted = stash(wanted if known is None else wanted.join(known.select("h1"), "h1", "left_anti").select("id", "h1"), "wanted")
+    wanted = scratch.keep(wanted if known is None else wanted.join(known.select("h1"), "h1", "left_anti").select("id", "h1"), "wanted")
     missing = wanted.count()
 
     def sets(batches):
         for batch in batches:
             names = batch.column(2).to_numpy()
             at = 0
-            for ids, texts in _portions([batch]):
+            for ids, texts in text_portions([batch], 1, PORTION):
                 owner, value = shingle_sets(texts, k)
                 h1, _ = set_names(owner, value, len(texts))
                 right = np.flatnonzero(h1 == names[at : at + len(texts)])  # rows may share an id
@@ -305,21 +317,23 @@ def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percen
     texts = rows.where("id is not null").join(F.broadcast(wanted) if missing <= BROADCAST_IDS else wanted, "id").select("id", "text", "h1")
     arrays = known
     if known is None or missing:
-        made = stash(texts.mapInArrow(sets, "h1 long, members binary").groupBy("h1").agg(F.first("members").alias("members")), "arrays")
+        made = scratch.keep(texts.mapInArrow(sets, "h1 long, members binary").groupBy("h1").agg(F.first("members").alias("members")), "arrays")
         arrays = made if known is None else known.unionAll(made)
 
     def exact(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = left.select("a", "b").join(arrays.toDF("a", "x"), "a").join(arrays.toDF("b", "y"), "b")
-    return stash(both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "links"), arrays
+    links = scratch.keep(both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "links")
+    scratch.drop(left, wanted)
+    return links, arrays
 
 
 def _unsettled(met: DataFrame, reached: DataFrame) -> DataFrame:
@@ -336,10 +350,12 @@ def _next_hubs(met: DataFrame, reached: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("member", "hub.member").alias("a"), F.greatest("member", "hub.member").alias("b")).distinct()
 
 
-def _others(met: DataFrame, reached: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a tile, aren't its first hub and lie in different components, where bitmaps leave them open.
+def _others(met: DataFrame, reached: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame:
+    """a, b, cut: pairs that share a tile and lie in different components, where bitmaps leave them open.
 
-    Tiles are streamed in order of their keys; a task holds two blocks of one tile at a time.
+    Of a tile's pairs (of two of its blocks, if it has several) each component gives the `most` closest ones by their
+    bitmaps; how many others there were comes in rows without a pair. Tiles are streamed in order of their
+    keys; a task holds two blocks of one tile at a time.
     """
     named = _unsettled(met, reached)
     open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -347,80 +363,120 @@ def _others(met: DataFrame, reached: DataFrame, classes: DataFrame, percent: int
     rows = named.join(open_keys, "key").join(classes.select(F.col("h1").alias("member"), "n", "bits"), "member").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
 
-    def compare(low: int, high: int, group: list[tuple]) -> list[tuple[int, int]]:
-        one, two = ([g for g in group if g[0] == part] for part in (low, high))
-        maps = [np.frombuffer(b"".join(g[4] for g in side), np.uint64).reshape(len(side), BITS // 64) for side in (one, two)]
-        who, comp, n = (np.array([g[c] for g in two], np.int64) for c in (1, 2, 3))
-        found = []
-        for i, (_, member, component, size, _) in enumerate(one):
-            may = (comp != component) & ((who > member) if low == high else True)
-            j = np.flatnonzero(may)
-            j = j[bounded(size, n[j], np.bitwise_count(maps[1][j] ^ maps[0][i]).sum(axis=1, dtype=np.int64), percent)]
-            found += [(min(member, w), max(member, w)) for w in who[j].tolist()]
-        return found
+    def compare(low: int, high: int, group: list[tuple]) -> tuple[np.ndarray, np.ndarray, int]:
+        """Members of the pairs, and how many pairs are left out."""
+        sides = [[g for g in group if g[0] == part] for part in (low, high)]
+        maps = [np.frombuffer(b"".join(g[4] for g in side), np.uint64).reshape(len(side), BITS // 64) for side in sides]
+        (one, comp_one, n_one), (two, comp_two, n_two) = ([np.array([g[c] for g in side], np.int64) for c in (1, 2, 3)] for side in sides)
+        left, right, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        for i, member in enumerate(one):
+            j = np.flatnonzero((comp_two != comp_one[i]) & ((two > member) if low == high else True))
+            differing = np.bitwise_count(maps[1][j] ^ maps[0][i]).sum(axis=1, dtype=np.int64)
+            may = bounded(n_one[i], n_two[j], differing, percent)
+            left.append(np.full(may.sum(), i))
+            right.append(j[may])
+            far.append(differing[may] / (n_one[i] + n_two[j[may]]))
+        i, j, far = np.concatenate(left), np.concatenate(right), np.concatenate(far)
+        kept = closest(comp_one[i], comp_two[j], far, most)
+        return one[i[kept]], two[j[kept]], int((~kept).sum())
 
     def run(batches):
         def each():
             for batch in batches:
                 yield from zip(*(batch.column(c).to_pylist() for c in range(8)))
 
+        def rows_of(pairs, cut):
+            a, b = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array([*a, None], pa.int64()), pa.array([*b, None], pa.int64()), pa.array([0] * len(a) + [cut], pa.int64())], ["a", "b", "cut"])
+
         pairs: set[tuple[int, int]] = set()  # a pair shares many tiles
+        cut = 0
         for (_, low, high), group in itertools.groupby(each(), key=lambda r: r[:3]):
-            pairs.update(compare(low, high, [r[3:] for r in group]))
+            a, b, more = compare(low, high, [r[3:] for r in group])
+            pairs.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+            cut += more
             if len(pairs) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
-                pairs = set()
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
+                yield rows_of(pairs, cut)
+                pairs, cut = set(), 0
+        if pairs or cut:
+            yield rows_of(pairs, cut)
 
     dealt = rows.select("key", "low", "high", "part", "member", "component", "n", "bits").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, cut long")
+
+
+def closest(one: np.ndarray, two: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the `most` closest of either of their components."""
+    kept = np.zeros(len(far), bool)
+    for side in (one, two):
+        order = np.lexsort((far, side))
+        first = np.flatnonzero(np.r_[True, np.diff(side[order]) != 0]) if len(order) else np.empty(0, np.int64)
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+        kept[order[rank < most]] = True
+    return kept
 
 
-def join_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def join_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Groups of rows whose sets of k-word shingles link: 100 * intersection >= percent * union.
 
-    1. Rows with equal sets are one class. 2. Classes fall into tiles by size band and by what they hold in a
-    slice of the hash space (see Bands and tile_keys): two sets that link share a tile, and other sets
-    hardly ever do. 3. In each tile every class is compared with one hub: bitmaps bound the intersection from
-    above, what they leave open is intersected exactly. 4. Tiles with members in different components take up to
-    MORE_HUBS other hubs in turn; 5. what is in different components then is compared with each other, in
-    blocks, in the same way. So no link between different
-    components is lost, while large groups of near copies take about one comparison for each member.
+    1. Rows with equal sets are one class. 2. Classes fall into tiles by size band and by their rarest members (see
+    shared_keys and tile_keys): two sets that link share a tile, and sets that only share common passages hardly
+    ever do. 3. In each tile every class is compared with one hub: bitmaps bound the intersection from above, what
+    they leave open is intersected exactly. 4. Tiles with members in different components take up to MORE_HUBS other
+    hubs in turn. 5. Then each component is compared by the pairs that are closest by their bitmaps, MORE_PAIRS times
+    as many each time, until no pair between different components is left that bitmaps leave open. So no link
+    between components is lost, while large groups of near copies take a few comparisons for each member.
 
     Returns id_col, n_shingles, component_id (the smallest id reachable by links, itself included); one row for each
-    row of docs. Rows without words link with nothing and are their own component, as are rows with a null
-    id (their component_id is null). Texts are read whole. Sets are held as 64-bit hashes.
+    row of docs. If row_col names a number of each row, it comes too, with component_set, which tells components apart
+    where rows share ids (null for rows that link with nothing). Rows without words link with nothing and are their
+    own component, as are rows with a null id (their component_id is null). Repeated rows, and rows with one id, are
+    judged each by its own text. Texts are read whole. Sets are held as 64-bit hashes. What is stored on the way is deleted at the end.
     """
-    rows = _texts(docs, id_col, text_col)
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # as planned, without a job
-    if size >= 2**60 and buckets is None:  # unknown
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = buckets or max(LEAST_BUCKETS, min(1_000_000, size // BUCKET_BYTES))
-    made = stash(features(rows, k), "features")
-    classes = stash(made.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("bits").alias("bits")), "classes")
-    met = stash(tiles(rows.where("id is not null"), k, percent, buckets), "tiles")
+    scratch = Scratch()
+    more = [F.col(row_col).cast("long").alias("row")] if row_col else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
+    size = planned_bytes(docs, text_col)
+    bits, key_bits = bucket_bits(size, BUCKET_BYTES, LEAST_BUCKETS), min(64, max(40, size.bit_length() + 16))
+    made = scratch.keep(features(rows, k), "features")
+    full = made.where("n > 0 and id is not null")
+    classes = scratch.keep(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("bits").alias("bits")), "classes")
+    copies = scratch.keep(full.select("id").distinct().join(classes.select("id"), "id", "left_anti"), "copies")
+    texts = rows.where("id is not null").select("id", "text")
+    some = texts.join(F.broadcast(copies), "id", "left_anti") if copies.count() <= BROADCAST_IDS else texts  # copies only cost time
+    keys = scratch.keep(shared_keys(some, k, percent, bits, key_bits), "keys")
+    met = scratch.keep(tiles(keys), "tiles")
+    scratch.drop(keys)
     first = met.where("member <> hub").select(F.col("member").alias("a"), F.col("hub").alias("b")).distinct()
-    links, arrays = verify(first, rows, classes, k, percent)
-    reached = components(links)
+    links, arrays = verify(first, texts, classes, k, percent, scratch)
+    reached = scratch.hold(components(links))
     for turn in range(MORE_HUBS):
-        pairs = stash(_next_hubs(met, reached, turn), "hubs")
+        pairs = scratch.keep(_next_hubs(met, reached, turn), "pairs")
         if not pairs.limit(1).count():
             break
-        more, arrays = verify(pairs, rows, classes, k, percent, arrays)
-        links = links.unionAll(more)
-        reached = components(links)
-    rest_of = stash(_others(met, reached, classes, percent), "others")
-    if rest_of.limit(1).count():
-        more, _ = verify(rest_of, rows, classes, k, percent, arrays)
-        reached = components(links.unionAll(more))
-    linked = classes.join(reached.withColumnRenamed("id", "h1"), "h1").select("h1", "h2", "n", "id", "component")
-    least = linked.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = linked.join(least, "component").select("h1", "h2", "n", "component_id")
-    copies = classes.join(named, ["h1", "h2", "n"], "left").select("h1", "h2", "n", F.coalesce("component_id", "id").alias("component_id"))
-    full, rest = made.where("n > 0 and id is not null").drop("bits"), made.where("n = 0 or id is null")
-    out = full.join(copies, ["h1", "h2", "n"]).select("id", "n", "component_id").unionAll(rest.select("id", "n", F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+        found, arrays = verify(pairs, texts, classes, k, percent, scratch, arrays)
+        links = links.unionAll(found)
+        scratch.drop(pairs, reached)
+        reached = scratch.hold(components(links))
+    most, left_out = 1, 1
+    while left_out:  # ends, as at last every component gives all its pairs
+        others = scratch.keep(_others(met, reached, classes, percent, most), "others")
+        left_out, given = others.agg(F.sum("cut"), F.count("a")).first()
+        if given:
+            found, arrays = verify(others.where("a is not null").select("a", "b").distinct(), texts, classes, k, percent, scratch, arrays)
+            links = links.unionAll(found)
+            scratch.drop(others, reached)
+            reached = scratch.hold(components(links))
+        most *= MORE_PAIRS
+    least = classes.join(reached.withColumnRenamed("id", "h1"), "h1").select("h1", "h2", "n", "id", "component")
+    least = join_frequent(least, least.groupBy("component").agg(F.min("id").alias("component_id")), ["component"], scratch)
+    root, least_id = F.coalesce("component", "h1").alias("component_set"), F.coalesce("component_id", "id").alias("component_id")
+    named = scratch.keep(classes.join(least.drop("id"), ["h1", "h2", "n"], "left").select("h1", "h2", "n", root, least_id), "named")
+    out = join_frequent(full.drop("bits"), named, ["h1", "h2", "n"], scratch)
+    own = [F.col("row").alias(row_col), "component_set"] if row_col else []
+    rest = made.where("n = 0 or id is null").withColumns({"component_id": F.col("id"), "component_set": F.lit(None).cast("long")})
+    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *own]
+    return scratch.end(out.select(*columns).unionAll(rest.select(*columns)), "groups")
 
 
 def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
