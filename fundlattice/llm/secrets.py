@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import free_name, shared_dir, stash, table
 
 # fixed values: the patterns of the base rules (letters of the keywords in either case)
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?"""
@@ -17,41 +19,50 @@ BASE_RULES = [
     ("hex", r"[0-9a-f]+", 24, None, ()),
 ]
 MORE_RULES = [
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, None, ("private key-----",)),
+    # up to the END line; where that is missing, the lines of base64 that follow
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,20}-----END [A-Z ]*PRIVATE KEY-----|(?:[\x20\x09\x0A\x0D]+[A-Za-z0-9+/=]{16,})*)", 0, None, ("private key-----",)),
     ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, None, ("eyj",)),
 ]
 RULES = BASE_RULES + MORE_RULES
-RULES_VERSION = "1"
-SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+RULES_VERSION = "2"
+#: after: where the spans that begin before this one have ended (0 for the first).
+SPAN = "array<struct<start:int,rank:int,kind:string,end:int,after:int>>"
+#: Rows that may be broadcast: digests of known blobs, findings, and spans of findings.
+BROADCAST_BLOBS, BROADCAST_FINDINGS, BROADCAST_SPANS = 200_000, 100_000, 1_000_000
 
 
-def _spans(text: Column, lower: Column, rank: int, rule: tuple) -> Column:
-    """Spans of a rule's matches, leftmost and non-overlapping, in code points with the end exclusive.
+def _pattern(rule: tuple) -> str:
+    """The rule's pattern; runs of hex digits that are too short are left out, as a run is matched whole or not at all."""
+    return rule[1][:-1] + "{%d,}" % rule[2] if rule[0] == "hex" else rule[1]
 
-    The pieces between the matches and the matches themselves make up the text, so their lengths
-    give the places. The hex rule looks for long runs only: a run is matched whole or not at all.
-    """
-    kind, pattern, least, cut, hints = rule
-    if kind == "hex":
-        pattern = pattern[:-1] + "{%d,}" % least
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+
+def _hit(text: Column, rule: tuple) -> Column:
+    """Whether the rule's pattern occurs; a hint that is missing answers without a search."""
+    hinted = F.lit(not rule[4])
+    for hint in rule[4]:
+        hinted = hinted | F.contains(F.lower(text), F.lit(hint))
+    return hinted & F.regexp_like(text, F.lit(_pattern(rule)))
+
+
+def suspicious(text: Column, rules=RULES) -> Column:
+    found = F.lit(False)
+    for rule in rules:
+        found = found | _hit(text, rule)
+    return F.coalesce(found, F.lit(False))
+
+
+def _matches(text: Column, rank: int, rule: tuple) -> Column:
+    """A rule's matches in order: their place among them, the length of what lies before each, their own, and whether they count."""
+    kind, _, least, cut, _ = rule
+    found = F.regexp_extract_all(text, F.lit(_pattern(rule)), F.lit(0))
+    gaps = F.transform(F.split(text, _pattern(rule), -1), lambda x: F.length(x))
     counted = lambda m: F.length(F.regexp_replace(m, cut, "") if cut else m)
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, m: F.struct(gap.alias("gap"), F.length(m).alias("n"), (counted(m) >= least).alias("fits")))
+    rows = F.transform(pairs, lambda x, i: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), i.alias("i"), x["gap"].alias("gap"), x["n"].alias("n"), x["fits"].alias("fits")))
+    return F.when(_hit(text, rule), rows).otherwise(F.array().cast("array<struct<rank:int,kind:string,i:int,gap:int,n:int,fits:boolean>>"))
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + x["n"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["fits"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    begun = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    some = F.aggregate(pairs, begun, step, lambda acc: acc["spans"])
-    hinted = F.lit(False)
-    for hint in hints:
-        hinted = hinted | F.contains(lower, F.lit(hint))
-    hit = F.regexp_like(text, F.lit(pattern))
-    return F.when(hinted & hit if hints else hit, some).otherwise(F.array().cast(SPAN))
+LEDGER = f"blob string, rules_version string, spans {SPAN}"
 
 
 def blob_id(text: Column) -> Column:
@@ -61,33 +72,73 @@ def blob_id(text: Column) -> Column:
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules=RULES, rules_version: str = RULES_VERSION) -> DataFrame:
     """Ledger rows of the blobs in versions that the ledger lacks for this version of the rules.
 
-    A blob is a distinct text, known by its SHA-256; each is scanned once, however many rows hold it.
-    Returns blob, rules_version, spans (sorted by start, then in the rules' order; empty without
-    findings). Append them to the ledger that the next run gets.
+    A blob is a distinct text, known by its SHA-256. Known blobs are left out before any pattern is tried, where
+    their digests are few enough to be broadcast, and by a join of digests otherwise. Rows move with their digests; a
+    text goes along only where a rule's pattern occurs, and its matches are taken once, however many rows hold it.
+    Pieces between matches and matches make up the text, so running sums of their lengths give the places.
+
+    Returns blob, rules_version, spans (sorted by start, then in the rules' order, in code points, the end
+    exclusive; empty without findings). Append them to the ledger that the next run gets.
     """
     rows = versions.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if ledger is not None:
-        rows = rows.join(ledger.where(F.col("rules_version") == rules_version).select("blob").distinct(), "blob", "left_anti")
-    blobs = rows.groupBy("blob").agg(F.first("text").alias("text")).withColumn("low", F.lower("text"))
-    every = F.concat(*[_spans(F.col("text"), F.col("low"), i, rule) for i, rule in enumerate(rules)])
-    return blobs.select("blob", F.lit(rules_version).alias("rules_version"), F.array_sort(every).alias("spans"))
+    seen = None if ledger is None else ledger.where(F.col("rules_version") == rules_version).select("blob").distinct()
+    few = seen is not None and seen.limit(BROADCAST_BLOBS + 1).count() <= BROADCAST_BLOBS
+    if few:
+        rows = rows.join(F.broadcast(seen), "blob", "left_anti")
+    rows = rows.select("blob", F.when(suspicious(F.col("text"), rules), F.col("text")).alias("text"))
+    if seen is not None and not few:
+        rows = rows.join(seen, "blob", "left_anti")
+    blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))
+    hits = blobs.select("blob", F.explode_outer(F.concat(*[_matches(F.col("text"), i, rule) for i, rule in enumerate(rules)])).alias("h")).select("blob", "h.*")
+    ends = hits.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("blob", "rank").orderBy("i")).cast("int")).withColumn("start", F.col("end") - F.col("n"))
+    spans = ends.withColumn("fits", F.coalesce("fits", F.lit(False)))
+    earlier = Window.partitionBy("blob").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("after", F.coalesce(F.max(F.when(F.col("fits"), F.col("end"))).over(earlier), F.lit(0)))
+    every = F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct("start", "rank", "kind", "end", "after"))))
+    return spans.groupBy("blob").agg(every.alias("spans")).select("blob", F.lit(rules_version).alias("rules_version"), "spans")
+
+
+def update_ledger(versions: DataFrame, path: str, text_col: str = "text", rules=RULES, rules_version: str = RULES_VERSION) -> DataFrame:
+    """The ledger stored at path, after the blobs of versions that it lacks have been scanned and appended.
+
+    A run that dies before its append is committed leaves the ledger as it was; the next run scans what is missing.
+    """
+    spark = versions.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old = spark.read.schema(LEDGER).parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
+    scan_unseen(versions, old, text_col, rules, rules_version).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
 
 
 def find_secrets(versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rules=RULES, rules_version: str = RULES_VERSION) -> DataFrame:
     """Findings of every row of versions: id_col, blob, spans.
 
-    Unseen blobs are scanned, known ones come from the ledger, and the findings are joined back to all
-    rows by content address; blobs without findings take no part in that join. Findings are stored first, so
-    that the join has their size and may split hot addresses. One row for each row of
-    versions; a null text is empty and has no findings; rows with a null id are kept.
+    The ledger's findings are joined back to all rows by content address; what the ledger lacks is scanned first.
+    A ledger that update_ledger() has returned for versions lacks nothing: say so with join_findings(). One row
+    for each row of versions; a null text is empty and has no findings; rows with a null id are kept.
     """
-    fresh = scan_unseen(versions, ledger, text_col, rules, rules_version)
+    known = scan_unseen(versions, ledger, text_col, rules, rules_version)
     if ledger is not None:
-        fresh = fresh.unionByName(ledger.where(F.col("rules_version") == rules_version).select("blob", "rules_version", "spans"))
-        fresh = fresh.dropDuplicates(["blob"])
-    hits = stash(fresh.where(F.size("spans") > 0).select("blob", "spans"), "findings")
+        known = known.unionByName(ledger.select("blob", "rules_version", "spans"))
+    return join_findings(versions, known, id_col, text_col, rules_version)
+
+
+def join_findings(versions: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules_version: str = RULES_VERSION) -> DataFrame:
+    """The ledger's findings for every row of versions: id_col, blob, spans.
+
+    Findings are stored first, one for each blob that has some. Up to BROADCAST_FINDINGS of them are broadcast; more are
+    joined by content address in a shuffle of digests, which AQE may split. A blob that the ledger holds twice counts once.
+    """
+    found = ledger.where((F.col("rules_version") == rules_version) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
+    hits = stash(found, "findings")
     rows = versions.select(F.col(id_col), blob_id(F.col(text_col)).alias("blob"))
-    return rows.join(hits, "blob", "left").select(id_col, "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    out = rows.join(F.broadcast(hits) if _few(hits) else hits, "blob", "left")
+    return out.select(id_col, "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+
+
+def _few(hits: DataFrame, spans: str = "spans") -> bool:
+    size = hits.agg(F.count("*").alias("n"), F.sum(F.size(spans)).alias("spans")).first()
+    return size["n"] <= BROADCAST_FINDINGS and (size["spans"] or 0) <= BROADCAST_SPANS
 
 
 def joined(spans: Column) -> Column:
@@ -96,33 +147,41 @@ def joined(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each run of overlapping spans replaced by ``[REDACTED]``."""
-
-    def step(acc, s):
-        begin = F.greatest(s["start"], acc["at"])
-        more = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.lit("[REDACTED]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    piece = lambda s: F.when(s["start"] >= s["after"], F.concat(F.substring(text, s["after"] + 1, s["start"] - s["after"]), F.lit("[REDACTED]"))).otherwise(F.lit(""))
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+    done = F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, end + 1, F.length(text)))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
     """docs with every secret in text_col replaced, and n_chars_col (if there) the new length of those texts.
 
-    All rows and columns stay; a text without findings, null included, is as it was.
+    All rows and columns stay; a text without findings, null included, is as it was. Findings are broadcast where they
+    are few; else the rows in which some rule's pattern occurs, and no others, are shuffled to their blob's findings.
     """
-    hits = stash(scan_unseen(docs, text_col=text_col).where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "findings")
-    rows = docs.withColumn("__blob", blob_id(F.col(text_col))).join(hits, "__blob", "left")
-    found = F.size(F.coalesce("__spans", F.array().cast(SPAN))) > 0
-    rows = rows.withColumn(text_col, F.when(found, redact(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col)))
-    if n_chars_col in docs.columns:
-        kind = docs.schema[n_chars_col].dataType
-        rows = rows.withColumn(n_chars_col, F.when(found, F.length(text_col).cast(kind)).otherwise(F.col(n_chars_col)))
-    return rows.select(*docs.columns)
+    blob, spans = free_name(docs.columns, "_blob"), free_name(docs.columns, "_spans")
+    found = scan_unseen(docs, text_col=text_col).where(F.size("spans") > 0)
+    hits = stash(found.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), "findings")
+
+    def replaced(rows: DataFrame, hits: DataFrame) -> DataFrame:
+        rows = rows.withColumn(blob, blob_id(F.col(text_col))).join(hits, blob, "left")
+        some = F.col(spans).isNotNull()
+        rows = rows.withColumn(text_col, F.when(some, redact(F.col(text_col), F.col(spans))).otherwise(F.col(text_col)))
+        if n_chars_col in docs.columns:
+            kind = docs.schema[n_chars_col].dataType
+            rows = rows.withColumn(n_chars_col, F.when(some, F.length(text_col).cast(kind)).otherwise(F.col(n_chars_col)))
+        return rows.select(*docs.columns)
+
+    if _few(hits, spans):
+        return replaced(docs, F.broadcast(hits))
+    clean = ~suspicious(F.col(text_col))
+    return docs.where(clean).unionAll(replaced(docs.where(~clean), hits))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents"))
+    """Documents are scanned into a ledger stored for this run, and its findings joined back to all of them."""
+    docs = table(spark, sf_dir, "documents")
+    found = join_findings(docs, update_ledger(docs, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
