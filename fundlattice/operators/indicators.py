@@ -217,16 +217,40 @@ def ewma_vol(p: DataFrame) -> DataFrame:
     return p.select("code", "d", "i", F.when(F.size(a) >= 5, _ewma(a)).alias("ewma_a"), F.when(F.size(b) >= 2, _ewma(b)).otherwise(0.0).alias("ewma_b"))
 
 
-def vol_percentile(p: DataFrame) -> DataFrame:
-    """IND-16, IND-17: share of all rolling 30-return volatilities so far that are at most the present one.
+#: Rows and ranks of a block of rank_so_far.
+RANK_BLOCK = 64
+
+
+def rank_so_far(df: DataFrame, value: str) -> DataFrame:
+    """df (code, i, value, ...) with place (1, 2, ... in the order of i) and below: how many values up to the row's are at most its own.
 
-    The count of earlier values at most the present one is a rank that changes by row, so the rows' volatilities
-    are gathered once for each code and compared with the history as an array.
+    Places and ranks by value fall into blocks. Earlier blocks of places and lower blocks of ranks are counted by a running
+    sum over a grid of blocks; what shares the row's block of places, or of ranks, is looked at one by one. So a row
+    costs its blocks and its share of the grid, not its whole history.
     """
-    v = p.withColumn("v", F.when(F.col("i") >= 30, F.stddev_samp("r").over(rows(30))))
-    hist = F.collect_list("v").over(in_order().rowsBetween(Window.unboundedPreceding, 0))
-    pct = F.when(F.col("i") >= 40, F.size(F.filter(hist, lambda x: x <= F.col("v"))) / F.size(hist) * 100)
-    out = v.select("code", "d", "i", pct.alias("pct"))
+    w = Window.partitionBy("code")
+    rows_of = df.withColumns({"place": F.row_number().over(w.orderBy("i")), "rank": F.row_number().over(w.orderBy(value, "i"))})
+    block = lambda c: F.floor((F.col(c) - 1) / RANK_BLOCK).cast("int")
+    rows_of = rows_of.withColumns({"at": block("place"), "level": block("rank")})
+    earlier = Window.partitionBy("code", "at").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    beside = F.collect_list("rank").over(earlier)
+    level = F.collect_list(F.struct("at", "rank")).over(Window.partitionBy("code", "level"))
+    rows_of = rows_of.withColumn("near", F.size(F.filter(beside, lambda x: x <= F.col("rank"))) + F.size(F.filter(level, lambda x: (x["at"] < F.col("at")) & (x["rank"] <= F.col("rank")))))
+    cells = rows_of.groupBy("code", "at", "level").count()
+    last = cells.groupBy("code").agg(F.max("at").alias("last"))
+    upto = lambda name: F.explode(F.sequence(F.lit(0), F.col("last"))).alias(name)
+    grid = last.select("code", "last", upto("at")).select("code", "at", upto("level")).join(cells, ["code", "at", "level"], "left")
+    before = lambda keys, order: Window.partitionBy("code", keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("in_level", F.sum(F.coalesce("count", F.lit(0))).over(before("level", "at"))).withColumn("far", F.sum("in_level").over(before("at", "level")))
+    out = rows_of.join(grid.select("code", "at", "level", F.coalesce("far", F.lit(0)).alias("far")), ["code", "at", "level"])
+    return out.withColumn("below", F.col("near") + F.col("far")).drop("at", "level", "rank", "near", "far")
+
+
+def vol_percentile(p: DataFrame) -> DataFrame:
+    """IND-16, IND-17: share of all rolling 30-return volatilities so far that are at most the present one, from row 40 on."""
+    v = p.withColumn("v", F.when(F.col("i") >= 30, F.stddev_samp("r").over(rows(30)))).select("code", "d", "i", "v")
+    ranked = rank_so_far(v.where("v is not null").select("code", "i", "v"), "v").select("code", "i", (F.col("below") / F.col("place") * 100).alias("pct"))
+    out = v.drop("v").join(ranked.where("i >= 40"), ["code", "i"], "left").select("code", "d", "i", "pct")
     return out.withColumn("regime", F.when(F.col("pct").isNull(), "未知").when(F.col("pct") >= 75, "高波动").when(F.col("pct") <= 25, "低波动").otherwise("常态波动"))
 
 

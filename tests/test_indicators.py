@@ -97,3 +97,16 @@ def test_safe_double(spark):
     df = spark.createDataFrame([("1.5",), ("x",), (None,), ("NaN",), ("Infinity",)], "s string")
     assert [r[0] for r in df.select(safe_double("s", 7.0)).collect()] == [1.5, 7.0, 7.0, 7.0, 7.0]
     assert math.isclose(1.5, 1.5)
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 400])
+def test_rank_so_far(spark, n):
+    import random
+
+    from fundlattice.operators.indicators import rank_so_far
+
+    rng = random.Random(n)
+    values = {c: [rng.choice((rng.random(), 0.5)) for _ in range(n)] for c in "ab"}
+    df = spark.createDataFrame([(c, i * 3, x) for c, v in values.items() for i, x in enumerate(v)], "code string, i int, x double")
+    got = {(r["code"], r["i"] // 3): (r["place"], r["below"]) for r in rank_so_far(df, "x").collect()}
+    assert got == {(c, i): (i + 1, sum(y <= x for y in v[: i + 1])) for c, v in values.items() for i, x in enumerate(v)}
