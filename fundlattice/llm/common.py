@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python worker gets at once while a table is stored.
+#: Rows that a Python worker gets at once in small_batches().
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 #: See join_frequent.
 FREQUENT_SHARE = 10_000
@@ -39,20 +40,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs that begin meanwhile give Python workers BATCH_ROWS rows at a time, as texts and arrays of members are long."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, min(int(before), BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
-    That cuts the lineage and fixes the rows: a lost executor costs a re-read, not a recomputation. Meanwhile
-    Python workers get BATCH_ROWS rows at a time, as texts and arrays of members are long.
+    That cuts the lineage and fixes the rows: a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, min(int(before), BATCH_ROWS))
-    try:
+    with small_batches(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH_SETTING, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._stash_path = path
     return back

@@ -1,4 +1,4 @@
-"""Language identification with hyperdimensional profiles."""
+"""Language identification with hyperdimensional profiles: a random vector for each letter of any script."""
 
 from __future__ import annotations
 
@@ -6,46 +6,55 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import free_name, small_batches, table, text_portions
+from .shingle_join import mix, series
 
-SLOTS = 32
 DIM = 1024
+#: Bytes of texts that are read at once.
+PORTION = 300_000
 SEED = 20_240_101
-#: A text of so many letters that is less like every prototype is in no learned language. Of the 10,000 documents of
-#: sf0.1 those with 200 letters or more score 0.198 at least (one word over and over); Italian of 241 letters scores
-#: 0.186 and 0.192 with the prototypes of sf0.1 and sf0.001, Finnish, Polish and random letters 0.145 at most. Shorter
-#: texts can't be judged by their score: clean ones of four words come down to 0.02, about the cosine of unrelated vectors.
-LEAST_SCORE, LEAST_LETTERS = 0.195, 200
+#: A text is foreign where its score is less than LEAST_RATE for the root of its effective letters, by more than SLACK. A
+#: learned language's texts score 0.085 times that root; of the 10,000 documents of sf0.1 none lies so low. Italian
+#: of 241 letters does, as do Finnish, Polish, Russian of 58 letters, and random letters.
+LEAST_RATE, SLACK = 0.042, 0.18
+#: A score that unrelated vectors of DIM components reach by chance hardly ever: three standard deviations.
+SIGNIFICANT = 3 / DIM**0.5
 
 
 @functools.cache
-def slot_table() -> np.ndarray:
-    """Slot of each code point: 0 no letter, 1-26 for a-z, the other letters share 27-31; case is folded."""
-    slots = np.zeros(0x110000, np.uint8)
+def folded() -> np.ndarray:
+    """For each code point the first code point of its lower case, and 0 for what is no letter."""
+    out = np.zeros(0x110000, np.int64)
     for cp in range(0x110000):
         if (c := chr(cp)).isalpha():
-            low = ord(c.lower()[0])
-            slots[cp] = low - 96 if 97 <= low <= 122 else 27 + (low * 2_654_435_761 >> 7) % 5
-    return slots
+            out[cp] = ord(c.lower()[0])
+    return out
 
 
-@functools.cache
-def trigram_vectors(dim: int = DIM) -> np.ndarray:
-    """The hypervector of each trigram of slots: its letters' random vectors, permuted by place, then bound.
+def letter_vectors(letters: np.ndarray, dim: int = DIM) -> np.ndarray:
+    """The random vector of +1 and -1 of each letter (a folded code point; 0 is the boundary), from a seeded hash."""
+    words = letters.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + series(dim // 64, SEED)[None]
+    bits = np.unpackbits(mix(words).view(np.uint8).reshape(len(letters), -1), axis=1)
+    return (bits.astype(np.int8) << 1) - 1
+
+
+def trigram_vectors(codes: np.ndarray, dim: int = DIM) -> np.ndarray:
+    """The hypervector of each trigram: its letters' random vectors, permuted by place, then bound.
 
     Permutation is a rotation by the letter's place and binding the product of +1/-1 components.
     """
-    letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SLOTS, dim))
-    first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    bound = first[:, None, None] * second[None, :, None] * letters[None, None]
-    return bound.reshape(SLOTS**3, dim)
+    parts = np.stack([codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF])
+    letters, at = np.unique(parts, return_inverse=True)
+    first, second, third = at.reshape(parts.shape)
+    vectors = letter_vectors(letters, dim)
+    return np.roll(vectors, 2, axis=1)[first] * np.roll(vectors, 1, axis=1)[second] * vectors[third]
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each letter the index of its text and the trigram of which it is the middle.
+    """For each letter the index of its text and the trigram of which it is the middle (three letters of 21 bits).
 
     A run of other characters, and each end of a text, is one boundary symbol.
     """
@@ -53,84 +62,110 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     own = np.zeros(len(points), bool)
     ends = np.cumsum([len(t) + 1 for t in texts])
     own[ends] = True
-    slots = slot_table()[points]
-    keep = (slots > 0) | np.r_[True, slots[:-1] > 0]
+    letters = folded()[points]
+    keep = (letters > 0) | np.r_[True, letters[:-1] > 0]
     text = np.cumsum(own)[keep]
-    s = slots[keep].astype(np.int32)
+    s = letters[keep]
     middle = np.flatnonzero(s[1:-1]) + 1 if len(s) > 2 else np.empty(0, np.int64)
-    return text[middle], (s[middle - 1] * SLOTS + s[middle]) * SLOTS + s[middle + 1]
+    return text[middle], (s[middle - 1] << 42) | (s[middle] << 21) | s[middle + 1]
+
+
+def weighted_sum(codes: np.ndarray, counts: np.ndarray, dim: int) -> np.ndarray:
+    """The bundle of trigrams that occur so often."""
+    out = np.zeros(dim)
+    for at in range(0, len(codes), 1_024):
+        out += counts[at : at + 1_024].astype(np.float64) @ trigram_vectors(codes[at : at + 1_024], dim).astype(np.float64)
+    return out
 
 
 def bundles(texts: list[str], dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
     """The bundled vector of each text, a row each, and the number of its letters."""
-    out, letters = np.zeros((len(texts), dim), np.float64), np.zeros(len(texts), np.int64)
-    for lo, hi in slices(texts, 400_000):
-        for at in range(lo, hi, 128):
-            part = texts[at : min(hi, at + 128)]
-            text, code = trigrams(part)
-            cols, code = np.unique(code, return_inverse=True)
-            if len(cols):
-                counts = np.bincount(text * len(cols) + code, minlength=len(part) * len(cols)).reshape(len(part), len(cols))
-                out[at : at + len(part)] = counts.astype(np.float32) @ trigram_vectors(dim)[cols].astype(np.float32)
-                letters[at : at + len(part)] = counts.sum(axis=1)
+    out, letters = np.zeros((len(texts), dim)), np.zeros(len(texts), np.int64)
+    for at in range(0, len(texts), 128):
+        part = texts[at : at + 128]
+        text, code = trigrams(part)
+        cols, code = np.unique(code, return_inverse=True)
+        for first in range(0, len(cols), 4_096):  # a few thousand trigrams make up most languages
+            some = (code >= first) & (code < first + 4_096)
+            width = min(4_096, len(cols) - first)
+            counts = np.bincount(text[some] * width + code[some] - first, minlength=len(part) * width).reshape(len(part), width)
+            out[at : at + len(part)] += counts.astype(np.float32) @ trigram_vectors(cols[first : first + width], dim).astype(np.float32)
+            letters[at : at + len(part)] += counts.sum(axis=1)
     return out, letters
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM) -> dict[str, np.ndarray]:
     """The prototype of each language: the bundle of all its texts.
 
-    Rows with a null text or language teach nothing. Each task adds up its rows, so that one row for
-    each task, language and component is shuffled, and only languages x dim sums reach the driver.
+    Rows with a null text or language teach nothing; repeated rows teach as often as they come. Each task adds up its
+    rows, so that one vector for each task and language is shuffled; dim sums for each language reach the driver, as
+    packed arrays.
     """
 
     def add(batches):
-        counts: dict[str, np.ndarray] = {}
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lang in set(langs):
-                own = [t for t, x in zip(texts, langs) if x == lang]
-                into = counts.setdefault(lang, np.zeros(SLOTS**3, np.int64))
-                for lo, hi in slices(own):
-                    into += np.bincount(trigrams(own[lo:hi])[1], minlength=SLOTS**3)
-        for lang, n in counts.items():
-            used, vector = np.flatnonzero(n), np.zeros(dim)
-            for part in np.array_split(used, 1 + len(used) // 2_048):
-                vector += n[part].astype(np.float64) @ trigram_vectors(dim)[part].astype(np.float64)
+            seen: dict[str, list] = {}
+            for part, texts in text_portions([batch], 0, PORTION):
+                langs = part.column(1).to_pylist()
+                for lang in set(langs):
+                    seen.setdefault(lang, []).append(np.unique(trigrams([t for t, x in zip(texts, langs) if x == lang])[1], return_counts=True))
+            for lang, found in seen.items():
+                codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+                counts = np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(codes))
+                sums[lang] = sums.get(lang, 0) + weighted_sum(codes, counts, dim)
+        for lang, vector in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang]), "vector": pa.array([vector.astype(np.int64).tolist()], pa.list_(pa.int64()))})
 
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sums = rows.mapInArrow(add, "lang string, vector array<long>").select("lang", F.posexplode("vector").alias("at", "v")).groupBy("lang", "at").agg(F.sum("v").alias("v"))
-    found: dict[str, np.ndarray] = {}
-    for r in sums.collect():
-        found.setdefault(r["lang"], np.zeros(dim))[r["at"]] = r["v"]
+    parts = rows.mapInArrow(add, "lang string, vector array<long>").select("lang", F.posexplode("vector").alias("at", "v")).groupBy("lang", "at").agg(F.sum("v").alias("v"))
+    whole = parts.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("v"))
+    with small_batches(labelled.sparkSession):
+        whole = whole.toArrow()
+    found = {lang.as_py(): v.values.to_numpy().astype(float) for lang, v in zip(whole["lang"], whole["v"])}
     return {k: found[k] for k in sorted(found) if found[k].any()}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), dim: int = DIM, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The language of every text: id_col, the columns named in keep, lang_pred, score (or as `out` says).
+def foreign(score: Column, effective: Column) -> Column:
+    """Whether a text is less like every learned language than a text of so many effective letters in one of them is.
+
+    A text's cosine grows with the root of its effective letters (see identify), so one rate fits texts of all sizes;
+    SLACK is what few letters' chance differences take up.
+    """
+    return score + SLACK < LEAST_RATE * F.sqrt(effective)
+
+
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), dim: int = DIM, out: tuple[str, str, str] = ("lang_pred", "score", "effective")) -> DataFrame:
+    """The language of every text: id_col, the columns named in keep, lang_pred, score, effective (or as `out` says).
 
     lang_pred is the prototype with the largest cosine (ties: the first in alphabetical order), score
     that cosine, from 0 to 1. A null text, one without a letter, or no prototype at all gives ``und`` with
-    score 0. Whole texts are read. Nothing is shuffled; one row comes out for each row of docs.
+    score 0. effective is the number of letters, repeated trigrams counted less: the square of the number, times dim,
+    over the square of the bundle's length (0 without a letter). Whole texts are read, in portions. Nothing is
+    shuffled; one row comes out for each row of docs, repeated rows included.
     """
     names = list(prototypes)
     unit = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]).reshape(len(names), dim)
 
     def predict(batches):
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+        for batch, texts in text_portions(batches, width, PORTION):
             vectors, letters = bundles(texts, dim)
+            size = np.linalg.norm(vectors, axis=1)
+            effective = np.where(letters > 0, dim * letters.astype(float) ** 2 / np.maximum(size, 1e-9) ** 2, 0)
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             if names and len(texts):
-                cosines = vectors @ unit.T / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
+                cosines = vectors @ unit.T / np.maximum(size, 1e-9)[:, None]
                 best = cosines.argmax(axis=1)
                 lang = [names[b] if n else "und" for b, n in zip(best, letters)]
                 score = np.where(letters > 0, np.clip(cosines.max(axis=1), 0, 1), 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=pa.schema([*list(batch.schema)[:-1], (out[0], pa.string()), (out[1], pa.float64())]))
+            made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(effective, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], schema=pa.schema([*list(batch.schema)[:-1], *((n, a.type) for n, a in zip(out, made))]))
 
-    rows = docs.select(id_col, *[c for c in keep if c != id_col], F.col(text_col).alias("__text"))
+    kept = [id_col, *[c for c in keep if c != id_col]]
+    width = len(kept)
+    rows = docs.select(*kept, F.col(text_col).alias(free_name(kept, "text")))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(predict, f"{head}, `{out[0]}` string, `{out[1]}` double")
+    return rows.mapInArrow(predict, f"{head}, `{out[0]}` string, `{out[1]}` double, `{out[2]}` double")
 
 
 def held_out(id_col: str = "doc_id"):
