@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundlattice.llm.common import stash
-from fundlattice.llm.langid import LEAST_LETTERS, LEAST_SCORE, held_out, identify, learn
+from fundlattice.llm.common import free_name, stash, unstash
+from fundlattice.llm.langid import SIGNIFICANT, foreign, held_out, identify, learn
 from fundlattice.llm.packing import pack
 from fundlattice.llm.secrets import redact_secrets
 from fundlattice.llm.shingle_join import BROADCAST_IDS, join_groups
@@ -20,34 +20,40 @@ from fundlattice.llm.shingle_join import BROADCAST_IDS, join_groups
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; a missing lang is filled in.
 
-    Rejected are texts that are null or without a letter, and texts of at least LEAST_LETTERS letters that are less
-    like every language than LEAST_SCORE; shorter texts are too short to be rejected by their score.
-    Without labelled documents only the first rule applies.
+    Rejected are texts that are null or without a letter, and foreign ones: those less like every learned language than
+    so many letters in one of them would be (langid.foreign, one rule for texts of all sizes). A missing
+    lang is filled in where the score tells it from chance, and stays null elsewhere. Without labelled documents only
+    texts without letters go.
     """
     prototypes = learn(docs.where(~held_out()))
-    found = identify(docs, prototypes, keep=tuple(docs.columns), out=("__lang", "__score"))
+    lang, score, effective = (free_name(docs.columns, n) for n in ("_lang", "_score", "_effective"))
+    found = identify(docs, prototypes, keep=tuple(docs.columns), out=(lang, score, effective))
     if not prototypes:
-        return found.where(F.col("text").rlike(r"\p{L}")).select(*docs.columns)
-    letters = F.length(F.regexp_replace("text", r"[^\p{L}]+", ""))
-    foreign = F.when(F.col("__score") < LEAST_SCORE, letters >= LEAST_LETTERS).otherwise(F.lit(False))
-    kept = found.where((F.col("__lang") != "und") & ~foreign)
-    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
+        return found.where(F.col(effective) > 0).select(*docs.columns)
+    kept = found.where((F.col(effective) > 0) & ~foreign(F.col(score), F.col(effective)))
+    told = F.when(F.col(score) >= SIGNIFICANT, F.col(lang))
+    return kept.withColumn("lang", F.coalesce("lang", told)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that share 80 % of their five-word shingles, the one with the smallest doc_id.
 
-    Rows with a null doc_id, and texts without words, stay. Of repeated rows one stays.
+    Rows with a null doc_id, and texts without words, stay. Where a group's smallest doc_id occurs in several of
+    its rows, one of them stays. Rows that share a doc_id but not a group are judged apart.
     """
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    rows, key = docs, "doc_id"
-    if repeated:  # then rows get numbers, as ids do not tell them apart
-        key = "__row"
+    known = docs.where("doc_id is not null")
+    if not known.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        groups = join_groups(known, k=5, percent=80)
+        rows, key = docs, "doc_id"
+        dropped = groups.where("doc_id <> component_id").select("doc_id")
+    else:  # rows get numbers, which tell apart those with one doc_id
+        key = free_name(docs.columns, "_row")
         rows = stash(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
-    groups = join_groups(rows if not repeated else rows.where("doc_id is not null"), k=5, percent=80, id_col=key)
-    dropped = stash(groups.where(F.col(key) != F.col("component_id")).select(key).distinct(), "dropped")
-    if dropped.count() <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
+        groups = join_groups(rows.where("doc_id is not null"), k=5, percent=80, row_col=key)
+        linked = groups.where("component_set is not null")
+        first = linked.where("doc_id = component_id").groupBy("component_set").agg(F.min(key).alias(key))
+        dropped = linked.join(first, key, "left_anti").select(key)
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
     return rows.join(dropped, key, "left_anti").select(*docs.columns)
 
 
@@ -74,5 +80,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        unstash(before)  # nothing but for what a stage before has stored
     return STAGES[-1][1](spark, docs, sf_dir)
