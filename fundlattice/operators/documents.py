@@ -38,7 +38,13 @@ def predictions(s: DataFrame, present: DataFrame) -> DataFrame:
     judged = judged.select(*keys, "n", "hit", "edge", "brier", *[F.when(enough, F.col(c)).alias(c) for c in ("calibrated", "threshold", "signals", "selective_hit", "selective_edge")])
     joined = present.select(*keys, F.col("probability").alias("now")).join(judged, keys, "left")
     joined = joined.withColumns({"n": F.coalesce("n", F.lit(0)), "calibrated": F.coalesce("calibrated", "now")})
-    return apply_stages(joined, STAGES).select(*keys, "n", "hit", "edge", "brier", "calibrated", "passes", "confidence", "direction", "label", "usable")
+    return apply_stages(joined, STAGES).select(*keys, "n", "hit", "edge", "brier", "calibrated", "passes", "confidence", "direction", "label", "usable", "signals", "selective_hit", "selective_edge")
+
+
+def by_horizon(p: DataFrame, horizons=(7, 30)) -> DataFrame:
+    """Predictions as one row for each code, with the columns that the decision tables ask for."""
+    columns = {"dir": F.col("direction"), "conf": F.col("confidence"), "edge_value": F.col("edge"), "edge": F.coalesce((F.col("edge") > 0) | (F.col("passes") & (F.col("selective_edge") > 0)), F.lit(False)), "hit": F.col("hit"), "passes": F.col("passes"), "selective_hit": F.col("selective_hit"), "selective_n": F.col("signals"), "selective_edge": F.col("selective_edge")}
+    return p.groupBy("code").agg(*[F.max(F.when(F.col("horizon") == h, x)).alias(f"{name}_{h}d") for h in horizons for name, x in columns.items()])
 
 
 def prediction_quality(p: DataFrame) -> DataFrame:

@@ -83,10 +83,14 @@ def basket_features(b: DataFrame, key: str = "fund") -> DataFrame:
 
 
 def outer_prices(prices: DataFrame, stocks: list[str]) -> DataFrame:
-    """JOIN-1 as a table: one row for each date, a column for each stock, filled forward; a pivot, not a chain of joins."""
-    wide = prices.groupBy("d").pivot("stock", stocks).agg(F.first("close"))
-    w = Window.partitionBy(F.lit(0)).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    return wide.select("d", *[F.last(s, ignorenulls=True).over(w).alias(s) for s in stocks])
+    """JOIN-1 as a table: one row for each date of any price, a column for each stock, filled forward.
+
+    Prices are filled while they are long, by stock, and then turned; no chain of joins and no window over all dates.
+    """
+    grid = prices.select("d").distinct().withColumn("stock", F.explode(F.array(*map(F.lit, stocks))))
+    w = Window.partitionBy("stock").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    filled = grid.join(prices, ["stock", "d"], "left").withColumn("close", F.last("close", ignorenulls=True).over(w))
+    return filled.groupBy("d").agg(*[F.max(F.when(F.col("stock") == s, F.col("close"))).alias(s) for s in stocks])
 
 
 def positional_join(left: DataFrame, right: DataFrame, key: str = "code", time: str = "d") -> DataFrame:

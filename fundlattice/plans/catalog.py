@@ -205,10 +205,11 @@ _JUDGED = ", ".join(f"CASE WHEN n >= {wf.MIN_SAMPLES} THEN {x} END AS {c}" for x
 _PREDICTED = f"""SELECT w.code, w.horizon, w.now, coalesce(n, 0) AS n, coalesce(judged, w.now) AS calibrated, hit, edge, brier, threshold, signals, selective_hit, selective_edge
  FROM ({with_samples("SELECT code, horizon, probability AS now FROM now")}) w LEFT JOIN (SELECT b.code, b.horizon, n, {_JUDGED}
  FROM ({bsql.BINARY}) b JOIN ({bsql.KERNEL}) k ON b.code = k.code AND b.horizon = k.horizon JOIN ({bsql.SWEEP}) s ON b.code = s.code AND b.horizon = s.horizon) j ON w.code = j.code AND w.horizon = j.horizon"""
-_PREDICTIONS = f"SELECT code, horizon, n, hit, edge, brier, calibrated, passes, confidence, direction, label, usable FROM {dec.stages_sql(f'({_PREDICTED})', docs.STAGES)}"
+_PREDICTIONS = f"SELECT code, horizon, n, hit, edge, brier, calibrated, passes, confidence, direction, label, usable, signals, selective_hit, selective_edge FROM {dec.stages_sql(f'({_PREDICTED})', docs.STAGES)}"
 _BIAS = f"SELECT code, i, {docs.ACTION_BIAS} AS action_bias FROM {dec.stages_sql('jr', dec.forecast_stages(7, 'round_even'))}"
 DOCUMENTS = [
-    Query("predictions", on_models(docs.predictions), _PREDICTIONS, "hit edge brier calibrated"),
+    Query("predictions", on_models(docs.predictions), _PREDICTIONS, "hit edge brier calibrated selective_hit selective_edge"),
+    Query("present_decisions", lambda s, d: on_models(lambda sm, now: mq.present_decisions(s, d, sm, now))(s, d), mq.present_decisions_sql(_PREDICTIONS), "risk_score buy_amount gate_score"),
     Query("prediction_quality", on_models(lambda s, now: docs.prediction_quality(docs.predictions(s, now))), f"SELECT *, {docs.QUALITY} AS quality FROM (SELECT code, count(*) FILTER (usable) AS usable, sum(n)::BIGINT AS samples, FALSE AS trained FROM ({_PREDICTIONS}) GROUP BY code)"),
     Query("analysis_documents", on_models(lambda s, now: docs.documents(docs.predictions(s, now)))),
     Query("action_bias", lambda s, d: dec.forecast(dq.judged(s, d), [7]).select("code", "i", F.expr(docs.ACTION_BIAS).alias("action_bias")), dq.FORECAST_SQL.replace(dq._FORECASTS, _BIAS)),
@@ -221,6 +222,7 @@ DOCUMENTS = [
     Query("nav_normalised", dq.normalised, dq.NORMALISED_SQL, "unit_nav daily_ret_pct"),
 ]
 MORE = [
+    Query("outer_prices", mq.outer_prices, mq.OUTER_PRICES_SQL, " ".join(mq.BRANDS)),
     Query("one_year_cut", on_panel(lambda p: ind.one_year(p).select("code", "d", "i")), mq.ONE_YEAR_SQL),
     Query("metric_aliases", on_panel(lambda p: ind.with_aliases(ind.returns_calendar(p)).select("code", "i", "return_7d", "return_30d", "return_60d", "return_90d")), mq.ALIASES_SQL, "return_7d return_30d return_60d return_90d"),
     Query("uncertainties", on_samples(mq.uncertainties), mq.UNCERTAIN_SQL),

@@ -40,11 +40,12 @@ STUBS = [
     }
 ]
 RISK_STAGES = [dec.KINDS, {"profit_pct": dec.PROFIT, "max_loss": "coalesce(max_loss_percent, 20e0)"}, {p: scoring.risk_part(p) for p in (*dec.RISK_PARTS, "personal_risk")}, {"risk_score": dec.RISK_SCORE}, {"risk_level": scoring.RISK_LEVEL, "risk_colour": scoring.RISK_COLOUR}]
-_ROWS = dec.stages_sql("(SELECT fx.*, c.* EXCLUDE (code) FROM fx JOIN ctx c ON fx.code = c.code)", RISK_STAGES)
+_ROWS = dec.stages_sql("(SELECT fx.*, c.* EXCLUDE (code) FROM fx LEFT JOIN ctx c ON fx.code = c.code)", RISK_STAGES)
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dec.with_risk(dec.with_kinds(wf.features(nav_panel(spark, sf_dir)).join(F.broadcast(spark.sql(CONTEXT)), "code")))
+    """Features and risk of every code and date; codes without context have no kind, market or position."""
+    return dec.with_risk(dec.with_kinds(wf.features(nav_panel(spark, sf_dir)).join(F.broadcast(spark.sql(CONTEXT)), "code", "left")))
 
 
 def _judged_sql(select: str, stages: list = (), more: str = "") -> str:

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from fundlattice.operators import backtest as bt
 from fundlattice.operators import decisions as dec
+from fundlattice.operators import documents as docs
 from fundlattice.operators import indicators as ind
 from fundlattice.operators import joins, portfolio
+from fundlattice.operators import walkforward as wf
+from fundlattice.plans import backtest_sql as bsql
 from fundlattice.plans import decision_queries as dq
 from fundlattice.plans.indicator_sql import OVER, RETURNS_CALENDAR, rows, with_nav
 from fundlattice.plans.walkforward_sql import with_samples
 from fundlattice.sources import profiles, readers
-from fundlattice.sources.panel import nav_panel, table
+from fundlattice.sources.panel import PRICE_SQL, nav_panel, price_panel, table
 from fundlattice.streaming import daily
 
 
@@ -207,3 +210,55 @@ def short_profiles(s: SparkSession, d: str) -> DataFrame:
 
 SHORT_PROFILES_SQL = "SELECT p_partkey AS code, p_type AS type, CASE WHEN p_partkey % 4 <> 0 THEN p_brand ELSE 'unavailable' END AS manager, 'unavailable' AS size FROM part"
 ALIASES_SQL = f"SELECT code, i, ret_7 AS return_7d, ret_30 AS return_30d, ret_60 AS return_60d, ret_90 AS return_90d FROM ({RETURNS_CALENDAR})"
+BRANDS = [f"Brand{n}" for n in range(1, 26)]
+
+
+def _named(brand):
+    """Brand#11 as a column's name."""
+    return F.regexp_replace(brand, "#", "")
+
+
+def outer_prices(s: SparkSession, d: str) -> DataFrame:
+    prices = price_panel(s, d)
+    return joins.outer_prices(prices.withColumn("stock", _named(F.col("stock"))), BRANDS)
+
+
+_FILLED = ", ".join(f"last_value(max(close) FILTER (replace(stock, '#', '') = '{b}') IGNORE NULLS) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {b}" for b in BRANDS)
+OUTER_PRICES_SQL = f"WITH {PRICE_SQL.strip()} SELECT d, {_FILLED} FROM prices GROUP BY d"
+#: What only trained codes have; no code of the panel is one.
+_UNTRAINED = {"status": "'ok'", "specific": "FALSE", "selective_valid": "FALSE", "validation_ok": "FALSE", "cv_ok": "FALSE", **{c: "CAST(NULL AS DOUBLE)" for c in ("hit_bound", "validation_hit", "validation_n", "avg_return", "profit_factor")}}
+_DECIDED = ["risk_score", "advice", "advice_confidence", "buy_amount", "final_direction", "final_action", "final_confidence", "headline", "gate_action", "failed_gates", "gate_score"]
+_JUDGING = [_UNTRAINED, *dec.ADVICE_STAGES, *dec.FINAL_STAGES, *dec.GATE_STAGES]
+
+
+def present_decisions(s: SparkSession, d: str, sm: DataFrame, now: DataFrame) -> DataFrame:
+    """What to do about each code now: risk of its present row, its predictions, forecasts and backtest, and the decision tables over them."""
+    context = s.sql(dq.CONTEXT).drop("quality", "calibrated")
+    base = dec.with_risk(dec.with_kinds(wf.features(nav_panel(s, d), present=True).join(F.broadcast(context), "code", "left")))
+    said = F.concat_ws(" ", "direction2", "rise_fall")
+    texts = dec.forecast(base, [7, 30]).groupBy("code").agg(*[F.max(F.when(F.col("horizon") == h, said)).alias(f"text_{h}d") for h in (7, 30)])
+    predicted = docs.predictions(sm, now)
+    quality = docs.prediction_quality(predicted).select("code", F.col("quality").alias("pred_quality"))
+    tested = bt.quality(sm).select("code", "quality", "calibrated")
+    joined = base
+    for part in (texts, docs.by_horizon(predicted), quality, tested):
+        joined = joined.join(part, "code", "left")
+    joined = joined.withColumns({"quality": F.coalesce("quality", F.lit("low")), "calibrated": F.coalesce("calibrated", F.lit(False))})
+    return dec.apply_stages(joined, _JUDGING).select("code", *_DECIDED)
+
+
+def present_decisions_sql(predictions: str) -> str:
+    text = ", ".join(f"(SELECT direction2 || ' ' || rise_fall FROM {dec.stages_sql('(SELECT * FROM jp j WHERE j.code = jp.code)', dec.forecast_stages(h, 'round_even'))}) AS text_{h}d" for h in (7, 30))
+    wide = ", ".join(
+        f"max({x}) FILTER (horizon = {h}) AS {name}_{h}d" for h in (7, 30)
+        for name, x in (("dir", "direction"), ("conf", "confidence"), ("edge_value", "edge"), ("edge", "coalesce(edge > 0 OR passes AND selective_edge > 0, FALSE)"), ("hit", "hit"), ("passes", "passes"), ("selective_hit", "selective_hit"), ("selective_n", "signals"), ("selective_edge", "selective_edge"))
+    )
+    rows_of = f"(SELECT jp.*, {text}, w.* EXCLUDE (code), coalesce(t.quality, 'low') AS quality, coalesce(t.calibrated, FALSE) AS calibrated FROM jp LEFT JOIN w ON jp.code = w.code LEFT JOIN t ON jp.code = t.code)"
+    return with_samples(
+        f"SELECT code, {', '.join(_DECIDED)} FROM {dec.stages_sql(rows_of, _JUDGING)}",
+        f"ctx AS (SELECT * EXCLUDE (quality, calibrated) FROM ({dq.CONTEXT}))",
+        f"jp AS (SELECT * FROM {dec.stages_sql('(SELECT f.*, c.* EXCLUDE (code) FROM fa f LEFT JOIN ctx c ON f.code = c.code WHERE present)', dq.RISK_STAGES)})",
+        f"pr AS ({predictions})",
+        f"w AS (SELECT code, {wide}, CASE WHEN count(*) FILTER (usable) = 0 THEN 'low' WHEN count(*) FILTER (usable) >= 3 THEN 'high' ELSE 'medium' END AS pred_quality FROM pr GROUP BY code)",
+        f"t AS (SELECT code, quality, calibrated FROM ({bsql.QUALITY}))",
+    )
