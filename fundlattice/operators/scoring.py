@@ -28,6 +28,7 @@ def either(*conditions: str) -> str:
     return "(" + " OR ".join(conditions) + ")"
 
 
+# fixed values: words, bounds, points and weights of the scores, in this and the following functions
 UPWARD = either("trend LIKE '%多头排列%'", "trend LIKE '%上升%'")
 DOWNWARD = either("trend LIKE '%空头排列%'", "trend LIKE '%下降%'")
 BEARISH = either("trend LIKE '%空头%'", "trend LIKE '%下降%'")
