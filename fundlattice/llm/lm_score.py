@@ -12,15 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, stash, table
+from .packed import bucket_bits, cuts, pack, pack_keys, planned_bytes, unpack, unpack_keys
 from .shingle_join import BROADCAST_IDS, mix, word_hashes
 
-#: The vocabulary over which single words are smoothed has at least so many words; a larger corpus has its own number.
-#: It bounds no counts: each distinct word and pair has its own.
-CLASSES = 1 << 18
-#: Weight of the pair against the word alone.
-PAIR_WEIGHT = 0.7
-#: Characters whose distinct words and pairs are counted, and looked up, together.
-PORTION = 8_000_000
+#: Weight of the pair against the word alone, and of the word's count against an even share for each of the vocabulary.
+PAIR_WEIGHT, WORD_WEIGHT = 0.7, 0.9
+#: Characters whose distinct words and pairs are counted, and looked up, together, and those that are compressed together.
+PORTION, CHUNK = 8_000_000, 300_000
+DEALT = ["portion", "chunk", "place", "id", "text", "hit", "taught", "judged"]
 #: Bytes of input for each bucket of words and pairs, and the fewest buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 4_000_000, 16
 _U = np.uint64
@@ -71,33 +70,28 @@ def _counts(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bits(size: int) -> int:
-    """Leading bits of a key that name its bucket, for so many bytes of input."""
-    return (max(LEAST_BUCKETS, min(1 << 16, size // BUCKET_BYTES)) - 1).bit_length()
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """64-bit numbers by planes of bytes, which compresses small ones well."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unpack(raw: bytes, kind=np.int64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
-
-
-def _pack_keys(keys: np.ndarray) -> bytes:
-    return _pack(np.diff(keys, prepend=_U(0)))
+def _own(text: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How often the key of each place occurs in its text."""
+    order = np.lexsort((key, text))
+    t, k = text[order], key[order]
+    first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])]) if len(t) else np.empty(0, np.int64)
+    times = np.diff(np.r_[first, len(t)])
+    out = np.empty(len(t), np.int64)
+    out[order] = np.repeat(times, times)
+    return out
 
 
-def _unpack_keys(raw: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(raw, np.uint64), dtype=np.uint64)
+def _shut(texts: list[str]) -> bytes:
+    """Texts compressed together, with their sizes."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    return zlib.compress(np.array([len(raw), *map(len, raw)], "<u4").tobytes() + b"".join(raw), 1)
 
 
-def _cuts(keys: np.ndarray, bits: int):
-    """(bucket, first, end) of the buckets of sorted keys, by their leading bits."""
-    bucket = (keys >> _U(64 - bits)).astype(np.int64)
-    edges = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(keys)] if len(keys) else np.zeros(1, np.int64)
-    return [(int(bucket[a]), a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+def _open(packed: bytes) -> list[str]:
+    raw = zlib.decompress(packed)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = np.cumsum(np.r_[4 * (n + 1), np.frombuffer(raw, "<u4", n, 4)]).tolist()
+    return [raw[i:j].decode("utf-8", "surrogatepass") for i, j in zip(ends, ends[1:])]
 
 
 def _portions(rows):
@@ -123,10 +117,8 @@ def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     """
     ids = target.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # as planned, without a job
-    if size >= 2**60:  # unknown
-        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    bits = _bits(size)
+    size = planned_bytes(docs, text_col)
+    bits = bucket_bits(size, BUCKET_BYTES, LEAST_BUCKETS)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(ids.withColumn("hit", F.lit(True)), "__id", "left").select(F.col("__id").alias("id"), "text", F.coalesce("hit", F.lit(False)).alias("hit"))
 
     def words(batches):
@@ -137,12 +129,12 @@ def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
                 found.append(np.unique(word))
                 n, m = n + len(word), m + int(hits[lo:hi][text].sum())
             keys = np.unique(np.concatenate(found))
-            cuts = _cuts(keys, bits)
-            for k, (bucket, a, b) in enumerate(cuts):
-                yield pa.RecordBatch.from_pydict({"bucket": [bucket], "keys": pa.array([_pack_keys(keys[a:b])], pa.binary()), "n": [0 if k else n], "hits": [0 if k else m]})
+            parts = cuts(keys, bits)
+            for k, (bucket, a, b) in enumerate(parts):
+                yield pa.RecordBatch.from_pydict({"bucket": [bucket], "keys": pa.array([pack_keys(keys[a:b])], pa.binary()), "n": [0 if k else n], "hits": [0 if k else m]})
 
     def distinct(key, group):
-        keys = np.unique(np.concatenate([_unpack_keys(raw) for raw in group["keys"].to_pylist()]))
+        keys = np.unique(np.concatenate([unpack_keys(raw) for raw in group["keys"].to_pylist()]))
         return pa.table({"n": [sum(group["n"].to_pylist())], "hits": [sum(group["hits"].to_pylist())], "distinct": [len(keys)]})
 
     found = rows.select("text", "hit").mapInArrow(words, "bucket long, keys binary, n long, hits long").groupBy("bucket").applyInArrow(distinct, "n long, hits long, distinct long")
@@ -153,15 +145,21 @@ def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, target_loss, background_loss, score: mean losses of a word in nats, and target less background.
 
-    A lower score means more like the target. A text without words, null included, has zeros. One row for each row.
+    A lower score means more like the target. Both models have one vocabulary, that of all learned documents with a
+    place for other words, and one smoothing that does not depend on how much they have seen: after a word that the
+    model knows, a word's probability is PAIR_WEIGHT of the pair's share plus the rest of the word's; a word's is
+    WORD_WEIGHT of its share of all words plus the rest of an even share of the vocabulary. Probabilities of all words
+    and a text's end sum to one. A text that a model has learned from is scored without its own counts, so that
+    the target's documents have no advantage; of repeated rows each leaves out only itself. A text without
+    words, null included, has zeros. One row for each row; whole texts, long ones in one task's memory.
 
     The model's texts and those of docs (once, where they are the same) are stored in portions, compressed. A portion sends the
     distinct keys of its words and pairs, with their counts, to the buckets of the hash space. A bucket sums
     them in one task and answers each portion in the order of its keys; a frequent word comes once from each
     portion, so no bucket is hot. The answers meet the portion's texts again. Every distinct word and pair has its own count.
     """
-    bits, words = _bits(model.size), model.words
-    vocabulary = max(CLASSES, model.vocabulary + 1)  # with a place for words that were never seen
+    bits, words = bucket_bits(model.size, BUCKET_BYTES, LEAST_BUCKETS), model.words
+    vocabulary = model.vocabulary + 1  # with a place for words that were never seen
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     if docs is model.docs:
@@ -171,19 +169,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         rows = taught.unionAll(own.select("id", "text", F.lit(False).alias("hit"), F.lit(False).alias("taught"), F.lit(True).alias("judged")))
 
     def deal(batches):
-        task, portion, total = TaskContext.get().partitionId(), 0, 0
+        portion, total, number = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
-            names = []
-            for t in batch.column(1).to_pylist():
-                if total and total + len(t or "") > PORTION:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for lo, hi in slices(texts, CHUNK):
+                if total and total + sum(map(len, texts[lo:hi])) > PORTION:
                     portion, total = portion + 1, 0
-                total += len(t or "")
-                names.append((task << 32) + portion)
-            small = [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(0), pa.array(small, pa.binary()), *batch.columns[2:]], ["portion", "id", "text", "hit", "taught", "judged"])
+                total, number = total + sum(map(len, texts[lo:hi])), number + 1
+                packed = [_shut(texts[lo:hi])] + [None] * (hi - lo - 1)
+                columns = [np.full(hi - lo, portion), np.full(hi - lo, number), np.arange(hi - lo)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), batch.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary()), *(c.slice(lo, hi - lo) for c in batch.columns[2:])], DEALT)
 
     def opened(group):
-        return [zlib.decompress(raw.as_py()).decode("utf-8", "surrogatepass") for raw in group["text"]]
+        """The texts of a portion's rows; a chunk's first row has them all."""
+        chunks = {c: _open(raw) for c, raw in zip(group["chunk"].to_pylist(), group["text"].to_pylist()) if raw is not None}
+        return [chunks[c][k] for c, k in zip(group["chunk"].to_pylist(), group["place"].to_pylist())]
 
     def ask(key, group):
         texts, hits, taught = opened(group), np.array(group["hit"].to_pylist(), bool), np.array(group["taught"].to_pylist(), bool)
@@ -192,27 +192,28 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         if not taught.all():
             n = _counts(keys, _keys(texts, taught)[1])
         hits = _counts(keys, of_target)
-        cuts = _cuts(keys, bits)
-        packed = {"keys": [_pack_keys(keys[a:b]) for _, a, b in cuts], "n": [_pack(n[a:b]) for _, a, b in cuts], "hits": [_pack(hits[a:b]) for _, a, b in cuts]}
-        return pa.table({"portion": pa.array([key[0].as_py()] * len(cuts), pa.int64()), "bucket": pa.array([b for b, _, _ in cuts], pa.int64())} | {k: pa.array(v, pa.binary()) for k, v in packed.items()})
+        parts = cuts(keys, bits)
+        packed = {"keys": [pack_keys(keys[a:b]) for _, a, b in parts], "n": [pack(n[a:b]) for _, a, b in parts], "hits": [pack(hits[a:b]) for _, a, b in parts]}
+        return pa.table({"portion": pa.array([key[0].as_py()] * len(parts), pa.int64()), "bucket": pa.array([b for b, _, _ in parts], pa.int64())} | {k: pa.array(v, pa.binary()) for k, v in packed.items()})
 
     def answer(key, group):
-        asked = [_unpack_keys(raw.as_py()) for raw in group["keys"]]
+        asked = [unpack_keys(raw.as_py()) for raw in group["keys"]]
         keys, at = np.unique(np.concatenate(asked), return_inverse=True)
         edges = np.cumsum([0] + [len(x) for x in asked]).tolist()
         out = {"portion": group["portion"], "bucket": group["bucket"]}
         for name in ("n", "hits"):
             sums = np.zeros(len(keys), np.int64)
             for a, b, raw in zip(edges, edges[1:], group[name]):
-                sums[at[a:b]] += _unpack(raw.as_py())  # keys of one portion are distinct
-            out[name] = pa.array([_pack(sums[at[a:b]]) for a, b in zip(edges, edges[1:])], pa.binary())
+                sums[at[a:b]] += unpack(raw.as_py())  # keys of one portion are distinct
+            out[name] = pa.array([pack(sums[at[a:b]]) for a, b in zip(edges, edges[1:])], pa.binary())
         return pa.table(out)
 
     def judge(portion, answers):
-        texts, judged = opened(portion), np.array(portion["judged"].to_pylist(), bool)
+        texts, judged, taught, hit = opened(portion), *(np.array(portion[c].to_pylist(), bool) for c in ("judged", "taught", "hit"))
+        learned_from = taught, taught & hit
         keys = np.unique(_keys(texts)[0])
         order = np.argsort(answers["bucket"].to_numpy())
-        counts = [np.concatenate([np.empty(0, np.int64), *(_unpack(raw[int(k)].as_py()) for k in order)]) for raw in (answers["n"], answers["hits"])]
+        counts = [np.concatenate([np.empty(0, np.int64), *(unpack(raw[int(k)].as_py()) for k in order)]) for raw in (answers["n"], answers["hits"])]
         assert len(counts[0]) == len(keys)
         tokens, loss = [np.empty(0, np.int64)], ([np.empty(0)], [np.empty(0)])
         for lo, hi in slices(texts, 300_000):
@@ -221,17 +222,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             tokens.append(n)
             inner = pair > 0
             at_word, at_pair, at_before = np.searchsorted(keys, word), np.searchsorted(keys, pair[inner]), np.searchsorted(keys, before[inner])
+            own_word, own_pair = _own(text, word), _own(text, pair)[inner]
+            own_before = own_word[np.flatnonzero(inner) - 1]
             for k in (0, 1):
-                alone = (counts[k][at_word] + 1) / (words[k] + vocabulary)
+                learned = learned_from[k][lo:hi]
+                mine = learned[text]
+                size = words[k] - (n * learned)[text]
+                alone = WORD_WEIGHT * (counts[k][at_word] - own_word * mine) / np.maximum(size, 1) + np.where(size > 0, 1 - WORD_WEIGHT, 1) / vocabulary
                 seen, both = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
-                seen[inner], both[inner] = counts[k][at_before], counts[k][at_pair]
+                seen[inner], both[inner] = counts[k][at_before] - own_before * mine[inner], counts[k][at_pair] - own_pair * mine[inner]
                 p = np.where(seen > 0, PAIR_WEIGHT * both / np.maximum(seen, 1) + (1 - PAIR_WEIGHT) * alone, alone)
                 loss[k].append(np.bincount(text, weights=-np.log(p), minlength=hi - lo) / np.maximum(n, 1))
         n, (background, target) = np.concatenate(tokens), (np.concatenate(x) for x in loss)
         out = pa.table({"id": portion["id"], "n_tokens": pa.array(n), "target_loss": pa.array(target), "background_loss": pa.array(background), "score": pa.array(target - background)})
         return out.filter(pa.array(judged))
 
-    dealt = stash(rows.mapInArrow(deal, f"portion long, id {kind}, text binary, hit boolean, taught boolean, judged boolean"), "portions")
+    dealt = stash(rows.mapInArrow(deal, f"portion long, chunk long, place long, id {kind}, text binary, hit boolean, taught boolean, judged boolean"), "portions")
     asked = dealt.groupBy("portion").applyInArrow(ask, "portion long, bucket long, keys binary, n binary, hits binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "portion long, bucket long, n binary, hits binary")
     out = dealt.groupBy("portion").cogroup(answers.groupBy("portion")).applyInArrow(judge, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double")
