@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: Rows of a tile on either side, and lists that one call merges.
+#: Rows of a tile on either side, and lists of a query that are merged at once.
 BLOCK = 2_048
 MERGED = 64
 
@@ -67,9 +68,38 @@ def tile_best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray
     return a[rank < k], b[rank < k], s[rank < k]
 
 
-def part_lists(ids, part: int, lists: list) -> pd.DataFrame:
-    """Rows of lists; of objects also where there are none."""
-    return pd.DataFrame({"query_id": np.array(ids, np.int64), "part": np.full(len(lists), part, np.int32), "found": pd.Series(lists, dtype=object)})
+NAMES, KIND = ["query_id", "part", "scores", "ids"], "query_id long, part int, scores array<double>, ids array<long>"
+
+
+def lists(queries: np.ndarray, part: np.ndarray, sizes: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
+    """Columns NAMES: a row for each query, whose list takes the next so many of scores and ids."""
+    ends = pa.array(np.cumsum(np.r_[0, sizes]), pa.int32())
+    return [pa.array(queries, pa.int64()), pa.array(part, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(scores, pa.float64())), pa.ListArray.from_arrays(ends, pa.array(ids, pa.int64()))]
+
+
+def merge(batches, k: int):
+    """Rows sorted by query and part: the lists of each are merged by a heap to the k nearest."""
+
+    def each():
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in range(4)))
+
+    held, total = [], 0
+    for (query, part), group in itertools.groupby(each(), key=lambda r: r[:2]):
+        best = list(itertools.islice(heapq.merge(*(zip((-s for s in scores), ids) for _, _, scores, ids in group)), k))
+        held.append((query, part, best))
+        total += len(best)
+        if total > 100_000:
+            yield _flat(held)
+            held, total = [], 0
+    if held:
+        yield _flat(held)
+
+
+def _flat(held: list[tuple]) -> pa.RecordBatch:
+    queries, parts, best = zip(*held)
+    every = np.array([x for b in best for x in b], [("s", np.float64), ("i", np.int64)])
+    return pa.RecordBatch.from_arrays(lists(np.array(queries), np.array(parts), np.array([len(b) for b in best]), -every["s"], every["i"]), NAMES)
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -79,43 +109,36 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     computed in one task. A tile keeps k rows for each query; tiles of a query are merged by heaps. Returns query_id,
     rank (from 1), vec_id, score; ties go to the smaller id. All pairs of stated queries and rows are judged,
     so the result is exact. Unusable vectors (see usable) and rows with a null id take no part; of rows with
-    the same id and vector one counts. Vectors must share one number of components.
+    the same id and vector one counts. A query meets candidates of its own number of components only.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"), queries.alias("asks"))
-    rows = rows.where(usable(F.col("v")) & F.col("id").isNotNull()).distinct()
+    rows = rows.where(usable(F.col("v")) & F.col("id").isNotNull()).distinct().withColumn("size", F.size("v"))
     n = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     q_blocks, c_blocks = max(1, -(-n["q"] // block)), max(1, -(-n["n"] // block))
     spread = lambda salt, blocks: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(blocks)).cast("int")
     numbers = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = rows.where("asks").select("id", "v", spread(1, q_blocks).alias("qb")).withColumn("cb", numbers(c_blocks))
-    given = rows.select("id", "v", spread(2, c_blocks).alias("cb")).withColumn("qb", numbers(q_blocks)).toDF("id", "v", "cb", "qb")
-
-    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return part_lists([], 0, [])
-        q, c = np.stack(left["v"].to_list()).astype(np.float64), np.stack(right["v"].to_list()).astype(np.float64)
-        q_ids, c_ids = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
+    asked = rows.where("asks").select("size", "id", "v", spread(1, q_blocks).alias("qb")).withColumn("cb", numbers(c_blocks))
+    given = rows.select("size", "id", "v", spread(2, c_blocks).alias("cb")).withColumn("qb", numbers(q_blocks)).toDF("size", "id", "v", "cb", "qb")
+
+    def matrix(side: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        v = side["v"].combine_chunks()
+        return side["id"].to_numpy(), v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+    def tile(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table(lists(*(np.empty(0, t) for t in (np.int64, np.int32, np.int64, float, np.int64))), NAMES)
+        (q_ids, q), (c_ids, c) = matrix(left), matrix(right)
         a, b, s = tile_best(q, q_ids, c, c_ids, k)
-        first = np.r_[0, np.flatnonzero(np.diff(a)) + 1] if len(a) else np.empty(0, np.int64)
-        ends = np.r_[first[1:], len(a)] if len(a) else first
-        lists = [[{"score": float(x), "vec_id": int(y)} for x, y in zip(s[i:j], c_ids[b[i:j]])] for i, j in zip(first, ends)]
-        return part_lists(q_ids[a[first]], int(right["cb"].iloc[0]), lists)
-
-    def merge(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        best: list[tuple[float, int]] = []
-        for pair in heapq.merge(*([(-x["score"], x["vec_id"]) for x in found] for found in pdf["found"])):
-            best.append(pair)
-            if len(best) == k:
-                break
-        return part_lists([keys[0]], keys[1], [[{"score": -s, "vec_id": v} for s, v in best]])
-
-    kind = "query_id long, part int, found array<struct<score:double,vec_id:long>>"
-    found = asked.groupBy("qb", "cb").cogroup(given.groupBy("qb", "cb")).applyInPandas(tile, kind)
+        who, sizes = np.unique(a, return_counts=True)
+        return pa.table(lists(q_ids[who], np.full(len(who), key[2].as_py()), sizes, s, c_ids[b]), NAMES)
+
+    found = asked.groupBy("size", "qb", "cb").cogroup(given.groupBy("size", "qb", "cb")).applyInArrow(tile, KIND)
     parts = c_blocks
-    while parts > 1:  # no task merges more than MERGED lists of a query
+    while parts > 1:  # no list of a query is merged with more than MERGED others at once
         parts = -(-parts // MERGED)
-        found = found.withColumn("part", F.expr(f"int(part div {MERGED})")).groupBy("query_id", "part").applyInPandas(merge, kind)
-    return found.select("query_id", F.posexplode("found").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score")
+        dealt = found.withColumn("part", F.expr(f"int(part div {MERGED})")).repartition("query_id", "part").sortWithinPartitions("query_id", "part")
+        found = dealt.mapInArrow(lambda batches: merge(batches, k), KIND)
+    return found.select("query_id", F.posexplode(F.arrays_zip("scores", "ids")).alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
