@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
 import re
@@ -32,16 +31,31 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
-@functools.lru_cache(maxsize=1024)
-def _turn(turn: Turn) -> str:
-    """Prefixes repeat their turns, so what a turn becomes is remembered."""
-    role, text = turn
-    return f"### {escape(role)}: {escape(text)}{FOOTER}"
+class TurnTemplate:
+    """``### role: text </turn>`` and a line end for each turn, roles and texts escaped.
+
+    The last few outputs are remembered, so a prefix of one more turn costs the escaping of that turn and a copy.
+    """
+
+    REMEMBERED = 4
+
+    def __init__(self):
+        self.last: list[tuple[list[Turn], str]] = []
+
+    def __call__(self, turns: list[Turn]) -> str:
+        known, output = 0, ""
+        for before, made in reversed(self.last):
+            n = len(before)
+            if known < n <= len(turns) and turns[n - 1] is before[-1] and turns[:n] == before:
+                known, output = n, made
+                break
+        output += "".join(f"### {escape(role)}: {escape(text)}{FOOTER}" for role, text in turns[known:])
+        if turns:
+            self.last = [*self.last[1 - self.REMEMBERED :], (list(turns), output)]
+        return output
 
 
-def turn_template(turns: list[Turn]) -> str:
-    """``### role: text </turn>`` and a line end for each turn, roles and texts escaped."""
-    return "".join(map(_turn, turns))
+turn_template = TurnTemplate()
 
 
 def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int, int, int]], int]:
@@ -96,9 +110,10 @@ def format_chats(rows: DataFrame, template: Template = turn_template, id_col: st
     spans has begin, text_begin, text_end, end (code points of output), role and loss for each turn; the
     loss mask covers the texts of loss_role. rewrites_at is the first turn at which the template changed what
     it had rendered before (spans is empty then), else -1. Turns are sorted by turn (null first), then role
-    and text, so ties and repeated rows have one result; null roles and texts are empty; rows with a null id
-    form one conversation. Rows are dealt by id and streamed in order: a task holds one conversation at a
-    time. A conversation is rendered as often as it has turns, as the method asks.
+    and text, so ties and repeated rows have one result; null roles and texts are empty. Nothing says that rows with a
+    null id belong together: each is a conversation of its own. Rows are dealt by id and streamed in order: a task
+    holds one conversation at a time. A conversation is rendered as often as it has turns, as the method asks, which
+    costs a copy of what was rendered before for each turn.
     """
 
     def finish(key, turns):
@@ -112,7 +127,7 @@ def format_chats(rows: DataFrame, template: Template = turn_template, id_col: st
                 yield from zip(*(batch.column(i).to_pylist() for i in range(4)))
 
         out, size = [], 0
-        for key, group in itertools.groupby(each(), key=lambda r: r[0]):
+        for (key, _), group in itertools.groupby(each(), key=lambda r: r[:2]):
             out.append(finish(key, [(role or "", text or "") for _, _, role, text in group]))
             size += len(out[-1]["output"])
             if size > 4_000_000:
@@ -121,7 +136,9 @@ def format_chats(rows: DataFrame, template: Template = turn_template, id_col: st
         if out:
             yield pa.RecordBatch.from_pylist(out, FORMATTED)
 
-    dealt = rows.select(F.col(id_col).cast("long").alias("id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).repartition("id").sortWithinPartitions("id", "turn", "role", "text")
+    apart = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    dealt = rows.select(F.col(id_col).cast("long").alias("id"), apart.alias("apart"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    dealt = dealt.repartition("id", "apart").sortWithinPartitions("id", "apart", "turn", "role", "text").drop("turn")
     schema = "id long, output string, spans array<struct<begin:long,text_begin:long,text_end:long,end:long,role:string,loss:boolean>>, rewrites_at long"
     return dealt.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
@@ -167,11 +184,11 @@ _SAID = r"\### Assistant: </turn> ok"
 _ESC = r"length(regexp_replace({}, '[\\#<:]', '', 'g'))"
 OP5_SQL = f"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{_SAID}'), (-7, 1, 'assistant', '{_SAID}')))
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER () AS apart FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{_SAID}', 0), (-7, 1, 'assistant', '{_SAID}', 0)))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(4 + 2 + 9 + 2 * length(role) - {_ESC.format('role')} + 2 * length(text) - {_ESC.format('text')})::BIGINT AS formatted_chars
-FROM c GROUP BY conv_id
+FROM c GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN apart END
 """
