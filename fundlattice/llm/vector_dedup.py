@@ -7,14 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import stash, table, unstash
 from .graph import components
 from .neighbours import usable
 
 #: Pivots at most; they are all that the driver holds.
 MOST_PIVOTS = 4_096
-#: Rows of a cell that one task compares with as many others.
-BLOCK = 2_048
+#: Rows of a cell that one task compares with as many others, and rows that meet all pivots at once.
+BLOCK, AT_ONCE = 2_048, 256
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -66,42 +66,49 @@ def link(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector
     class with a weight. A class is at home in its nearest pivot's cell and visits the cells that the
     triangle inequality leaves open (see places). A cell compares all that are in it with those at home
     there, so each ordered pair meets once; large cells do so in blocks of `block` rows. Blocks give counts
-    and a spanning forest of their links, never the pairs. Pivots are the classes with the smallest
-    hashes: one for each `block` rows of the largest group, at most MOST_PIVOTS.
+    and a spanning forest of their links, never the pairs. Pivots are classes with small hashes: about one
+    for each `block` rows of the largest group, at most MOST_PIVOTS; beyond, cells grow, and with them the number of their
+    blocks, never a block.
 
     Returns a row for every row of vectors: id_col, n_links, component_id, kept. Rows that are unusable (see
     neighbours.usable) or have a null group have no links and are their own component; a row with a null id
-    too, and its component_id is null. Equal rows, also with one id, are linked with each other. Vectors of a group must
-    share one number of components.
+    too, and its component_id is null. Equal rows, also with one id, are linked with each other. Vectors of unequal
+    numbers of components are not compared.
     """
     r = float(np.sqrt(2 - 2 * least))
     vector = F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), F.col(group_col).alias("g"))
     rows = rows.withColumn("good", usable(F.col("v")) & F.col("g").isNotNull() & F.col("id").isNotNull())
-    classes = stash(rows.where("good").groupBy("g", "v").agg(F.min("id").alias("id"), F.count("*").alias("w")).withColumn("class", F.monotonically_increasing_id()), "classes")
-    most = classes.groupBy("g").count().agg(F.max("count")).first()[0] or 0
-    wanted = min(MOST_PIVOTS, pivots or max(1, -(-most // block)))
-    drawn = [x["v"] for x in classes.select("v", F.xxhash64("id", "class").alias("h"), "class").orderBy("h", "class").limit(wanted).collect()]
-    centres = np.array(drawn, np.float64)
-    if len(drawn):
-        centres /= np.sqrt((centres * centres).sum(axis=1))[:, None]
+    classes = stash(rows.where("good").groupBy("g", "v").agg(F.min("id").alias("id"), F.count("*").alias("w")).withColumns({"class": F.monotonically_increasing_id(), "size": F.size("v")}), "classes")
+    sizes = classes.groupBy("size", "g").count().groupBy("size").agg(F.max("count").alias("most"), F.sum("count").alias("all"))
+    wanted = F.least(F.lit(MOST_PIVOTS), F.lit(pivots) if pivots else F.ceil(F.col("most") / block))
+    drawn = classes.select("size", "v", F.pmod(F.xxhash64("id", "class"), F.lit(1 << 40)).alias("h"))
+    share = sizes.select("size", (wanted / F.col("all") * (1 << 40)).alias("below"))
+    some = drawn.join(F.broadcast(share), "size").where("h < below").select("size", "v")  # one row for each number of components
+    one = drawn.groupBy("size").agg(F.min_by("v", "h").alias("v"))
+    centres: dict[int, list[np.ndarray]] = {}
+    for size, v in zip(*(c.to_pylist() if n else c.to_numpy() for n, c in enumerate(some.unionAll(one).distinct().toArrow().columns))):
+        centres.setdefault(int(size), []).append(np.array(v, np.float64))
+    units = {size: np.array(c) / np.sqrt((np.array(c) ** 2).sum(axis=1))[:, None] for size, c in centres.items()}
 
     def place(batches):
         for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["v"].to_list()).astype(np.float64)
-                home, cells = places(x / np.sqrt((x * x).sum(axis=1))[:, None], centres, r)
-                yield pdf.assign(home=home.astype(np.int32), cells=cells)
-
-    kind = f"g {rows.schema['g'].dataType.simpleString()}, v array<double>, id long, w long, class long"
+            for size, same in pdf.groupby("size"):
+                for at in range(0, len(same), AT_ONCE):
+                    part = same[at : at + AT_ONCE]
+                    x = np.stack(part["v"].to_list()).astype(np.float64)
+                    home, cells = places(x / np.sqrt((x * x).sum(axis=1))[:, None], units[int(size)], r)
+                    yield part.assign(home=home.astype(np.int32), cells=cells)
+
+    kind = f"g {rows.schema['g'].dataType.simpleString()}, v array<double>, id long, w long, class long, size int"
     placed = stash(classes.mapInPandas(place, kind + ", home int, cells array<int>"), "placed")
-    visits = placed.select("g", "home", F.explode("cells").alias("cell"))
-    held = visits.groupBy("g", "cell").agg(F.count("*").alias("n"), F.count_if(F.col("home") == F.col("cell")).alias("n_home")).where("n_home > 0")
-    held = held.select("g", "cell", F.ceil(F.col("n") / block).cast("int").alias("n_left"), F.ceil(F.col("n_home") / block).cast("int").alias("n_right"))
+    visits = placed.select("g", "size", "home", F.explode("cells").alias("cell"))
+    held = visits.groupBy("g", "size", "cell").agg(F.count("*").alias("n"), F.count_if(F.col("home") == F.col("cell")).alias("n_home")).where("n_home > 0")
+    held = held.select("g", "size", "cell", F.ceil(F.col("n") / block).cast("int").alias("n_left"), F.ceil(F.col("n_home") / block).cast("int").alias("n_right"))
     part = lambda salt, n: F.pmod(F.xxhash64("class", F.lit(salt)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.select("g", "v", "id", "class", F.explode("cells").alias("cell")).join(held, ["g", "cell"]).withColumn("left", part(1, "n_left")).withColumn("right", each("n_right"))
-    right = placed.select("g", "v", "id", "class", "w", F.col("home").alias("cell")).join(held, ["g", "cell"]).withColumn("right", part(2, "n_right")).withColumn("left", each("n_left"))
+    left = placed.select("g", "size", "v", "id", "class", F.explode("cells").alias("cell")).join(held, ["g", "size", "cell"]).withColumn("left", part(1, "n_left")).withColumn("right", each("n_right"))
+    right = placed.select("g", "size", "v", "id", "class", "w", F.col("home").alias("cell")).join(held, ["g", "size", "cell"]).withColumn("right", part(2, "n_right")).withColumn("left", each("n_left"))
     right = right.toDF(*right.columns)  # columns of its own, as both sides come from one table
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -116,12 +123,13 @@ def link(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector
         second = pd.DataFrame({"class": b["class"], "links": 0, "id": b["id"], "root": root[index[len(a) :]]})[near.any(axis=0)]
         return pd.concat([first, second])
 
-    keys = ["g", "cell", "left", "right"]
+    keys = ["g", "size", "cell", "left", "right"]
     found = stash(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "class long, links long, id long, root long"), "links")
     reached = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("class").agg(F.sum("links").alias("links"))
     known = classes.join(counts, "class", "left").join(reached.withColumnRenamed("id", "rid"), F.col("id") == F.col("rid"), "left")
     known = known.select("g", "v", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    unstash(placed)
     out = rows.where("good").select("id", "g", "v").join(known, ["g", "v"]).select("id", "n_links", "component_id")
     rest = rows.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
