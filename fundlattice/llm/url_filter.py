@@ -36,23 +36,24 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(F.length(host).cast("string"), F.lit(":"), host, path), 256)
 
 
-def expressions(urls: DataFrame, label_counts: list[int], path_lengths: list[int]) -> DataFrame:
-    """Each (host, path) with its host suffixes at label bounds times its path prefixes, hashed.
+def _short(digest: str) -> Column:
+    """32 bits of a digest, in hex."""
+    return F.left(digest, F.lit(8))
 
-    Only suffixes and prefixes of the sizes that some rule has are made. Columns: host, path, prefix
-    (32 bits of the digest, in hex), digest.
-    """
+
+def suffixes(hosts: DataFrame, label_counts: list[int]) -> DataFrame:
+    """Each host with its suffixes at label bounds, of the sizes that some rule has: host, suffix, prefix, digest."""
     labels = F.split("host", r"\.", -1)
     counts = F.filter(F.array(*map(F.lit, label_counts)), lambda n: n <= F.size("labels"))
-    lengths = F.filter(F.array(*map(F.lit, path_lengths)), lambda n: n <= F.length("path"))
-    suffix = F.array_join(F.slice("labels", F.size("labels") - F.col("n_labels") + 1, F.col("n_labels")), ".")
-    return (
-        urls.withColumn("labels", labels)
-        .withColumn("n_labels", F.explode(counts))
-        .withColumn("n_path", F.explode(lengths))
-        .withColumn("digest", _digest(suffix, F.substring("path", F.lit(1), F.col("n_path"))))
-        .select("host", "path", F.left("digest", F.lit(8)).alias("prefix"), "digest")
-    )
+    suffix = F.array_join(F.slice("labels", F.size("labels") - F.col("n") + 1, F.col("n")), ".")
+    out = hosts.withColumn("labels", labels).withColumn("n", F.explode(counts)).select("host", suffix.alias("suffix"))
+    return out.withColumn("digest", _digest(F.col("suffix"), F.lit(""))).withColumn("prefix", _short("digest"))
+
+
+def expressions(urls: DataFrame) -> DataFrame:
+    """Each (host, path, suffix, lengths) with the path's prefixes of those lengths: host, path, prefix, digest."""
+    out = urls.withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))))
+    return out.select("host", "path", _digest(F.col("suffix"), F.substring("path", F.lit(1), F.col("n"))).alias("digest")).withColumn("prefix", _short("digest"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -60,9 +61,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
     A rule (action, host, path) fits its host and all subdomains where the url's path starts with the
     rule's. The rule with the longest host and path together wins, then the longer host; of equal
-    rules with both actions, block wins. Distinct (host, path) pairs are expanded and joined with the
-    rules by a short hash prefix; the full digest confirms. Rules are broadcast up to BROADCAST_RULES
-    rows and shuffled beyond.
+    rules with both actions, block wins. Distinct hosts are expanded into suffixes and joined with the rules' hosts;
+    the distinct (host, path) pairs of those that hit are expanded by the path lengths of these hosts' rules
+    alone and joined with the rules. Both joins go by a short hash prefix, and the full digest confirms. Rules
+    are broadcast up to BROADCAST_RULES rows and shuffled beyond.
 
     Returns id_col, host, path, rule (null without one), verdict (`default` without a rule); one row for
     every row of pages, repeated rows included. A null url, or one without ``://``, has empty host and
@@ -74,15 +76,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         .groupBy("r_host", "r_path")
         .agg(F.max("action").alias("action"))
         .withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path")))
-        .withColumn("prefix", F.left("r_digest", F.lit(8)))
+        .withColumn("prefix", _short("r_digest"))
     )
-    # the distinct sizes are few: at most as many as the longest rule has labels or characters
-    shape = known.agg(F.collect_set(F.size(F.split("r_host", r"\.", -1))).alias("labels"), F.collect_set(F.length("r_path")).alias("lengths"), F.count("*").alias("n")).first()
+    # the distinct numbers of labels are few: at most as many as the longest rule has
+    shape = known.agg(F.collect_set(F.size(F.split("r_host", r"\.", -1))).alias("labels"), F.count("*").alias("n")).first()
     parts = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     if not shape["n"]:
         return parts.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    exprs = expressions(parts.select("host", "path").distinct(), sorted(shape["labels"]), sorted(shape["lengths"]))
-    hits = exprs.join(F.broadcast(known) if shape["n"] <= BROADCAST_RULES else known, "prefix").where(F.col("digest") == F.col("r_digest"))
+    small = (lambda df: F.broadcast(df)) if shape["n"] <= BROADCAST_RULES else (lambda df: df)
+    hosts = known.groupBy("r_host").agg(F.collect_set(F.length("r_path")).alias("lengths")).withColumn("h_digest", _digest(F.col("r_host"), F.lit(""))).withColumn("prefix", _short("h_digest"))
+    urls = parts.select("host", "path").distinct()
+    ruled = suffixes(urls.select("host").distinct(), sorted(shape["labels"])).join(small(hosts), "prefix").where(F.col("digest") == F.col("h_digest")).select("host", "suffix", "lengths")
+    exprs = expressions(urls.join(ruled, "host"))
+    hits = exprs.join(small(known), "prefix").where(F.col("digest") == F.col("r_digest"))
     best = F.max(F.struct(F.length(F.concat("r_host", "r_path")), F.length("r_host"), F.concat("r_host", "r_path").alias("rule"), "action")).alias("best")
     verdicts = hits.groupBy("host", "path").agg(best)
     return parts.join(verdicts, ["host", "path"], "left").select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
