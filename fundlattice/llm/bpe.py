@@ -185,7 +185,8 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns id_col, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers),
     decoded_sha256 (of the decoded text in UTF-8) and, with with_ids, ids and decoded. A null text is
-    empty: no tokens. One row for each row of docs, repeated rows included; nothing is shuffled.
+    empty: no tokens. One row for each row of docs, repeated rows and rows with a null id included; nothing is
+    shuffled. Texts are read in portions of a million characters; a longer one is read whole, in one task's memory.
     """
 
     def run(batches):

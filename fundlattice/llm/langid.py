@@ -142,7 +142,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
     that cosine, from 0 to 1. A null text, one without a letter, or no prototype at all gives ``und`` with
     score 0. effective is the number of letters, repeated trigrams counted less: the square of the number, times dim,
     over the square of the bundle's length (0 without a letter). Whole texts are read, in portions. Nothing is
-    shuffled; one row comes out for each row of docs, repeated rows included.
+    shuffled; one row comes out for each row of docs, repeated rows and rows with a null id included.
     """
     names = list(prototypes)
     unit = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]).reshape(len(names), dim)

@@ -147,7 +147,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     Returns id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]. Documents are cut
     only where they fill a whole sequence; the remainders are packed by first-fit decreasing within random
     groups of about `group_pieces` pieces, so no task grows with the input. Empty tables give no rows;
-    repeated rows are packed as often as they come; rows with a null id are packed too.
+    repeated rows are packed as often as they come; rows with a null id are packed too. A very long text is encoded
+    whole, in one task's memory, and gives as many full sequences as it fills.
     """
     pieces = stash(cut(docs, id_col, text_col, vocabulary, length, with_ids), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
