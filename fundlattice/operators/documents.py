@@ -69,7 +69,8 @@ def with_failures(docs: DataFrame, known: DataFrame, least: int) -> DataFrame:
 
 
 def documents(p: DataFrame) -> DataFrame:
-    """SNK-4: one JSON document for each code, with a struct for each horizon."""
-    period = F.struct("n", "calibrated", "confidence", "direction", "label", "edge", "brier")
+    """SNK-4: one JSON document for each code, with a struct for each horizon; figures are rounded as they are shown."""
+    shown = [F.round("calibrated", 4).alias("calibrated"), "confidence", "direction", "label", F.round("edge", 2).alias("edge"), F.round("brier", 4).alias("brier")]
+    period = F.struct("n", *shown)
     periods = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.col("horizon").cast("string"), F.lit("d")).alias("key"), period.alias("value")))))
     return p.groupBy("code").agg(periods.alias("periods")).select("code", F.to_json(F.struct("code", "periods", F.lit("仅供个人研究参考，不构成投资建议。").alias("disclaimer"))).alias("document"))

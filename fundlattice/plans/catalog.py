@@ -211,7 +211,11 @@ DOCUMENTS = [
     Query("predictions", on_models(docs.predictions), _PREDICTIONS, "hit edge brier calibrated selective_hit selective_edge"),
     Query("present_decisions", lambda s, d: on_models(lambda sm, now: mq.present_decisions(s, d, sm, now))(s, d), mq.present_decisions_sql(_PREDICTIONS), "risk_score buy_amount gate_score"),
     Query("prediction_quality", on_models(lambda s, now: docs.prediction_quality(docs.predictions(s, now))), f"SELECT *, {docs.QUALITY} AS quality FROM (SELECT code, count(*) FILTER (usable) AS usable, sum(n)::BIGINT AS samples, FALSE AS trained FROM ({_PREDICTIONS}) GROUP BY code)"),
-    Query("analysis_documents", on_models(lambda s, now: docs.documents(docs.predictions(s, now)))),
+    Query(
+        "analysis_documents", on_models(lambda s, now: docs.documents(docs.predictions(s, now))),
+        f"""SELECT code, '{{"code":' || to_json(code) || ',"periods":{{' || string_agg('"' || horizon || 'd":' || to_json({{'n': n, 'calibrated': round(calibrated, 4), 'confidence': confidence, 'direction': direction, 'label': label, 'edge': round(edge, 2), 'brier': round(brier, 4)}}), ',' ORDER BY horizon || 'd')
+        || '}},"disclaimer":"仅供个人研究参考，不构成投资建议。"}}' AS document FROM ({_PREDICTIONS}) GROUP BY code""",
+    ),
     Query("action_bias", lambda s, d: dec.forecast(dq.judged(s, d), [7]).select("code", "i", F.expr(docs.ACTION_BIAS).alias("action_bias")), dq.FORECAST_SQL.replace(dq._FORECASTS, _BIAS)),
     Query("one_year_return", on_panel(profiles.one_year_return), dq.with_nav(f"SELECT code, arg_max_null(x, d) AS return_1y FROM (SELECT code, d, (nav / lag(nav, 249) {isql.OVER} - 1) * 100 AS x FROM nav) GROUP BY code"), "return_1y"),
     Query("history_range", on_panel(profiles.date_range), dq.with_nav("SELECT code, strftime(min(d) - INTERVAL 10 DAYS, '%Y%m%d') AS start, strftime(max(d) + INTERVAL 1 DAY, '%Y%m%d') AS \"end\" FROM nav GROUP BY code")),
