@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fundlattice.functions.numeric import round_half_up
 from fundlattice.operators import backtest as bt
 from fundlattice.operators import decisions as dec
 from fundlattice.operators import documents as docs
@@ -220,10 +221,10 @@ def _named(brand):
 
 def outer_prices(s: SparkSession, d: str) -> DataFrame:
     prices = price_panel(s, d)
-    return joins.outer_prices(prices.withColumn("stock", _named(F.col("stock"))), BRANDS)
+    return joins.outer_prices(prices.select(_named(F.col("stock")).alias("stock"), "d", round_half_up(F.col("close"), 4).alias("close")), BRANDS)
 
 
-_FILLED = ", ".join(f"last_value(max(close) FILTER (replace(stock, '#', '') = '{b}') IGNORE NULLS) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {b}" for b in BRANDS)
+_FILLED = ", ".join(f"last_value(max(floor(close * 10000 + 0.5) / 10000) FILTER (replace(stock, '#', '') = '{b}') IGNORE NULLS) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {b}" for b in BRANDS)
 OUTER_PRICES_SQL = f"WITH {PRICE_SQL.strip()} SELECT d, {_FILLED} FROM prices GROUP BY d"
 #: What only trained codes have; no code of the panel is one.
 _UNTRAINED = {"status": "'ok'", "specific": "FALSE", "selective_valid": "FALSE", "validation_ok": "FALSE", "cv_ok": "FALSE", **{c: "CAST(NULL AS DOUBLE)" for c in ("hit_bound", "validation_hit", "validation_n", "avg_return", "profit_factor")}}
