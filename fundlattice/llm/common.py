@@ -41,24 +41,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession):
-    """Jobs that begin meanwhile give Python workers BATCH_ROWS rows at a time, as texts and arrays of members are long."""
+def small_batches(spark: SparkSession, rows: int = 0):
+    """Jobs that begin meanwhile give Python workers so many rows (BATCH_ROWS) at a time, as texts and arrays of members are long."""
     before = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, min(int(before), BATCH_ROWS))
+    spark.conf.set(BATCH_SETTING, min(int(before), rows or BATCH_ROWS))
     try:
         yield
     finally:
         spark.conf.set(BATCH_SETTING, before)
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
+def stash(df: DataFrame, tag: str, rows: int = 0) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
     That cuts the lineage and fixes the rows: a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with small_batches(spark, rows):
         df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stash_path = path

@@ -150,7 +150,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     repeated rows are packed as often as they come; rows with a null id are packed too. A very long text is encoded
     whole, in one task's memory, and gives as many full sequences as it fills.
     """
-    pieces = stash(cut(docs, id_col, text_col, vocabulary, length, with_ids), "pieces")
+    pieces = stash(cut(docs, id_col, text_col, vocabulary, length, with_ids), "pieces", rows=4_000)
     groups = max(1, -(-pieces.count() // group_pieces))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
