@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,18 +119,20 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
-def text_portions(batches, column: int, most_bytes: int, most_texts: int = 1_024):
+def text_portions(batches, column: int, most_bytes: int, most_texts: int = 1_024, raw: bool = False):
     """(part of a batch, its texts) for batches with texts in a column; a part holds one text, or so many bytes and texts.
 
-    Only one part's texts are Python strings at a time; null texts are empty.
+    Only one part's texts are Python strings (UTF-8 bytes with raw) at a time; null texts are empty.
     """
+    none = b"" if raw else ""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
         begin = 0
         while begin < len(size):
             fits = int(np.searchsorted(np.cumsum(size[begin : begin + most_texts]), most_bytes, side="right"))
             part = batch.slice(begin, max(1, fits))
-            yield part, [t or "" for t in part.column(column).to_pylist()]
+            texts = part.column(column).cast(pa.binary()) if raw else part.column(column)
+            yield part, [t or none for t in texts.to_pylist()]
             begin += part.num_rows
 
 
