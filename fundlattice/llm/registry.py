@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .align import op11_alignment
 from .bpe import op7_bpe
 from .chat import OP5_SQL, op5_chat
 from .fim import OP12_SQL, op12_fill_in_middle
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
     "op10_shingle_join": op10_shingle_join,
+    "op11_alignment": op11_alignment,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 ORACLE_SQL = {"op2_neighbours": OP2_SQL, "op5_chat": OP5_SQL, "op6_vector_dedup": OP6_SQL, "op8_secret_scan": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_shingle_join": OP10_SQL, "op12_fill_in_middle": OP12_SQL}
