@@ -12,6 +12,7 @@ from .neighbours import OP2_SQL, op2_neighbours
 from .packing import op3_packing
 from .secrets import OP8_SQL, op8_secret_scan
 from .shingle_join import OP10_SQL, op10_shingle_join
+from .suffix_dedup import op13_suffix_dedup
 from .url_filter import OP9_SQL, op9_url_filter
 from .vector_dedup import OP6_SQL, op6_vector_dedup
 
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_shingle_join": op10_shingle_join,
     "op11_alignment": op11_alignment,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 ORACLE_SQL = {"op2_neighbours": OP2_SQL, "op5_chat": OP5_SQL, "op6_vector_dedup": OP6_SQL, "op8_secret_scan": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_shingle_join": OP10_SQL, "op12_fill_in_middle": OP12_SQL}
