@@ -17,17 +17,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import Scratch, join_frequent, small_batches, table, text_portions
+from .common import Scratch, join_frequent, stash_by, table, text_portions
+from .packed import planned_bytes
 from .shingle_join import BROADCAST_IDS
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts whose distinct words are told apart together, and those that are read together.
 PORTION, PART = 16_000_000, 2_000_000
-#: Units that are encoded together.
-ENCODED = 4_096
+#: Units that are encoded together, and those whose tokens a task remembers from portion to portion.
+ENCODED, REMEMBERED = 4_096, 200_000
+#: Bytes of input for each bucket of the stored portions, and the most buckets that Spark allows.
+BUCKET_BYTES, MOST_BUCKETS = 8_000_000, 100_000
 #: A token travels as id << SIZE_BITS | bytes.
 SIZE_BITS = 10
-#: Only in jobs of alignments(): rows that lie by their type's key need no exchange to be joined by key and end.
+#: Set in the jobs of align() alone: rows that lie by portion need no exchange to be joined by portion and more.
 CO_PARTITIONED = "spark.sql.requireAllClusterKeysForCoPartition"
 #: Where both vocabularies surely cut: before a space between two characters that aren't white space.
 BOUND, ODD_SPACE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s |^ | \s| $")
@@ -51,6 +54,7 @@ class Pair:
         self.a_sizes = np.array([len(s) if (s := self.a.id_to_token(i)) and all(c in letters for c in s) else len((s or "").encode()) for i in range(self.a.get_vocab_size())], np.int64)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_sizes = np.array([1 if self.b.is_byte(i) else len(p.replace("▁", " ").encode()) for i, p in enumerate(pieces)], np.int64)
+        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         #: no piece goes on with a space, so texts fall apart before spaces
         self.separable = not any(re.search("[^▁]▁", p) for p in pieces)
 
@@ -66,9 +70,19 @@ class Pair:
 
     def encode(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The packed tokens of each unit with its leading space, by a and by b (which adds the space)."""
-        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
-        b = [np.array(ids, np.int64) for ids in self.b.encode(units, num_threads=1)]
-        return [x << SIZE_BITS | self.a_sizes[x] for x in a], [x << SIZE_BITS | self.b_sizes[x] for x in b]
+        fresh = [u for u in units if u not in self.known]
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known, fresh = {}, units
+        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch([" " + u for u in fresh], add_special_tokens=False)]
+        b = [np.array(ids, np.int64) for ids in self.b.encode(fresh, num_threads=1)]
+        self.known.update(zip(fresh, zip(_sized(a, self.a_sizes), _sized(b, self.b_sizes))))
+        return tuple(zip(*map(self.known.__getitem__, units)))
+
+
+def _sized(tokens: list[np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
+    """Each list of ids as packed tokens."""
+    flat = np.concatenate([np.empty(0, np.int64), *tokens])
+    return np.split((flat << SIZE_BITS | sizes[flat]).astype(np.int32), np.cumsum([len(t) for t in tokens])[:-1])
 
 
 @functools.cache
@@ -90,22 +104,21 @@ def _ids(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.shiftrightunsigned(t, SIZE_BITS))
 
 
-def alignments(types: DataFrame) -> DataFrame:
-    """key, n_a, n_b, groups, links of each row of types (key, unique; a, b: packed tokens of the same bytes).
+def alignments(types: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, groups, links of each row of types (unique in keys; a, b: packed tokens of the same bytes).
 
     groups: the tokens between common ends, as a1,a2|b1;a3|b2,b3. links: (a, b) of the tokens that end together.
     Tokens are exploded with their places, their ends are running sums of their bytes, ends meet in an equi-join by key and
-    end, and a row's running number of cuts is its group. Rows lie by key before they are exploded, so tokens are never exchanged.
+    end, and a row's running number of cuts is its group. Rows that lie by a key from the start aren't exchanged.
     """
-    dealt = types.repartition("key")
-    so_far = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ends = lambda side: (
-        types.select("key", side).repartition("key").select("key", F.posexplode(side).alias("pos", "token"))
-        .select("key", F.col("pos").alias(f"{side}_pos"), F.shiftrightunsigned("token", SIZE_BITS).alias(f"{side}_id"), F.sum(F.col("token").bitwiseAND((1 << SIZE_BITS) - 1)).over(so_far).alias("end"))
+        types.select(*keys, F.posexplode(side).alias("pos", "token"))
+        .select(*keys, F.col("pos").alias(f"{side}_pos"), F.shiftrightunsigned("token", SIZE_BITS).alias(f"{side}_id"), F.sum(F.col("token").bitwiseAND((1 << SIZE_BITS) - 1)).over(so_far).alias("end"))
     )
-    cuts = ends("a").join(ends("b"), ["key", "end"]).withColumn("group", F.row_number().over(Window.partitionBy("key").orderBy("end")))
-    listed = cuts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("group", "a_pos", "b_pos", "a_id", "b_id"))).alias("cuts"))
-    joined = dealt.select("key", _ids(F.col("a")).alias("a"), _ids(F.col("b")).alias("b")).join(listed, "key")
+    cuts = ends("a").join(ends("b"), [*keys, "end"]).withColumn("group", F.row_number().over(Window.partitionBy(*keys).orderBy("end")))
+    listed = cuts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("group", "a_pos", "b_pos", "a_id", "b_id"))).alias("cuts"))
+    joined = types.select(*keys, _ids(F.col("a")).alias("a"), _ids(F.col("b")).alias("b")).join(listed, keys)
 
     def side(c: Column, i: Column, name: str) -> Column:
         last = F.when(i == 0, F.lit(-1)).otherwise(F.col("cuts")[i - 1][f"{name}_pos"])
@@ -113,7 +126,7 @@ def alignments(types: DataFrame) -> DataFrame:
 
     groups = F.array_join(F.transform("cuts", lambda c, i: F.concat(side(c, i, "a"), F.lit("|"), side(c, i, "b"))), ";")
     links = F.transform("cuts", lambda c: F.struct(c["a_id"].alias("a"), c["b_id"].alias("b")))
-    return joined.select("key", F.size("a").alias("n_a"), F.size("b").alias("n_b"), groups.alias("groups"), links.alias("links"))
+    return joined.select(*keys, groups.alias("groups"), links.alias("links"))
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_file: str = A_FILE, b_file: str = B_FILE, with_groups: bool = True) -> DataFrame:
@@ -123,30 +136,32 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_fil
     A link is a pair of tokens that end together; its count is the number of links of all documents that have its
     two ids; n_best counts links whose count is the highest of their b id, ties included.
 
-    Both vocabularies cut before a space between words, so each distinct unit, a word with its space, is aligned once. Tasks tell the
-    units of a portion of texts apart and number them; units are counted over all portions, encoded and aligned as rows of
-    their own (see alignments), and their results come back to each portion, whose texts are sequences of numbers. A portion
-    asks for each of its units once, so no key has more rows than there are portions. A text without spaces is
-    one unit, and with its tokens one row; a very long text is read whole in one task's memory.
+    Both vocabularies cut before a space between words, so a word with its space is a unit that is encoded and aligned apart. A task
+    takes the units of a portion of texts apart, numbers and encodes the distinct ones, and stores them as rows; texts become sequences of
+    numbers. The units' tokens are aligned as rows (see alignments), pairs of ids are counted over all portions, and
+    the results meet the sequences of their portion. Portions are bounded and stored by their number, so neither units, tokens nor
+    sequences are ever exchanged; only counts of pairs of ids are. A text without spaces is one unit, and with its tokens one
+    row; a very long text is read whole in one task's memory.
     Repeated rows count like others; rows with a null id are kept; an empty table gives none. Only id_col and text_col are read.
     """
     spark, scratch = docs.sparkSession, Scratch()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    names = ["portion", "no", "unit", "times", "id", "seq"]
+    names = ["portion", "no", "times", "a", "b", "id", "seq"]
+    buckets = min(MOST_BUCKETS, max(2 * spark.sparkContext.defaultParallelism, planned_bytes(rows, "text") // BUCKET_BYTES))
 
     def deal(batches):
         pair, context = vocabularies(a_file, b_file), TaskContext.get()
         portion, index, times, size, fresh = (context.partitionId() if context else 0) << 32, {}, np.zeros(0, np.int64), 0, count()
-        zipped = zstandard.ZstdCompressor(1)
+        zipped, lists = zstandard.ZstdCompressor(1), pa.list_(pa.int32())
 
         def flush():
             units, n = list(index), len(index)
-            for lo in range(0, n, 20_000):
-                part = units[lo : lo + 20_000]
-                size = len(part)
-                columns = [np.full(size, portion), np.arange(lo, lo + size, dtype=np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(part), pa.array(times[lo : lo + size]), pa.nulls(size, ids), pa.nulls(size, pa.binary())], names)
+            for lo in range(0, n, ENCODED):
+                hi = min(n, lo + ENCODED)
+                tokens = [pa.array(x, lists) for x in pair.encode(units[lo:hi])]
+                columns = [pa.array(np.full(hi - lo, portion)), pa.array(np.arange(lo, hi, dtype=np.int32)), pa.array(times[lo:hi])]
+                yield pa.RecordBatch.from_arrays([*columns, *tokens, pa.nulls(hi - lo, ids), pa.nulls(hi - lo, pa.binary())], names)
 
         for part, texts in text_portions(batches, 1, PART):
             ids = part.column(0).type
@@ -158,7 +173,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_fil
             more[: len(times)] += times
             times = more
             packed = [zipped.compress(s.view(np.uint8).reshape(-1, 4).T.tobytes()) if len(s) else b"" for s in seqs]
-            nulls = [pa.nulls(len(texts), t) for t in (pa.int32(), pa.string(), pa.int64())]
+            nulls = [pa.nulls(len(texts), t) for t in (pa.int32(), pa.int64(), lists, lists)]
             yield pa.RecordBatch.from_arrays([pa.array([portion] * len(texts), pa.int64()), *nulls, part.column(0), pa.array(packed, pa.binary())], names)
             size += sum(map(len, texts))
             if size > PORTION:
@@ -167,12 +182,6 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_fil
         if index:
             yield from flush()
 
-    def encode(batches):
-        pair = vocabularies(a_file, b_file)
-        for part, units in text_portions(batches, 1, PART, ENCODED):
-            lists = [pa.array([x.astype(np.int32) for x in tokens], pa.list_(pa.int32())) for tokens in pair.encode(units)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *lists], ["key", "unit", "times", "a", "b"])
-
     def gather(portion, answers):
         order = np.argsort(answers["no"].to_numpy())
         strings = answers["groups"].take(pa.array(order)).to_pylist()
@@ -193,25 +202,23 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_fil
         kinds = [*(pa.array(out[c], pa.int64()) for c in totals), pa.array(out["sha"])]
         return pa.table([portion["id"], *kinds, *([pa.array(out["groups"])] if with_groups else [])], ["id", *totals, "groups_sha256", *(["groups"] if with_groups else [])])
 
-    totals = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    dealt = scratch.keep(rows.mapInArrow(deal, f"portion long, no int, unit string, times long, id {kind}, seq binary"), "portions")
-    asked = dealt.where("unit is not null").select("portion", "no", "unit", "times")
-    units = asked.groupBy("unit").agg(F.sum("times").alias("times"))
-    with small_batches(spark, ENCODED):
-        types = scratch.keep(units.select(F.monotonically_increasing_id().alias("key"), "unit", "times").mapInArrow(encode, "key long, unit string, times long, a array<int>, b array<int>"), "types")
+    totals, keys = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"], ["portion", "no"]
+    dealt = scratch.hold(stash_by(rows.mapInArrow(deal, f"portion long, no int, times long, a array<int>, b array<int>, id {kind}, seq binary"), "portion", buckets, "portions"))
+    types = dealt.where("no is not null")
     with _co_partitioned(spark):
-        aligned = scratch.keep(alignments(types.select("key", "a", "b")).join(types.select("key", "unit", "times").repartition("key"), "key"), "aligned")
-    links = aligned.select("key", "times", F.explode("links").alias("link")).select("key", "times", "link.a", "link.b")
+        sized = types.select(*keys, "times", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
+        aligned = scratch.hold(stash_by(alignments(types, keys).join(sized, keys), "portion", buckets, "aligned"))
+    links = aligned.select(*keys, "times", F.explode("links").alias("link")).select(*keys, "times", "link.a", "link.b")
     counts = links.groupBy("a", "b").agg(F.sum("times").alias("n"))
     pairs = scratch.keep(counts.join(counts.groupBy("b").agg(F.max("n").alias("most")), "b").select("a", "b", "n", (F.col("n") == F.col("most")).cast("long").alias("best")), "pairs")
     told = links.join(F.broadcast(pairs), ["a", "b"]) if pairs.count() <= BROADCAST_IDS else join_frequent(links, pairs, ["a", "b"], scratch)
-    sums = told.groupBy("key").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    results = aligned.select("key", "unit", "n_a", "n_b", F.col("groups")).join(sums, "key").withColumn("n_groups", F.col("n_links")).drop("key")
-    answers = asked.drop("times").join(results, "unit").select("portion", "no", "groups", *(F.col(c).cast("long") for c in totals))
-    seqs = dealt.where("unit is null").select(F.col("portion").alias("dealt"), "id", "seq")
+    sums = told.groupBy(*keys).agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
     schema = f"id {kind}, " + ", ".join(f"{c} long" for c in totals) + ", groups_sha256 string" + (", groups string" if with_groups else "")
-    out = seqs.groupBy("dealt").cogroup(answers.groupBy("portion")).applyInArrow(gather, schema)
-    return scratch.end(out, "alignment").withColumnRenamed("id", id_col)
+    with _co_partitioned(spark):
+        answers = aligned.select(*keys, "groups", "n_a", "n_b").join(sums, keys).withColumn("n_groups", F.col("n_links"))
+        seqs = dealt.where("no is null").select(F.col("portion").alias("dealt"), "id", "seq")
+        out = seqs.groupBy("dealt").cogroup(answers.groupBy("portion")).applyInArrow(gather, schema)
+        return scratch.end(out, "alignment").withColumnRenamed("id", id_col)
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
