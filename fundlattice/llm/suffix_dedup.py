@@ -18,9 +18,11 @@ from .shingle_join import mix, series
 
 LENGTH = 50
 #: Bytes of the texts of a portion, of a piece of them that is hashed at once, and of input for each bucket; the fewest buckets.
-PORTION, PIECE, BUCKET_BYTES, LEAST_BUCKETS = 8_000_000, 1_000_000, 2_000_000, 16
+PORTION, PIECE, BUCKET_BYTES, LEAST_BUCKETS = 8_000_000, 1_000_000, 1_000_000, 16
 #: Anchors whose surroundings are compared at once.
-SLICE = 100_000
+SLICE = 20_000
+#: Suffixes that are sorted at once; a key with more is sorted alone.
+SORTED = 200_000
 #: An anchor with more surroundings than this (summed over portions) is dealt out by each of its strings.
 SPLIT = 2_000
 _U = np.uint64
@@ -259,22 +261,30 @@ def least_holders(keys: np.ndarray, rows: np.ndarray, ids: np.ndarray, length: i
     several = np.flatnonzero(n[of_key] > 1)
     if not len(several):
         return out
-    flat = np.ascontiguousarray(kinds[several][:, 2:]).ravel()
     bit = np.arange(side + 1)
-    kind, i = np.nonzero((every[several][:, None] >> bit.astype(np.uint64)) & _U(1))
-    group = of_key[several][kind] * (side + 1) + i
-    order = np.argsort(group, kind="stable")
-    kind, i, group = kind[order], i[order], group[order]
-    suffixes = Suffixes(flat, kind * (m + 2 * side) + side - i, length)
-    found = suffixes.classes(group)
-    holder = np.full(int(found.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(holder, found, least[several[kind]])
-    other = np.full((len(first), side + 1), np.iinfo(np.int64).max)  # the least holder of each string
-    other[several[kind], i] = holder[found]
+    other = np.full((len(several), side + 1), np.iinfo(np.int64).max)  # the least holder of each string
+    several = several[np.argsort(of_key[several], kind="stable")]
+    edges = np.r_[0, np.flatnonzero(np.diff(of_key[several])) + 1, len(several)]  # of keys
+    lo = 0
+    while lo < len(edges) - 1:  # some keys at a time
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + SORTED // (side + 1), side="right")) - 1)
+        at = slice(edges[lo], edges[hi])
+        own = several[at]
+        kind, i = np.nonzero((every[own][:, None] >> bit.astype(np.uint64)) & _U(1))
+        group = of_key[own][kind] * (side + 1) + i
+        order = np.argsort(group, kind="stable")
+        kind, i, group = kind[order], i[order], group[order]
+        found = Suffixes(np.ascontiguousarray(kinds[own][:, 2:]).ravel(), kind * (m + 2 * side) + side - i, length).classes(group)
+        holder = np.full(int(found.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(holder, found, least[own[kind]])
+        other[at][kind, i] = holder[found]
+        lo = hi
+    place = np.zeros(len(first), np.int64)
+    place[several] = np.arange(len(several))
     many = np.flatnonzero(np.isin(which, several))
     for lo in range(0, len(many), SLICE):
         k = many[lo : lo + SLICE]
-        bits = (other[which[k]] < ids[k][:, None]).astype(np.uint64) << bit.astype(np.uint64)
+        bits = (other[place[which[k]]] < ids[k][:, None]).astype(np.uint64) << bit.astype(np.uint64)
         out[k] |= bits.sum(axis=1, dtype=np.uint64)
     return out
 

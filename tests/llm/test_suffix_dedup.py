@@ -48,7 +48,7 @@ def case(seed=1):
 @pytest.mark.parametrize("portion,piece,split", [(sd.PORTION, sd.PIECE, sd.SPLIT), (700, 200, 3), (3000, 64, 0)])
 def test_repeats_by_brute_force(spark, monkeypatch, length, portion, piece, split):
     """Texts in many portions and pieces; keys that are dealt out by their strings; odd rows beside clashing names."""
-    for name, value in (("PORTION", portion), ("PIECE", max(piece, length)), ("SPLIT", split), ("SLICE", 64 if split == 3 else sd.SLICE)):
+    for name, value in (("PORTION", portion), ("PIECE", max(piece, length)), ("SPLIT", split), ("SLICE", 64 if split == 3 else sd.SLICE), ("SORTED", 300 if split == 3 else sd.SORTED)):
         monkeypatch.setattr(sd, name, value)
     rows = case()
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, packed string, n_bytes int").repartition(3)
