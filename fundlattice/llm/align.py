@@ -17,15 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import Scratch, join_frequent, stash_by, table, text_portions
+from .common import Scratch, join_frequent, small_batches, stash_by, table, text_portions
 from .packed import planned_bytes
 from .shingle_join import BROADCAST_IDS
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts whose distinct words are told apart together, and those that are read together.
-PORTION, PART = 16_000_000, 2_000_000
-#: Units that are encoded together, and those whose tokens a task remembers from portion to portion.
-ENCODED, REMEMBERED = 4_096, 200_000
+PORTION, PART = 24_000_000, 2_000_000
+#: Units that are encoded together.
+ENCODED = 4_096
 #: Bytes of input for each bucket of the stored portions, and the most buckets that Spark allows.
 BUCKET_BYTES, MOST_BUCKETS = 8_000_000, 100_000
 #: A token travels as id << SIZE_BITS | bytes.
@@ -34,6 +34,8 @@ SIZE_BITS = 10
 CO_PARTITIONED = "spark.sql.requireAllClusterKeysForCoPartition"
 #: Where both vocabularies surely cut: before a space between two characters that aren't white space.
 BOUND, ODD_SPACE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s |^ | \s| $")
+#: And between a letter and a stop, where no piece of the second vocabulary joins these.
+STOP = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?])")
 
 
 class Pair:
@@ -54,34 +56,35 @@ class Pair:
         self.a_sizes = np.array([len(s) if (s := self.a.id_to_token(i)) and all(c in letters for c in s) else len((s or "").encode()) for i in range(self.a.get_vocab_size())], np.int64)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_sizes = np.array([1 if self.b.is_byte(i) else len(p.replace("▁", " ").encode()) for i, p in enumerate(pieces)], np.int64)
-        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         #: no piece goes on with a space, so texts fall apart before spaces
         self.separable = not any(re.search("[^▁]▁", p) for p in pieces)
+        self.stops = self.separable and not any(len(STOP.split(p)) > 1 for p in pieces) and self.b.encode("a", out_type=str) == ["▁a"]
 
     def exact(self, text: str) -> bool:
         """Whether the tokens of both spell space and text. U+2581 is read as a space by b; normalising may change a text."""
         return "▁" not in text and (text.isascii() or self.b.normalize(text).replace("▁", " ").lstrip(" ") == text.lstrip(" "))
 
-    def units(self, text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
         """Parts of space and text that are encoded apart with the same result; each has lost its leading space."""
         if not self.separable:
             return [text]
         return BOUND.split(text) if ODD_SPACE.search(text) else text.split(" ")
 
+    def units(self, word: str) -> list[str]:
+        """Parts of space and word that are encoded apart with the same result."""
+        return STOP.split(" " + word) if self.stops else [" " + word]
+
     def encode(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """The packed tokens of each unit with its leading space, by a and by b (which adds the space)."""
-        fresh = [u for u in units if u not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known, fresh = {}, units
-        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch([" " + u for u in fresh], add_special_tokens=False)]
-        b = [np.array(ids, np.int64) for ids in self.b.encode(fresh, num_threads=1)]
-        self.known.update(zip(fresh, zip(_sized(a, self.a_sizes), _sized(b, self.b_sizes))))
-        return tuple(zip(*map(self.known.__getitem__, units)))
+        """The packed tokens of each unit by a and by b, which puts a space before a text: one without it is read after a letter."""
+        a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
+        b = self.b.encode([u[1:] if u[0] == " " else "a" + u for u in units], num_threads=1)
+        b = [ids if u[0] == " " else ids[1:] for u, ids in zip(units, b)]
+        return _sized(a, self.a_sizes), _sized(b, self.b_sizes)
 
 
-def _sized(tokens: list[np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
+def _sized(tokens: list[list[int]], sizes: np.ndarray) -> list[np.ndarray]:
     """Each list of ids as packed tokens."""
-    flat = np.concatenate([np.empty(0, np.int64), *tokens])
+    flat = np.fromiter((i for t in tokens for i in t), np.int64)
     return np.split((flat << SIZE_BITS | sizes[flat]).astype(np.int32), np.cumsum([len(t) for t in tokens])[:-1])
 
 
@@ -136,9 +139,9 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_fil
     A link is a pair of tokens that end together; its count is the number of links of all documents that have its
     two ids; n_best counts links whose count is the highest of their b id, ties included.
 
-    Both vocabularies cut before a space between words, so a word with its space is a unit that is encoded and aligned apart. A task
-    takes the units of a portion of texts apart, numbers and encodes the distinct ones, and stores them as rows; texts become sequences of
-    numbers. The units' tokens are aligned as rows (see alignments), pairs of ids are counted over all portions, and
+    Both vocabularies cut before a space between words and between a letter and a stop, so what lies between is a unit that is encoded and
+    aligned apart. A task takes a portion of texts apart, numbers its distinct words, encodes their distinct units and stores these as rows;
+    texts become sequences of words' numbers. The units' tokens are aligned as rows (see alignments), pairs of ids are counted over all portions, and
     the results meet the sequences of their portion. Portions are bounded and stored by their number, so neither units, tokens nor
     sequences are ever exchanged; only counts of pairs of ids are. A text without spaces is one unit, and with its tokens one
     row; a very long text is read whole in one task's memory.
@@ -156,16 +159,25 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_fil
         zipped, lists = zstandard.ZstdCompressor(1), pa.list_(pa.int32())
 
         def flush():
-            units, n = list(index), len(index)
+            of_words = [pair.units(w) for w in index]
+            sizes = np.array([len(u) for u in of_words], np.int32)
+            units = dict.fromkeys(u for parts in of_words for u in parts)
+            units = dict(zip(units, range(len(units))))
+            numbers = np.fromiter((units[u] for parts in of_words for u in parts), np.int32)
+            of_units = np.bincount(numbers, weights=np.repeat(times, sizes)).astype(np.int64)
+            nulls = [pa.nulls(1, t) for t in (pa.int32(), lists, lists, ids)]
+            packed = zipped.compress(np.concatenate([sizes, numbers]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([portion]), nulls[0], pa.array([len(sizes)]), *nulls[1:], pa.array([packed], pa.binary())], names)
+            units, n = list(units), len(units)
             for lo in range(0, n, ENCODED):
                 hi = min(n, lo + ENCODED)
                 tokens = [pa.array(x, lists) for x in pair.encode(units[lo:hi])]
-                columns = [pa.array(np.full(hi - lo, portion)), pa.array(np.arange(lo, hi, dtype=np.int32)), pa.array(times[lo:hi])]
+                columns = [pa.array(np.full(hi - lo, portion)), pa.array(np.arange(lo, hi, dtype=np.int32)), pa.array(of_units[lo:hi])]
                 yield pa.RecordBatch.from_arrays([*columns, *tokens, pa.nulls(hi - lo, ids), pa.nulls(hi - lo, pa.binary())], names)
 
         for part, texts in text_portions(batches, 1, PART):
             ids = part.column(0).type
-            split = [pair.units(t) if t and pair.exact(t) else [] for t in texts]
+            split = [pair.words(t) if t and pair.exact(t) else [] for t in texts]
             new = set().union(*split).difference(index)
             index.update(zip(new, fresh))
             seqs = [np.fromiter(map(index.__getitem__, s), np.int32, len(s)) for s in split]
@@ -183,27 +195,35 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_fil
             yield from flush()
 
     def gather(portion, answers):
-        order = np.argsort(answers["no"].to_numpy())
-        strings = answers["groups"].take(pa.array(order)).to_pylist()
-        numbers = {c: answers[c].to_numpy()[order] for c in totals}
-        opened, out = zstandard.ZstdDecompressor(), {c: [] for c in [*totals, "sha", "groups"]}
-        for raw in portion["seq"].to_pylist():
+        order, opened, out = np.argsort(answers["no"].to_numpy()), zstandard.ZstdDecompressor(), {c: [] for c in [*totals, "sha", "groups"]}
+        of_units = answers["groups"].take(pa.array(order)).to_pylist()
+        strings, numbers = [], {c: np.empty(0, np.int64) for c in totals}
+        for k in np.flatnonzero(portion["words"].is_valid().to_numpy()).tolist():  # the units of each word
+            n = portion["words"][k].as_py()
+            sizes, units = np.split(np.frombuffer(opened.decompress(portion["seq"][k].as_py()), np.int32), [n])
+            ends = np.cumsum(sizes)
+            numbers = {c: np.add.reduceat(answers[c].to_numpy()[order][units], ends - sizes) for c in totals}
+            parts, ends = list(map(of_units.__getitem__, units.tolist())), ends.tolist()
+            strings = [parts[i] if j == i + 1 else ";".join(parts[i:j]) for i, j in zip([0, *ends], ends)]
+        texts = portion.filter(portion["words"].is_null())
+        for raw in texts["seq"].to_pylist():
             seq = np.frombuffer(opened.decompress(raw), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel() if raw else np.empty(0, np.int32)
             for c in totals:
                 out[c].append(int(numbers[c][seq].sum()))
-            digest, texts = hashlib.sha256(), []
+            digest, whole = hashlib.sha256(), []
             for lo in range(0, len(seq), 100_000):
                 text = (";" if lo else "") + ";".join(map(strings.__getitem__, seq[lo : lo + 100_000].tolist()))
                 digest.update(text.encode())
                 if with_groups:
-                    texts.append(text)
+                    whole.append(text)
             out["sha"].append(digest.hexdigest() if len(seq) else "")
-            out["groups"].append("".join(texts))
+            out["groups"].append("".join(whole))
         kinds = [*(pa.array(out[c], pa.int64()) for c in totals), pa.array(out["sha"])]
-        return pa.table([portion["id"], *kinds, *([pa.array(out["groups"])] if with_groups else [])], ["id", *totals, "groups_sha256", *(["groups"] if with_groups else [])])
+        return pa.table([texts["id"], *kinds, *([pa.array(out["groups"])] if with_groups else [])], ["id", *totals, "groups_sha256", *(["groups"] if with_groups else [])])
 
     totals, keys = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"], ["portion", "no"]
-    dealt = scratch.hold(stash_by(rows.mapInArrow(deal, f"portion long, no int, times long, a array<int>, b array<int>, id {kind}, seq binary"), "portion", buckets, "portions"))
+    with small_batches(spark):
+        dealt = scratch.hold(stash_by(rows.mapInArrow(deal, f"portion long, no int, times long, a array<int>, b array<int>, id {kind}, seq binary"), "portion", buckets, "portions"))
     types = dealt.where("no is not null")
     with _co_partitioned(spark):
         sized = types.select(*keys, "times", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
@@ -216,7 +236,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_fil
     schema = f"id {kind}, " + ", ".join(f"{c} long" for c in totals) + ", groups_sha256 string" + (", groups string" if with_groups else "")
     with _co_partitioned(spark):
         answers = aligned.select(*keys, "groups", "n_a", "n_b").join(sums, keys).withColumn("n_groups", F.col("n_links"))
-        seqs = dealt.where("no is null").select(F.col("portion").alias("dealt"), "id", "seq")
+        seqs = dealt.where("no is null").select(F.col("portion").alias("dealt"), F.col("times").alias("words"), "id", "seq")
         out = seqs.groupBy("dealt").cogroup(answers.groupBy("portion")).applyInArrow(gather, schema)
         return scratch.end(out, "alignment").withColumnRenamed("id", id_col)
 
