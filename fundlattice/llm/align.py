@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import functools
 import hashlib
+import json
 import os
 import re
 from itertools import count
@@ -16,16 +17,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters
+from .bpe import PATTERN, byte_letters
 from .common import Scratch, join_frequent, small_batches, stash_by, table, text_portions
 from .packed import planned_bytes
 from .shingle_join import BROADCAST_IDS
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts whose distinct words are told apart together, and those that are read together.
-PORTION, PART = 24_000_000, 2_000_000
-#: Units that are encoded together.
-ENCODED = 4_096
+PORTION, PART = 16_000_000, 2_000_000
+#: Units that are encoded together, and bytes of a unit that is encoded by itself.
+ENCODED, LONG_UNIT = 4_096, 400
 #: Bytes of input for each bucket of the stored portions, and the most buckets that Spark allows.
 BUCKET_BYTES, MOST_BUCKETS = 8_000_000, 100_000
 #: A token travels as id << SIZE_BITS | bytes.
@@ -35,7 +36,9 @@ CO_PARTITIONED = "spark.sql.requireAllClusterKeysForCoPartition"
 #: Where both vocabularies surely cut: before a space between two characters that aren't white space.
 BOUND, ODD_SPACE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s |^ | \s| $")
 #: And between a letter and a stop, where no piece of the second vocabulary joins these.
-STOP = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?])")
+STOP = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?])")
+#: Units that fall apart again when they are put one after the other.
+PLAIN = re.compile(r" \S(?:.*\S)?", re.DOTALL)
 
 
 class Pair:
@@ -44,6 +47,7 @@ class Pair:
     def __init__(self, a_file: str, b_file: str):
         import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,6 +57,9 @@ class Pair:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(b_file))
         letters = byte_letters()
+        spec = json.loads(self.a.to_str())
+        ranks = {bytes(letters[c] for c in s): i for s, i in spec["model"]["vocab"].items() if all(c in letters for c in s) and self.a.token_to_id(s) not in self.a.get_added_tokens_decoder()}
+        self.ranked = tiktoken.Encoding(a_file, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.a_sizes = np.array([len(s) if (s := self.a.id_to_token(i)) and all(c in letters for c in s) else len((s or "").encode()) for i in range(self.a.get_vocab_size())], np.int64)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_sizes = np.array([1 if self.b.is_byte(i) else len(p.replace("▁", " ").encode()) for i, p in enumerate(pieces)], np.int64)
@@ -76,12 +83,27 @@ class Pair:
 
     def encode(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The packed tokens of each unit by a and by b, which puts a space before a text: one without it is read after a letter."""
-        a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
+        a = self._encode_a(units)
         b = self.b.encode([u[1:] if u[0] == " " else "a" + u for u in units], num_threads=1)
         b = [ids if u[0] == " " else ids[1:] for u, ids in zip(units, b)]
         return _sized(a, self.a_sizes), _sized(b, self.b_sizes)
 
 
+    def _encode_a(self, units: list[str]) -> list[list[int]]:
+        """Short plain units one after the other, told apart by their tokens' bytes; the others each by itself."""
+        spelled = [u if u[0] == " " else " a" + u for u in units]
+        plain = [k for k, u in enumerate(spelled) if len(u) <= LONG_UNIT and PLAIN.fullmatch(u)]
+        out: list = [None] * len(units)
+        ids = np.array(self.ranked.encode_ordinary("".join(spelled[k] for k in plain)), np.int64)
+        ends = np.searchsorted(np.cumsum(self.a_sizes[ids]), np.cumsum([len(spelled[k].encode()) for k in plain])) + 1
+        for k, found in zip(plain, np.split(ids, ends[:-1]) if plain else []):
+            out[k] = found.tolist() if units[k][0] == " " else found[1:].tolist()
+        rest = [k for k in range(len(units)) if out[k] is None]
+        for k, e in zip(rest, self.a.encode_batch([units[k] for k in rest], add_special_tokens=False)):
+            out[k] = e.ids
+        return out
+
+
 def _sized(tokens: list[list[int]], sizes: np.ndarray) -> list[np.ndarray]:
     """Each list of ids as packed tokens."""
     flat = np.fromiter((i for t in tokens for i in t), np.int64)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python worker gets at once in small_batches().
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+#: Files that a task of stash_by() writes side by side; rows are sorted by bucket only if it has more.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 #: See join_frequent.
 FREQUENT_SHARE = 10_000
 
@@ -73,7 +75,12 @@ def stash_by(df: DataFrame, key: str, buckets: int, tag: str) -> DataFrame:
     """
     spark, name = df.sparkSession, f"{tag}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    before = spark.conf.get(WRITERS)
+    spark.conf.set(WRITERS, 8)
+    try:
+        df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    finally:
+        spark.conf.set(WRITERS, before)
     back = spark.table(name)
     back._stash_path, back._stash_table = path, name
     return back
