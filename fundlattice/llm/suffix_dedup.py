@@ -65,16 +65,22 @@ class PrefixHashes:
         """Hash of the `size` bytes from each start."""
         return (self.sums[start + size] - self.sums[start]) * self.inverse[start]
 
+    def each(self, size: int) -> np.ndarray:
+        """Hash of the `size` bytes from every place that has so many."""
+        out = self.sums[size:] - self.sums[: len(self.sums) - size]
+        out *= self.inverse[: len(out)]
+        return out
+
 
 def _sliding(x: np.ndarray, w: int, pick, ahead: bool) -> np.ndarray:
     """The least or largest (pick) of each element and the w - 1 after it (ahead) or before it."""
-    x = x if ahead else x[::-1]
     now, span = x.copy(), 1
     while span < w:
         step = min(span, w - span)
-        now[: len(now) - step] = pick(now[: len(now) - step], now[step:])
+        a, b = (now[: len(now) - step], now[step:]) if ahead else (now[step:], now[: len(now) - step])
+        pick(a, b, out=a)  # numpy sees that they overlap
         span += step
-    return now if ahead else now[::-1]
+    return now
 
 
 def seed_length(length: int) -> int:
@@ -92,13 +98,21 @@ def anchors(flat: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarra
     w = length - m + 1
     if len(flat) < length:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))
     h = np.full(len(flat), _MOST, np.uint64)
-    starts = np.arange(len(flat) - m + 1)
-    h[: len(starts)] = mix(PrefixHashes(flat).of(starts, m)) | _U(1)
-    h[left < m] = _MOST
-    least = np.where(left >= length, _sliding(h, w, np.minimum, True), _U(0))
-    place = np.flatnonzero((_sliding(least, w, np.maximum, False) == h) & (left >= m))
+    h[: len(flat) - m + 1] = mix(PrefixHashes(flat).each(m)) | _U(1)
+    ends = np.cumsum(sizes)
+
+    def last(n: int) -> np.ndarray:
+        """The places of the last n bytes of each text, or of all it has."""
+        at = ends[:, None] - 1 - np.arange(n)
+        return at[at >= (ends - sizes)[:, None]]
+
+    h[last(m - 1)] = _MOST  # no anchor reaches into the next text
+    least = _sliding(h, w, np.minimum, True)
+    least[last(length - 1)] = 0  # nor does a string
+    found = _sliding(least, w, np.maximum, False) == h
+    found[last(m - 1)] = False
+    place = np.flatnonzero(found)
     return place, h[place]
 
 
