@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundlattice.functions.numeric import EXACT_ROWS, macd_states, max_drawdown, wilder
+from fundlattice.functions.numeric import EXACT_ROWS, macd_states, wilder
+from fundlattice.operators.scan import largest_falls
 
 YEAR = 250.0
 
@@ -119,21 +120,20 @@ def vol_windows(p: DataFrame) -> DataFrame:
 
 
 def drawdown_calendar(p: DataFrame) -> DataFrame:
-    """IND-3: the largest fall within n days, as a negative percentage."""
-    out = p
-    for n in (7, 30, 60, 90):
-        out = out.withColumn(f"dd_{n}", max_drawdown(_or_tail(n, 3, lambda f: F.collect_list("nav").over(f))) * -100)
-    return out.drop("r", "nav")
+    """IND-3: the largest fall within n days, as a negative percentage; within some rows where the days hold fewer than three."""
+    spans = (7, 30, 60, 90)
+    windows = {f"_days_{n}": (F.unix_date("d"), n + 1, days(n)) for n in spans} | {f"_rows_{n}": (F.col("i"), max(3, n // 2), rows(max(3, n // 2))) for n in spans}
+    out = largest_falls(p, windows)
+    out = out.withColumns({f"dd_{n}": F.when(F.count("nav").over(days(n)) < 3, F.col(f"_rows_{n}")).otherwise(F.col(f"_days_{n}")) * -100 for n in spans})
+    return out.drop("r", "nav", *windows)
 
 
 def drawdown_trading(p: DataFrame) -> DataFrame:
     """IND-11 (negative, null below three rows) and INB-5 (positive, 0 below two)."""
-    out = p
-    for n in (6, 21, 61):
-        out = out.withColumn(f"dd_{n - 1}_a", F.when(F.col("i") >= 2, max_drawdown(F.collect_list("nav").over(rows(n))) * -100))
-    for n in (5, 20, 40, 60):
-        out = out.withColumn(f"dd_{n}_b", F.when(F.col("i") >= 1, max_drawdown(F.collect_list("nav").over(rows(n))) * 100).otherwise(0.0))
-    return out.drop("r", "nav")
+    out = largest_falls(p, {f"_{n}": (F.col("i"), n, rows(n)) for n in (5, 6, 20, 21, 40, 60, 61)})
+    a = {f"dd_{n - 1}_a": F.when(F.col("i") >= 2, F.col(f"_{n}") * -100) for n in (6, 21, 61)}
+    b = {f"dd_{n}_b": F.when(F.col("i") >= 1, F.col(f"_{n}") * 100).otherwise(0.0) for n in (5, 20, 40, 60)}
+    return out.withColumns(a | b).drop("r", "nav", *[f"_{n}" for n in (5, 6, 20, 21, 40, 60, 61)])
 
 
 def _position(f: Window) -> Column:
@@ -166,19 +166,20 @@ def rebound_pullback(p: DataFrame) -> DataFrame:
 
 def sharpe_calmar(p: DataFrame) -> DataFrame:
     """IND-8, IND-9, INB-19."""
-    out = p
+    windows = {f"_days_{n}": (F.unix_date("d"), n + 1, days(n)) for n in (60, 90)} | {f"_rows_{n}": (F.col("i"), n // 2, rows(n // 2)) for n in (60, 90)} | {f"_b_{n}": (F.col("i"), n, rows(n)) for n in (40, 60)}
+    out = largest_falls(p, windows)
     for n in (30, 60):
         mean, std = (_or_tail(n, 5, lambda f, g=g: g("r").over(f)) for g in (F.avg, F.stddev_samp))
         enough = _or_tail(n, 5, lambda f: F.count("r").over(f)) >= 5
         out = out.withColumn(f"sharpe_{n}_a", F.when(enough, F.when(std == 0, 0.0).otherwise(mean / std * F.sqrt(F.lit(YEAR)))))
     for n in (60, 90):
-        dd = max_drawdown(_or_tail(n, 3, lambda f: F.collect_list("nav").over(f)))
+        dd = F.when(F.count("nav").over(days(n)) < 3, F.col(f"_rows_{n}")).otherwise(F.col(f"_days_{n}"))
         enough = _or_tail(n, 5, lambda f: F.count("r").over(f)) >= 3
         out = out.withColumn(f"calmar_{n}_a", F.when(enough & (dd > 0), F.abs(_or_tail(n, 5, lambda f: F.avg("r").over(f)) * YEAR / dd)))
     for n in (40, 60):
-        dd = max_drawdown(F.collect_list("nav").over(rows(n))) * 100
+        dd = F.col(f"_b_{n}") * 100
         out = out.withColumn(f"calmar_{n}_b", F.when((F.col("i") >= 2) & (dd > 0), F.avg("r").over(rows(n)) * YEAR * 100 / dd).otherwise(0.0))
-    return out.drop("r", "nav")
+    return out.drop("r", "nav", *windows)
 
 
 def win_rate_stats(p: DataFrame) -> DataFrame:

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundlattice.functions.numeric import EXACT_ROWS, macd_states, max_drawdown, round_half_up
+from fundlattice.functions.numeric import round_half_up
 from fundlattice.operators import scoring
-from fundlattice.operators.indicators import YEAR, _streak, in_order, lagged, ma, macd_b_columns, rows, trend_b_label
+from fundlattice.operators.indicators import YEAR, _streak, in_order, lagged, macd_b_columns, rows, trend_b_label
+from fundlattice.operators.scan import exponential_means, largest_falls
 
 # fixed values: rows that a code needs, samples that a horizon needs, bounds of the lookback, floors of thresholds
 MIN_ROWS, MIN_SAMPLES = 60, 20
@@ -21,27 +22,42 @@ FLOORS = {1: 0.5, 3: 1.0, 7: 2.0, 30: 3.0}
 FALLBACK_VOL = 0.15 / YEAR**0.5
 
 
-def _last(values: Column, n: Column) -> Column:
-    """The last n elements, or all of them."""
-    n = F.least(n, F.size(values))
-    return F.slice(values, F.when(n > 0, -n).otherwise(1), n)
+#: Steps of the finest scaled position, see behind().
+UNIT = 1_000
 
 
-def _mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+def behind(steps: Column, most: int) -> Column:
+    """A position by which a frame of RANGE (most * UNIT PRECEDING) holds a row and the `steps` before it, a number of its code's own.
+
+    steps is at most `most`. Rows of a code lie most * UNIT / steps apart, rounded, so that the frame ends between two rows.
+    """
+    return F.floor(F.col("i") * (most * UNIT) / steps).cast("long")
 
 
-def _deviation(values: Column) -> Column:
-    mean = _mean(values)
-    return F.sqrt(F.aggregate(F.transform(values, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x) / F.size(values))
+def _frame(position: str, most: int, less: int = 0) -> Window:
+    return Window.partitionBy("code").orderBy(position).rangeBetween(-most * UNIT + less, 0)
 
 
-def _whole(p: DataFrame) -> DataFrame:
-    """For each code, over all its rows: share of earlier volatilities below the last one, MACD states, deviation."""
-    newest = F.max_by("v20", "i").over(Window.partitionBy("code"))
-    navs = F.transform(F.array_sort(F.collect_list(F.when(F.col("i") >= F.col("n_rows") - EXACT_ROWS, F.struct("i", "nav")))), lambda x: x["nav"])
-    out = p.withColumn("v_now", newest).groupBy("code").agg((F.count_if(F.col("v20") < F.col("v_now")) / F.count("v20") * 100).alias("w_pct"), F.stddev_pop("r").alias("w_pop"), navs.alias("navs"))
-    return out.withColumn("w_m", macd_states(F.col("navs"))).drop("navs")
+def _macd_within(p: DataFrame, look: Window) -> DataFrame:
+    """INB-12: p (with the exponential means _f, _s, _dea of a code's whole history) with the MACD of each row's lookback.
+
+    Steps of an exponential mean are affine, so a mean that begins at a lookback's first row is the whole history's, less what
+    that had there, faded; a fading difference of two means adds a geometric series to the signal line.
+    """
+    fast, slow, signal = (1 - 2 / (n + 1) for n in (12, 26, 9))
+    start = p.withColumns({"_from": F.first(F.struct("i", "nav", "_f", "_s", "_dea")).over(look)})
+    begun = start.withColumns({"_cf": F.col("_from._f") - F.col("_from.nav"), "_cs": F.col("_from._s") - F.col("_from.nav")})
+    faded = lambda a, n: F.pow(F.lit(a), n)
+    series = lambda a, n: a * (faded(a, n) - faded(signal, n)) / (a - signal)
+    states = {}
+    for k in range(3):
+        n = F.col("i") - F.col("_from.i") - k
+        f, s, dea = (F.lag(c, k).over(in_order()) if k else F.col(c) for c in ("_f", "_s", "_dea"))
+        states[f"_dif{k}"] = f - s - faded(fast, n) * F.col("_cf") + faded(slow, n) * F.col("_cs")
+        states[f"_sig{k}"] = dea - faded(signal, n) * F.col("_from._dea") - (1 - signal) * (series(fast, n) * F.col("_cf") - series(slow, n) * F.col("_cs"))
+    out = begun.withColumns(states).withColumn("m", F.array(*[F.struct(F.col(f"_dif{k}").alias("dif"), F.col(f"_sig{k}").alias("dea")) for k in range(3)]))
+    hist, cross, way = macd_b_columns(F.col("m"))
+    return out.withColumns({"macd_hist": round_half_up(hist, 6), "macd_cross": cross, "macd_dir": way}).drop("_from", "_cf", "_cs", "m", *states)
 
 
 def features(p: DataFrame, present: bool = False) -> DataFrame:
@@ -50,71 +66,81 @@ def features(p: DataFrame, present: bool = False) -> DataFrame:
     The lookback of a code is half its rows, MOST_LOOKBACK at most and LEAST_LOOKBACK at least; frames that are longer take
     what it holds, and what needs more rows has its neutral value. The present row looks back on all rows. Codes
     with fewer than MIN_ROWS rows have none.
+
+    Lookbacks differ by code, but frames have fixed bounds: rows are ordered by a position that makes every code's lookback as long
+    (see behind). Exponential means and falls come from blocks (see scan), so no row carries its history.
     """
     r2 = lambda x: round_half_up(x, 2)
     year = F.sqrt(F.lit(YEAR))
     nav, look = F.col("nav"), F.col("look")
     # of the returns, one fewer than rows, a lookback of 40 rows holds 39
     within = lambda n, f: f(rows(n)) if n < LEAST_LOOKBACK else F.when(look > n, f(rows(n))).otherwise(f(rows(n - 1)))
-    std = lambda n: within(n, lambda f: F.stddev_samp("r").over(f))
-    mean = lambda n: within(n, lambda f: F.avg("r").over(f))
-    dd = lambda n: r2(max_drawdown(F.collect_list("nav").over(rows(n))) * 100)
     negative = F.when(F.col("r") < 0, F.col("r"))
     rule = F.least(F.lit(MOST_LOOKBACK), F.greatest(F.lit(LEAST_LOOKBACK), F.floor(F.col("n_rows") / 2).cast("int")))
     known = p.withColumn("n_rows", F.count("*").over(Window.partitionBy("code")).cast("int")).where(F.col("n_rows") >= MIN_ROWS)
     known = known.withColumn("look", F.col("n_rows") if present else rule)
-    base = _streak(known, F.signum("r")).withColumn("v20", F.when(F.col("i") >= 20, F.stddev_samp("r").over(rows(20)))).withColumn("change", nav - lagged(1))
+    whole = in_order().rowsBetween(Window.unboundedPreceding, 0)
+    if present:
+        known = known.withColumn("_tail", F.col("i") * UNIT)
+        lookback, returned = whole, whole
+    else:
+        known = known.withColumns({"_x": behind(look - 1, MOST_LOOKBACK - 1), "_tail": behind(F.least(look, F.lit(60)) - 1, 59), "_v": behind(look - 21, MOST_LOOKBACK - 21)})
+        lookback, returned = _frame("_x", MOST_LOOKBACK - 1), _frame("_x", MOST_LOOKBACK - 1, less=UNIT // 2)
+    tail = _frame("_tail", 59)
+    base = exponential_means(known, {"_f": ("nav", 0, 2 / 13), "_s": ("nav", 0, 2 / 27)}).withColumn("_line", F.col("_f") - F.col("_s"))
+    base = _macd_within(exponential_means(base, {"_dea": ("_line", 0, 2 / 10)}), lookback)
+    base = largest_falls(base, {"_dd_20": (F.col("i"), 20, rows(20)), "_dd_40": (F.col("i"), 40, rows(40)), "_dd_tail": (F.col("_tail"), 59 * UNIT + 1, tail)})
+    base = _streak(base, F.signum("r")).withColumns({"v20": F.when(F.col("i") >= 20, F.stddev_samp("r").over(rows(20))), "change": nav - lagged(1)})
     gain = lambda w, sign: F.sum(F.greatest(F.col("change") * sign, F.lit(0.0))).over(rows(w))
-    rsi = lambda w: round_half_up(F.when(gain(w, -1) == 0, F.when(gain(w, 1) > 0, 100.0).otherwise(50.0)).otherwise(100 - 100 / (1 + gain(w, 1) / gain(w, -1))), 1)
-    sharpe = lambda n: r2(F.when(std(n) == 0, 0.0).otherwise(mean(n) / std(n) * year))
-    place = lambda low, high: round_half_up(F.when(high == low, 50.0).otherwise((nav - low) / (high - low) * 100), 1)
-    within_rows = lambda n: place(F.min("nav").over(rows(n)), F.max("nav").over(rows(n)))
-    back = lambda k: F.when(look > k, (nav / lagged(k) - 1) * 100).otherwise(0.0)
-    mid, dev = F.avg("nav").over(rows(20)), F.stddev_samp("nav").over(rows(20))
+    aggregates = {
+        "_std_20": F.stddev_samp("r").over(rows(20)), "_std_40": within(40, lambda f: F.stddev_samp("r").over(f)), "_mean_20": F.avg("r").over(rows(20)), "_mean_40": within(40, lambda f: F.avg("r").over(f)),
+        "_mean_tail": F.when(look > 60, F.avg("r").over(rows(60))).otherwise(F.avg("r").over(returned)), "vol_pop": F.stddev_pop("r").over(returned),
+        "_fell": F.count(negative).over(rows(20)), "_down": F.stddev_samp(negative).over(rows(20)), "_mid": F.avg("nav").over(rows(20)), "_dev": F.stddev_samp("nav").over(rows(20)),
+        "_skew": within(40, lambda f: F.skewness("r").over(f)), "_rets": F.collect_list("r").over(rows(20)), "win_30": F.count_if(F.col("r") > 0).over(rows(20)), "vol_pop_30": F.stddev_pop("r").over(rows(30)),
+        **{f"{side}_{w}": gain(w, sign) for w in (6, 14) for side, sign in (("gain", 1), ("loss", -1))},
+        **{f"_low_{n}": F.min("nav").over(f) for n, f in (("5", rows(5)), ("20", rows(20)), ("40", rows(40)), ("t", tail))}, **{f"_high_{n}": F.max("nav").over(f) for n, f in (("5", rows(5)), ("20", rows(20)), ("40", rows(40)), ("t", tail))},
+        **{f"raw_{k}": F.avg("nav").over(rows(k)) for k in (5, 10, 20)}, "_raw_60": F.avg("nav").over(rows(60)), **{f"_lag_{k}": lagged(k) for k in (1, 2, 3, 4, 5, 7, 9, 19, 20, 30, 40, 60)},
+        **{f"after_{h}": F.lead("nav", h + 1).over(in_order()) for h in scoring.HORIZONS},
+    }
+    if present:
+        newest = F.last("v20").over(Window.partitionBy("code").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        base = base.withColumn("_newest", newest)
+        aggregates["pct_of"] = F.count_if(F.col("v20") < F.col("_newest")).over(whole) / F.count("v20").over(whole) * 100
+    else:
+        aggregates["_vols"] = F.collect_list("v20").over(_frame("_v", MOST_LOOKBACK - 21))
+    c = lambda name: F.col(f"_{name}")
+    lag = lambda k: F.col(f"_lag_{k}")
+    out = base.withColumns(aggregates).where(F.col("i") == look - 1 if present else F.col("i") >= look - 1)
+    if not present:
+        out = out.withColumn("pct_of", F.size(F.filter("_vols", lambda x: x < F.col("v20"))) / F.size("_vols") * 100)
+    rsi = lambda w: round_half_up(F.when(F.col(f"loss_{w}") == 0, F.when(F.col(f"gain_{w}") > 0, 100.0).otherwise(50.0)).otherwise(100 - 100 / (1 + F.col(f"gain_{w}") / F.col(f"loss_{w}"))), 1)
+    place = lambda n: round_half_up(F.when(c(f"high_{n}") == c(f"low_{n}"), 50.0).otherwise((nav - c(f"low_{n}")) / (c(f"high_{n}") - c(f"low_{n}")) * 100), 1)
+    back = lambda k: F.when(look > k, (nav / lag(k) - 1) * 100).otherwise(0.0)
     n40 = F.least(F.lit(40), look - 1).cast("double")
-    squares = F.collect_list("r").over(rows(20))
-    ewma = F.sqrt(F.aggregate(F.slice(squares, 2, 20), F.pow(F.element_at(squares, 1), F.lit(2.0)), lambda a, v: a * 0.94 + v * v * 0.06)) * year * 100
-    out = base.select(
+    ewma = F.sqrt(F.aggregate(F.slice("_rets", 2, 20), F.pow(F.element_at("_rets", 1), F.lit(2.0)), lambda a, v: a * 0.94 + v * v * 0.06)) * year * 100
+    out = out.select(
         "code", "d", "i", "nav", "look",
         *[r2(back(k)).alias(name) for name, k in (("ret_1", 1), ("ret_5", 5), ("ret_20", 20), ("ret_7d", 5), ("ret_30d", 20), ("ret_60d", 40), ("ret_90d", 60))],
-        *[F.when(look >= k, round_half_up(ma(k), 4)).alias(f"ma_{k}") for k in (5, 10, 20, 60)],
-        *[dd(n).alias(name) for name, n in (("dd_30", 20), ("dd_60", 40))],
-        *[r2(std(n) * year * 100).alias(name) for name, n in (("vol_30", 20), ("vol_60", 40))],
-        r2(F.when(F.count(negative).over(rows(20)) < 2, 0.0).otherwise(F.stddev_samp(negative).over(rows(20)) * year * 100)).alias("down_30"),
-        sharpe(20).alias("sharpe_30"), sharpe(40).alias("sharpe_60"), mean(40).alias("mean_40"),
-        *[within_rows(n).alias(name) for name, n in (("pos_7", 5), ("pos_30", 20), ("pos_60", 40))],
-        *[r2((nav - F.min("nav").over(rows(n))) / F.min("nav").over(rows(n)) * 100).alias(name) for name, n in (("rebound_7", 5), ("rebound_30", 20))],
-        *[r2((F.max("nav").over(rows(n)) - nav) / F.max("nav").over(rows(n)) * 100).alias(name) for name, n in (("pullback_7", 5), ("pullback_30", 20))],
+        *[F.when(look >= k, round_half_up(F.col(name), 4)).alias(f"ma_{k}") for k, name in ((5, "raw_5"), (10, "raw_10"), (20, "raw_20"), (60, "_raw_60"))],
+        r2(c("dd_20") * 100).alias("dd_30"), r2(c("dd_40") * 100).alias("dd_60"), r2(c("dd_tail") * 100).alias("dd_90"),
+        r2(c("std_20") * year * 100).alias("vol_30"), r2(c("std_40") * year * 100).alias("vol_60"), r2(F.when(c("fell") < 2, 0.0).otherwise(c("down") * year * 100)).alias("down_30"),
+        *[r2(F.when(c(f"std_{n}") == 0, 0.0).otherwise(c(f"mean_{n}") / c(f"std_{n}") * year)).alias(name) for n, name in ((20, "sharpe_30"), (40, "sharpe_60"))],
+        c("mean_40").alias("mean_40"), c("mean_tail").alias("mean_60"), *[place(n).alias(name) for n, name in (("5", "pos_7"), ("20", "pos_30"), ("40", "pos_60"), ("t", "pos_90"))],
+        *[r2((nav - c(f"low_{n}")) / c(f"low_{n}") * 100).alias(name) for n, name in (("5", "rebound_7"), ("20", "rebound_30"))],
+        *[r2((c(f"high_{n}") - nav) / c(f"high_{n}") * 100).alias(name) for n, name in (("5", "pullback_7"), ("20", "pullback_30"))],
         rsi(6).alias("rsi_6"), rsi(14).alias("rsi_14"),
-        round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.when(dev == 0, 50.0).otherwise((nav - (mid - dev * 2)) / (dev * 4) * 100))), 1).alias("bb_pos"),
-        r2(dev * 4 / mid * 100).alias("bb_width"),
-        r2(within(40, lambda f: F.skewness("r").over(f)) * F.pow((n40 - 1) / n40, F.lit(1.5))).alias("skew"),
-        r2((nav / lagged(2) - 1) * 100 - (lagged(3) / lagged(5) - 1) * 100).alias("accel"), r2(ewma).alias("ewma"),
-        round_half_up(F.count_if(F.col("r") > 0).over(rows(20)) / 20 * 100, 1).alias("win_30"), F.stddev_pop("r").over(rows(30)).alias("vol_pop_30"),
-        *[F.avg("nav").over(rows(k)).alias(f"raw_{k}") for k in (5, 10, 20)],
-        ((nav - lagged(4)) / lagged(4) * 100).alias("slope"), ((lagged(9) - lagged(19)) / lagged(19) * 100).alias("long_slope"),
-        gain(14, 1).alias("gain_14"), gain(14, -1).alias("loss_14"),
-        *[F.lead("nav", h + 1).over(in_order()).alias(f"after_{h}") for h in scoring.HORIZONS],
-        *[((nav / lagged(h) - 1) * 100).alias(f"prev_{h}") for h in scoring.HORIZONS],
-        F.when(F.col("sign") == 0, 0).otherwise(F.col("run")).cast("long").alias("streak_days"),
-        F.when(F.col("sign") > 0, "上涨").when(F.col("sign") < 0, "下跌").otherwise("平").alias("streak_dir"),
-        F.collect_list("nav").over(rows(MOST_LOOKBACK)).alias("h"), F.collect_list("r").over(rows(MOST_LOOKBACK - 1)).alias("rets"),
-        "v20", F.collect_list("v20").over(rows(MOST_LOOKBACK - 20)).alias("vols"),
-    ).where(F.col("i") == look - 1 if present else F.col("i") >= look - 1)
-    if present:
-        out = out.join(_whole(base.select("code", "i", "nav", "r", "v20", "n_rows")), "code").withColumnsRenamed({"w_pct": "pct_of", "w_pop": "vol_pop", "w_m": "m"})
-    else:
-        vols = _last(F.col("vols"), look - 20)
-        below = F.size(F.filter(vols, lambda x: x < F.col("v20"))) / F.size(vols) * 100
-        out = out.withColumns({"pct_of": below, "vol_pop": _deviation(_last(F.col("rets"), look - 1)), "m": macd_states(_last(F.col("h"), look))})
-    tail, tail_rets = _last(F.col("h"), F.least(look, F.lit(60))), _last(F.col("rets"), F.least(look - 1, F.lit(60)))
-    out = out.withColumns({"pct": round_half_up(F.col("pct_of"), 1), "pos_90": place(F.array_min(tail), F.array_max(tail)), "dd_90": r2(max_drawdown(tail) * 100), "mean_60": _mean(tail_rets)})
+        round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.when(c("dev") == 0, 50.0).otherwise((nav - (c("mid") - c("dev") * 2)) / (c("dev") * 4) * 100))), 1).alias("bb_pos"),
+        r2(c("dev") * 4 / c("mid") * 100).alias("bb_width"), r2(c("skew") * F.pow((n40 - 1) / n40, F.lit(1.5))).alias("skew"),
+        r2((nav / lag(2) - 1) * 100 - (lag(3) / lag(5) - 1) * 100).alias("accel"), r2(ewma).alias("ewma"), round_half_up(F.col("win_30") / 20 * 100, 1).alias("win_30"), "vol_pop_30", "vol_pop",
+        "raw_5", "raw_10", "raw_20", ((nav - lag(4)) / lag(4) * 100).alias("slope"), ((lag(9) - lag(19)) / lag(19) * 100).alias("long_slope"), "gain_14", "loss_14",
+        *[f"after_{h}" for h in scoring.HORIZONS], *[((nav / lag(h) - 1) * 100).alias(f"prev_{h}") for h in scoring.HORIZONS],
+        F.when(F.col("sign") == 0, 0).otherwise(F.col("run")).cast("long").alias("streak_days"), F.when(F.col("sign") > 0, "上涨").when(F.col("sign") < 0, "下跌").otherwise("平").alias("streak_dir"),
+        round_half_up(F.col("pct_of"), 1).alias("pct"), "macd_hist", "macd_cross", "macd_dir",
+    )
     calmar = lambda mean, dd: r2(F.when(F.col(dd) == 0, 0.0).otherwise(F.col(mean) * YEAR * 100 / F.col(dd)))
-    hist, cross, way = macd_b_columns(F.col("m"))
     regime = F.when(F.col("pct") > 75, "高波动").when(F.col("pct") < 25, "低波动").otherwise("正常")
-    trend = trend_b_label(*(F.col(c) for c in ("nav", "ma_5", "ma_10", "ma_20", "ma_60")))
-    out = out.withColumns({"calmar_60": calmar("mean_40", "dd_60"), "calmar_90": calmar("mean_60", "dd_90"), "macd_hist": round_half_up(hist, 6), "macd_cross": cross, "macd_dir": way, "regime": regime, "trend": trend})
-    return out.drop("h", "rets", "vols", "v20", "m", "mean_40", "mean_60", "pct_of")
+    trend = trend_b_label(*(F.col(x) for x in ("nav", "ma_5", "ma_10", "ma_20", "ma_60")))
+    return out.withColumns({"calmar_60": calmar("mean_40", "dd_60"), "calmar_90": calmar("mean_60", "dd_90"), "regime": regime, "trend": trend}).drop("mean_40", "mean_60")
 
 
 def market_regime() -> Column:

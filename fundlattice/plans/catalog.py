@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundlattice.operators import backtest as bt
+from fundlattice.operators import calendar as cal
 from fundlattice.operators import indicators as ind
 from fundlattice.operators import prediction as pred
 from fundlattice.operators import walkforward as wf
@@ -16,6 +17,7 @@ from fundlattice.operators import decisions as dec
 from fundlattice.operators import documents as docs
 from fundlattice.operators import joins, portfolio, scoring
 from fundlattice.plans import backtest_sql as bsql
+from fundlattice.plans import calendar_sql as csql
 from fundlattice.plans import decision_queries as dq
 from fundlattice.plans import indicator_sql as isql
 from fundlattice.plans import more_queries as mq
@@ -55,6 +57,7 @@ def _names(pattern: str, values) -> str:
     return " ".join(pattern.format(v) for v in values)
 
 
+_MACD = ["macd_line", "signal_line", "histogram", "histogram_prev", "crossover", "direction"]
 INDICATORS = [
     Query("returns_trading", on_panel(ind.returns_trading), isql.RETURNS_TRADING, _names("ret_{0}_a ret_{0}_b", (1, 5, 10, 20, 60))),
     Query("returns_calendar", on_panel(ind.returns_calendar), isql.RETURNS_CALENDAR, _names("ret_{}", (7, 30, 60, 90))),
@@ -73,6 +76,9 @@ INDICATORS = [
     Query("vol_percentile_b", on_panel(ind.vol_percentile_b), isql.VOL_PERCENTILE_B, "pct"),
     Query("streaks", on_panel(ind.streaks), isql.STREAKS),
     Query("rsi_wilder", on_panel(ind.rsi_wilder), isql.RSI_WILDER, "rsi_6 rsi_14 rsi_28"),
+    Query("rsi_wilder_daily", on_panel(lambda p: cal.wilder_rsi(p).select("code", "i", "rsi_6", "rsi_14", "rsi_28")), csql.RSI_DAILY, "rsi_6 rsi_14 rsi_28"),
+    Query("macd_a_daily", on_panel(lambda p: cal.macd(p).select("code", "i", *_MACD)), csql.MACD_DAILY, " ".join(_MACD[:4])),
+    Query("calendar_metrics", on_panel(cal.metrics), csql.CALENDAR_METRICS, csql.DOUBLES),
     Query("rsi_simple", on_panel(ind.rsi_simple), isql.RSI_SIMPLE, "rsi_6 rsi_14 rsi_28"),
     Query("macd_a", on_panel(ind.macd_a), isql.MACD_A, "macd_line signal_line histogram histogram_prev"),
     Query("macd_b", on_panel(ind.macd_b), isql.MACD_B, "histogram"),

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundlattice.operators import backtest as bt
+from fundlattice.operators import calendar
 from fundlattice.operators import decisions as dec
 from fundlattice.operators import joins, portfolio, scoring
 from fundlattice.operators import prediction as pred
-from fundlattice.operators import walkforward as wf
+from fundlattice.plans.calendar_sql import with_risk
 from fundlattice.plans.indicator_sql import with_nav
-from fundlattice.plans.walkforward_sql import FEATURE_CTES, with_samples
+from fundlattice.plans.walkforward_sql import with_samples
 from fundlattice.sources import profiles, readers
 from fundlattice.sources.panel import HOLDINGS_SQL, PRICE_SQL, holdings, nav_panel, price_panel, table
 from fundlattice.streaming import daily
@@ -39,17 +40,20 @@ STUBS = [
         "specific": "code = '3-MEDIUM'", "selective_valid": "ret_60d > 0", "validation_ok": "ret_90d > 0", "cv_ok": "ret_30d > 0", "hit_bound": "50 + win_30 / 6", "validation_hit": "75 + win_30 / 8", "validation_n": "3 + streak_days", "avg_return": "ret_30d", "profit_factor": "1 + ret_30d / 5",
     }
 ]
-RISK_STAGES = [dec.KINDS, {"profit_pct": dec.PROFIT, "max_loss": "coalesce(max_loss_percent, 20e0)"}, {p: scoring.risk_part(p) for p in (*dec.RISK_PARTS, "personal_risk")}, {"risk_score": dec.RISK_SCORE}, {"risk_level": scoring.RISK_LEVEL, "risk_colour": scoring.RISK_COLOUR}]
-_ROWS = dec.stages_sql("(SELECT fx.*, c.* EXCLUDE (code) FROM fx LEFT JOIN ctx c ON fx.code = c.code)", RISK_STAGES)
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features and risk of every code and date; codes without context have no kind, market or position."""
-    return dec.with_risk(dec.with_kinds(wf.features(nav_panel(spark, sf_dir)).join(F.broadcast(spark.sql(CONTEXT)), "code", "left")))
+    """Calendar metrics and risk of every code and date; codes without context have no kind, market or position."""
+    return judge(calendar.metrics(nav_panel(spark, sf_dir)), spark.sql(CONTEXT))
 
 
-def _judged_sql(select: str, stages: list = (), more: str = "") -> str:
-    return with_nav(select.format(rows=dec.stages_sql(_ROWS, list(stages))), *FEATURE_CTES, f"ctx AS ({CONTEXT})", *([more] if more else []))
+def judge(metrics: DataFrame, context: DataFrame) -> DataFrame:
+    """Metrics as scores take them, with what is known of each code, its kind and its risk."""
+    return dec.with_risk(dec.with_kinds(calendar.neutral(metrics).join(F.broadcast(context), "code", "left")))
+
+
+def _judged_sql(select: str, stages: list = ()) -> str:
+    return with_risk(select.format(rows=dec.stages_sql("rk", list(stages))), CONTEXT)
 
 
 def _query(name: str, columns: str, stages: list, doubles: str):
@@ -58,7 +62,7 @@ def _query(name: str, columns: str, stages: list, doubles: str):
 
 
 REASONS_SQL = _judged_sql(
-    f"SELECT code, i, {scoring.told(scoring.REASONS)} AS risk_reasons, {scoring.told(scoring.WARNINGS)} AS risk_warnings FROM (SELECT * REPLACE (round(nav, 4) AS nav), {dec.HAS_POSITION} AS has_position FROM {{rows}})"
+    f"SELECT code, i, {scoring.told(scoring.REASONS)} AS risk_reasons, {scoring.told(scoring.WARNINGS)} AS risk_warnings FROM (SELECT * REPLACE (round(nav, 4) AS nav) FROM {{rows}})"
 )
 
 
@@ -67,7 +71,7 @@ def forecasts(s: SparkSession, d: str) -> DataFrame:
 
 
 _FORECASTS = " UNION ALL ".join(f"SELECT code, i, {p} AS horizon, {', '.join(dec.FORECAST_COLUMNS)} FROM {dec.stages_sql('jr', dec.forecast_stages(p, 'round_even'))}" for p in scoring.HORIZONS)
-FORECAST_SQL = with_nav(_FORECASTS, *FEATURE_CTES, f"ctx AS ({CONTEXT})", f"jr AS (SELECT * FROM {_ROWS})")
+FORECAST_SQL = with_risk(_FORECASTS, CONTEXT, "jr AS (SELECT * FROM rk)")
 
 
 def calibrated(sm: DataFrame) -> DataFrame:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from fundlattice.functions.numeric import round_half_up
 from fundlattice.operators import backtest as bt
+from fundlattice.operators import calendar
 from fundlattice.operators import decisions as dec
 from fundlattice.operators import documents as docs
 from fundlattice.operators import indicators as ind
 from fundlattice.operators import joins, portfolio
-from fundlattice.operators import walkforward as wf
 from fundlattice.plans import backtest_sql as bsql
 from fundlattice.plans import decision_queries as dq
+from fundlattice.plans.calendar_sql import CALENDAR_CTES, RISK_CTES
 from fundlattice.plans.indicator_sql import OVER, RETURNS_CALENDAR, rows, with_nav
 from fundlattice.plans.walkforward_sql import with_samples
 from fundlattice.sources import profiles, readers
@@ -235,7 +236,7 @@ _JUDGING = [_UNTRAINED, *dec.ADVICE_STAGES, *dec.FINAL_STAGES, *dec.GATE_STAGES]
 def present_decisions(s: SparkSession, d: str, sm: DataFrame, now: DataFrame) -> DataFrame:
     """What to do about each code now: risk of its present row, its predictions, forecasts and backtest, and the decision tables over them."""
     context = s.sql(dq.CONTEXT).drop("quality", "calibrated")
-    base = dec.with_risk(dec.with_kinds(wf.features(nav_panel(s, d), present=True).join(F.broadcast(context), "code", "left")))
+    base = dq.judge(calendar.newest(calendar.metrics(nav_panel(s, d))), context)
     said = F.concat_ws(" ", "direction2", "rise_fall")
     texts = dec.forecast(base, [7, 30]).groupBy("code").agg(*[F.max(F.when(F.col("horizon") == h, said)).alias(f"text_{h}d") for h in (7, 30)])
     predicted = docs.predictions(sm, now)
@@ -258,8 +259,9 @@ def present_decisions_sql(predictions: str) -> str:
     return with_samples(
         f"SELECT code, {', '.join(_DECIDED)} FROM {dec.stages_sql(rows_of, _JUDGING)}",
         f"ctx AS (SELECT * EXCLUDE (quality, calibrated) FROM ({dq.CONTEXT}))",
-        f"jp AS (SELECT * FROM {dec.stages_sql('(SELECT f.*, c.* EXCLUDE (code) FROM fa f LEFT JOIN ctx c ON f.code = c.code WHERE present)', dq.RISK_STAGES)})",
+        *CALENDAR_CTES, *RISK_CTES,
+        "jp AS (SELECT * FROM rk QUALIFY i = max(i) OVER (PARTITION BY code))",
         f"pr AS ({predictions})",
         f"w AS (SELECT code, {wide}, CASE WHEN count(*) FILTER (usable) = 0 THEN 'low' WHEN count(*) FILTER (usable) >= 3 THEN 'high' ELSE 'medium' END AS pred_quality FROM pr GROUP BY code)",
         f"t AS (SELECT code, quality, calibrated FROM ({bsql.QUALITY}))",
-    )
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
