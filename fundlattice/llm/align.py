@@ -24,9 +24,9 @@ from .shingle_join import BROADCAST_IDS
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts whose distinct words are told apart together, and those that are read together.
-PORTION, PART = 16_000_000, 2_000_000
+PORTION, PART = 16_000_000, 1_000_000
 #: Units that are encoded together, and bytes of a unit that is encoded by itself.
-ENCODED, LONG_UNIT = 4_096, 400
+ENCODED, LONG_UNIT = 2_048, 400
 #: Bytes of input for each bucket of the stored portions, and the most buckets that Spark allows.
 BUCKET_BYTES, MOST_BUCKETS = 8_000_000, 100_000
 #: A token travels as id << SIZE_BITS | bytes.
@@ -181,11 +181,13 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_fil
         zipped, lists = zstandard.ZstdCompressor(1), pa.list_(pa.int32())
 
         def flush():
-            of_words = [pair.units(w) for w in index]
-            sizes = np.array([len(u) for u in of_words], np.int32)
-            units = dict.fromkeys(u for parts in of_words for u in parts)
-            units = dict(zip(units, range(len(units))))
-            numbers = np.fromiter((units[u] for parts in of_words for u in parts), np.int32)
+            units, sizes, numbers = {}, np.empty(len(index), np.int32), []
+            for k, word in enumerate(index):
+                parts = pair.units(word)
+                sizes[k] = len(parts)
+                numbers += [units.setdefault(u, len(units)) for u in parts]
+            index.clear()
+            numbers = np.array(numbers, np.int32)
             of_units = np.bincount(numbers, weights=np.repeat(times, sizes)).astype(np.int64)
             nulls = [pa.nulls(1, t) for t in (pa.int32(), lists, lists, ids)]
             packed = zipped.compress(np.concatenate([sizes, numbers]).tobytes())
@@ -243,7 +245,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_fil
         kinds = [*(pa.array(out[c], pa.int64()) for c in totals), pa.array(out["sha"])]
         return pa.table([texts["id"], *kinds, *([pa.array(out["groups"])] if with_groups else [])], ["id", *totals, "groups_sha256", *(["groups"] if with_groups else [])])
 
-    totals, keys = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"], ["portion", "no"]
+    # by number first, as that tells a portion's rows apart when they are sorted
+    totals, keys = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"], ["no", "portion"]
     with small_batches(spark):
         dealt = scratch.hold(stash_by(rows.mapInArrow(deal, f"portion long, no int, times long, a array<int>, b array<int>, id {kind}, seq binary"), "portion", buckets, "portions"))
     types = dealt.where("no is not null")
