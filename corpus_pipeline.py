@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundlattice.llm.common import free_name, stash, unstash
-from fundlattice.llm.langid import SIGNIFICANT, foreign, held_out, identify, learn
+from fundlattice.llm.langid import SIGNIFICANT, bars, held_out, identify, learn
 from fundlattice.llm.packing import pack
 from fundlattice.llm.secrets import redact_secrets
 from fundlattice.llm.shingle_join import BROADCAST_IDS, join_groups
@@ -21,16 +21,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in a language that the labelled ones teach; a missing lang is filled in.
 
     Rejected are texts that are null or without a letter, and foreign ones: those less like every learned language than
-    so many letters in one of them would be (langid.foreign, one rule for texts of all sizes). A missing
+    so many letters of it are, by a bar that the labelled rows of each language set (langid.bars). A missing
     lang is filled in where the score tells it from chance, and stays null elsewhere. Without labelled documents only
-    texts without letters go.
+    texts without letters go. A very long text is read whole, in one task's memory.
     """
-    prototypes = learn(docs.where(~held_out()))
-    lang, score, effective = (free_name(docs.columns, n) for n in ("_lang", "_score", "_effective"))
-    found = identify(docs, prototypes, keep=tuple(docs.columns), out=(lang, score, effective))
+    labelled = docs.where(~held_out())
+    prototypes = learn(labelled)
+    lang, score, effective, foreign = (free_name(docs.columns, n) for n in ("_lang", "_score", "_effective", "_foreign"))
+    found = identify(docs, prototypes, keep=tuple(docs.columns), out=(lang, score, effective, foreign), least=bars(labelled, prototypes) if prototypes else None)
+    kept = found.where((F.col(effective) > 0) & ~F.col(foreign))
     if not prototypes:
-        return found.where(F.col(effective) > 0).select(*docs.columns)
-    kept = found.where((F.col(effective) > 0) & ~foreign(F.col(score), F.col(effective)))
+        return kept.select(*docs.columns)
     told = F.when(F.col(score) >= SIGNIFICANT, F.col(lang))
     return kept.withColumn("lang", F.coalesce("lang", told)).select(*docs.columns)
 

@@ -6,7 +6,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, small_batches, table, text_portions
@@ -16,12 +16,10 @@ DIM = 1024
 #: Bytes of texts that are read at once.
 PORTION = 300_000
 SEED = 20_240_101
-#: A text is foreign where its score is less than LEAST_RATE for the root of its effective letters, by more than SLACK. A
-#: learned language's texts score 0.085 times that root; of the 10,000 documents of sf0.1 none lies so low. Italian
-#: of 241 letters does, as do Finnish, Polish, Russian of 58 letters, and random letters.
-LEAST_RATE, SLACK = 0.042, 0.18
 #: A score that unrelated vectors of DIM components reach by chance hardly ever: three standard deviations.
 SIGNIFICANT = 3 / DIM**0.5
+#: The bar of a language, see bars(): the rate that all but so large a share of its labelled rows reach, less a margin for texts still to come.
+BELOW, MARGIN = 0.002, 0.8
 
 
 @functools.cache
@@ -126,25 +124,43 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     return {k: found[k] for k in sorted(found) if found[k].any()}
 
 
-def foreign(score: Column, effective: Column) -> Column:
-    """Whether a text is less like every learned language than a text of so many effective letters in one of them is.
+def bars(labelled: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang", below: float = BELOW) -> dict[str, float]:
+    """For each language how like its prototype a text of it is at least, for the root of its effective letters.
 
-    A text's cosine grows with the root of its effective letters (see identify), so one rate fits texts of all sizes;
-    SLACK is what few letters' chance differences take up.
+    A cosine with the own language grows with that root (see identify), at a rate that is the language's own: it depends on how unlike its
+    trigrams are. The bar is MARGIN times the rate, with SIGNIFICANT for chance, that all but a share `below` of the language's labelled rows
+    reach, each against the prototype without itself. So a language with a single text has no bar to speak of. One value for each language reaches the driver.
     """
-    return score + SLACK < LEAST_RATE * F.sqrt(effective)
+    names = {lang: v for lang, v in prototypes.items()}
+
+    def rates(batches):
+        for part, texts in text_portions(batches, 0, PORTION):
+            langs = part.column(1).to_pylist()
+            vectors, letters = bundles(texts)
+            size = np.linalg.norm(vectors, axis=1)
+            some = [k for k, lang in enumerate(langs) if lang in names and letters[k]]
+            others = np.array([names[langs[k]] for k in some]).reshape(len(some), DIM) - vectors[some]
+            cosine = (vectors[some] * others).sum(axis=1) / np.maximum(size[some] * np.linalg.norm(others, axis=1), 1e-9)
+            rate = (np.clip(cosine, 0, 1) + SIGNIFICANT) * size[some] / (DIM**0.5 * letters[some])
+            yield pa.RecordBatch.from_arrays([pa.array([langs[k] for k in some], pa.string()), pa.array(rate, pa.float64())], ["lang", "rate"])
+
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    found = rows.mapInArrow(rates, "lang string, rate double").groupBy("lang").agg(F.percentile_approx("rate", below, 10_000).alias("bar"))
+    return {r["lang"]: MARGIN * r["bar"] for r in found.collect()}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), dim: int = DIM, out: tuple[str, str, str] = ("lang_pred", "score", "effective")) -> DataFrame:
-    """The language of every text: id_col, the columns named in keep, lang_pred, score, effective (or as `out` says).
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), dim: int = DIM, out: tuple[str, ...] = ("lang_pred", "score", "effective", "foreign"), least: dict[str, float] | None = None) -> DataFrame:
+    """The language of every text: id_col, the columns named in keep, lang_pred, score, effective, foreign (or as `out` says).
 
     lang_pred is the prototype with the largest cosine (ties: the first in alphabetical order), score
     that cosine, from 0 to 1. A null text, one without a letter, or no prototype at all gives ``und`` with
     score 0. effective is the number of letters, repeated trigrams counted less: the square of the number, times dim,
-    over the square of the bundle's length (0 without a letter). Whole texts are read, in portions. Nothing is
+    over the square of the bundle's length (0 without a letter). foreign: whether the text is less like lang_pred than `least` asks for
+    so many effective letters (see bars; without it none is). Whole texts are read, in portions. Nothing is
     shuffled; one row comes out for each row of docs, repeated rows and rows with a null id included.
     """
     names = list(prototypes)
+    asked = np.array([(least or {}).get(k, 0.0) for k in names])
     unit = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]).reshape(len(names), dim)
 
     def predict(batches):
@@ -152,20 +168,21 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
             vectors, letters = bundles(texts, dim)
             size = np.linalg.norm(vectors, axis=1)
             effective = np.where(letters > 0, dim * letters.astype(float) ** 2 / np.maximum(size, 1e-9) ** 2, 0)
-            lang, score = ["und"] * len(texts), np.zeros(len(texts))
+            lang, score, bar = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             if names and len(texts):
                 cosines = vectors @ unit.T / np.maximum(size, 1e-9)[:, None]
                 best = cosines.argmax(axis=1)
                 lang = [names[b] if n else "und" for b, n in zip(best, letters)]
                 score = np.where(letters > 0, np.clip(cosines.max(axis=1), 0, 1), 0)
-            made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(effective, pa.float64())]
+                bar = asked[best] * np.sqrt(effective)
+            made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(effective, pa.float64()), pa.array(score + SIGNIFICANT < bar)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], schema=pa.schema([*list(batch.schema)[:-1], *((n, a.type) for n, a in zip(out, made))]))
 
     kept = [id_col, *[c for c in keep if c != id_col]]
     width = len(kept)
     rows = docs.select(*kept, F.col(text_col).alias(free_name(kept, "text")))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(predict, f"{head}, `{out[0]}` string, `{out[1]}` double, `{out[2]}` double")
+    return rows.mapInArrow(predict, f"{head}, `{out[0]}` string, `{out[1]}` double, `{out[2]}` double, `{out[3]}` boolean")
 
 
 def held_out(id_col: str = "doc_id"):

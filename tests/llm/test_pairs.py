@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fundlattice.llm import graph, neighbours, registry, shingle_join, vector_dedup
-from fundlattice.llm.langid import LEAST_RATE, SLACK, held_out, identify, learn
+from fundlattice.llm.langid import SIGNIFICANT, bars, held_out, identify, learn
 from tests.compare import assert_same, connect
 
 SF = "/root/testdata/sf0.001"
@@ -318,10 +318,13 @@ def test_stages_by_brute_force(spark):
     odd = spark.createDataFrame([(900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, "123 456", "de", "s", 7), (None, "the and with that this", None, "s", 1), (903, "password=hunter2x the and with", None, "s", 1), (904, "Все люди рождаются свободными и равными в своем достоинстве и правах", None, "s", 1), (905, "日本語", None, "s", 1)], docs.schema)
     docs = docs.unionByName(odd)
     kept = corpus_pipeline.identify_language(spark, docs, SF)
-    scores = {r["doc_id"]: r for r in identify(docs, learn(docs.where(~held_out()))).collect()}
+    labelled = docs.where(~held_out())
+    prototypes = learn(labelled)
+    least = bars(labelled, prototypes)
+    scores = {r["doc_id"]: r for r in identify(docs, prototypes).collect()}
     rows = kept.collect()
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in rows} == {i for i, r in scores.items() if r["lang_pred"] != "und" and r["score"] + SLACK >= LEAST_RATE * r["effective"] ** 0.5}
+    assert {r["doc_id"] for r in rows} == {i for i, r in scores.items() if r["lang_pred"] != "und" and r["score"] + SIGNIFICANT >= least[r["lang_pred"]] * r["effective"] ** 0.5}
     assert {r["doc_id"] for r in rows} & {900, 901, 902, 903, 904, 905} == {903, 905}
     assert all((r["lang"] is None) == (r["doc_id"] == 905) for r in rows)  # too short to tell
 
@@ -378,6 +381,25 @@ def test_long_foreign_texts_and_random_letters_are_rejected(spark):
     assert kept.where("doc_id >= 900").count() == 0 and kept.where("doc_id < 900").count() == docs.count()
 
 
+@pytest.mark.parametrize("zipf", [1.0, 0.8])
+def test_texts_of_a_learned_language_stay_at_all_lengths(spark, zipf):
+    """A language of 20,000 random words, whose trigrams are nearly even: under 1 % of new texts go, and other languages' texts do."""
+    rng = np.random.default_rng(7)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    words = ["".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(20_000)]
+    share = 1 / np.arange(1, 20_001) ** zipf
+    text = lambda n: " ".join(words[i] for i in rng.choice(20_000, n, p=share / share.sum()))
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    taught = [text(int(n)) for n in np.exp(rng.uniform(np.log(8), np.log(500), 500))]
+    fresh = {n: [text(n) for _ in range(100)] for n in (8, 20, 40, 120, 500, 4_000)}
+    rows = [(4 * k, t, "xx", "s", 1) for k, t in enumerate(taught)] + [(100_000 * (j + 1) + k, t, None, "s", 1) for j, ts in enumerate(fresh.values()) for k, t in enumerate(ts)]
+    cyrillic = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства."
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, spark.createDataFrame([*rows, (-1, cyrillic, None, "s", 1)], schema), SF).collect()}
+    for j in range(len(fresh)):
+        assert len(kept & set(range(100_000 * (j + 1), 100_000 * (j + 1) + 100))) >= 99
+    assert -1 not in kept
+
+
 def test_pipeline_on_empty_documents(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
