@@ -23,12 +23,12 @@ MEANS = f"""em AS (SELECT code, i, {', '.join(f'0::DOUBLE AS g{w}, 0::DOUBLE AS
   FROM em m JOIN nav n ON n.code = m.code AND n.i = m.i + 1)"""
 _RSI = lambda w: f"CASE WHEN i > {w} AND l{w} > 0 THEN 100 - 100 / (1 + g{w} / l{w}) END"
 RSI_DAILY = with_recursion(f"SELECT code, i, {', '.join(f'{_RSI(w)} AS rsi_{w}' for w in _W)} FROM em", MEANS)
-_MACD = f"""mm AS (SELECT code, i, CASE WHEN i >= 36 THEN f - s END AS macd_line, CASE WHEN i >= 36 THEN dea END AS signal_line, CASE WHEN i >= 36 THEN f - s - dea END AS histogram,
+_MACD = f"""cm AS (SELECT code, i, CASE WHEN i >= 36 THEN f - s END AS macd_line, CASE WHEN i >= 36 THEN dea END AS signal_line, CASE WHEN i >= 36 THEN f - s - dea END AS histogram,
   CASE WHEN i >= 36 THEN lag(f - s - dea) OVER w END AS histogram_prev,
   CASE WHEN i < 36 THEN NULL WHEN lag(f - s, 2) OVER w < lag(dea, 2) OVER w AND f - s > dea THEN 'golden' WHEN lag(f - s, 2) OVER w > lag(dea, 2) OVER w AND f - s < dea THEN 'dead' ELSE 'none' END AS crossover,
   CASE WHEN i < 36 THEN NULL WHEN f - s - dea > lag(f - s - dea) OVER w THEN 'rising' WHEN f - s - dea < lag(f - s - dea) OVER w THEN 'falling' ELSE 'flat' END AS direction
   FROM em WINDOW w AS (PARTITION BY code ORDER BY i))"""
-MACD_DAILY = with_recursion("SELECT * FROM mm", MEANS, _MACD)
+MACD_DAILY = with_recursion("SELECT * FROM cm", MEANS, _MACD)
 _STREAK = (
     "t0 AS (SELECT code, i, CASE WHEN r > 0.0001 THEN 1 WHEN r < -0.0001 THEN -1 ELSE 0 END AS s FROM nav WHERE i >= 1)",
     "t1 AS (SELECT x.code, x.i, max(y.i) FILTER (y.s <> 0) AS f, count(*) AS n FROM t0 x JOIN t0 y ON x.code = y.code AND y.i BETWEEN x.i - 29 AND x.i GROUP BY 1, 2)",
@@ -80,7 +80,7 @@ CALENDAR_CTES = (
       {_r('histogram', 6)} AS macd_hist, crossover AS macd_cross, direction AS macd_dir,
       CASE WHEN band IS NOT NULL THEN CASE WHEN dev = 0 THEN 50 ELSE {_r('(x_nav - (band - dev * 2)) / (dev * 4) * 100', 1)} END END AS bb_pos, CASE WHEN band IS NOT NULL THEN {_r('dev * 4 / band * 100')} END AS bb_width,
       CASE WHEN len(r60) >= 30 THEN {_r('list_skewness(r60)')} END AS skew
-      FROM xb b JOIN em USING (code, i) JOIN mm USING (code, i) JOIN pq USING (code, i) LEFT JOIN ts USING (code, i) WHERE b.i >= 4)""",
+      FROM xb b JOIN em USING (code, i) JOIN cm USING (code, i) JOIN pq USING (code, i) LEFT JOIN ts USING (code, i) WHERE b.i >= 4)""",
 )
 DOUBLES = (
     "nav ret_1 ret_5 ret_10 ret_20 ret_60 ret_7d ret_30d ret_60d ret_90d dd_7 dd_30 dd_60 dd_90 vol_30 vol_60 vol_90 down_30 down_60 ma_5 ma_10 ma_20 ma_60 pos_7 pos_30 pos_60 pos_90 rebound_7 rebound_30 "

@@ -247,6 +247,9 @@ MORE = [
     Query("metrics_summary", on_panel(ind.summary), mq.SUMMARY_SQL, "latest_nav"),
     Query("returns_acc_nav", mq.acc_nav, mq.ACC_NAV_SQL, "ret_30 ret_90"),
     Query("macro_risks", mq.macro_risks, mq.MACRO_RISKS_SQL),
+    Query("portfolio_store", mq.portfolio_store, mq.STORE_SQL, "nav risk_score"),
+    Query("current_values", mq.current_values, mq.CURRENT_SQL, "value"),
+    Query("keyword_match", mq.keyword_match, mq.KEYWORD_SQL),
     Query("portfolio_missing", mq.missing_keys, mq.MISSING_SQL),
     Query("quotes", mq.quotes, mq.QUOTES_SQL, "price prev_close change_pct"),
     Query("keyword_search", mq.keyword_search, mq.SEARCH_SQL),

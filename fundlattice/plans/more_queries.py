@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from fundlattice.operators import calendar
 from fundlattice.operators import decisions as dec
 from fundlattice.operators import documents as docs
 from fundlattice.operators import indicators as ind
-from fundlattice.operators import joins, portfolio
+from fundlattice.operators import joins, keywords, portfolio
 from fundlattice.plans import backtest_sql as bsql
 from fundlattice.plans import decision_queries as dq
 from fundlattice.plans.calendar_sql import CALENDAR_CTES, RISK_CTES
@@ -19,7 +21,8 @@ from fundlattice.plans.indicator_sql import OVER, RETURNS_CALENDAR, rows, with_n
 from fundlattice.plans.walkforward_sql import with_samples
 from fundlattice.sources import profiles, readers
 from fundlattice.sources.panel import PRICE_SQL, nav_panel, price_panel, table
-from fundlattice.streaming import daily
+from fundlattice.sources.store import KeyedStore, shared_path
+from fundlattice.streaming import daily, estimates
 
 
 def forecast_gates(s: SparkSession, d: str) -> DataFrame:
@@ -265,3 +268,39 @@ def present_decisions_sql(predictions: str) -> str:
         f"w AS (SELECT code, {wide}, CASE WHEN count(*) FILTER (usable) = 0 THEN 'low' WHEN count(*) FILTER (usable) >= 3 THEN 'high' ELSE 'medium' END AS pred_quality FROM pr GROUP BY code)",
         f"t AS (SELECT code, quality, calibrated FROM ({bsql.QUALITY}))",
     ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def portfolio_store(s: SparkSession, d: str) -> DataFrame:
+    """Positions in a keyed store: all are put in, those of more risk again at another value, and those of much risk deleted."""
+    p = dq.positions(s, d).select("code", "portfolio", "nav", "risk_score")
+    store = KeyedStore(s, shared_path(s, f"portfolio-{uuid.uuid4().hex}"), "code string, portfolio string, nav double, risk_score double")
+    store.upsert(p)
+    store.upsert(p.where("risk_score > 50").withColumn("nav", F.col("nav") + 1))
+    store.delete(p.where("risk_score > 90").select("code"))
+    return store.read()
+
+
+STORE_SQL = f"WITH {dq._P} SELECT code, portfolio, CASE WHEN risk_score > 50 THEN nav + 1 ELSE nav END AS nav, risk_score FROM p WHERE NOT coalesce(risk_score > 90, FALSE)"
+
+
+def current_values(s: SparkSession, d: str) -> DataFrame:
+    """Events as readings, every third an official value and the others estimates: what each user's value is now."""
+    kind = F.when(F.col("event_id") % 3 == 0, "official").otherwise("estimate")
+    return estimates.current_values(table(s, d, "events").select(F.col("user_id").cast("string").alias("code"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), F.col("value").cast("double").alias("value"))).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+
+
+CURRENT_SQL = """WITH e AS (SELECT user_id, max({'at': ts::TIMESTAMP, 'v': value::DOUBLE}) FILTER (event_id % 3 <> 0) AS e, max({'at': ts::TIMESTAMP, 'v': value::DOUBLE}) FILTER (event_id % 3 = 0) AS o FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY 1),
+f AS (SELECT *, e IS NOT NULL AND (o IS NULL OR e['at']::DATE > o['at']::DATE) AS fresh FROM e)
+SELECT user_id::VARCHAR AS code, strftime(CASE WHEN fresh THEN e['at'] ELSE o['at'] END, '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN fresh THEN 'estimate' ELSE 'official' END AS source, CASE WHEN fresh THEN e['v'] ELSE o['v'] END AS value FROM f"""
+
+
+def keyword_match(s: SparkSession, d: str) -> DataFrame:
+    """For each part the first of many keywords, by the smallest part it comes from, that its name, type and brand contain."""
+    parts = table(s, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("name"))
+    words = table(s, d, "part").select(F.explode(F.array(F.concat_ws(" ", F.element_at(F.split("p_type", " "), -1), "p_brand"), F.element_at(F.split("p_name", " "), -1), F.concat(F.left("p_type", F.lit(9)), F.lit("?")))).alias("keyword"), "p_partkey")
+    return keywords.first_match(parts, words.groupBy("keyword").agg(F.min("p_partkey").alias("ord"))).select("p_partkey", "keyword")
+
+
+KEYWORD_SQL = """WITH k AS (SELECT keyword, min(p_partkey) AS ord FROM (SELECT p_partkey, unnest([split_part(p_type, ' ', -1) || ' ' || p_brand, split_part(p_name, ' ', -1), left(p_type, 9) || '?']) AS keyword FROM part) GROUP BY 1),
+n AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS name FROM part)
+SELECT p_partkey, (SELECT keyword FROM k WHERE contains(n.name, k.keyword) ORDER BY ord, keyword LIMIT 1) AS keyword FROM n"""
