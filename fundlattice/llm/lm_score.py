@@ -142,27 +142,28 @@ def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     return Model(docs, rows, size, (sums[0] or 0, sums[1] or 0), sums[2] or 0)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", learned: bool = False) -> DataFrame:
     """id_col, n_tokens, target_loss, background_loss, score: mean losses of a word in nats, and target less background.
 
     A lower score means more like the target. Both models have one vocabulary, that of all learned documents with a
     place for other words, and one smoothing that does not depend on how much they have seen: after a word that the
     model knows, a word's probability is PAIR_WEIGHT of the pair's share plus the rest of the word's; a word's is
     WORD_WEIGHT of its share of all words plus the rest of an even share of the vocabulary. Probabilities of all words
-    and a text's end sum to one. A text that a model has learned from is scored without its own counts, so that
-    the target's documents have no advantage; of repeated rows each leaves out only itself. A text without
+    and a text's end sum to one. With learned, docs are the rows that the model has learned from (read again or not), and each is scored
+    without its own counts, so that the target's documents have no advantage; of repeated rows each leaves out only itself. Without it
+    they are other texts. A text without
     words, null included, has zeros. One row for each row; whole texts, long ones in one task's memory.
 
     The model's texts and those of docs (once, where they are the same) are stored in portions, compressed. A portion sends the
     distinct keys of its words and pairs, with their counts, to the buckets of the hash space. A bucket sums
     them in one task and answers each portion in the order of its keys; a frequent word comes once from each
-    portion, so no bucket is hot. The answers meet the portion's texts again. Every distinct word and pair has its own count.
+    portion, so a bucket grows with the portions, not with the rows. The answers meet the portion's texts again. Every distinct word and pair has its own count.
     """
     bits, words = bucket_bits(model.size, BUCKET_BYTES, LEAST_BUCKETS), model.words
     vocabulary = model.vocabulary + 1  # with a place for words that were never seen
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    if docs is model.docs:
+    if learned:
         rows = model.rows.select("id", "text", "hit", F.lit(True).alias("taught"), F.lit(True).alias("judged"))
     else:
         taught = model.rows.select(F.lit(None).cast(kind).alias("id"), "text", "hit", F.lit(True).alias("taught"), F.lit(False).alias("judged"))
@@ -247,4 +248,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as of good quality; background: all documents."""
     docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs, table(spark, sf_dir, "labels").where("quality = 1")))
+    return score(docs, train(docs, table(spark, sf_dir, "labels").where("quality = 1")), learned=True)
