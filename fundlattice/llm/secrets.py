@@ -62,6 +62,8 @@ def _matches(text: Column, rank: int, rule: tuple) -> Column:
     return F.when(_hit(text, rule), rows).otherwise(F.array().cast("array<struct<rank:int,kind:string,i:int,gap:int,n:int,fits:boolean>>"))
 
 
+#: Names the place of the ledger of op8_secret_scan.
+LEDGER_SETTING = "fundlattice.secrets.ledger"
 LEDGER = f"blob string, rules_version string, spans {SPAN}"
 
 
@@ -101,13 +103,20 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text_col:
 def update_ledger(versions: DataFrame, path: str, text_col: str = "text", rules=RULES, rules_version: str = RULES_VERSION) -> DataFrame:
     """The ledger stored at path, after the blobs of versions that it lacks have been scanned and appended.
 
-    A run that dies before its append is committed leaves the ledger as it was; the next run scans what is missing.
+    It lies by rules_version, so other versions' rows aren't read. A run that dies before its append is committed leaves the
+    ledger as it was; the next run scans what is missing.
     """
     spark = versions.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     old = spark.read.schema(LEDGER).parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
-    scan_unseen(versions, old, text_col, rules, rules_version).write.mode("append").parquet(path)
-    return spark.read.schema(LEDGER).parquet(path)
+    scan_unseen(versions, old, text_col, rules, rules_version).write.mode("append").partitionBy("rules_version").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path).select("blob", "rules_version", "spans")
+
+
+def compact_ledger(spark: SparkSession, path: str, to: str) -> DataFrame:
+    """The ledger at path written to another place with each blob once for a version of the rules and few files; the old one stays."""
+    spark.read.schema(LEDGER).parquet(path).dropDuplicates(["blob", "rules_version"]).write.partitionBy("rules_version").parquet(to)
+    return spark.read.schema(LEDGER).parquet(to).select("blob", "rules_version", "spans")
 
 
 def find_secrets(versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rules=RULES, rules_version: str = RULES_VERSION) -> DataFrame:
@@ -179,9 +188,14 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", n_chars_col: str | N
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents are scanned into a ledger stored for this run, and its findings joined back to all of them."""
+    """Documents are scanned into a ledger, and its findings joined back to all of them.
+
+    LEDGER_SETTING names the ledger's place; runs that share it scan only texts that none of them has seen. Where it is unset each
+    run begins a ledger of its own, and scans all.
+    """
     docs = table(spark, sf_dir, "documents")
-    found = join_findings(docs, update_ledger(docs, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"))
+    place = spark.conf.get(LEDGER_SETTING, None) or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    found = join_findings(docs, update_ledger(docs, place))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
