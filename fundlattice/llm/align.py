@@ -129,8 +129,8 @@ def _ids(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.shiftrightunsigned(t, SIZE_BITS))
 
 
-def alignments(types: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, groups, links of each row of types (unique in keys; a, b: packed tokens of the same bytes).
+def alignments(types: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """keys, keep, n_a, n_b, groups, links of each row of types (unique in keys; a, b: packed tokens of the same bytes).
 
     groups: the tokens between common ends, as a1,a2|b1;a3|b2,b3. links: (a, b) of the tokens that end together.
     Tokens are exploded with their places, their ends are running sums of their bytes, ends meet in an equi-join by key and
@@ -139,19 +139,19 @@ def alignments(types: DataFrame, keys: list[str]) -> DataFrame:
     so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ends = lambda side: (
         types.select(*keys, F.posexplode(side).alias("pos", "token"))
-        .select(*keys, F.col("pos").alias(f"{side}_pos"), F.shiftrightunsigned("token", SIZE_BITS).alias(f"{side}_id"), F.sum(F.col("token").bitwiseAND((1 << SIZE_BITS) - 1)).over(so_far).alias("end"))
+        .select(*keys, F.col("pos").alias(f"{side}_pos"), F.sum(F.col("token").bitwiseAND((1 << SIZE_BITS) - 1)).over(so_far).alias("end"))
     )
     cuts = ends("a").join(ends("b"), [*keys, "end"]).withColumn("group", F.row_number().over(Window.partitionBy(*keys).orderBy("end")))
-    listed = cuts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("group", "a_pos", "b_pos", "a_id", "b_id"))).alias("cuts"))
-    joined = types.select(*keys, _ids(F.col("a")).alias("a"), _ids(F.col("b")).alias("b")).join(listed, keys)
+    listed = cuts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("group", "a_pos", "b_pos"))).alias("cuts"))
+    joined = types.select(*keys, *keep, _ids(F.col("a")).alias("a"), _ids(F.col("b")).alias("b")).join(listed, keys)
 
     def side(c: Column, i: Column, name: str) -> Column:
         last = F.when(i == 0, F.lit(-1)).otherwise(F.col("cuts")[i - 1][f"{name}_pos"])
         return F.array_join(F.slice(F.col(name), last + 2, c[f"{name}_pos"] - last), ",")
 
     groups = F.array_join(F.transform("cuts", lambda c, i: F.concat(side(c, i, "a"), F.lit("|"), side(c, i, "b"))), ";")
-    links = F.transform("cuts", lambda c: F.struct(c["a_id"].alias("a"), c["b_id"].alias("b")))
-    return joined.select(*keys, groups.alias("groups"), links.alias("links"))
+    links = F.transform("cuts", lambda c: F.struct(F.col("a")[c["a_pos"]].alias("a"), F.col("b")[c["b_pos"]].alias("b")))
+    return joined.select(*keys, *keep, F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), groups.alias("groups"), links.alias("links"))
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_file: str = A_FILE, b_file: str = B_FILE, with_groups: bool = True) -> DataFrame:
@@ -221,19 +221,19 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_fil
     def gather(portion, answers):
         order, opened, out = np.argsort(answers["no"].to_numpy()), zstandard.ZstdDecompressor(), {c: [] for c in [*totals, "sha", "groups"]}
         of_units = answers["groups"].take(pa.array(order)).to_pylist()
-        strings, numbers = [], {c: np.empty(0, np.int64) for c in totals}
+        strings, numbers = [], np.empty((0, len(totals)), np.int64)
         for k in np.flatnonzero(portion["words"].is_valid().to_numpy()).tolist():  # the units of each word
             n = portion["words"][k].as_py()
             sizes, units = np.split(np.frombuffer(opened.decompress(portion["seq"][k].as_py()), np.int32), [n])
             ends = np.cumsum(sizes)
-            numbers = {c: np.add.reduceat(answers[c].to_numpy()[order][units], ends - sizes) for c in totals}
+            numbers = np.stack([np.add.reduceat(answers[c].to_numpy()[order][units], ends - sizes) for c in totals], axis=1)
             parts, ends = list(map(of_units.__getitem__, units.tolist())), ends.tolist()
             strings = [parts[i] if j == i + 1 else ";".join(parts[i:j]) for i, j in zip([0, *ends], ends)]
         texts = portion.filter(portion["words"].is_null())
         for raw in texts["seq"].to_pylist():
             seq = np.frombuffer(opened.decompress(raw), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel() if raw else np.empty(0, np.int32)
-            for c in totals:
-                out[c].append(int(numbers[c][seq].sum()))
+            for c, n in zip(totals, numbers[seq].sum(axis=0).tolist()):
+                out[c].append(n)
             digest, whole = hashlib.sha256(), []
             for lo in range(0, len(seq), 100_000):
                 text = (";" if lo else "") + ";".join(map(strings.__getitem__, seq[lo : lo + 100_000].tolist()))
@@ -251,8 +251,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_fil
         dealt = scratch.hold(stash_by(rows.mapInArrow(deal, f"portion long, no int, times long, a array<int>, b array<int>, id {kind}, seq binary"), "portion", buckets, "portions"))
     types = dealt.where("no is not null")
     with _co_partitioned(spark):
-        sized = types.select(*keys, "times", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
-        aligned = scratch.hold(stash_by(alignments(types, keys).join(sized, keys), "portion", buckets, "aligned"))
+        aligned = scratch.hold(stash_by(alignments(types, keys, keep=("times",)), "portion", buckets, "aligned"))
     links = aligned.select(*keys, "times", F.explode("links").alias("link")).select(*keys, "times", "link.a", "link.b")
     counts = links.groupBy("a", "b").agg(F.sum("times").alias("n"))
     pairs = scratch.keep(counts.join(counts.groupBy("b").agg(F.max("n").alias("most")), "b").select("a", "b", "n", (F.col("n") == F.col("most")).cast("long").alias("best")), "pairs")
