@@ -173,7 +173,7 @@ JOINS = [
 DECISIONS = [
     Query(*dq._query("risk_score", f"{SCORES} risk_level risk_colour", [], SCORES)),
     Query("risk_reasons", lambda s, d: dec.apply_stages(dq.judged(s, d).withColumns({"has_position": F.expr(dec.HAS_POSITION), "nav": F.round("nav", 4)}), [{"risk_reasons": scoring.told(scoring.REASONS), "risk_warnings": scoring.told(scoring.WARNINGS)}]).select("code", "i", "risk_reasons", "risk_warnings"), dq.REASONS_SQL),
-    Query("keyword_types", lambda s, d: dec.with_kinds(s.sql(dq.CONTEXT)).select("code", "high_vol", "qdii", "defensive", "china"), f"SELECT code, {', '.join(f'{v} AS {k}' for k, v in dec.KINDS.items())} FROM ({dq.CONTEXT})"),
+    Query("keyword_types", lambda s, d: dec.with_kinds(mq.part_kinds(s, d)).select("code", "high_vol", "qdii", "defensive", "china"), mq.KEYWORD_TYPES_SQL),
     Query("forecast_probs", dq.forecasts, dq.FORECAST_SQL, "raw squashed up1 side2 down1 range_low range_high"),
     Query("calibration_lookup", on_samples(dq.calibrated, passes=2), dq.CALIBRATED_SQL, "raw observed"),
     Query("ensemble", on_samples(lambda s: dec.apply_stages(s, [dq._LLM, *dec.ENSEMBLE_STAGES]).select(*dq.ENSEMBLE)), dq.with_samples(f"SELECT {', '.join(dq.ENSEMBLE)} FROM {dec.stages_sql('smp', [dq._LLM, *dec.ENSEMBLE_STAGES])}"), "oversold blend"),
@@ -227,7 +227,7 @@ DOCUMENTS = [
     Query("history_range", on_panel(profiles.date_range), dq.with_nav("SELECT code, strftime(min(d) - INTERVAL 10 DAYS, '%Y%m%d') AS start, strftime(max(d) + INTERVAL 1 DAY, '%Y%m%d') AS \"end\" FROM nav GROUP BY code")),
     Query("fund_dimension", dq.dimension, dq.DIMENSION_SQL),
     Query("macro_padding", dq.padding, dq.PADDING_SQL, "latest change_pct"),
-    Query("sector_lookup", lambda s, d: profiles.sectors(s.sql(dq.CONTEXT)), dq.SECTOR_SQL, "change_pct"),
+    Query("sector_lookup", lambda s, d: profiles.sectors(mq.part_kinds(s, d)), mq.SECTOR_LOOKUP_SQL, "change_pct"),
     Query("source_status", dq.status, dq.STATUS_SQL),
     Query("nav_normalised", dq.normalised, dq.NORMALISED_SQL, "unit_nav daily_ret_pct"),
 ]

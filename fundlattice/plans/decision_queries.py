@@ -279,7 +279,6 @@ def padding(s: SparkSession, d: str) -> DataFrame:
 PADDING_SQL = f"""WITH {_MOVES}, e AS (SELECT DISTINCT event_type AS category, unnest(['0', '1', '2', 'x']) AS name FROM events)
 SELECT e.category, e.name, arg_max(change_pct, d) * 2 AS latest, arg_max(change_pct, d) AS change_pct, max(d) AS as_of, CASE WHEN max(d) IS NULL THEN 'unavailable' ELSE 'ok' END AS status
 FROM e LEFT JOIN m ON e.category = m.event_type AND e.name = CAST(m.idx AS VARCHAR) GROUP BY 1, 2"""
-SECTOR_SQL = f"""SELECT code, unnest(CASE {' '.join(f"WHEN regexp_matches(fund_type, '{w}') THEN {list(n)!r}" for w, n in profiles.SECTORS)} ELSE {list(profiles.DEFAULT_SECTORS)!r} END) AS sector, 0::DOUBLE AS change_pct, 'unavailable' AS status FROM ({CONTEXT})"""
 
 
 def status(s: SparkSession, d: str) -> DataFrame:

@@ -191,13 +191,13 @@ ROUTED_SQL = with_samples(
 
 def price_sources(s: SparkSession, d: str) -> DataFrame:
     """Prices of suppliers from four sources in order: two providers, each adjusted first; the first that has any counts."""
-    lines = table(s, d, "lineitem").select(F.col("l_suppkey").alias("code"), F.col("l_orderkey").alias("k"), "l_linenumber", "l_returnflag")
-    pick = lambda flag, odd: lines.where((F.col("l_returnflag") == flag) & (F.col("l_linenumber") % 4 == odd)).select("code", "k")
-    out = readers.with_fallback([pick("R", 3), pick("R", 2), pick("A", 3), pick("A", 2)], enough=1, least=1)
+    lines = table(s, d, "lineitem").select(F.col("l_suppkey").alias("code"), F.col("l_orderkey").alias("k"), (F.col("l_linenumber") % 2 == 1).alias("adjusted"), (F.col("l_returnflag") == "R").alias("first"))
+    pick = lambda first, adjusted: lines.where((F.col("first") == first) & (F.col("adjusted") == adjusted)).select("code", "k")
+    out = readers.with_fallback([pick(True, True), pick(True, False), pick(False, True), pick(False, False)], enough=1, least=1)
     return out.groupBy("code").agg(F.count("*").alias("n"), F.min("k").alias("first_k"))
 
 
-PRICE_SOURCES_SQL = """WITH x AS (SELECT l_suppkey AS code, l_orderkey AS k, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 2 END + CASE WHEN l_linenumber % 4 = 3 THEN 0 ELSE 1 END AS src FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_linenumber % 4 IN (2, 3))
+PRICE_SOURCES_SQL = """WITH x AS (SELECT l_suppkey AS code, l_orderkey AS k, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 2 END + CASE WHEN l_linenumber % 2 = 1 THEN 0 ELSE 1 END AS src FROM lineitem)
 SELECT code, count(*) AS n, min(k) AS first_k FROM x WHERE src = (SELECT min(src) FROM x y WHERE y.code = x.code) GROUP BY code"""
 
 
@@ -304,3 +304,20 @@ def keyword_match(s: SparkSession, d: str) -> DataFrame:
 KEYWORD_SQL = """WITH k AS (SELECT keyword, min(p_partkey) AS ord FROM (SELECT p_partkey, unnest([split_part(p_type, ' ', -1) || ' ' || p_brand, split_part(p_name, ' ', -1), left(p_type, 9) || '?']) AS keyword FROM part) GROUP BY 1),
 n AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS name FROM part)
 SELECT p_partkey, (SELECT keyword FROM k WHERE contains(n.name, k.keyword) ORDER BY ord, keyword LIMIT 1) AS keyword FROM n"""
+
+
+#: Kinds of funds that parts stand for.
+_KINDS = ("QDII科技股票", "债券型-短债", "混合型", "指数型-白酒", "医药混合", "货币型", "金融ETF联接", "未知")
+
+
+def part_kinds(s: SparkSession, d: str) -> DataFrame:
+    """Every part as a fund of some kind: code, fund_type."""
+    kinds = F.array(*map(F.lit, _KINDS))
+    return table(s, d, "part").select(F.col("p_partkey").alias("code"), F.get(kinds, F.col("p_partkey") % 8).alias("fund_type"))
+
+
+_PART_KINDS = f"(SELECT p_partkey AS code, {list(_KINDS)!r}[p_partkey % 8 + 1] AS fund_type FROM part)"
+KEYWORD_TYPES_SQL = f"""SELECT code, regexp_matches(fund_type, 'QDII|科技|医药|医疗|新能源|半导体|芯片|军工|传媒') AS high_vol, contains(upper(fund_type), 'QDII') AS qdii, regexp_matches(fund_type, '债券|货币|同业存单|短债|纯债') AS defensive,
+ regexp_matches(fund_type, '股票|指数|混合|ETF|LOF|增强|联接') AND NOT regexp_matches(fund_type, '债券|货币|同业存单|短债|纯债') AND NOT contains(upper(fund_type), 'QDII') AS china FROM {_PART_KINDS}"""
+SECTOR_LOOKUP_SQL = f"""SELECT code, unnest(CASE WHEN regexp_matches(fund_type, '消费|白酒') THEN ['consumer'] WHEN regexp_matches(fund_type, '医药|医疗') THEN ['healthcare'] WHEN regexp_matches(fund_type, '科技|TMT') THEN ['technology']
+ WHEN regexp_matches(fund_type, '金融|银行') THEN ['finance'] ELSE ['consumer', 'technology'] END) AS sector, 0::DOUBLE AS change_pct, 'unavailable' AS status FROM {_PART_KINDS}"""
