@@ -82,7 +82,7 @@ def forecast_stages(p: int, half_even: str) -> list[dict[str, str]]:
     ]
 
 
-FORECAST_COLUMNS = ("raw", "squashed", "up1", "side2", "down1", "direction2", "rise_fall", "conflict", "confidence", "range_low", "range_high")
+FORECAST_COLUMNS = ("gate", "raw", "squashed", "up1", "side2", "down1", "direction2", "rise_fall", "conflict", "confidence", "range_low", "range_high")
 
 
 def forecast(df: DataFrame, horizons=scoring.HORIZONS) -> DataFrame:
@@ -103,20 +103,32 @@ def forecast(df: DataFrame, horizons=scoring.HORIZONS) -> DataFrame:
             last = list(forms)[-1]
             columns[name] = F.expr(last if len(forms) == 1 else "CASE " + " ".join(f"WHEN horizon IN ({', '.join(map(str, ps))}) THEN {form}" for form, ps in list(forms.items())[:-1]) + f" ELSE {last} END")
         out = out.withColumns(columns)
-    return out
+    return _gated(out)
+
+
+def _gated(out: DataFrame) -> DataFrame:
+    """SCR-10, SCR-17: a horizon for which a history is too short says nothing: thirds, an open direction, low confidence, no range."""
+    out = out.withColumn("gate", _gate())
+    short = F.col("gate") == "insufficient"
+    unsaid = {"raw": 0.0, "squashed": 0.0, "up1": 33.0, "side2": 34.0, "down1": 33.0, "direction2": "不确定", "rise_fall": "不确定", "confidence": "低", "conflict": False, "range_low": None, "range_high": None}
+    return out.withColumns({c: F.when(short, F.lit(v)).otherwise(F.col(c)) for c, v in unsaid.items()})
 
 
 #: SCR-10: rows that a horizon's forecast needs, and below which that of 30 days is of low confidence.
 LEAST_DAYS, LOW_CONFIDENCE_DAYS = {1: 8, 3: 12, 7: 15}, 60
 
 
-def forecast_gates(p: DataFrame) -> DataFrame:
-    """SCR-10: for each row and horizon, whether its history is enough: open, low_confidence (30 days) or insufficient."""
+def _gate():
     days = F.col("i") + 1
     gate = F.when((F.col("horizon") == 30) & (days < LOW_CONFIDENCE_DAYS), "low_confidence")
     for h, least in LEAST_DAYS.items():
         gate = gate.when((F.col("horizon") == h) & (days < least), "insufficient")
-    return p.withColumn("horizon", F.explode(F.array(*map(F.lit, scoring.HORIZONS)))).withColumn("gate", gate.otherwise("open"))
+    return gate.otherwise("open")
+
+
+def forecast_gates(p: DataFrame) -> DataFrame:
+    """SCR-10: for each row and horizon, whether its history is enough: open, low_confidence (30 days) or insufficient."""
+    return p.withColumn("horizon", F.explode(F.array(*map(F.lit, scoring.HORIZONS)))).withColumn("gate", _gate())
 
 
 def calibration_lookup(df: DataFrame, curve: DataFrame) -> DataFrame:

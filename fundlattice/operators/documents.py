@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fundlattice.operators import calendar
+from fundlattice.operators import decisions as dec
 from fundlattice.operators import prediction as pred
+from fundlattice.operators.indicators import summary
 from fundlattice.operators.decisions import apply_stages
 from fundlattice.operators.walkforward import MIN_SAMPLES
 
@@ -74,3 +77,27 @@ def documents(p: DataFrame) -> DataFrame:
     period = F.struct("n", *shown)
     periods = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.col("horizon").cast("string"), F.lit("d")).alias("key"), period.alias("value")))))
     return p.groupBy("code").agg(periods.alias("periods")).select("code", F.to_json(F.struct("code", "periods", F.lit("仅供个人研究参考，不构成投资建议。").alias("disclaimer"))).alias("document"))
+
+
+#: What a document tells of a code's metrics and risk.
+TOLD_METRICS = ("ret_7d", "ret_30d", "ret_90d", "dd_30", "dd_90", "vol_30", "sharpe_30", "pos_30", "rsi_14", "ma_20", "trend", "regime", "macd_cross", "streak_dir", "streak_days")
+TOLD_RISK = ("risk_score", "risk_level", "risk_colour", *dec.RISK_PARTS)
+
+
+def analyse(panel: DataFrame, context: DataFrame) -> DataFrame:
+    """SNK-4, SNK-5: one row for each code of a panel, however short its history: code, data_days, success, error, document.
+
+    document holds metrics and risk of the code's last row and a forecast by horizon, with an empty one where its history is too short for it;
+    it is null where error says why there is none. The panel is one job, and a code that fails takes nothing from others. context has a row for
+    each code with its kind, market and position, or none.
+    """
+    judged = dec.with_risk(dec.with_kinds(calendar.neutral(calendar.newest(calendar.metrics(panel))).join(context, "code", "left")))
+    said = dec.forecast(judged)
+    period = F.struct("gate", F.col("direction2").alias("direction"), "rise_fall", F.col("up1").alias("up"), F.col("side2").alias("sideways"), F.col("down1").alias("down"), "confidence", "range_low", "range_high")
+    entry = F.struct(F.concat(F.col("horizon").cast("string"), F.lit("d")), period)
+    parts = [F.struct(*TOLD_METRICS).alias("metrics"), F.struct(*TOLD_RISK).alias("risk")]
+    documents_of = said.groupBy("code").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("forecast"), *[F.first(p).alias(n) for p, n in zip(parts, ("metrics", "risk"))])
+    known = summary(panel)
+    out = known.join(documents_of, "code", "left")
+    document = F.when(F.col("error").isNull(), F.struct("code", "data_start", "data_end", "latest_nav", "metrics", "risk", "forecast", F.lit("仅供个人研究参考，不构成投资建议。").alias("disclaimer")))
+    return out.select("code", "data_days", F.col("error").isNull().alias("success"), "error", document.alias("document"))

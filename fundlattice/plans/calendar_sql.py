@@ -10,8 +10,8 @@ def _r(x: str, places: int = 2) -> str:
     return f"floor(({x}) * {10**places} + 0.5) / {10**places}"
 
 
-def with_recursion(select: str, *more: str) -> str:
-    return f"WITH RECURSIVE {NAV_SQL.strip()}{''.join(', ' + m for m in more)} {select}"
+def with_recursion(select: str, *more: str, nav: str = NAV_SQL) -> str:
+    return f"WITH RECURSIVE {nav.strip()}{''.join(', ' + m for m in more)} {select}"
 
 
 #: Exponential means step by step: of gains and losses from the second row on, of values from the first.
@@ -116,5 +116,5 @@ RISK_CTES = (
 )
 
 
-def with_risk(select: str, context: str, *more: str) -> str:
-    return with_recursion(select, *CALENDAR_CTES, f"ctx AS ({context})", *RISK_CTES, *more)
+def with_risk(select: str, context: str, *more: str, nav: str = NAV_SQL) -> str:
+    return with_recursion(select, *CALENDAR_CTES, f"ctx AS ({context})", *RISK_CTES, *more, nav=nav)

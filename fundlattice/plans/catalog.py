@@ -212,7 +212,7 @@ _PREDICTED = f"""SELECT w.code, w.horizon, w.now, coalesce(n, 0) AS n, coalesce(
  FROM ({with_samples("SELECT code, horizon, probability AS now FROM now")}) w LEFT JOIN (SELECT b.code, b.horizon, n, {_JUDGED}
  FROM ({bsql.BINARY}) b JOIN ({bsql.KERNEL}) k ON b.code = k.code AND b.horizon = k.horizon JOIN ({bsql.SWEEP}) s ON b.code = s.code AND b.horizon = s.horizon) j ON w.code = j.code AND w.horizon = j.horizon"""
 _PREDICTIONS = f"SELECT code, horizon, n, hit, edge, brier, calibrated, passes, confidence, direction, label, usable, signals, selective_hit, selective_edge FROM {dec.stages_sql(f'({_PREDICTED})', docs.STAGES)}"
-_BIAS = f"SELECT code, i, {docs.ACTION_BIAS} AS action_bias FROM {dec.stages_sql('jr', dec.forecast_stages(7, 'round_even'))}"
+_BIAS = dq.with_risk(f"SELECT code, i, {docs.ACTION_BIAS} AS action_bias FROM fg WHERE horizon = 7", dq.CONTEXT, dq.GATED_CTE)
 DOCUMENTS = [
     Query("predictions", on_models(docs.predictions), _PREDICTIONS, "hit edge brier calibrated selective_hit selective_edge"),
     Query("present_decisions", lambda s, d: on_models(lambda sm, now: mq.present_decisions(s, d, sm, now))(s, d), mq.present_decisions_sql(_PREDICTIONS), "risk_score buy_amount gate_score"),
@@ -222,11 +222,12 @@ DOCUMENTS = [
         f"""SELECT code, '{{"code":' || to_json(code) || ',"periods":{{' || string_agg('"' || horizon || 'd":' || to_json({{'n': n, 'calibrated': round(calibrated, 4), 'confidence': confidence, 'direction': direction, 'label': label, 'edge': round(edge, 2), 'brier': round(brier, 4)}}), ',' ORDER BY horizon || 'd')
         || '}},"disclaimer":"仅供个人研究参考，不构成投资建议。"}}' AS document FROM ({_PREDICTIONS}) GROUP BY code""",
     ),
-    Query("action_bias", lambda s, d: dec.forecast(dq.judged(s, d), [7]).select("code", "i", F.expr(docs.ACTION_BIAS).alias("action_bias")), dq.FORECAST_SQL.replace(dq._FORECASTS, _BIAS)),
+    Query("action_bias", lambda s, d: dec.forecast(dq.judged(s, d), [7]).select("code", "i", F.expr(docs.ACTION_BIAS).alias("action_bias")), _BIAS),
     Query("one_year_return", on_panel(profiles.one_year_return), dq.with_nav(f"SELECT code, arg_max_null(x, d) AS return_1y FROM (SELECT code, d, (nav / lag(nav, 249) {isql.OVER} - 1) * 100 AS x FROM nav) GROUP BY code"), "return_1y"),
     Query("history_range", on_panel(profiles.date_range), dq.with_nav("SELECT code, strftime(min(d) - INTERVAL 10 DAYS, '%Y%m%d') AS start, strftime(max(d) + INTERVAL 1 DAY, '%Y%m%d') AS \"end\" FROM nav GROUP BY code")),
     Query("fund_dimension", dq.dimension, dq.DIMENSION_SQL),
     Query("macro_padding", dq.padding, dq.PADDING_SQL, "latest change_pct"),
+    Query("batch_analysis", mq.batch_analysis, mq.BATCH_SQL, "latest_nav ret_30d risk_score"),
     Query("sector_lookup", lambda s, d: profiles.sectors(mq.part_kinds(s, d)), mq.SECTOR_LOOKUP_SQL, "change_pct"),
     Query("source_status", dq.status, dq.STATUS_SQL),
     Query("nav_normalised", dq.normalised, dq.NORMALISED_SQL, "unit_nav daily_ret_pct"),

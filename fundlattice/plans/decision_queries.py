@@ -70,8 +70,12 @@ def forecasts(s: SparkSession, d: str) -> DataFrame:
     return dec.forecast(judged(s, d)).select("code", "i", "horizon", *dec.FORECAST_COLUMNS)
 
 
-_FORECASTS = " UNION ALL ".join(f"SELECT code, i, {p} AS horizon, {', '.join(dec.FORECAST_COLUMNS)} FROM {dec.stages_sql('jr', dec.forecast_stages(p, 'round_even'))}" for p in scoring.HORIZONS)
-FORECAST_SQL = with_risk(_FORECASTS, CONTEXT, "jr AS (SELECT * FROM rk)")
+_UNGATED = " UNION ALL ".join(f"SELECT code, i, {p} AS horizon, risk_score, quality, {', '.join(dec.FORECAST_COLUMNS[1:])} FROM {dec.stages_sql('rk', dec.forecast_stages(p, 'round_even'))}" for p in scoring.HORIZONS)
+_OPEN = lambda c, unsaid: f"CASE WHEN gate = 'insufficient' THEN {unsaid} ELSE {c} END AS {c}"
+#: Forecasts with the gates of short histories.
+GATED_CTE = f"""fg AS (SELECT * REPLACE ({', '.join(_OPEN(c, u) for c, u in (("raw", "0"), ("squashed", "0"), ("up1", "33"), ("side2", "34"), ("down1", "33"), ("direction2", "'不确定'"), ("rise_fall", "'不确定'"), ("confidence", "'低'"), ("conflict", "FALSE"), ("range_low", "NULL"), ("range_high", "NULL")))})
+  FROM (SELECT *, CASE WHEN horizon = 1 AND i < 7 OR horizon = 3 AND i < 11 OR horizon = 7 AND i < 14 THEN 'insufficient' WHEN horizon = 30 AND i < 59 THEN 'low_confidence' ELSE 'open' END AS gate FROM ({_UNGATED})))"""
+FORECAST_SQL = with_risk(f"SELECT code, i, horizon, {', '.join(dec.FORECAST_COLUMNS)} FROM fg", CONTEXT, GATED_CTE)
 
 
 def calibrated(sm: DataFrame) -> DataFrame:

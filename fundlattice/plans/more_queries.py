@@ -20,7 +20,7 @@ from fundlattice.plans.calendar_sql import CALENDAR_CTES, RISK_CTES
 from fundlattice.plans.indicator_sql import OVER, RETURNS_CALENDAR, rows, with_nav
 from fundlattice.plans.walkforward_sql import with_samples
 from fundlattice.sources import profiles, readers
-from fundlattice.sources.panel import PRICE_SQL, nav_panel, price_panel, table
+from fundlattice.sources.panel import PRICE_SQL, index_panel, nav_panel, price_panel, table
 from fundlattice.sources.store import KeyedStore, shared_path
 from fundlattice.streaming import daily, estimates
 
@@ -321,3 +321,35 @@ KEYWORD_TYPES_SQL = f"""SELECT code, regexp_matches(fund_type, 'QDII|科技|医
  regexp_matches(fund_type, '股票|指数|混合|ETF|LOF|增强|联接') AND NOT regexp_matches(fund_type, '债券|货币|同业存单|短债|纯债') AND NOT contains(upper(fund_type), 'QDII') AS china FROM {_PART_KINDS}"""
 SECTOR_LOOKUP_SQL = f"""SELECT code, unnest(CASE WHEN regexp_matches(fund_type, '消费|白酒') THEN ['consumer'] WHEN regexp_matches(fund_type, '医药|医疗') THEN ['healthcare'] WHEN regexp_matches(fund_type, '科技|TMT') THEN ['technology']
  WHEN regexp_matches(fund_type, '金融|银行') THEN ['finance'] ELSE ['consumer', 'technology'] END) AS sector, 0::DOUBLE AS change_pct, 'unavailable' AS status FROM {_PART_KINDS}"""
+
+
+def customer_panel(s: SparkSession, d: str) -> DataFrame:
+    """A series for each customer, of the mean value of a day's orders: thousands of codes with one row to some dozens."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    daily_of = table(s, d, "orders").groupBy(F.lpad(F.col("o_custkey").cast("string"), 6, "0").alias("code"), F.to_date("o_orderdate").alias("d")).agg((F.sum(cents).cast("double") / (F.count("*").cast("double") * 25_000_000.0)).alias("nav"))
+    return index_panel(daily_of)
+
+
+_CUSTOMER_NAV = """nav0 AS (SELECT lpad(o_custkey::VARCHAR, 6, '0') AS code, CAST(o_orderdate AS DATE) AS d, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (CAST(count(*) AS DOUBLE) * 25000000.0) AS nav FROM orders GROUP BY 1, 2),
+nav AS (SELECT code, d, nav, row_number() OVER (PARTITION BY code ORDER BY d) - 1 AS i, nav / lag(nav) OVER (PARTITION BY code ORDER BY d) - 1 AS r FROM nav0)"""
+_KIND_OF = {k: v for k, v in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))}
+
+
+def batch_analysis(s: SparkSession, d: str) -> DataFrame:
+    """All customers' series in one batch: what each document says, and why the others have none."""
+    kinds = F.array(*map(F.lit, _KIND_OF.values()))
+    context = table(s, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("c"), F.get(kinds, F.col("c_custkey") % 5).alias("code")).join(F.broadcast(s.sql(dq.CONTEXT)), "code").drop("code").withColumnRenamed("c", "code")
+    out = docs.analyse(customer_panel(s, d), context)
+    said = lambda h: F.col("document.forecast")[f"{h}d"]
+    return out.select("code", "data_days", "success", F.coalesce("error", F.lit("")).alias("error"), "document.latest_nav", "document.metrics.ret_30d", "document.risk.risk_score", F.coalesce("document.risk.risk_level", F.lit("")).alias("risk_level"), *[F.coalesce(said(h)["direction"], F.lit("")).alias(f"direction_{h}d") for h in (1, 3, 7, 30)], F.coalesce(said(7)["gate"], F.lit("")).alias("gate_7d"))
+
+
+BATCH_SQL = dq.with_risk(
+    """SELECT n.code, n.data_days, n.data_days >= 5 AS success, CASE WHEN n.data_days < 5 THEN '净值数据不足（仅 ' || n.data_days || ' 条）' ELSE '' END AS error, r.nav AS latest_nav, r.ret_30d, r.risk_score, coalesce(r.risk_level, '') AS risk_level,
+      coalesce(f.d1, '') AS direction_1d, coalesce(f.d3, '') AS direction_3d, coalesce(f.d7, '') AS direction_7d, coalesce(f.d30, '') AS direction_30d, coalesce(f.g7, '') AS gate_7d
+    FROM (SELECT code, count(*) AS data_days FROM nav GROUP BY code) n LEFT JOIN (SELECT * FROM rk QUALIFY i = max(i) OVER (PARTITION BY code)) r ON n.code = r.code
+    LEFT JOIN (SELECT code, i, max(direction2) FILTER (horizon = 1) AS d1, max(direction2) FILTER (horizon = 3) AS d3, max(direction2) FILTER (horizon = 7) AS d7, max(direction2) FILTER (horizon = 30) AS d30, max(gate) FILTER (horizon = 7) AS g7 FROM fg GROUP BY ALL) f ON r.code = f.code AND r.i = f.i""",
+    f"SELECT lpad(c_custkey::VARCHAR, 6, '0') AS code, k.* EXCLUDE (code) FROM customer JOIN ({dq.CONTEXT}) k ON k.code = ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][c_custkey % 5 + 1]",
+    dq.GATED_CTE,
+    nav=_CUSTOMER_NAV,
+)
