@@ -133,6 +133,19 @@ def binary_score(p: int, score: str = "score") -> str:
     return f"(({score} + {total(parts)}) * {ladder([('vol_30 >= 40', 0.75), ('vol_30 >= 30', 0.9)], 1)})"
 
 
+def binary_score_by_horizon(score: str = "score") -> str:
+    """SCR-2 for the row's horizon: the same ladders once, with conditions on the horizon where it matters."""
+    both_up, both_down = "horizon <= 3 AND ret_1 > 0 AND ret_5 > 0", "horizon <= 3 AND ret_1 < 0 AND ret_5 < 0"
+    parts: list[Ladder] = [
+        [(f"{both_up} AND (pos_30 > 75 OR rsi_14 > 65)", 1), (both_up, 4), (f"{both_down} AND (pos_30 < 25 OR rsi_14 < 35)", -1), (both_down, -4)],
+        [("rsi_14 >= 75", -12), ("rsi_14 >= 65", -6), ("rsi_14 <= 25", 10), ("rsi_14 <= 35", 5)],
+        [("bb_pos >= 95", -8), ("bb_pos >= 85", -4), ("bb_pos <= 5", 8), ("bb_pos <= 15", 4)],
+        [("pos_30 >= 85 AND ret_30d > 10", -8), ("pos_30 >= 80 AND vol_30 >= 25", -5), ("pos_30 <= 15 AND ret_30d < -10", 6), ("pos_30 <= 20 AND vol_30 < 35", 3)],
+        [("macd_cross = 'golden' AND horizon <= 7", 5), ("macd_cross = 'golden'", 3), ("macd_cross = 'dead' AND horizon <= 7", -5), ("macd_cross = 'dead'", -3)],
+    ]
+    return f"(({score} + {total(parts)}) * {ladder([('vol_30 >= 40', 0.75), ('vol_30 >= 30', 0.9)], 1)})"
+
+
 def reversion_probability() -> str:
     """SCR-5."""
     parts: list[Ladder] = [
@@ -147,9 +160,9 @@ def sigmoid(x: str) -> str:
     return f"(1e0 / (1e0 + exp(-greatest(-20e0, least(20e0, {x})))))"
 
 
-def up_probability(p: int, adjusted: str = "adjusted", days: str = "90") -> str:
-    """SCR-3, SCR-4: rule, momentum and reversion blended, shrunk for short histories and clamped."""
-    momentum = sigmoid(f"prev_return / greatest(vol_pop_30 * sqrt({num(p)}) * 100e0, 0.35e0) * 0.9e0")
+def up_probability(p: int | str, adjusted: str = "adjusted", days: str = "90") -> str:
+    """SCR-3, SCR-4: rule, momentum and reversion blended, shrunk for short histories and clamped. p: a horizon, or the column that holds it."""
+    momentum = sigmoid(f"prev_return / greatest(vol_pop_30 * sqrt({p if isinstance(p, str) else num(p)}) * 100e0, 0.35e0) * 0.9e0")
     blend = f"0.45e0 * {sigmoid(f'{adjusted} / 32e0')} + 0.25e0 * {momentum} + 0.3e0 * {reversion_probability()}"
     strength = f"least(1e0, greatest(0.25e0, ({days} - 30) / 90e0))"
     return f"least(0.9e0, greatest(0.1e0, 0.5e0 + ({blend} - 0.5e0) * {strength}))"

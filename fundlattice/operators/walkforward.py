@@ -157,14 +157,6 @@ def label(x: Column, threshold: Column | float) -> Column:
     return F.when(x > threshold, "up").when(x < -threshold, "down").otherwise("sideways")
 
 
-def _by_horizon(build) -> Column:
-    """build(h) for the row's horizon."""
-    out = F.lit(None).cast("double")
-    for h in scoring.HORIZONS:
-        out = F.when(F.col("horizon") == h, F.expr(build(h))).otherwise(out)
-    return out
-
-
 def _scored(base: DataFrame) -> DataFrame:
     """base by horizon, with its scores and the probability of a rise. An array of horizons is exploded, so base is read once."""
     base = base.withColumn("market", market_regime())
@@ -174,7 +166,7 @@ def _scored(base: DataFrame) -> DataFrame:
         for h in scoring.HORIZONS
     ]
     out = base.withColumn("x", F.explode(F.array(*each))).select("*", "x.*").drop("x", *[f"after_{h}" for h in scoring.HORIZONS], *[f"prev_{h}" for h in scoring.HORIZONS])
-    return out.withColumn("adjusted", _by_horizon(scoring.binary_score)).withColumn("probability", _by_horizon(lambda h: scoring.up_probability(h, days="look")))
+    return out.withColumn("adjusted", F.expr(scoring.binary_score_by_horizon())).withColumn("probability", F.expr(scoring.up_probability("horizon", days="look")))
 
 
 def samples(p: DataFrame) -> DataFrame:
