@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     labelled = docs.where(~held_out())
     prototypes = learn(labelled)
     lang, score, effective, foreign = (free_name(docs.columns, n) for n in ("_lang", "_score", "_effective", "_foreign"))
-    found = identify(docs, prototypes, keep=tuple(docs.columns), out=(lang, score, effective, foreign), least=bars(labelled, prototypes) if prototypes else None)
+    found = identify(docs, prototypes, keep=tuple(docs.columns), out=(lang, score, effective), least=bars(labelled, prototypes) if prototypes else None, foreign=foreign)
     kept = found.where((F.col(effective) > 0) & ~F.col(foreign))
     if not prototypes:
         return kept.select(*docs.columns)

@@ -149,17 +149,17 @@ def bars(labelled: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     return {r["lang"]: MARGIN * r["bar"] for r in found.collect()}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), dim: int = DIM, out: tuple[str, ...] = ("lang_pred", "score", "effective", "foreign"), least: dict[str, float] | None = None) -> DataFrame:
-    """The language of every text: id_col, the columns named in keep, lang_pred, score, effective, foreign (or as `out` says).
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), dim: int = DIM, out: tuple[str, str, str] = ("lang_pred", "score", "effective"), least: dict[str, float] | None = None, foreign: str | None = None) -> DataFrame:
+    """The language of every text: id_col, the columns named in keep, lang_pred, score, effective (or as `out` says) and, if it is named, foreign.
 
     lang_pred is the prototype with the largest cosine (ties: the first in alphabetical order), score
     that cosine, from 0 to 1. A null text, one without a letter, or no prototype at all gives ``und`` with
     score 0. effective is the number of letters, repeated trigrams counted less: the square of the number, times dim,
-    over the square of the bundle's length (0 without a letter). foreign: whether the text is less like lang_pred than `least` asks for
-    so many effective letters (see bars; without it none is). Whole texts are read, in portions. Nothing is
+    over the square of the bundle's length (0 without a letter). The column named by foreign says whether the text is less like lang_pred
+    than `least` asks for so many effective letters (see bars; without it none is). Whole texts are read, in portions. Nothing is
     shuffled; one row comes out for each row of docs, repeated rows and rows with a null id included.
     """
-    names = list(prototypes)
+    names, names_out = list(prototypes), [*out, foreign] if foreign else out
     asked = np.array([(least or {}).get(k, 0.0) for k in names])
     unit = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]).reshape(len(names), dim)
 
@@ -175,14 +175,14 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
                 lang = [names[b] if n else "und" for b, n in zip(best, letters)]
                 score = np.where(letters > 0, np.clip(cosines.max(axis=1), 0, 1), 0)
                 bar = asked[best] * np.sqrt(effective)
-            made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(effective, pa.float64()), pa.array(score + SIGNIFICANT < bar)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], schema=pa.schema([*list(batch.schema)[:-1], *((n, a.type) for n, a in zip(out, made))]))
+            made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(effective, pa.float64()), *([pa.array(score + SIGNIFICANT < bar)] if foreign else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], schema=pa.schema([*list(batch.schema)[:-1], *((n, a.type) for n, a in zip(names_out, made))]))
 
     kept = [id_col, *[c for c in keep if c != id_col]]
     width = len(kept)
     rows = docs.select(*kept, F.col(text_col).alias(free_name(kept, "text")))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(predict, f"{head}, `{out[0]}` string, `{out[1]}` double, `{out[2]}` double, `{out[3]}` boolean")
+    return rows.mapInArrow(predict, f"{head}, `{out[0]}` string, `{out[1]}` double, `{out[2]}` double" + (f", `{foreign}` boolean" if foreign else ""))
 
 
 def held_out(id_col: str = "doc_id"):
