@@ -76,7 +76,7 @@ def forecast_stages(p: int, half_even: str) -> list[dict[str, str]]:
             "conf_points": f"(100 - CASE WHEN i + 1 < 60 THEN 30 WHEN i + 1 < 90 THEN 15 ELSE 0 END - CASE WHEN macro_ok THEN 0 ELSE 10 END - CASE WHEN high_vol THEN 15 ELSE 0 END - CASE WHEN conflict THEN 20 ELSE 0 END - {10 if p == 30 else 0})",
             "daily_vol": "greatest(vol_30, ewma, 5e0) / sqrt(250e0)",
         },
-        {"confidence": ("CASE WHEN i + 1 < 60 THEN '低' WHEN" if p == 30 else "CASE WHEN") + " conf_points >= 70 THEN '高' WHEN conf_points >= 40 THEN '中' ELSE '低' END", "direction2": "CASE WHEN conflict THEN '不确定' ELSE direction END" if p >= 7 else "direction", "drift": f"greatest(-2.5e0, least(2.5e0, squashed / 100e0)) * daily_vol * sqrt({num(p)}) * 0.45e0"},
+        {"confidence": ("CASE WHEN i + 1 < 60 THEN '低' WHEN" if p == 30 else "CASE WHEN") + f" conf_points >= 70 THEN CASE WHEN {'high_vol OR ' + FRESH if p == 1 else 'high_vol'} THEN '中' ELSE '高' END WHEN conf_points >= 40 THEN '中' ELSE '低' END", "direction2": "CASE WHEN conflict THEN '不确定' ELSE direction END" if p >= 7 else "direction", "drift": f"greatest(-2.5e0, least(2.5e0, squashed / 100e0)) * daily_vol * sqrt({num(p)}) * 0.45e0"},
         {"width": f"daily_vol * sqrt({num(p)}) * {num(WIDTH[p])} * CASE WHEN high_vol THEN 1.15e0 ELSE 1e0 END * CASE WHEN defensive THEN 0.65e0 ELSE 1e0 END"},
         {"range_low": "drift - width", "range_high": "drift + width"},
     ]

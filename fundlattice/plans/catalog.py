@@ -21,6 +21,8 @@ from fundlattice.plans import calendar_sql as csql
 from fundlattice.plans import decision_queries as dq
 from fundlattice.plans import indicator_sql as isql
 from fundlattice.plans import more_queries as mq
+from fundlattice.plans import text_queries as tq
+from fundlattice.plans import texts_sql as tsql
 from fundlattice.plans.walkforward_sql import with_samples
 from fundlattice.sources import profiles
 from fundlattice.sources.panel import HOLDINGS_SQL, holdings, nav_panel, table
@@ -180,6 +182,11 @@ DECISIONS = [
     Query(*dq._query("decision_advice", "risk_score advice advice_confidence buy_pct buy_amount near_max_loss", [*dq.STUBS, *dec.ADVICE_STAGES], "risk_score buy_amount")),
     Query(*dq._query("final_decision", "final_direction final_action final_confidence headline", [*dq.STUBS, *dec.FINAL_STAGES], "")),
     Query(*dq._query("high_confidence_gate", "failed_gates passed swing gate_action gate_score max_pct", [*dq.STUBS, *dec.GATE_STAGES], "gate_score")),
+    Query("score_reasons", tq.score_reasons, tsql.SCORE_REASONS_SQL),
+    Query("forecast_reasons", tq.forecast_reasons, tsql.FORECAST_REASONS_SQL),
+    Query("decision_support", tq.decision_support, tsql.SUPPORT_SQL),
+    Query("advice_texts", tq.advice_texts, tsql.ADVICE_SQL),
+    Query("final_texts", tq.final_texts, tsql.FINAL_SQL),
     Query("narrative", lambda s, d: dec.narrative(dec.apply_stages(dq.judged(s, d), [*dq.STUBS, *dec.FINAL_STAGES])), mq.NARRATIVE_SQL),
     Query("rule_search_external", external_rules, dq._rule_sql(external=True), "threshold hit coverage avg_return worst_return median_return profit_factor bound"),
     Query("rule_search", on_models(lambda s, now: pred.rule_search(s, pred.rule_table(s.sparkSession), now)), dq._rule_sql(), "threshold hit coverage avg_return worst_return median_return profit_factor bound"),
