@@ -138,6 +138,36 @@ def calibration_lookup(df: DataFrame, curve: DataFrame) -> DataFrame:
     return df.withColumn("bucket", bucket(F.col("raw"), BUCKETS)).join(curve.where("n >= 5").select("code", "horizon", "bucket", F.col("accuracy").alias("observed")), ["code", "horizon", "bucket"], "left")
 
 
+def calibrated_stages(half_even: str) -> list[dict[str, str]]:
+    """SCR-11: a forecast's columns corrected by what its code's backtest has seen: observed (accuracy of the score's bucket), hit, quality, calibrated."""
+    sure = "(gate <> 'insufficient' AND observed > 0)"
+    side = lambda own: f"CASE WHEN NOT coalesce({sure}, FALSE) THEN {own} WHEN raw {'>' if own == 'up1' else '<'} 0 THEN {half_even}(observed, 0) WHEN raw = 0 THEN {own} ELSE greatest(5e0, {half_even}(100e0 - observed - side2, 0)) END"
+    return [
+        {"seen_up": side("up1"), "seen_down": side("down1")},
+        {"seen_up": f"CASE WHEN {sure} THEN greatest(5e0, least(85e0, seen_up)) ELSE seen_up END", "seen_down": f"CASE WHEN {sure} THEN greatest(5e0, least(85e0, seen_down)) ELSE seen_down END"},
+        {"seen_side": f"CASE WHEN {sure} THEN greatest(8e0, 100e0 - seen_up - seen_down) ELSE side2 END"},
+        {"all_sides": "seen_up + seen_side + seen_down"},
+        {"up": f"CASE WHEN {sure} THEN {half_even}(seen_up / all_sides * 100e0, 0) ELSE seen_up END", "sideways": f"CASE WHEN {sure} THEN {half_even}(seen_side / all_sides * 100e0, 0) ELSE seen_side END"},
+        {"down": "100e0 - up - sideways", "calibration_applied": f"coalesce({sure}, FALSE)"},
+        {
+            "direction": "CASE WHEN gate = 'insufficient' OR (conflict AND horizon >= 7) THEN '不确定' WHEN up >= down + 20 THEN '偏上行' WHEN down >= up + 20 THEN '偏下行' WHEN abs(up - down) < 15 THEN '震荡' ELSE '不确定' END",
+            "rise_fall": "CASE WHEN gate = 'insufficient' THEN '不确定' WHEN up >= down + 12 THEN '偏涨' WHEN down >= up + 12 THEN '偏跌' WHEN sideways >= 38 THEN '震荡' ELSE '不确定' END",
+            "confidence": "CASE WHEN hit < 45 THEN '低' WHEN confidence = '高' AND (hit < 50 OR (hit IS NOT NULL OR quality IS NOT NULL) AND NOT (coalesce(quality, 'low') <> 'low' AND coalesce(calibrated, FALSE))) THEN '中' ELSE confidence END",
+        },
+    ]
+
+
+def calibrated_forecast(forecasts: DataFrame, curve: DataFrame, hits: DataFrame, quality: DataFrame) -> DataFrame:
+    """SCR-11: forecasts (see forecast) as their codes' backtests correct them: up, sideways, down, direction, rise_fall, confidence, calibration_applied.
+
+    curve: backtest.score_buckets; hits: backtest.baseline_edge; quality: backtest.quality. Each has a few rows for a code; all joins are by code,
+    horizon or bucket. A code without a backtest, or a bucket of fewer than five samples, leaves a forecast as it is. After calibration
+    the three sides are whole numbers that sum to 100.
+    """
+    out = calibration_lookup(forecasts.drop("quality", "calibrated"), curve).join(hits.select("code", "horizon", F.col("rule_acc").alias("hit")), ["code", "horizon"], "left")
+    return apply_stages(out.join(quality.select("code", "quality", "calibrated"), "code", "left"), calibrated_stages("bround"))
+
+
 # PRD-8
 OVERSOLD = f"""greatest(10e0, least(90e0, 50e0
  + {ladder([("rsi < 25", 25), ("rsi < 30", 18), ("rsi < 35", 10), ("rsi > 75", -25), ("rsi > 70", -18), ("rsi > 65", -10)])}

@@ -182,6 +182,8 @@ DECISIONS = [
     Query(*dq._query("decision_advice", "risk_score advice advice_confidence buy_pct buy_amount near_max_loss", [*dq.STUBS, *dec.ADVICE_STAGES], "risk_score buy_amount")),
     Query(*dq._query("final_decision", "final_direction final_action final_confidence headline", [*dq.STUBS, *dec.FINAL_STAGES], "")),
     Query(*dq._query("high_confidence_gate", "failed_gates passed swing gate_action gate_score max_pct", [*dq.STUBS, *dec.GATE_STAGES], "gate_score")),
+    Query("calibrated_forecast", lambda s, d: on_samples(lambda sm: tq.calibrated_forecast(s, d, sm), passes=3)(s, d), tq.CALIBRATED_FORECAST_SQL, "up sideways down"),
+    Query("holdings_years", tq.holdings_years, tq.HOLDINGS_YEARS_SQL, "weight_pct"),
     Query("score_reasons", tq.score_reasons, tsql.SCORE_REASONS_SQL),
     Query("forecast_reasons", tq.forecast_reasons, tsql.FORECAST_REASONS_SQL),
     Query("decision_support", tq.decision_support, tsql.SUPPORT_SQL),

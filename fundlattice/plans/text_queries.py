@@ -1,13 +1,23 @@
-"""Queries on what is told in words, each with SQL of its own."""
+"""Queries on what is told in words, on forecasts that backtests correct and on holdings of years, each with SQL of its own."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fundlattice.operators import backtest as bt
+from fundlattice.operators import calendar
 from fundlattice.operators import decisions as dec
-from fundlattice.operators import scoring, texts
+from fundlattice.operators import joins, scoring, texts
+from fundlattice.plans import backtest_sql as bsql
 from fundlattice.plans import decision_queries as dq
+from fundlattice.plans.calendar_sql import CALENDAR_CTES, RISK_CTES
+from fundlattice.plans.walkforward_sql import with_samples
+from fundlattice.sources import years
+from fundlattice.sources.panel import HOLDINGS_SQL, holdings, nav_panel
+from fundlattice.sources.store import shared_path
 
 #: Half of the series have no name of their own.
 _INPUTS = {"fund_name": "CASE WHEN i % 3 <> 0 THEN code END", **{f"warning_{h}": texts.PREDICTION_WARNING.format(edge=f"edge_value_{h}", confidence=f"conf_{h}") for h in ("7d", "30d")}}
@@ -42,3 +52,45 @@ def advice_texts(s: SparkSession, d: str) -> DataFrame:
 
 def final_texts(s: SparkSession, d: str) -> DataFrame:
     return _joined(texts.final_texts(dec.apply_stages(advised(s, d), dec.FINAL_STAGES)), ["code", "i"], ["why", "watch", "warning"], ["direction_label", "action_label", "final_summary"], "")
+
+
+CORRECTED = ["code", "horizon", "up", "sideways", "down", "direction", "rise_fall", "confidence", "calibration_applied"]
+
+
+def calibrated_forecast(s: SparkSession, d: str, sm: DataFrame) -> DataFrame:
+    """The forecasts of each code's newest row, as its own backtest corrects them."""
+    base = dq.judge(calendar.newest(calendar.metrics(nav_panel(s, d))), s.sql(dq.CONTEXT))
+    return dec.calibrated_forecast(dec.forecast(base), bt.score_buckets(sm), bt.baseline_edge(sm), bt.quality(sm)).select(*CORRECTED)
+
+
+CALIBRATED_FORECAST_SQL = with_samples(
+    """SELECT code, horizon, up, sideways, down, CASE WHEN gate = 'insufficient' OR conflict AND horizon >= 7 THEN '不确定' WHEN up - down >= 20 THEN '偏上行' WHEN down - up >= 20 THEN '偏下行' WHEN abs(up - down) < 15 THEN '震荡' ELSE '不确定' END AS direction,
+      CASE WHEN gate = 'insufficient' THEN '不确定' WHEN up - down >= 12 THEN '偏涨' WHEN down - up >= 12 THEN '偏跌' WHEN sideways >= 38 THEN '震荡' ELSE '不确定' END AS rise_fall,
+      CASE WHEN hit < 45 THEN '低' WHEN confidence = '高' AND (hit < 50 OR (hit IS NOT NULL OR bq IS NOT NULL) AND (coalesce(bq, 'low') = 'low' OR NOT coalesce(bc, FALSE))) THEN '中' ELSE confidence END AS confidence, applied AS calibration_applied
+    FROM (SELECT *, 100 - up - sideways AS down FROM (SELECT *, CASE WHEN applied THEN round_even(u / (u + w + s) * 100, 0) ELSE u END AS up, CASE WHEN applied THEN round_even(s / (u + w + s) * 100, 0) ELSE s END AS sideways
+      FROM (SELECT *, CASE WHEN applied THEN greatest(8, 100 - u - w) ELSE side2 END::DOUBLE AS s
+        FROM (SELECT *, CASE WHEN NOT applied THEN up1 WHEN raw > 0 THEN least(85, greatest(5, round_even(acc, 0))) WHEN raw < 0 THEN least(85, greatest(5, round_even(100 - acc - side2, 0))) ELSE least(85, greatest(5, up1)) END::DOUBLE AS u,
+                CASE WHEN NOT applied THEN down1 WHEN raw < 0 THEN least(85, greatest(5, round_even(acc, 0))) WHEN raw > 0 THEN least(85, greatest(5, round_even(100 - acc - side2, 0))) ELSE least(85, greatest(5, down1)) END::DOUBLE AS w
+          FROM (SELECT fn.*, acc, hit, bq, bc, coalesce(acc > 0 AND gate <> 'insufficient', FALSE) AS applied
+            FROM (SELECT *, """ + dq._bucket_sql("raw") + """ AS k FROM fg WHERE i = (SELECT max(i) FROM rk WHERE rk.code = fg.code)) fn
+            LEFT JOIN (SELECT code, horizon, """ + dq._bucket_sql("raw_score") + """ AS k, avg((prediction = actual)::DOUBLE) * 100 AS acc FROM smp GROUP BY 1, 2, 3 HAVING count(*) >= 5) c ON fn.code = c.code AND fn.horizon = c.horizon AND fn.k = c.k
+            LEFT JOIN (SELECT code, horizon, avg((prediction = actual)::DOUBLE) * 100 AS hit FROM smp GROUP BY 1, 2) h ON fn.code = h.code AND fn.horizon = h.horizon
+            LEFT JOIN (SELECT code, quality AS bq, calibrated AS bc FROM (""" + bsql.QUALITY + """)) q ON fn.code = q.code)))))""",
+    f"ctx AS ({dq.CONTEXT})",
+    *CALENDAR_CTES, *RISK_CTES, dq.GATED_CTE,
+).replace("WITH ", "WITH RECURSIVE ", 1)
+#: The year that holdings are asked of.
+NEWEST_YEAR = 1998
+
+
+def holdings_years(s: SparkSession, d: str) -> DataFrame:
+    """Holdings written by year, and of four years the newest quarter's heaviest stocks of each fund, with the number of quarters that those years have."""
+    path = shared_path(s, f"holdings-{uuid.uuid4().hex}")
+    years.write_years(holdings(s, d), path)
+    found = years.holdings_of_years(s, path, NEWEST_YEAR)
+    return joins.latest_holdings(found).join(found.groupBy("fund").agg(F.count_distinct("quarter").alias("quarters")), "fund")
+
+
+HOLDINGS_YEARS_SQL = f"""WITH {HOLDINGS_SQL.strip()}, of AS (SELECT fund::VARCHAR AS fund, stock, quarter, weight_pct, (quarter[1:4] || quarter[6:6])::INT AS q FROM holdings WHERE quarter[1:4]::INT BETWEEN {NEWEST_YEAR - 3} AND {NEWEST_YEAR})
+SELECT of.fund, stock, q, weight_pct, row_number() OVER (PARTITION BY of.fund ORDER BY weight_pct DESC, stock)::INT AS rank, quarters FROM of JOIN (SELECT fund, max(q) AS mq, count(DISTINCT quarter) AS quarters FROM of GROUP BY 1) m ON of.fund = m.fund AND q = mq
+QUALIFY row_number() OVER (PARTITION BY of.fund ORDER BY weight_pct DESC, stock) <= 8"""

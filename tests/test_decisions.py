@@ -91,3 +91,36 @@ def test_macro_words_and_their_synonyms(spark, appetite, overseas, forex, points
 def test_failed_gates_are_named(spark):
     assert gate(spark)["failed_gates"] == ""
     assert gate(spark, risk_score=60.0, rsi_14=75.0, status="unavailable")["failed_gates"] == "status,risk,rsi"
+
+
+FORECAST = "code string, horizon int, raw double, up1 double, side2 double, down1 double, gate string, conflict boolean, confidence string"
+
+
+def corrected(spark, row, accuracy=None, n=10, hit=None, quality=None):
+    curve = spark.createDataFrame([("f", row[0], 4, n, accuracy), ("f", row[0], 3, n, accuracy)] if accuracy is not None else [], "code string, horizon int, bucket int, n int, accuracy double")
+    hits = spark.createDataFrame([("f", row[0], hit)] if hit is not None else [], "code string, horizon int, rule_acc double")
+    judged = spark.createDataFrame([("f", *quality)] if quality else [], "code string, quality string, calibrated boolean")
+    return dec.calibrated_forecast(spark.createDataFrame([("f", *row)], FORECAST), curve, hits, judged).first()
+
+
+def test_backtest_corrects_forecast(spark):
+    row = (7, 10.0, 40.0, 30.0, 30.0, "open", False, "高")
+    r = corrected(spark, row, 62.4, hit=60.0, quality=("high", True))
+    assert (r["up"], r["sideways"], r["down"], r["direction"], r["rise_fall"], r["confidence"], r["calibration_applied"]) == (62.0, 30.0, 8.0, "偏上行", "偏涨", "高", True)
+    r = corrected(spark, (7, -10.0, 40.0, 30.0, 30.0, "open", False, "高"), 90.0, hit=60.0, quality=("high", True))
+    assert (r["up"], r["sideways"], r["down"]) == (5.0, 10.0, 85.0)  # a side keeps 5, none has more than 85
+    for accuracy, n in ((None, 10), (62.4, 4), (0.0, 10)):
+        r = corrected(spark, row, accuracy, n)
+        assert (r["up"], r["sideways"], r["down"], r["calibration_applied"]) == (40.0, 30.0, 30.0, False), (accuracy, n)
+
+
+def test_backtest_lowers_confidence(spark):
+    row = (3, 10.0, 40.0, 30.0, 30.0, "open", True, "高")
+    assert corrected(spark, row)["confidence"] == "高"
+    assert corrected(spark, row, hit=44.0, quality=("high", True))["confidence"] == "低"
+    assert corrected(spark, row, hit=48.0, quality=("high", True))["confidence"] == "中"
+    assert corrected(spark, row, hit=60.0)["confidence"] == "中"
+    assert corrected(spark, row, hit=60.0, quality=("low", False))["confidence"] == "中"
+    assert corrected(spark, row)["direction"] == "震荡" and corrected(spark, (7, *row[1:]))["direction"] == "不确定"
+    r = corrected(spark, (7, 0.0, 33.0, 34.0, 33.0, "insufficient", False, "低"), 80.0)
+    assert (r["up"], r["direction"], r["calibration_applied"]) == (33.0, "不确定", False)
