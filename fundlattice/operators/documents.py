@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fundlattice.operators import backtest as bt
 from fundlattice.operators import calendar
 from fundlattice.operators import decisions as dec
 from fundlattice.operators import prediction as pred
+from fundlattice.operators import texts
 from fundlattice.operators.indicators import summary
 from fundlattice.operators.decisions import apply_stages
 from fundlattice.operators.walkforward import MIN_SAMPLES
@@ -84,20 +86,45 @@ TOLD_METRICS = ("ret_7d", "ret_30d", "ret_90d", "dd_30", "dd_90", "vol_30", "sha
 TOLD_RISK = ("risk_score", "risk_level", "risk_colour", *dec.RISK_PARTS)
 
 
-def analyse(panel: DataFrame, context: DataFrame) -> DataFrame:
+#: What a document tells of advice and of the final decision.
+TOLD_ADVICE = {"action": "advice", "label": "advice_label", "confidence": "advice_confidence", "buy_pct": "buy_pct", "buy_amount": "buy_amount", "summary": "advice_summary", "position_hint": "position_hint", "reasons": "advice_reasons", "warnings": "advice_warnings", "buy_conditions": "buy_conditions", "sell_conditions": "sell_conditions", "invalidation_signals": "invalidation_signals"}
+TOLD_FINAL = {"headline": "headline", "summary": "final_summary", "direction": "final_direction", "direction_label": "direction_label", "action": "final_action", "action_label": "action_label", "confidence": "final_confidence", "why": "why", "watch": "watch", "warning": "warning"}
+#: What is taken of a code that no backtest has tested: quality, calibration and predictions.
+UNTESTED = {"quality": ("string", "'low'"), "calibrated": ("boolean", "FALSE"), "pred_quality": ("string", "'low'"), **{f"dir_{h}": ("string", "'uncertain'") for h in ("7d", "30d")}, **{f"conf_{h}": ("string", "'低'") for h in ("7d", "30d")}, **{f"edge_{h}": ("boolean", "FALSE") for h in ("7d", "30d")}, **{f"edge_value_{h}": ("double", "NULL") for h in ("7d", "30d")}}
+
+
+def tested(samples: DataFrame, now: DataFrame) -> DataFrame:
+    """What backtest and predictions say of each code that has samples: code and the columns of UNTESTED."""
+    predicted = predictions(samples, now)
+    quality_of = prediction_quality(predicted).select("code", F.col("quality").alias("pred_quality"))
+    out = by_horizon(predicted).join(quality_of, "code", "left").join(bt.quality(samples).select("code", "quality", "calibrated"), "code", "left")
+    return out.select("code", *UNTESTED)
+
+
+def analyse(panel: DataFrame, context: DataFrame, judged_by: DataFrame | None = None) -> DataFrame:
     """SNK-4, SNK-5: one row for each code of a panel, however short its history: code, data_days, success, error, document.
 
-    document holds metrics and risk of the code's last row and a forecast by horizon, with an empty one where its history is too short for it;
-    it is null where error says why there is none. The panel is one job, and a code that fails takes nothing from others. context has a row for
-    each code with its kind, market and position, or none.
+    document holds metrics and risk of the code's last row, a forecast by horizon with its reasons and triggers (an empty one where the history is
+    too short for it), support, advice and the final decision; it is null where error says why there is none. The panel is one job, and a code that
+    fails takes nothing from others. context has a row for each code with its kind, market and position, or none; judged_by (see tested) a
+    row for each code with a backtest; the others are taken as UNTESTED.
     """
-    judged = dec.with_risk(dec.with_kinds(calendar.neutral(calendar.newest(calendar.metrics(panel))).join(context, "code", "left")))
-    said = dec.forecast(judged)
-    period = F.struct("gate", F.col("direction2").alias("direction"), "rise_fall", F.col("up1").alias("up"), F.col("side2").alias("sideways"), F.col("down1").alias("down"), "confidence", "range_low", "range_high")
+    base = dec.with_risk(dec.with_kinds(calendar.neutral(calendar.newest(calendar.metrics(panel))).join(context, "code", "left"))).drop(*UNTESTED)
+    base = base.withColumns({c: F.lit(None).cast(t) for c, (t, _) in UNTESTED.items()}) if judged_by is None else base.join(judged_by, "code", "left")
+    base = base.withColumns({c: F.coalesce(c, F.expr(f"CAST({v} AS {t})")) for c, (t, v) in UNTESTED.items()})
+    said = texts.forecast_texts(dec.forecast(base))
+    period = F.struct("gate", F.col("direction2").alias("direction"), "rise_fall", F.col("up1").alias("up"), F.col("side2").alias("sideways"), F.col("down1").alias("down"), "confidence", "range_low", "range_high", "reasons", "up_triggers", "down_triggers")
     entry = F.struct(F.concat(F.col("horizon").cast("string"), F.lit("d")), period)
-    parts = [F.struct(*TOLD_METRICS).alias("metrics"), F.struct(*TOLD_RISK).alias("risk")]
-    documents_of = said.groupBy("code").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("forecast"), *[F.first(p).alias(n) for p, n in zip(parts, ("metrics", "risk"))])
-    known = summary(panel)
-    out = known.join(documents_of, "code", "left")
-    document = F.when(F.col("error").isNull(), F.struct("code", "data_start", "data_end", "latest_nav", "metrics", "risk", "forecast", F.lit("仅供个人研究参考，不构成投资建议。").alias("disclaimer")))
+    words = {f"text_{h}d": F.max(F.when(F.col("horizon") == h, F.concat_ws(" ", "direction2", "rise_fall"))) for h in (7, 30)}
+    forecasts = said.groupBy("code").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("forecast"), *[x.alias(n) for n, x in words.items()])
+    support = texts.decision_support(said, ["code"])
+    support = support.select("code", F.struct(*[c for c in support.columns if c != "code"]).alias("decision_support"))
+    decided = base.join(forecasts, "code").join(support, "code")
+    warned = {f"warning_{h}": F.expr(texts.PREDICTION_WARNING.format(edge=f"edge_value_{h}", confidence=f"conf_{h}")) for h in ("7d", "30d")}
+    decided = texts.advice_texts(dec.apply_stages(decided.withColumns(warned), dec.ADVICE_STAGES))
+    decided = texts.final_texts(dec.apply_stages(decided, dec.FINAL_STAGES))
+    part = lambda told: F.struct(*[F.col(c).alias(n) for n, c in told.items()])
+    parts = {"metrics": F.struct(*TOLD_METRICS), "risk": F.struct(*TOLD_RISK), "forecast": F.col("forecast"), "decision_support": F.col("decision_support"), "advice": part(TOLD_ADVICE), "final": part(TOLD_FINAL)}
+    out = summary(panel).join(decided.select("code", *[x.alias(n) for n, x in parts.items()]), "code", "left")
+    document = F.when(F.col("error").isNull(), F.struct("code", "data_start", "data_end", "latest_nav", *parts, F.lit("仅供个人研究参考，不构成投资建议。").alias("disclaimer")))
     return out.select("code", "data_days", F.col("error").isNull().alias("success"), "error", document.alias("document"))

@@ -236,6 +236,7 @@ DOCUMENTS = [
     Query("history_range", on_panel(profiles.date_range), dq.with_nav("SELECT code, strftime(min(d) - INTERVAL 10 DAYS, '%Y%m%d') AS start, strftime(max(d) + INTERVAL 1 DAY, '%Y%m%d') AS \"end\" FROM nav GROUP BY code")),
     Query("fund_dimension", dq.dimension, dq.DIMENSION_SQL),
     Query("macro_padding", dq.padding, dq.PADDING_SQL, "latest change_pct"),
+    Query("whole_documents", tq.whole_documents, tq.WHOLE_DOCUMENTS_SQL),
     Query("batch_analysis", mq.batch_analysis, mq.BATCH_SQL, "latest_nav ret_30d risk_score"),
     Query("sector_lookup", lambda s, d: profiles.sectors(mq.part_kinds(s, d)), mq.SECTOR_LOOKUP_SQL, "change_pct"),
     Query("source_status", dq.status, dq.STATUS_SQL),

@@ -335,11 +335,16 @@ nav AS (SELECT code, d, nav, row_number() OVER (PARTITION BY code ORDER BY d) -
 _KIND_OF = {k: v for k, v in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))}
 
 
+def customer_context(s: SparkSession, d: str) -> DataFrame:
+    """A kind, market and position for each customer's series."""
+    kinds = F.array(*map(F.lit, _KIND_OF.values()))
+    of = table(s, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("c"), F.get(kinds, F.col("c_custkey") % 5).alias("code"))
+    return of.join(F.broadcast(s.sql(dq.CONTEXT)), "code").drop("code").withColumnRenamed("c", "code")
+
+
 def batch_analysis(s: SparkSession, d: str) -> DataFrame:
     """All customers' series in one batch: what each document says, and why the others have none."""
-    kinds = F.array(*map(F.lit, _KIND_OF.values()))
-    context = table(s, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("c"), F.get(kinds, F.col("c_custkey") % 5).alias("code")).join(F.broadcast(s.sql(dq.CONTEXT)), "code").drop("code").withColumnRenamed("c", "code")
-    out = docs.analyse(customer_panel(s, d), context)
+    out = docs.analyse(customer_panel(s, d), customer_context(s, d))
     said = lambda h: F.col("document.forecast")[f"{h}d"]
     return out.select("code", "data_days", "success", F.coalesce("error", F.lit("")).alias("error"), "document.latest_nav", "document.metrics.ret_30d", "document.risk.risk_score", F.coalesce("document.risk.risk_level", F.lit("")).alias("risk_level"), *[F.coalesce(said(h)["direction"], F.lit("")).alias(f"direction_{h}d") for h in (1, 3, 7, 30)], F.coalesce(said(7)["gate"], F.lit("")).alias("gate_7d"))
 
