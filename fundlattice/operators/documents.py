@@ -10,7 +10,7 @@ from fundlattice.operators import calendar
 from fundlattice.operators import decisions as dec
 from fundlattice.operators import prediction as pred
 from fundlattice.operators import texts
-from fundlattice.operators.indicators import summary
+from fundlattice.operators.indicators import summary_columns
 from fundlattice.operators.decisions import apply_stages
 from fundlattice.operators.walkforward import MIN_SAMPLES
 
@@ -109,22 +109,24 @@ def analyse(panel: DataFrame, context: DataFrame, judged_by: DataFrame | None =
     fails takes nothing from others. context has a row for each code with its kind, market and position, or none; judged_by (see tested) a
     row for each code with a backtest; the others are taken as UNTESTED.
     """
-    base = dec.with_risk(dec.with_kinds(calendar.neutral(calendar.newest(calendar.metrics(panel))).join(context, "code", "left"))).drop(*UNTESTED)
+    rows = calendar.newest_metrics(panel, least=1, more=(F.min("d").alias("data_start"),))
+    base = dec.with_risk(dec.with_kinds(calendar.neutral(rows).join(context, "code", "left"))).drop(*UNTESTED)
     base = base.withColumns({c: F.lit(None).cast(t) for c, (t, _) in UNTESTED.items()}) if judged_by is None else base.join(judged_by, "code", "left")
     base = base.withColumns({c: F.coalesce(c, F.expr(f"CAST({v} AS {t})")) for c, (t, v) in UNTESTED.items()})
+    # a code's row goes through the aggregation of its horizons beside one of them, so it is made once
+    base = base.withColumn("_row", F.struct(*[c for c in base.columns if c != "code"]))
     said = texts.forecast_texts(dec.forecast(base))
     period = F.struct("gate", F.col("direction2").alias("direction"), "rise_fall", F.col("up1").alias("up"), F.col("side2").alias("sideways"), F.col("down1").alias("down"), "confidence", "range_low", "range_high", "reasons", "up_triggers", "down_triggers")
     entry = F.struct(F.concat(F.col("horizon").cast("string"), F.lit("d")), period)
     words = {f"text_{h}d": F.max(F.when(F.col("horizon") == h, F.concat_ws(" ", "direction2", "rise_fall"))) for h in (7, 30)}
-    forecasts = said.groupBy("code").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("forecast"), *[x.alias(n) for n, x in words.items()])
-    support = texts.decision_support(said, ["code"])
-    support = support.select("code", F.struct(*[c for c in support.columns if c != "code"]).alias("decision_support"))
-    decided = base.join(forecasts, "code").join(support, "code")
+    row = F.first(F.when(F.col("horizon") == 7, F.col("_row")), ignorenulls=True)
+    decided = said.groupBy("code").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("forecast"), row.alias("_row"), *texts.support_sums(), *[x.alias(n) for n, x in words.items()])
+    decided = decided.select("code", "forecast", *words, F.struct(*texts.support_columns()).alias("decision_support"), "_row.*")
     warned = {f"warning_{h}": F.expr(texts.PREDICTION_WARNING.format(edge=f"edge_value_{h}", confidence=f"conf_{h}")) for h in ("7d", "30d")}
     decided = texts.advice_texts(dec.apply_stages(decided.withColumns(warned), dec.ADVICE_STAGES))
     decided = texts.final_texts(dec.apply_stages(decided, dec.FINAL_STAGES))
     part = lambda told: F.struct(*[F.col(c).alias(n) for n, c in told.items()])
     parts = {"metrics": F.struct(*TOLD_METRICS), "risk": F.struct(*TOLD_RISK), "forecast": F.col("forecast"), "decision_support": F.col("decision_support"), "advice": part(TOLD_ADVICE), "final": part(TOLD_FINAL)}
-    out = summary(panel).join(decided.select("code", *[x.alias(n) for n, x in parts.items()]), "code", "left")
+    out = decided.select("code", *summary_columns(F.col("i") + 1, F.col("data_start"), F.col("d"), F.col("nav")), *[x.alias(n) for n, x in parts.items()])
     document = F.when(F.col("error").isNull(), F.struct("code", "data_start", "data_end", "latest_nav", *parts, F.lit("仅供个人研究参考，不构成投资建议。").alias("disclaimer")))
     return out.select("code", "data_days", F.col("error").isNull().alias("success"), "error", document.alias("document"))

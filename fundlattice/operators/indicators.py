@@ -271,8 +271,9 @@ def vol_percentile_b(p: DataFrame, lookback: int = 90) -> DataFrame:
 def _streak(p: DataFrame, sign: Column) -> DataFrame:
     """Length of the run of equal signs that ends in each row (gaps and islands)."""
     s = p.withColumn("sign", sign)
-    s = s.withColumn("island", F.sum((~F.col("sign").eqNullSafe(F.lag("sign").over(in_order()))).cast("int")).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
-    return s.withColumn("run", F.row_number().over(Window.partitionBy("code", "island").orderBy("d")))
+    begins = F.when(~F.col("sign").eqNullSafe(F.lag("sign").over(in_order())) | F.lag("i").over(in_order()).isNull(), F.col("i"))
+    s = s.withColumn("island", begins).withColumn("island", F.max("island").over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    return s.withColumn("run", F.col("i") - F.col("island") + 1)
 
 
 def streaks(p: DataFrame) -> DataFrame:
@@ -311,9 +312,14 @@ def range_60(p: DataFrame) -> DataFrame:
 def summary(p: DataFrame) -> DataFrame:
     """IND-1, PRD-2: rows, first and last day and last value of each code; below 5 rows an error and none of these."""
     out = p.groupBy("code").agg(F.count("*").alias("n"), F.min("d").alias("first"), F.max("d").alias("last"), F.max_by("nav", "d").alias("nav"))
-    enough = lambda x: F.when(F.col("n") >= 5, x)
-    error = F.when(F.col("n") < 5, F.concat(F.lit("净值数据不足（仅 "), F.col("n").cast("string"), F.lit(" 条）")))
-    return out.select("code", F.col("n").alias("data_days"), enough(F.date_format("first", "yyyy-MM-dd")).alias("data_start"), enough(F.date_format("last", "yyyy-MM-dd")).alias("data_end"), enough(four_places(F.col("nav"))).alias("latest_nav"), error.alias("error"))
+    return out.select("code", *summary_columns(F.col("n"), F.col("first"), F.col("last"), F.col("nav")))
+
+
+def summary_columns(n: Column, first: Column, last: Column, nav: Column) -> list[Column]:
+    """data_days, data_start, data_end, latest_nav and error of a code of n rows."""
+    enough = lambda x: F.when(n >= 5, x)
+    error = F.when(n < 5, F.concat(F.lit("净值数据不足（仅 "), n.cast("string"), F.lit(" 条）")))
+    return [n.cast("long").alias("data_days"), enough(F.date_format(first, "yyyy-MM-dd")).alias("data_start"), enough(F.date_format(last, "yyyy-MM-dd")).alias("data_end"), enough(four_places(nav)).alias("latest_nav"), error.alias("error")]
 
 
 def one_year(p: DataFrame) -> DataFrame:

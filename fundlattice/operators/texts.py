@@ -227,15 +227,23 @@ def decision_support(forecasts: DataFrame, keys: list[str]) -> DataFrame:
     forecasts: forecast_texts with the forecast's columns, risk_score and quality; keys name a row that has forecasts. One
     aggregation by keys, over two rows each.
     """
+    return forecasts.where("horizon IN (7, 30)").groupBy(*keys).agg(*support_sums()).select(*keys, *support_columns())
+
+
+def support_sums() -> list[Column]:
+    """The aggregates over a row's forecasts that support_columns reads."""
     from fundlattice.operators.documents import ACTION_BIAS
 
     at = lambda h, c: F.max(F.when(F.col("horizon") == h, F.col(c)))
     two = lambda h, side: F.slice(F.coalesce(at(h, f"{side}_triggers"), F.array().cast("array<string>")), 1, 2)
     watch = lambda side: F.slice(F.array_distinct(F.concat(two(7, side), two(30, side))), 1, 3)
     bias = F.max(F.when(F.col("horizon") == 7, F.struct(F.expr(ACTION_BIAS).alias("bias"), F.expr(MODEL_NOTE).alias("note"))))
-    out = forecasts.where("horizon IN (7, 30)").groupBy(*keys).agg(bias.alias("_b"), watch("up").alias("_up"), watch("down").alias("_down"))
+    return [bias.alias("_b"), watch("up").alias("_up"), watch("down").alias("_down")]
+
+
+def support_columns() -> list[Column]:
     filled = lambda c, text: F.when(F.size(c) > 0, F.col(c)).otherwise(_texts([text]))
-    return out.select(*keys, F.col("_b.bias").alias("action_bias"), filled("_up", NO_BUY).alias("buy_watch"), filled("_down", NO_REDUCE).alias("reduce_watch"), _texts(INVALIDATION).alias("invalidation_signals"), F.col("_b.note").alias("model_quality_note"))
+    return [F.col("_b.bias").alias("action_bias"), filled("_up", NO_BUY).alias("buy_watch"), filled("_down", NO_REDUCE).alias("reduce_watch"), _texts(INVALIDATION).alias("invalidation_signals"), F.col("_b.note").alias("model_quality_note")]
 
 
 # DEC-1

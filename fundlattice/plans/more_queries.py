@@ -239,7 +239,7 @@ _JUDGING = [_UNTRAINED, *dec.ADVICE_STAGES, *dec.FINAL_STAGES, *dec.GATE_STAGES]
 def present_decisions(s: SparkSession, d: str, sm: DataFrame, now: DataFrame) -> DataFrame:
     """What to do about each code now: risk of its present row, its predictions, forecasts and backtest, and the decision tables over them."""
     context = s.sql(dq.CONTEXT).drop("quality", "calibrated")
-    base = dq.judge(calendar.newest(calendar.metrics(nav_panel(s, d))), context)
+    base = dq.judge(calendar.newest_metrics(nav_panel(s, d)), context)
     said = F.concat_ws(" ", "direction2", "rise_fall")
     texts = dec.forecast(base, [7, 30]).groupBy("code").agg(*[F.max(F.when(F.col("horizon") == h, said)).alias(f"text_{h}d") for h in (7, 30)])
     predicted = docs.predictions(sm, now)

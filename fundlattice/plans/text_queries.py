@@ -62,7 +62,7 @@ CORRECTED = ["code", "horizon", "up", "sideways", "down", "direction", "rise_fal
 
 def calibrated_forecast(s: SparkSession, d: str, sm: DataFrame) -> DataFrame:
     """The forecasts of each code's newest row, as its own backtest corrects them."""
-    base = dq.judge(calendar.newest(calendar.metrics(nav_panel(s, d))), s.sql(dq.CONTEXT))
+    base = dq.judge(calendar.newest_metrics(nav_panel(s, d)), s.sql(dq.CONTEXT))
     return dec.calibrated_forecast(dec.forecast(base), bt.score_buckets(sm), bt.baseline_edge(sm), bt.quality(sm)).select(*CORRECTED)
 
 
