@@ -268,11 +268,12 @@ def vol_percentile_b(p: DataFrame, lookback: int = 90) -> DataFrame:
     return out.withColumn("regime", F.when(F.col("pct") > 75, "高波动").when(F.col("pct") < 25, "低波动").otherwise("正常"))
 
 
-def _streak(p: DataFrame, sign: Column) -> DataFrame:
+def _streak(p: DataFrame, sign: Column, order: Window | None = None) -> DataFrame:
     """Length of the run of equal signs that ends in each row (gaps and islands)."""
+    order = order or in_order()
     s = p.withColumn("sign", sign)
-    begins = F.when(~F.col("sign").eqNullSafe(F.lag("sign").over(in_order())) | F.lag("i").over(in_order()).isNull(), F.col("i"))
-    s = s.withColumn("island", begins).withColumn("island", F.max("island").over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    begins = F.when(~F.col("sign").eqNullSafe(F.lag("sign").over(order)) | F.lag("i").over(order).isNull(), F.col("i"))
+    s = s.withColumn("island", begins).withColumn("island", F.max("island").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return s.withColumn("run", F.col("i") - F.col("island") + 1)
 
 

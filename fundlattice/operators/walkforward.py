@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from fundlattice.functions.numeric import round_half_up
 from fundlattice.operators import scoring
-from fundlattice.operators.indicators import YEAR, _streak, in_order, lagged, macd_b_columns, rows, trend_b_label
-from fundlattice.operators.scan import exponential_means, largest_falls
+from fundlattice.operators.indicators import YEAR, _streak, macd_b_columns, trend_b_label
+from fundlattice.operators.scan import blocked, by_block, exponential_means, largest_falls
 
 # fixed values: rows that a code needs, samples that a horizon needs, bounds of the lookback, floors of thresholds
 MIN_ROWS, MIN_SAMPLES = 60, 20
@@ -38,6 +38,15 @@ def _frame(position: str, most: int, less: int = 0) -> Window:
     return Window.partitionBy("code").orderBy(position).rangeBetween(-most * UNIT + less, 0)
 
 
+def rows(n: int) -> Window:
+    """The last n rows of a panel that is blocked()."""
+    return by_block().rowsBetween(1 - n, 0)
+
+
+def lagged(k: int) -> Column:
+    return F.lag("nav", k).over(by_block())
+
+
 def _macd_within(p: DataFrame, look: Window) -> DataFrame:
     """INB-12: p (with the exponential means _f, _s, _dea of a code's whole history) with the MACD of each row's lookback.
 
@@ -45,19 +54,20 @@ def _macd_within(p: DataFrame, look: Window) -> DataFrame:
     that had there, faded; a fading difference of two means adds a geometric series to the signal line.
     """
     fast, slow, signal = (1 - 2 / (n + 1) for n in (12, 26, 9))
-    start = p.withColumns({"_from": F.first(F.struct("i", "nav", "_f", "_s", "_dea")).over(look)})
+    before = {f"{c}{k}": F.lag(c, k).over(by_block()) for k in (1, 2) for c in ("_f", "_s", "_dea")}
+    start = p.withColumns(before).withColumns({"_from": F.first(F.struct("i", "nav", "_f", "_s", "_dea")).over(look)})
     begun = start.withColumns({"_cf": F.col("_from._f") - F.col("_from.nav"), "_cs": F.col("_from._s") - F.col("_from.nav")})
     faded = lambda a, n: F.pow(F.lit(a), n)
     series = lambda a, n: a * (faded(a, n) - faded(signal, n)) / (a - signal)
     states = {}
     for k in range(3):
         n = F.col("i") - F.col("_from.i") - k
-        f, s, dea = (F.lag(c, k).over(in_order()) if k else F.col(c) for c in ("_f", "_s", "_dea"))
+        f, s, dea = (F.col(f"{c}{k or ''}") for c in ("_f", "_s", "_dea"))
         states[f"_dif{k}"] = f - s - faded(fast, n) * F.col("_cf") + faded(slow, n) * F.col("_cs")
         states[f"_sig{k}"] = dea - faded(signal, n) * F.col("_from._dea") - (1 - signal) * (series(fast, n) * F.col("_cf") - series(slow, n) * F.col("_cs"))
     out = begun.withColumns(states).withColumn("m", F.array(*[F.struct(F.col(f"_dif{k}").alias("dif"), F.col(f"_sig{k}").alias("dea")) for k in range(3)]))
     hist, cross, way = macd_b_columns(F.col("m"))
-    return out.withColumns({"macd_hist": round_half_up(hist, 6), "macd_cross": cross, "macd_dir": way}).drop("_from", "_cf", "_cs", "m", *states)
+    return out.withColumns({"macd_hist": round_half_up(hist, 6), "macd_cross": cross, "macd_dir": way}).drop("_from", "_cf", "_cs", "m", *before, *states)
 
 
 def features(p: DataFrame, present: bool = False) -> DataFrame:
@@ -68,7 +78,8 @@ def features(p: DataFrame, present: bool = False) -> DataFrame:
     with fewer than MIN_ROWS rows have none.
 
     Lookbacks differ by code, but frames have fixed bounds: rows are ordered by a position that makes every code's lookback as long
-    (see behind). Exponential means and falls come from blocks (see scan), so no row carries its history.
+    (see behind). Exponential means and falls come from blocks (see scan), so no row carries its history. Every sort of a task holds
+    memory of its own until the task ends, so all windows of rows take the order of blocks, and frames of one position stand together.
     """
     r2 = lambda x: round_half_up(x, 2)
     year = F.sqrt(F.lit(YEAR))
@@ -78,8 +89,8 @@ def features(p: DataFrame, present: bool = False) -> DataFrame:
     negative = F.when(F.col("r") < 0, F.col("r"))
     rule = F.least(F.lit(MOST_LOOKBACK), F.greatest(F.lit(LEAST_LOOKBACK), F.floor(F.col("n_rows") / 2).cast("int")))
     known = p.withColumn("n_rows", F.count("*").over(Window.partitionBy("code")).cast("int")).where(F.col("n_rows") >= MIN_ROWS)
-    known = known.withColumn("look", F.col("n_rows") if present else rule)
-    whole = in_order().rowsBetween(Window.unboundedPreceding, 0)
+    known = blocked(known).withColumn("look", F.col("n_rows") if present else rule)
+    whole = by_block().rowsBetween(Window.unboundedPreceding, 0)
     if present:
         known = known.withColumn("_tail", F.col("i") * UNIT)
         lookback, returned = whole, whole
@@ -88,31 +99,32 @@ def features(p: DataFrame, present: bool = False) -> DataFrame:
         lookback, returned = _frame("_x", MOST_LOOKBACK - 1), _frame("_x", MOST_LOOKBACK - 1, less=UNIT // 2)
     tail = _frame("_tail", 59)
     base = exponential_means(known, {"_f": ("nav", 0, 2 / 13), "_s": ("nav", 0, 2 / 27)}).withColumn("_line", F.col("_f") - F.col("_s"))
-    base = _macd_within(exponential_means(base, {"_dea": ("_line", 0, 2 / 10)}), lookback)
-    base = largest_falls(base, {"_dd_20": (F.col("i"), 20, rows(20)), "_dd_40": (F.col("i"), 40, rows(40)), "_dd_tail": (F.col("_tail"), 59 * UNIT + 1, tail)})
-    base = _streak(base, F.signum("r")).withColumns({"v20": F.when(F.col("i") >= 20, F.stddev_samp("r").over(rows(20))), "change": nav - lagged(1)})
+    base = exponential_means(base, {"_dea": ("_line", 0, 2 / 10)})
+    base = _streak(base, F.signum("r"), by_block()).withColumns({"v20": F.when(F.col("i") >= 20, F.stddev_samp("r").over(rows(20))), "change": nav - lagged(1)})
     gain = lambda w, sign: F.sum(F.greatest(F.col("change") * sign, F.lit(0.0))).over(rows(w))
     aggregates = {
         "_std_20": F.stddev_samp("r").over(rows(20)), "_std_40": within(40, lambda f: F.stddev_samp("r").over(f)), "_mean_20": F.avg("r").over(rows(20)), "_mean_40": within(40, lambda f: F.avg("r").over(f)),
-        "_mean_tail": F.when(look > 60, F.avg("r").over(rows(60))).otherwise(F.avg("r").over(returned)), "vol_pop": F.stddev_pop("r").over(returned),
+        "_mean_60": F.avg("r").over(rows(60)),
         "_fell": F.count(negative).over(rows(20)), "_down": F.stddev_samp(negative).over(rows(20)), "_mid": F.avg("nav").over(rows(20)), "_dev": F.stddev_samp("nav").over(rows(20)),
         "_skew": within(40, lambda f: F.skewness("r").over(f)), "_rets": F.collect_list("r").over(rows(20)), "win_30": F.count_if(F.col("r") > 0).over(rows(20)), "vol_pop_30": F.stddev_pop("r").over(rows(30)),
         **{f"{side}_{w}": gain(w, sign) for w in (6, 14) for side, sign in (("gain", 1), ("loss", -1))},
-        **{f"_low_{n}": F.min("nav").over(f) for n, f in (("5", rows(5)), ("20", rows(20)), ("40", rows(40)), ("t", tail))}, **{f"_high_{n}": F.max("nav").over(f) for n, f in (("5", rows(5)), ("20", rows(20)), ("40", rows(40)), ("t", tail))},
+        **{f"_low_{n}": F.min("nav").over(f) for n, f in (("5", rows(5)), ("20", rows(20)), ("40", rows(40)))}, **{f"_high_{n}": F.max("nav").over(f) for n, f in (("5", rows(5)), ("20", rows(20)), ("40", rows(40)))},
         **{f"raw_{k}": F.avg("nav").over(rows(k)) for k in (5, 10, 20)}, "_raw_60": F.avg("nav").over(rows(60)), **{f"_lag_{k}": lagged(k) for k in (1, 2, 3, 4, 5, 7, 9, 19, 20, 30, 40, 60)},
-        **{f"after_{h}": F.lead("nav", h + 1).over(in_order()) for h in scoring.HORIZONS},
+        **{f"after_{h}": F.lead("nav", h + 1).over(by_block()) for h in scoring.HORIZONS},
     }
+    base = _macd_within(base.withColumns(aggregates), lookback)
+    base = base.withColumns({"_mean_tail": F.when(look > 60, F.col("_mean_60")).otherwise(F.avg("r").over(returned)), "vol_pop": F.stddev_pop("r").over(returned)})
     if present:
-        newest = F.last("v20").over(Window.partitionBy("code").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        base = base.withColumn("_newest", newest)
-        aggregates["pct_of"] = F.count_if(F.col("v20") < F.col("_newest")).over(whole) / F.count("v20").over(whole) * 100
+        newest = F.max(F.when(F.col("i") == look - 1, F.col("v20"))).over(Window.partitionBy("code"))
+        base = base.withColumn("_newest", newest).withColumn("pct_of", F.try_divide(F.count_if(F.col("v20") < F.col("_newest")).over(whole), F.count("v20").over(whole)) * 100)
     else:
-        aggregates["_vols"] = F.collect_list("v20").over(_frame("_v", MOST_LOOKBACK - 21))
+        base = base.withColumn("_vols", F.collect_list("v20").over(_frame("_v", MOST_LOOKBACK - 21)))
+        base = base.withColumn("pct_of", F.try_divide(F.size(F.filter("_vols", lambda x: x < F.col("v20"))), F.size("_vols")) * 100).drop("_vols")
+    base = largest_falls(base, {"_dd_20": (F.col("i"), 20, None), "_dd_40": (F.col("i"), 40, None), "_dd_tail": (F.col("_tail"), 59 * UNIT + 1, tail)})
+    base = base.withColumns({"_low_t": F.min("nav").over(tail), "_high_t": F.max("nav").over(tail)})
     c = lambda name: F.col(f"_{name}")
     lag = lambda k: F.col(f"_lag_{k}")
-    out = base.withColumns(aggregates).where(F.col("i") == look - 1 if present else F.col("i") >= look - 1)
-    if not present:
-        out = out.withColumn("pct_of", F.size(F.filter("_vols", lambda x: x < F.col("v20"))) / F.size("_vols") * 100)
+    out = base.where(F.col("i") == look - 1 if present else F.col("i") >= look - 1)
     rsi = lambda w: round_half_up(F.when(F.col(f"loss_{w}") == 0, F.when(F.col(f"gain_{w}") > 0, 100.0).otherwise(50.0)).otherwise(100 - 100 / (1 + F.col(f"gain_{w}") / F.col(f"loss_{w}"))), 1)
     place = lambda n: round_half_up(F.when(c(f"high_{n}") == c(f"low_{n}"), 50.0).otherwise((nav - c(f"low_{n}")) / (c(f"high_{n}") - c(f"low_{n}")) * 100), 1)
     back = lambda k: F.when(look > k, (nav / lag(k) - 1) * 100).otherwise(0.0)
