@@ -8,7 +8,7 @@ import hashlib
 import json
 import os
 import re
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -81,33 +81,50 @@ class Pair:
         """Parts of space and word that are encoded apart with the same result."""
         return STOP.split(" " + word) if self.stops else [" " + word]
 
-    def encode(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def encode(self, units: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
         """The packed tokens of each unit by a and by b, which puts a space before a text: one without it is read after a letter."""
-        a = self._encode_a(units)
-        b = self.b.encode([u[1:] if u[0] == " " else "a" + u for u in units], num_threads=1)
-        b = [ids if u[0] == " " else ids[1:] for u, ids in zip(units, b)]
-        return _sized(a, self.a_sizes), _sized(b, self.b_sizes)
+        led = np.array([u[0] != " " for u in units])
+        b = self.b.encode(["a" + u if n else u[1:] for u, n in zip(units, led.tolist())], num_threads=1)
+        return _packed(*self._encode_a(units, led), self.a_sizes), _packed(*_without_first(*_flat(b), led), self.b_sizes)
 
-
-    def _encode_a(self, units: list[str]) -> list[list[int]]:
+    def _encode_a(self, units: list[str], led: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Short plain units one after the other, told apart by their tokens' bytes; the others each by itself."""
-        spelled = [u if u[0] == " " else " a" + u for u in units]
-        plain = [k for k, u in enumerate(spelled) if len(u) <= LONG_UNIT and PLAIN.fullmatch(u)]
-        out: list = [None] * len(units)
-        ids = np.array(self.ranked.encode_ordinary("".join(spelled[k] for k in plain)), np.int64)
-        ends = np.searchsorted(np.cumsum(self.a_sizes[ids]), np.cumsum([len(spelled[k].encode()) for k in plain])) + 1
-        for k, found in zip(plain, np.split(ids, ends[:-1]) if plain else []):
-            out[k] = found.tolist() if units[k][0] == " " else found[1:].tolist()
-        rest = [k for k in range(len(units)) if out[k] is None]
-        for k, e in zip(rest, self.a.encode_batch([units[k] for k in rest], add_special_tokens=False)):
-            out[k] = e.ids
-        return out
+        spelled = [" a" + u if n else u for u, n in zip(units, led.tolist())]
+        plain = np.array([len(u) <= LONG_UNIT and PLAIN.fullmatch(u) is not None for u in spelled])
+        if plain.all():
+            return _without_first(*self._encode_plain(spelled), led)
+        rest = np.flatnonzero(~plain).tolist()
+        ids, counts = _without_first(*self._encode_plain([spelled[k] for k in np.flatnonzero(plain).tolist()]), led[plain])
+        more, sizes = _flat([e.ids for e in self.a.encode_batch([units[k] for k in rest], add_special_tokens=False)])
+        whole = np.empty(len(units), np.int64)
+        whole[plain], whole[~plain] = counts, sizes
+        of_plain, out = np.repeat(plain, whole), np.empty(len(ids) + len(more), np.int64)
+        out[of_plain], out[~of_plain] = ids, more
+        return out, whole
+
+    def _encode_plain(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.ranked.encode_ordinary("".join(units)), np.int64)
+        ends = np.searchsorted(np.cumsum(self.a_sizes[ids]), np.cumsum([len(u.encode()) for u in units])) + 1 if units else np.zeros(0, np.int64)
+        return ids, np.diff(ends, prepend=0)
+
+
+def _flat(tokens: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array, and how many each has."""
+    counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.fromiter(chain.from_iterable(tokens), np.int64, int(counts.sum())), counts
 
 
-def _sized(tokens: list[list[int]], sizes: np.ndarray) -> list[np.ndarray]:
-    """Each list of ids as packed tokens."""
-    flat = np.fromiter((i for t in tokens for i in t), np.int64)
-    return np.split((flat << SIZE_BITS | sizes[flat]).astype(np.int32), np.cumsum([len(t) for t in tokens])[:-1])
+def _without_first(ids: np.ndarray, counts: np.ndarray, led: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same without the first id of those that are led by another letter."""
+    if not led.any():
+        return ids, counts
+    return np.delete(ids, (np.cumsum(counts) - counts)[led]), counts - led
+
+
+def _packed(ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Lists of packed tokens, of one array of ids."""
+    values = (ids << SIZE_BITS | sizes[ids]).astype(np.int32)
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), values)
 
 
 @functools.cache
@@ -134,24 +151,27 @@ def alignments(types: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) ->
 
     groups: the tokens between common ends, as a1,a2|b1;a3|b2,b3. links: (a, b) of the tokens that end together.
     Tokens are exploded with their places, their ends are running sums of their bytes, ends meet in an equi-join by key and
-    end, and a row's running number of cuts is its group. Rows that lie by a key from the start aren't exchanged.
+    end, and a row's running number of cuts is its group. Running sums of the digits of ids tell where a group lies in a row's ids as
+    text, so a group is a part of that text's bytes. Rows that lie by a key from the start aren't exchanged.
     """
     so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ends = lambda side: (
-        types.select(*keys, F.posexplode(side).alias("pos", "token"))
-        .select(*keys, F.col("pos").alias(f"{side}_pos"), F.sum(F.col("token").bitwiseAND((1 << SIZE_BITS) - 1)).over(so_far).alias("end"))
-    )
+
+    def ends(side: str) -> DataFrame:
+        size, token = F.col("token").bitwiseAND((1 << SIZE_BITS) - 1), F.shiftrightunsigned("token", SIZE_BITS)
+        tokens = types.select(*keys, F.posexplode(side).alias("pos", "token")).select(*keys, "pos", size.alias("size"), token.alias(side))
+        return tokens.select(*keys, side, F.sum("size").over(so_far).alias("end"), F.sum(F.length(F.col(side).cast("string")) + 1).over(so_far).cast("int").alias(f"{side}_to"))
+
     cuts = ends("a").join(ends("b"), [*keys, "end"]).withColumn("group", F.row_number().over(Window.partitionBy(*keys).orderBy("end")))
-    listed = cuts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("group", "a_pos", "b_pos"))).alias("cuts"))
-    joined = types.select(*keys, *keep, _ids(F.col("a")).alias("a"), _ids(F.col("b")).alias("b")).join(listed, keys)
+    listed = cuts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("group", "a_to", "b_to", "a", "b"))).alias("cuts"))
+    told = [c for s in "ab" for c in (F.size(s).cast("long").alias(f"n_{s}"), F.array_join(_ids(F.col(s)).cast("array<string>"), ",").cast("binary").alias(f"{s}_text"))]
+    joined = types.select(*keys, *keep, *told).join(listed, keys)
 
     def side(c: Column, i: Column, name: str) -> Column:
-        last = F.when(i == 0, F.lit(-1)).otherwise(F.col("cuts")[i - 1][f"{name}_pos"])
-        return F.array_join(F.slice(F.col(name), last + 2, c[f"{name}_pos"] - last), ",")
+        last = F.when(i == 0, F.lit(0)).otherwise(F.col("cuts")[i - 1][f"{name}_to"])
+        return F.substring(F.col(f"{name}_text"), last + 1, c[f"{name}_to"] - last - 1)
 
-    groups = F.array_join(F.transform("cuts", lambda c, i: F.concat(side(c, i, "a"), F.lit("|"), side(c, i, "b"))), ";")
-    links = F.transform("cuts", lambda c: F.struct(F.col("a")[c["a_pos"]].alias("a"), F.col("b")[c["b_pos"]].alias("b")))
-    return joined.select(*keys, *keep, F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), groups.alias("groups"), links.alias("links"))
+    groups = F.array_join(F.transform("cuts", lambda c, i: F.concat(side(c, i, "a"), F.lit(b"|"), side(c, i, "b")).cast("string")), ";")
+    return joined.select(*keys, *keep, "n_a", "n_b", groups.alias("groups"), F.arrays_zip(F.col("cuts.a"), F.col("cuts.b")).alias("links"))
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_file: str = A_FILE, b_file: str = B_FILE, with_groups: bool = True) -> DataFrame:
@@ -195,9 +215,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_fil
             units, n = list(units), len(units)
             for lo in range(0, n, ENCODED):
                 hi = min(n, lo + ENCODED)
-                tokens = [pa.array(x, lists) for x in pair.encode(units[lo:hi])]
                 columns = [pa.array(np.full(hi - lo, portion)), pa.array(np.arange(lo, hi, dtype=np.int32)), pa.array(of_units[lo:hi])]
-                yield pa.RecordBatch.from_arrays([*columns, *tokens, pa.nulls(hi - lo, ids), pa.nulls(hi - lo, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*columns, *pair.encode(units[lo:hi]), pa.nulls(hi - lo, ids), pa.nulls(hi - lo, pa.binary())], names)
 
         for part, texts in text_portions(batches, 1, PART):
             ids = part.column(0).type

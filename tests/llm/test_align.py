@@ -92,3 +92,24 @@ def test_op11_by_brute_force(spark):
     from fundlattice.llm.align import op11_alignment
 
     assert {r["doc_id"]: tuple(r[c] for c in COLUMNS[:-1]) for r in op11_alignment(spark, SF).collect()} == want
+
+
+def test_units_are_encoded_as_flat_arrays():
+    """Plain units beside long and odd ones, in any order, with and without a space before them."""
+    pair = align.vocabularies(align.A_FILE, align.B_FILE)
+    units = [" " + "y" * 900, " a b", ",", " a", " \n", ".", " 日本", "!" * 500]
+    for order in (units, units[::-1], units[1:2], units[:1]):
+        for side, name in zip(pair.encode(order), "ab"):
+            alone = [pair.encode([u])["ab".index(name)].to_pylist()[0] for u in order]
+            assert side.to_pylist() == alone
+    a, b = (x.to_pylist()[0] for x in pair.encode([" a b"]))
+    assert [t >> align.SIZE_BITS for t in a] == pair.a.encode(" a b").ids and [t >> align.SIZE_BITS for t in b] == pair.b.encode("a b")
+    assert sum(t & 1023 for t in a) == sum(t & 1023 for t in b) == 4
+
+
+def test_groups_are_parts_of_a_text(spark):
+    """No lists of tokens are cut for each group."""
+    rows = spark.createDataFrame([(1, [1 << 10 | 2, 22 << 10 | 1, 3 << 10 | 1], [7 << 10 | 3, 8 << 10 | 1]), (2, [5 << 10 | 1], [6 << 10 | 1])], "no int, a array<int>, b array<int>")
+    found = align.alignments(rows, ["no"])
+    assert "slice(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["no"], r["groups"], [tuple(x) for x in r["links"]]) for r in found.collect()) == [(1, "1,22|7;3|8", [(22, 7), (3, 8)]), (2, "5|6", [(5, 6)])]
