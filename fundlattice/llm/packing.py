@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import functools
 import json
+import sys
 import unicodedata
 import zlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import WordCoder, byte_letters
+from .bpe import WordCoder, byte_letters, spans
 from .common import slices, stash, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -24,10 +27,20 @@ GROUP_PIECES = 8_192
 
 
 class WordEncoder(WordCoder):
-    """A vocabulary file of BPE with word ends that lowers the case and drops white space."""
+    """A vocabulary file of BPE with word ends that lowers the case and drops white space.
+
+    Texts are told apart in one array of code points: kinds of characters say where words begin, and a word is looked up by
+    a 64-bit hash that running sums give. What is found is compared letter by letter; should two words share
+    a hash, the portion is encoded word by word.
+    """
 
     #: fixed value: how this vocabulary splits a normalised text
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    SPACE, LETTER, NUMBER, OTHER = range(4)
+    #: Code points that are told apart together; longer texts are cut at white space.
+    PORTION = 500_000
+    #: Words remembered from portion to portion.
+    WORDS = 400_000
 
     def __init__(self, path: str):
         import regex
@@ -40,13 +53,25 @@ class WordEncoder(WordCoder):
         self.inner, self.last = np.zeros(256, np.int64), np.zeros(256, np.int64)
         for c, b in byte_letters().items():
             self.inner[b], self.last[b] = self.vocab[c], self.vocab[c + end]
-
-    def words(self, text: str) -> list[str]:
+        every = "".join(map(chr, range(sys.maxunicode + 1)))
+        self.kinds = np.full(len(every), self.OTHER, np.uint8)
+        for kind, pattern in ((self.SPACE, r"\s+"), (self.LETTER, r"\p{L}+"), (self.NUMBER, r"\p{N}+")):
+            for found in regex.finditer(pattern, every):
+                self.kinds[slice(*found.span())] = kind
+        self.marks = np.random.default_rng(7).integers(0, 2**64, len(every), np.uint64)
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _forget(self) -> None:
+        super()._forget()
+        self.keys, self.rows = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.ids, self.letters = Runs(np.int32), Runs(np.uint32)
+
+    def _normal(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             if "\u03a3" in text:  # here the case of a letter is lowered without regard to its neighbours
                 text = "".join(c.lower() for c in text)
-        return self.word.findall(text.lower())
+        return text.lower()
 
     def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -55,6 +80,106 @@ class WordEncoder(WordCoder):
         symbols[ends] = self.last[flat[ends]]
         return symbols, sizes
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; strings of special tokens count as those tokens."""
+        parts = [list(self._parts(t)) for t in texts]
+        flat = [p for ps in parts for p in ps]
+        plain = [p for p in flat if isinstance(p, str)]
+        coded = iter([ids for lo, hi in slices(plain, self.PORTION) for ids in self._encode_portion(plain[lo:hi])])
+        pieces = [next(coded) if isinstance(p, str) else np.array([p], np.int32) for p in flat]
+        if len(pieces) == len(texts):
+            return pieces
+        ends = np.cumsum([len(ps) for ps in parts])
+        return [np.concatenate(pieces[e - len(ps) : e]) for e, ps in zip(ends.tolist(), parts)]
+
+    def _parts(self, text: str) -> Iterator[str | int]:
+        """At least one normalised part of a text, and ids of special tokens, in order."""
+        whole = self.special_pattern.split(text) if any(s in text for s in self.special) else [text]
+        for i, part in enumerate(whole):
+            if i % 2:
+                yield self.special[part]
+                continue
+            part, at = self._normal(part), 0
+            while len(part) - at > self.PORTION:
+                cut = max(part.rfind(c, at + 1, at + self.PORTION) for c in " \n\t\u3000")
+                cut = cut if cut > 0 else part.find(" ", at + self.PORTION)
+                if cut < 0:
+                    break
+                yield part[at:cut]
+                at = cut
+            yield part[at:]
+
+    def _starts(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where words begin, their sizes, and which code points are in words; the last code point is white space."""
+        kind = self.kinds[points]
+        inside, letter = kind != self.SPACE, kind == self.LETTER
+        first = np.r_[True, kind[1:] != kind[:-1]] | (kind == self.NUMBER)
+        first &= inside
+        quote = np.flatnonzero((points[:-1] == ord("'")) & first[:-1] & letter[1:])
+        one, two = points[quote + 1], points[quote + 2]
+        is_ = lambda x, c: x == ord(c)
+        short = is_(one, "s") | is_(one, "t") | is_(one, "m") | is_(one, "d")
+        long = ((is_(one, "r") | is_(one, "v")) & is_(two, "e")) | (is_(one, "l") & is_(two, "l"))
+        for found, n in ((quote[short], 1), (quote[long], 2)):
+            first[found + 1] = False
+            first[found + 1 + n] |= letter[found + 1 + n]
+        edges = np.flatnonzero(first | ~inside)
+        begins = first[edges]
+        return edges[begins], np.diff(edges, append=len(points))[begins], inside
+
+    def _hashes(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Polynomial hashes of words: differences of running sums, divided by the power that their place has."""
+        if len(self.powers) < len(points):
+            odd = 0x9E3779B97F4A7C15
+            self.powers, self.inverses = (np.cumprod(np.full(len(points), x, np.uint64)) for x in (odd, pow(odd, -1, 2**64)))
+        sums = np.r_[np.uint64(0), np.cumsum(self.marks[points] * self.powers[: len(points)])]
+        return (sums[starts + sizes] - sums[starts]) * self.inverses[starts]
+
+    def _encode_portion(self, texts: list[str]) -> list[np.ndarray]:
+        joined = "\n".join([*texts, ""])
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts, sizes, inside = self._starts(points)
+        keys, at, index = np.unique(self._hashes(points, starts, sizes), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > self.WORDS:
+            self._forget()
+        place = np.searchsorted(self.keys, keys)
+        fresh = np.r_[self.keys, np.uint64(0)][place] != keys
+        fresh |= place == len(self.keys)
+        if fresh.any():
+            a, n = starts[at[fresh]], sizes[at[fresh]]
+            ids, counts = self.merges.apply(*self.symbols([joined[i:j] for i, j in zip(a.tolist(), (a + n).tolist())]))
+            more = np.arange(len(self.keys), len(self.keys) + len(a))
+            self.ids.add(ids, counts)
+            self.letters.add(points[spans(a, n)], n)
+            self.keys, self.rows = np.insert(self.keys, place[fresh], keys[fresh]), np.insert(self.rows, place[fresh], more)
+            place = np.searchsorted(self.keys, keys)
+        row = self.rows[place][index]
+        if not (np.array_equal(self.letters.sizes[row], sizes) and np.array_equal(self.letters.take(row), points[inside])):
+            return self._one_by_one(texts)
+        ends = np.r_[0, np.cumsum(self.ids.sizes[row])][np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))]
+        return np.split(self.ids.take(row), ends[:-1])
+
+    def _one_by_one(self, texts: list[str]) -> list[np.ndarray]:
+        split, ids = [self.word.findall(t) for t in texts], Runs(np.int32)
+        numbers = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        ids.add(*self.merges.apply(*self.symbols(list(numbers))))
+        return [ids.take(np.fromiter(map(numbers.__getitem__, s), np.int64, len(s))) for s in split]
+
+
+class Runs:
+    """Runs of numbers in one array."""
+
+    def __init__(self, kind: type):
+        self.flat, self.sizes, self.starts = np.empty(0, kind), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.flat)])
+        self.flat, self.sizes = np.concatenate([self.flat, flat.astype(self.flat.dtype)]), np.concatenate([self.sizes, sizes])
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        """The numbers of some runs, one run after the other."""
+        return self.flat[spans(self.starts[rows], self.sizes[rows])]
+
 
 @functools.cache
 def encoder(name: str) -> WordEncoder:

@@ -173,6 +173,28 @@ def test_first_fit_decreasing_by_brute_force():
             used[at] += lengths[i]
 
 
+APOSTROPHES = ["'s", "it's'S's", "''s 's' 'sa 'rea 're've'll'd'm't", "x'r e'l l'v", "' s 'r", "a!'s 'é's '1's", "don\u2019t", "'", "1'll2", "'ll\n've", "<|ENDOFTEXT|>'s", "<|endoftext|>'s<|endoftext|><|startoftext|>"]
+
+
+@pytest.mark.parametrize("portion, remembered, alike", [(500_000, 400_000, False), (40, 30, False), (3, 400_000, False), (60, 400_000, True)])
+def test_words_are_told_apart_in_arrays_of_code_points(monkeypatch, portion, remembered, alike):
+    import public_tokenizers
+
+    coder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for name, value in {"PORTION": portion, "WORDS": remembered}.items():
+        monkeypatch.setattr(coder, name, value)
+    if alike:  # words share hashes, so none may be taken for another
+        coder.marks[:] = 1
+    else:  # the words one by one are not needed
+        monkeypatch.setattr(coder, "_one_by_one", None)
+    kinds = [chr(c) for c in range(0x20)] + ["\x85", "\xa0", "\u1680", "\u180e", "\u200b", "\u2028", "\u3000", "\ufeff", "Ⅷ", "²", "ª", "ǅ", "\u0345", "\U0001d7d8", "𐐀", "😀"]
+    texts = [x or "" for x in ODD] + APOSTROPHES + [f"a{c}b'{c}s {c}{c}" for c in kinds] + some_texts(30 if portion > 3 else 3)
+    t = tokenizer("word_bpe_49k.json")
+    for lot in (texts, texts[::-1], [""], texts[3:4]):
+        assert [x.tolist() for x in coder.encode(lot)] == [t.encode(x, add_special_tokens=False).ids for x in lot]
+    assert coder.encode([]) == []
+
+
 def test_packing_is_an_exact_partition(spark):
     texts = ODD + some_texts() + some_texts(5)
     t = tokenizer("word_bpe_49k.json")
