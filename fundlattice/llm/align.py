@@ -150,28 +150,37 @@ def alignments(types: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) ->
     """keys, keep, n_a, n_b, groups, links of each row of types (unique in keys; a, b: packed tokens of the same bytes).
 
     groups: the tokens between common ends, as a1,a2|b1;a3|b2,b3. links: (a, b) of the tokens that end together.
-    Tokens are exploded with their places, their ends are running sums of their bytes, ends meet in an equi-join by key and
-    end, and a row's running number of cuts is its group. Running sums of the digits of ids tell where a group lies in a row's ids as
+    The last tokens of a row always end together; so a row with one token on a side is one group, and only cuts within the others are looked for.
+    Their tokens but the last are exploded with their places, their ends are running sums of their bytes, and ends meet in an equi-join by key and
+    end. Running sums of the digits of ids tell where a group lies in a row's ids as
     text, so a group is a part of that text's bytes. Rows that lie by a key from the start aren't exchanged.
     """
     so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = [F.size(s).alias(f"n_{s}") for s in "ab"]
+    cut = (F.size("a") > 1) & (F.size("b") > 1)
+    text = {s: F.array_join(_ids(F.col(s)).cast("array<string>"), ",") for s in "ab"}
+    last = {s: F.shiftrightunsigned(F.element_at(s, -1), SIZE_BITS).alias(s) for s in "ab"}
 
     def ends(side: str) -> DataFrame:
         size, token = F.col("token").bitwiseAND((1 << SIZE_BITS) - 1), F.shiftrightunsigned("token", SIZE_BITS)
-        tokens = types.select(*keys, F.posexplode(side).alias("pos", "token")).select(*keys, "pos", size.alias("size"), token.alias(side))
+        tokens = types.where(cut).select(*keys, F.size(side).alias("n"), F.posexplode(side).alias("pos", "token")).where("pos < n - 1").select(*keys, "pos", size.alias("size"), token.alias(side))
         return tokens.select(*keys, side, F.sum("size").over(so_far).alias("end"), F.sum(F.length(F.col(side).cast("string")) + 1).over(so_far).cast("int").alias(f"{side}_to"))
 
-    cuts = ends("a").join(ends("b"), [*keys, "end"]).withColumn("group", F.row_number().over(Window.partitionBy(*keys).orderBy("end")))
-    listed = cuts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("group", "a_to", "b_to", "a", "b"))).alias("cuts"))
-    told = [c for s in "ab" for c in (F.size(s).cast("long").alias(f"n_{s}"), F.array_join(_ids(F.col(s)).cast("array<string>"), ",").cast("binary").alias(f"{s}_text"))]
-    joined = types.select(*keys, *keep, *told).join(listed, keys)
+    listed = ends("a").join(ends("b"), [*keys, "end"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("a_to", "b_to", "a", "b"))).alias("cuts"))
+    told = [t.cast("binary").alias(f"{s}_text") for s, t in text.items()]
+    joined = types.where(cut).select(*keys, *keep, *sizes, *told, F.struct(*last.values()).alias("last")).join(listed, keys, "left")
+    end = [(F.octet_length(f"{s}_text") + 1).alias(f"{s}_to") for s in "ab"]
+    final = F.array(F.struct(*end, F.col("last.a").alias("a"), F.col("last.b").alias("b")))
+    joined = joined.withColumn("cuts", F.when(F.col("cuts").isNull(), final).otherwise(F.concat("cuts", final)))
 
     def side(c: Column, i: Column, name: str) -> Column:
-        last = F.when(i == 0, F.lit(0)).otherwise(F.col("cuts")[i - 1][f"{name}_to"])
-        return F.substring(F.col(f"{name}_text"), last + 1, c[f"{name}_to"] - last - 1)
+        before = F.when(i == 0, F.lit(0)).otherwise(F.col("cuts")[i - 1][f"{name}_to"])
+        return F.substring(F.col(f"{name}_text"), before + 1, c[f"{name}_to"] - before - 1)
 
     groups = F.array_join(F.transform("cuts", lambda c, i: F.concat(side(c, i, "a"), F.lit(b"|"), side(c, i, "b")).cast("string")), ";")
-    return joined.select(*keys, *keep, "n_a", "n_b", groups.alias("groups"), F.arrays_zip(F.col("cuts.a"), F.col("cuts.b")).alias("links"))
+    several = joined.select(*keys, *keep, "n_a", "n_b", groups.alias("groups"), F.arrays_zip(F.col("cuts.a"), F.col("cuts.b")).alias("links"))
+    one = types.where(~cut & (F.size("a") > 0) & (F.size("b") > 0)).select(*keys, *keep, *sizes, F.concat_ws("|", *text.values()).alias("groups"), F.array(F.struct(*last.values())).alias("links"))
+    return several.unionAll(one).withColumns({f"n_{s}": F.col(f"n_{s}").cast("long") for s in "ab"})
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_file: str = A_FILE, b_file: str = B_FILE, with_groups: bool = True) -> DataFrame:

@@ -113,3 +113,17 @@ def test_groups_are_parts_of_a_text(spark):
     found = align.alignments(rows, ["no"])
     assert "slice(" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["no"], r["groups"], [tuple(x) for x in r["links"]]) for r in found.collect()) == [(1, "1,22|7;3|8", [(22, 7), (3, 8)]), (2, "5|6", [(5, 6)])]
+
+
+def test_only_inner_ends_are_looked_for(spark):
+    """Rows with one token on a side are no rows of windows, and last tokens are never exploded ones."""
+    token = lambda *sizes: [(k + 1) * 11 << 10 | n for k, n in enumerate(sizes)]
+    lots = [(1, token(3), token(1, 1, 1)), (2, token(1, 2), token(3)), (3, token(1, 2), token(2, 1)), (4, token(1, 2, 1), token(1, 1, 2)), (5, token(2, 1, 1), token(2, 2)), (6, token(4), token(4))]
+    found = align.alignments(spark.createDataFrame(lots, "no int, a array<int>, b array<int>"), ["no"])
+    got = {r["no"]: (r["n_a"], r["n_b"], r["groups"], [tuple(x) for x in r["links"]]) for r in found.collect()}
+    assert got == {
+        1: (1, 3, "11|11,22,33", [(11, 33)]), 2: (2, 1, "11,22|11", [(22, 11)]), 3: (2, 2, "11,22|11,22", [(22, 22)]),
+        4: (3, 3, "11|11;22,33|22,33", [(11, 11), (33, 33)]), 5: (3, 2, "11|11;22,33|22", [(11, 11), (33, 22)]), 6: (1, 1, "11|11", [(11, 11)]),
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "(pos#" in plan and "size(a#" in plan and plan.count("Window [") == 2
