@@ -24,16 +24,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     so many letters of it are, by a bar that the labelled rows of each language set (langid.bars). A missing
     lang is filled in where the score tells it from chance, and stays null elsewhere. Without labelled documents only
     texts without letters go. A very long text is read whole, in one task's memory.
+    What is kept is stored, as only here it can be said that Python gets few of the long texts at a time.
     """
     labelled = docs.where(~held_out())
     prototypes = learn(labelled)
     lang, score, effective, foreign = (free_name(docs.columns, n) for n in ("_lang", "_score", "_effective", "_foreign"))
     found = identify(docs, prototypes, keep=tuple(docs.columns), out=(lang, score, effective), least=bars(labelled, prototypes) if prototypes else None, foreign=foreign)
     kept = found.where((F.col(effective) > 0) & ~F.col(foreign))
-    if not prototypes:
-        return kept.select(*docs.columns)
-    told = F.when(F.col(score) >= SIGNIFICANT, F.col(lang))
-    return kept.withColumn("lang", F.coalesce("lang", told)).select(*docs.columns)
+    if prototypes:
+        told = F.when(F.col(score) >= SIGNIFICANT, F.col(lang))
+        kept = kept.withColumn("lang", F.coalesce("lang", told))
+    return stash(kept.select(*docs.columns), "identified")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,6 +82,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if not hasattr(docs, "_stash_path"):
+            docs = stash(docs, name.replace(" ", "-"))
         unstash(before)  # nothing but for what a stage before has stored
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,6 +15,8 @@ from .shingle_join import mix, series
 DIM = 1024
 #: Bytes of texts that are read at once.
 PORTION = 300_000
+#: Trigrams whose vectors are held at once.
+TRIGRAMS = 512
 SEED = 20_240_101
 #: A score that unrelated vectors of DIM components reach by chance hardly ever: three standard deviations.
 SIGNIFICANT = 3 / DIM**0.5
@@ -87,7 +89,9 @@ def bundles(texts: list[str], dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
             some = (code >= first) & (code < first + 4_096)
             width = min(4_096, len(cols) - first)
             counts = np.bincount(text[some] * width + code[some] - first, minlength=len(part) * width).reshape(len(part), width)
-            out[at : at + len(part)] += counts.astype(np.float32) @ trigram_vectors(cols[first : first + width], dim).astype(np.float32)
+            for lo in range(0, width, TRIGRAMS):  # exact, as the sums are whole numbers
+                hi = min(lo + TRIGRAMS, width)
+                out[at : at + len(part)] += counts[:, lo:hi].astype(np.float32) @ trigram_vectors(cols[first + lo : first + hi], dim).astype(np.float32)
             letters[at : at + len(part)] += counts.sum(axis=1)
     return out, letters
 
@@ -146,7 +150,8 @@ def bars(labelled: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     found = rows.mapInArrow(rates, "lang string, rate double").groupBy("lang").agg(F.percentile_approx("rate", below, 10_000).alias("bar"))
-    return {r["lang"]: MARGIN * r["bar"] for r in found.collect()}
+    with small_batches(labelled.sparkSession):
+        return {r["lang"]: MARGIN * r["bar"] for r in found.collect()}
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), dim: int = DIM, out: tuple[str, str, str] = ("lang_pred", "score", "effective"), least: dict[str, float] | None = None, foreign: str | None = None) -> DataFrame:
@@ -164,7 +169,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
     unit = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]).reshape(len(names), dim)
 
     def predict(batches):
-        for batch, texts in text_portions(batches, width, PORTION):
+        for batch, texts in text_portions(batches, text_at, PORTION):
             vectors, letters = bundles(texts, dim)
             size = np.linalg.norm(vectors, axis=1)
             effective = np.where(letters > 0, dim * letters.astype(float) ** 2 / np.maximum(size, 1e-9) ** 2, 0)
@@ -176,12 +181,13 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
                 score = np.where(letters > 0, np.clip(cosines.max(axis=1), 0, 1), 0)
                 bar = asked[best] * np.sqrt(effective)
             made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(effective, pa.float64()), *([pa.array(score + SIGNIFICANT < bar)] if foreign else [])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], schema=pa.schema([*list(batch.schema)[:-1], *((n, a.type) for n, a in zip(names_out, made))]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], schema=pa.schema([*list(batch.schema)[:width], *((n, a.type) for n, a in zip(names_out, made))]))
 
     kept = [id_col, *[c for c in keep if c != id_col]]
     width = len(kept)
-    rows = docs.select(*kept, F.col(text_col).alias(free_name(kept, "text")))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    rows = docs.select(*kept) if text_col in kept else docs.select(*kept, F.col(text_col).alias(free_name(kept, "text")))  # a text goes to Python once
+    text_at = kept.index(text_col) if text_col in kept else width
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:width])
     return rows.mapInArrow(predict, f"{head}, `{out[0]}` string, `{out[1]}` double, `{out[2]}` double" + (f", `{foreign}` boolean" if foreign else ""))
 
 

@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import WordCoder, byte_letters, spans
-from .common import slices, stash, table
+from .common import slices, stash, table, text_portions
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 LENGTH = 2048
+#: Bytes of texts that are encoded at once.
+PORTION = 500_000
 #: Pieces of a group on average; a group is what one call packs.
 GROUP_PIECES = 8_192
 
@@ -40,7 +42,7 @@ class WordEncoder(WordCoder):
     #: Code points that are told apart together; longer texts are cut at white space.
     PORTION = 500_000
     #: Words remembered from portion to portion.
-    WORDS = 400_000
+    WORDS = 150_000
 
     def __init__(self, path: str):
         import regex
@@ -239,27 +241,25 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabul
         enc = encoder(vocabulary)
         context = TaskContext.get()
         seed = np.random.default_rng([context.partitionId() if context else 0, 7])
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in slices(texts, 1_000_000):
-                rows, start, size, crc, total, ids_of = [], [], [], [], [], []
-                for i, ids in enumerate(enc.encode(texts[lo:hi]), lo):
-                    ids = np.append(ids, np.int32(END_ID))
-                    for at in range(0, len(ids), length):
-                        piece = ids[at : at + length]
-                        rows.append(i)
-                        start.append(at)
-                        size.append(len(piece))
-                        crc.append(zlib.crc32(piece.astype("<u4").tobytes()))
-                        total.append(len(ids))
-                        if with_ids:
-                            ids_of.append(piece)
-                cols = [batch.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, size, crc, total, seed.integers(0, 2**62, len(rows)))]
-                names = ["id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
-                if with_ids:
-                    cols.append(pa.array(ids_of, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names)
+        for part, texts in text_portions(batches, 1, PORTION):
+            rows, start, size, crc, total, ids_of = [], [], [], [], [], []
+            for i, ids in enumerate(enc.encode(texts)):
+                ids = np.append(ids, np.int32(END_ID))
+                for at in range(0, len(ids), length):
+                    piece = ids[at : at + length]
+                    rows.append(i)
+                    start.append(at)
+                    size.append(len(piece))
+                    crc.append(zlib.crc32(piece.astype("<u4").tobytes()))
+                    total.append(len(ids))
+                    if with_ids:
+                        ids_of.append(piece)
+            cols = [part.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, size, crc, total, seed.integers(0, 2**62, len(rows)))]
+            names = ["id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
+            if with_ids:
+                cols.append(pa.array(ids_of, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, salt long"
@@ -275,7 +275,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     repeated rows are packed as often as they come; rows with a null id are packed too. A very long text is encoded
     whole, in one task's memory, and gives as many full sequences as it fills.
     """
-    pieces = stash(cut(docs, id_col, text_col, vocabulary, length, with_ids), "pieces", rows=4_000)
+    pieces = stash(cut(docs, id_col, text_col, vocabulary, length, with_ids), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -25,6 +25,8 @@ BUCKET_BYTES, LEAST_BUCKETS = 1_000_000, 64
 MORE_HUBS, MORE_PAIRS = 1, 8
 #: Bytes of texts that are hashed at once, and members that a task holds before it passes them on.
 PORTION, HELD_MEMBERS = 300_000, 300_000
+#: Pairs of a tile that a task adds before it keeps the closest.
+HELD_PAIRS = 100_000
 #: A member that more sets of a portion have is sent once, with their number (at least 1, as what is counted is shared).
 SENT_APART = 8
 #: Kinds of packed rows: a portion's sets and its frequent members; members with the sets that have them, or with their number.
@@ -364,21 +366,10 @@ def _others(met: DataFrame, reached: DataFrame, classes: DataFrame, percent: int
     rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
 
     def compare(low: int, high: int, group: list[tuple]) -> tuple[np.ndarray, np.ndarray, int]:
-        """Members of the pairs, and how many pairs are left out."""
         sides = [[g for g in group if g[0] == part] for part in (low, high)]
         maps = [np.frombuffer(b"".join(g[4] for g in side), np.uint64).reshape(len(side), BITS // 64) for side in sides]
-        (one, comp_one, n_one), (two, comp_two, n_two) = ([np.array([g[c] for g in side], np.int64) for c in (1, 2, 3)] for side in sides)
-        left, right, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-        for i, member in enumerate(one):
-            j = np.flatnonzero((comp_two != comp_one[i]) & ((two > member) if low == high else True))
-            differing = np.bitwise_count(maps[1][j] ^ maps[0][i]).sum(axis=1, dtype=np.int64)
-            may = bounded(n_one[i], n_two[j], differing, percent)
-            left.append(np.full(may.sum(), i))
-            right.append(j[may])
-            far.append(differing[may] / (n_one[i] + n_two[j[may]]))
-        i, j, far = np.concatenate(left), np.concatenate(right), np.concatenate(far)
-        kept = closest(comp_one[i], comp_two[j], far, most)
-        return one[i[kept]], two[j[kept]], int((~kept).sum())
+        one, two = ([np.array([g[c] for g in side], np.int64) for c in (1, 2, 3)] for side in sides)
+        return open_pairs((*one, maps[0]), (*two, maps[1]), low == high, percent, most)
 
     def run(batches):
         def each():
@@ -405,6 +396,32 @@ def _others(met: DataFrame, reached: DataFrame, classes: DataFrame, percent: int
     return dealt.mapInArrow(run, "a long, b long, cut long")
 
 
+def open_pairs(one: tuple, two: tuple, same: bool, percent: int, most: int, held: int = HELD_PAIRS) -> tuple[np.ndarray, np.ndarray, int]:
+    """Members of the pairs of two blocks that bitmaps leave open, the `most` closest of each component, and how many pairs are left out.
+
+    A block is its members, their components, sizes and bitmaps; same: the two are one. After so many pairs as `held` says
+    only the closest so far stay: what isn't among these isn't among the closest of all either.
+    """
+    (a, comp_a, n_a, maps_a), (b, comp_b, n_b, maps_b) = one, two
+    left, right, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    settled = fresh = cut = 0
+    for i in range(len(a) + 1):
+        if i == len(a) or fresh > held + settled:
+            x, y, distance = np.concatenate(left), np.concatenate(right), np.concatenate(far)
+            kept = closest(comp_a[x], comp_b[y], distance, most)
+            left, right, far = [x[kept]], [y[kept]], [distance[kept]]
+            settled, fresh, cut = int(kept.sum()), 0, cut + int((~kept).sum())
+        if i < len(a):
+            j = np.flatnonzero((comp_b != comp_a[i]) & ((b > a[i]) if same else True))
+            differing = np.bitwise_count(maps_b[j] ^ maps_a[i]).sum(axis=1, dtype=np.int64)
+            may = bounded(n_a[i], n_b[j], differing, percent)
+            left.append(np.full(may.sum(), i))
+            right.append(j[may])
+            far.append(differing[may] / (n_a[i] + n_b[j[may]]))
+            fresh += len(right[-1])
+    return a[left[0]], b[right[0]], cut
+
+
 def closest(one: np.ndarray, two: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
     """Which pairs are among the `most` closest of either of their components."""
     kept = np.zeros(len(far), bool)

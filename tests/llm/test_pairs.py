@@ -403,3 +403,25 @@ def test_texts_of_a_learned_language_stay_at_all_lengths(spark, zipf):
 def test_pipeline_on_empty_documents(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_go_to_python_once_and_in_small_batches(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = identify(docs, learn(docs), keep=tuple(docs.columns))
+    assert found._jdf.queryExecution().analyzed().children().head().output().size() == len(docs.columns)
+    assert "MapInArrow" not in corpus_pipeline.identify_language(spark, docs, SF)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_open_pairs_are_the_same_however_few_are_held(same):
+    rng = np.random.default_rng(1)
+    maps = np.repeat(rng.integers(0, 2**63, (1, 32)).astype(np.uint64), 60, axis=0)
+    maps[np.arange(60), rng.integers(0, 32, 60)] ^= rng.integers(0, 2**20, 60).astype(np.uint64)
+    one = (np.arange(60), rng.integers(0, 20, 60), rng.integers(200, 204, 60), maps)
+    two = one if same else (np.arange(100, 160), rng.integers(0, 20, 60), one[2], maps)
+    for most in (1, 8, 10_000):
+        a, b, cut = shingle_join.open_pairs(one, two, same, 80, most, 1_000_000)
+        assert len(a) and (most < 60) == (cut > 0)
+        for held in (0, 50):
+            x, y, less = shingle_join.open_pairs(one, two, same, 80, most, held)
+            assert less == cut and x.tolist() == a.tolist() and y.tolist() == b.tolist()
